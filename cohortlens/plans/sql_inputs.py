@@ -111,3 +111,30 @@ eng AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+SCORED = """
+scored AS (
+  SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,
+    (l_extendedprice / 105000.0::DOUBLE) * 0.7::DOUBLE
+      + CASE WHEN l_returnflag = 'R' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS proba,
+    l_quantity / 50.0::DOUBLE AS proba_tied,
+    l_linestatus AS line_status,
+    CAST(l_linenumber AS VARCHAR) AS line_no,
+    l_extendedprice AS y_reg,
+    l_quantity * 2100.0::DOUBLE AS pred_reg,
+    CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS y_cls,
+    l_linenumber % 3 AS pred_cls,
+    (l_discount + 0.01::DOUBLE) / (((l_discount + 0.01::DOUBLE) + (l_tax + 0.01::DOUBLE)) + l_quantity / 500.0::DOUBLE) AS prob_a,
+    (l_tax + 0.01::DOUBLE) / (((l_discount + 0.01::DOUBLE) + (l_tax + 0.01::DOUBLE)) + l_quantity / 500.0::DOUBLE) AS prob_n,
+    (l_quantity / 500.0::DOUBLE) / (((l_discount + 0.01::DOUBLE) + (l_tax + 0.01::DOUBLE)) + l_quantity / 500.0::DOUBLE) AS prob_r,
+    l_shipdate
+  FROM lineitem
+)"""
+
+AUDIT_DOCS = """
+audit_docs AS (
+  SELECT d.doc_id, d.lang, d.source, l.quality AS y, l.toxic,
+    1.0::DOUBLE - 1.0::DOUBLE / (1.0::DOUBLE + CAST(d.n_chars AS DOUBLE) / 5000.0::DOUBLE) AS proba
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+)"""

@@ -88,9 +88,20 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
          .otherwise(2).alias("y_cls"),
         (F.col("l_linenumber") % 3).alias("pred_cls"),
+        *_class_probs(),
+        F.col("l_shipdate"),
     )
 
 
+def _class_probs():
+    """Three class probabilities (A / N / R) from discount, tax and quantity."""
+    a = F.col("l_discount") + F.lit(0.01)
+    n = F.col("l_tax") + F.lit(0.01)
+    r = F.col("l_quantity") / F.lit(500.0)
+    tot = (a + n) + r
+    return [(a / tot).alias("prob_a"), (n / tot).alias("prob_n"), (r / tot).alias("prob_r")]
+
+
 def events_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
