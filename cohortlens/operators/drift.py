@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from cohortlens.functions import expr as E
 from cohortlens.functions.domain import DRIFT_MIN_ROWS, PSI_ALERT, PSI_EPS, PSI_WARN
 from cohortlens.functions.stats import ks_pvalue_asymptotic
-from cohortlens.operators.joins import join_dimension
 from cohortlens.operators.ordered import quantiles, running_totals, top_k_per_key
 
 NULL_BIN = "__null__"
@@ -28,14 +27,16 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 
 def _tagged(reference: DataFrame, current: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
-    r = reference.select(*[F.col(c).cast(cast).alias(c) for c in cols], F.lit(0).alias("__side"))
-    c = current.select(*[F.col(c).cast(cast).alias(c) for c in cols], F.lit(1).alias("__side"))
+    # try_cast: values that are not numbers become null and are dropped
+    r = reference.select(*[F.col(c).try_cast(cast).alias(c) for c in cols], F.lit(0).alias("__side"))
+    c = current.select(*[F.col(c).try_cast(cast).alias(c) for c in cols], F.lit(1).alias("__side"))
     return r.unionByName(c).unpivot(["__side"], list(cols), "feature", "x")
 
 
 def _psi_tail(cnt: DataFrame, totals: DataFrame) -> DataFrame:
     """(feature, bin…, n_ref, n_cur) + per-feature totals → shares and contributions."""
-    j = join_dimension(cnt, totals, "feature", max_rows=100_000)
+    # one row per feature: bounded by the feature list, not by the data
+    j = cnt.join(F.broadcast(totals), "feature")
     r = F.col("n_ref") / F.greatest(F.col("tot_ref"), F.lit(1.0)) + F.lit(PSI_EPS)
     c = F.col("n_cur") / F.greatest(F.col("tot_cur"), F.lit(1.0)) + F.lit(PSI_EPS)
     return j.withColumns({
@@ -74,7 +75,7 @@ def numeric_edges(reference: DataFrame, features: Sequence[str], bins: int = 10)
     """D2 edges per feature: distinct reference quantiles; outer edges → ±inf;
     a constant reference gives a single bin. Returns ``(feature, edges)``."""
     probs = [float(v) for v in np.linspace(0, 1, bins + 1)]
-    long = reference.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot(
+    long = reference.select(*[F.col(c).try_cast("double").alias(c) for c in features]).unpivot(
         [], list(features), "feature", "x").where(F.col("x").isNotNull() & ~F.isnan("x"))
     q = quantiles(long, "x", probs, keys=["feature"])
     e = q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("u"))
@@ -95,8 +96,8 @@ def psi_numeric(reference: DataFrame, current: DataFrame, features: Sequence[str
     edges = numeric_edges(reference, features, bins)
     long = _tagged(reference, current, features, "double").where(
         F.col("x").isNotNull() & ~F.isnan("x"))
-    # one row per feature: a schema-sized table
-    tagged = join_dimension(long, edges, "feature", max_rows=100_000)
+    # one row per feature (≤ bins + 1 edges each): bounded by the feature list
+    tagged = long.join(F.broadcast(edges), "feature")
     inner = F.slice("edges", 2, F.size("edges") - 2)
     b = F.size(F.filter(inner, lambda e: e <= F.col("x")))
     side = F.col("__side")
@@ -177,15 +178,14 @@ def ks_statistic(reference: DataFrame, current: DataFrame, col: str,
     c = current.select(F.col(col).cast("double").alias("v"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
     u = r.unionByName(c).where(F.col("v").isNotNull() & ~F.isnan("v"))
     counts = u.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    tot = u.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"),
-                F.sum(F.col("a") * F.col("v")).alias("s1"), F.sum(F.col("b") * F.col("v")).alias("s2"))
-    n1, n2 = tot.select("n1").scalar(), tot.select("n2").scalar()
+    tot = u.agg(F.struct(F.sum("a").alias("n1"), F.sum("b").alias("n2"),
+                         F.sum(F.col("a") * F.col("v")).alias("s1"),
+                         F.sum(F.col("b") * F.col("v")).alias("s2")).alias("t")).scalar()
+    n1, n2 = tot["n1"], tot["n2"]
     cum = running_totals(counts, [], ["v"], ["a", "b"])
     d = cum.agg(F.max(F.abs(F.col("cum_a") / n1 - F.col("cum_b") / n2)).alias("ks_statistic"))
-    return d.select("ks_statistic", F.lit(n1).cast("long").alias("n_reference"),
-                    F.lit(n2).cast("long").alias("n_current"),
-                    (tot.select("s1").scalar() / n1).alias("reference_mean"),
-                    (tot.select("s2").scalar() / n2).alias("current_mean"))
+    return d.select("ks_statistic", n1.cast("long").alias("n_reference"), n2.cast("long").alias("n_current"),
+                    (tot["s1"] / n1).alias("reference_mean"), (tot["s2"] / n2).alias("current_mean"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -202,7 +202,8 @@ def score_drift(reference: DataFrame, current: DataFrame, col: str, ref_col: str
     cur = current.select(F.col(col).cast("double").alias("score"))
     psi = psi_values(psi_numeric(ref, cur, ["score"], bins)).select("psi", "status")
     ks = ks_statistic(ref, cur, "score")
-    out = psi.withColumns({c: ks.select(c).scalar() for c in ks.columns})
+    kss = ks.select(F.struct(*ks.columns)).scalar()  # one row, attached as a scalar subquery
+    out = psi.withColumns({c: kss[c] for c in ks.columns})
     return out.withColumn("ks_pvalue", _ks_p("ks_statistic", "n_reference", "n_current"))
 
 

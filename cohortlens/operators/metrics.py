@@ -112,7 +112,8 @@ def _desc_counts(df: DataFrame, y: str, score: str, keys: list[str],
     cum = cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
     if keys:
         return cum.join(tot, keys)
-    return cum.withColumns({"P": tot.select("P").scalar(), "N": tot.select("N").scalar()})
+    t = tot.select(F.struct("P", "N")).scalar()
+    return cum.withColumns({"P": t["P"], "N": t["N"]})
 
 
 def average_precision(df: DataFrame, y: str, score: str, keys: Sequence[str] = (),
