@@ -81,8 +81,9 @@ def preprocess_stages(train: DataFrame, features: Sequence[str], scale_numeric:
         stages.append(StringIndexer(inputCols=nominal, outputCols=[f"__idx_{c}" for c in nominal],
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[f"__idx_{c}" for c in nominal],
-                                    outputCols=[f"__ohe_{c}" for c in nominal], dropLast=True,
-                                    handleInvalid="keep"))
+                                    outputCols=[f"__ohe_{c}" for c in nominal], dropLast=True))
+        # the indexer sends unknown values to the extra last index, which dropLast
+        # removes: an unknown category encodes as all zeros
     inputs = [f"__ohe_{c}" for c in nominal] + [f"__ord_{c}" for c in ordinal] + [f"__num_{c}" for c in numeric]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES_COL, handleInvalid="keep"))
     return stages, inputs
