@@ -23,6 +23,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.session import cut_lineage
+
 _BUCKET = "__bucket"
 
 
@@ -53,7 +55,8 @@ def with_range_bucket(df: DataFrame, col: str, bounds: Sequence[float]) -> DataF
 
 def running_totals(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
                    sum_cols: Sequence[str], *, descending: bool = False,
-                   n_buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+                   n_buckets: int | None = None, prefix: str = "cum_",
+                   materialize: bool = True) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` within ``keys`` in order of ``order_cols``.
 
     ``order_cols[0]`` drives the range split; further order columns only break
@@ -61,6 +64,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]
     """
     keys = list(keys)
     n_buckets = default_buckets(df) if n_buckets is None else n_buckets
+    if materialize:
+        df = cut_lineage(df)  # read three times below: materialise once
     bounds = range_bounds(df, order_cols[0], n_buckets)
     b = with_range_bucket(df, order_cols[0], bounds)
 
@@ -91,52 +96,86 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
+def kth_values(values: DataFrame, value_col: str, targets: DataFrame, keys: Sequence[str] = (), *,
+               n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
+    """Exact order statistics: the value at 1-based ``rank`` for every target row.
+
+    ``targets`` holds ``(keys..., tid, rank)``. Only the value ranges that
+    contain a target rank are sorted: rows are counted per (keys, range) — a
+    partial aggregate of ``#keys × n_buckets`` rows — the ranges holding the
+    targets are picked from those counts, and a semi-join keeps just their
+    rows for the final ordered count. The rest of the data is never shuffled
+    by value. Returns ``(keys..., tid, value)``.
+    """
+    keys = list(keys)
+    n_buckets = default_buckets(values) if n_buckets is None else n_buckets
+    x = F.col(value_col).cast("double")
+    v = values.where(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("__v"))
+    if materialize:
+        v = cut_lineage(v)  # read by several branches below: materialise once
+    b = with_range_bucket(v, "__v", range_bounds(v, "__v", n_buckets))
+    bt = b.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("__bc"))
+    wb = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bt = bt.withColumn("__bhi", F.sum("__bc").over(wb)).withColumn("__blo", F.col("__bhi") - F.col("__bc"))
+    # target ranks → the range holding each (small × small: targets per key × ranges per key)
+    tb = _attach_ranges(targets, bt, keys)
+    tb = tb.where((F.col("__blo") < F.col("rank")) & (F.col("rank") <= F.col("__bhi"))).select(
+        *keys, "tid", _BUCKET, (F.col("rank") - F.col("__blo")).alias("__lr"))
+    wanted = tb.select(*keys, _BUCKET).distinct()
+    sel = b.join(wanted if keys else F.broadcast(wanted), [*keys, _BUCKET], "left_semi")
+    counts = sel.groupBy(*keys, _BUCKET, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    wl = Window.partitionBy(*keys, _BUCKET).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("__lc", F.sum("__c").over(wl))
+    hit = counts.join(tb, [*keys, _BUCKET]).where(
+        (F.col("__lc") - F.col("__c") < F.col("__lr")) & (F.col("__lr") <= F.col("__lc")))
+    return hit.select(*keys, "tid", F.col("__v").alias("value"))
+
+
+def _attach_ranges(targets: DataFrame, bt: DataFrame, keys: list[str]) -> DataFrame:
+    """Pair every target with the per-range counts of its key."""
+    if keys:
+        return targets.join(bt, keys)
+    # no keys: the range table has at most n_buckets rows; attach it whole as one array
+    arr = bt.select(F.collect_list(F.struct(_BUCKET, "__blo", "__bhi")).alias("a")).select("a").scalar()
+    return targets.select("*", F.explode(arr).alias("__r")).select(
+        *targets.columns, F.col(f"__r.{_BUCKET}").alias(_BUCKET), "__r.__blo", "__r.__bhi")
+
+
 def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-              keys: Sequence[str] = (), *, n_buckets: int | None = None) -> DataFrame:
+              keys: Sequence[str] = (), *, n_buckets: int | None = None,
+              materialize: bool = True) -> DataFrame:
     """Exact linear-interpolation quantiles per key (W3 + W6; NumPy's default method).
 
-    Returns ``(keys..., prob, value)``. Nulls are ignored. Built on counts per
-    distinct value and :func:`running_totals`; nothing is held per group in
-    memory, unlike ``percentile``.
+    Returns ``(keys, prob, value)``. Nulls and NaN are ignored. Built on
+    :func:`kth_values`, so nothing is held per group in memory (unlike
+    ``percentile``) and only the value ranges around the requested ranks are sorted.
     """
     keys = list(keys)
     x = F.col(value_col).cast("double")
-    counts = (df.where(x.isNotNull()).groupBy(*keys, x.alias("__v"))
-              .agg(F.count(F.lit(1)).alias("__c")))
-    cum = running_totals(counts, keys, ["__v"], ["__c"], n_buckets=n_buckets)
-    cum = cum.withColumns({"__hi": F.col("cum___c"), "__lo": F.col("cum___c") - F.col("__c") + 1})
-
-    n = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    v = df.where(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias(value_col))
+    if materialize:
+        v = cut_lineage(v)
+    n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     targets = []
-    for q in probs:
+    for i, q in enumerate(probs):
         qv = F.lit(float(q))
         pos = F.col("__n").cast("double") * qv + (F.lit(1.0) - qv) - F.lit(1.0)
-        i = F.floor(pos)
-        targets.append(F.struct(
-            qv.alias("prob"),
-            (pos - i).alias("t"),
-            F.least(i + 1, F.col("__n")).cast("long").alias("r1"),
-            F.least(i + 2, F.col("__n")).cast("long").alias("r2"),
-        ))
-    tg = n.select(*keys, F.explode(F.array(*targets)).alias("tg")).select(*keys, "tg.*")
-    # one row per (key, prob, end) → rank to look up
-    ends = tg.select(*keys, "prob", "t", F.explode(F.array(
-        F.struct(F.lit(0).alias("end"), F.col("r1").alias("rank")),
-        F.struct(F.lit(1).alias("end"), F.col("r2").alias("rank")))).alias("e")).select(
-        *keys, "prob", "t", "e.end", "e.rank")
-    ranks = ends.groupBy(*keys).agg(F.collect_list(F.struct("prob", "t", "end", "rank")).alias("__want"))
-    if not keys:
-        # a single row: attach it as a scalar subquery (computed once, inlined)
-        hit = cum.withColumn("__want", ranks.select("__want").scalar())
-    else:
-        hit = cum.join(ranks, keys)
-    found = hit.select(*keys, "__v", F.explode(F.filter(
-        "__want", lambda w: (w["rank"] >= F.col("__lo")) & (w["rank"] <= F.col("__hi")))).alias("w"))
-    pairs = found.groupBy(*keys, F.col("w.prob").alias("prob")).agg(
-        F.first("w.t").alias("t"),
-        F.max(F.when(F.col("w.end") == 0, F.col("__v"))).alias("a"),
-        F.max(F.when(F.col("w.end") == 1, F.col("__v"))).alias("b"))
-    return pairs.select(*keys, "prob", _lerp(F.col("a"), F.col("b"), F.col("t")).alias("value"))
+        fl = F.floor(pos)
+        targets.append(F.struct(F.lit(i).alias("qi"), qv.alias("prob"), (pos - fl).alias("t"),
+                                F.least(fl + 1, F.col("__n")).cast("long").alias("r1"),
+                                F.least(fl + 2, F.col("__n")).cast("long").alias("r2")))
+    tg = n.select(*keys, F.explode(F.array(*targets)).alias("g")).select(*keys, "g.*")
+    ends = tg.select(*keys, F.explode(F.array(
+        F.struct((F.col("qi") * 2).alias("tid"), F.col("r1").alias("rank")),
+        F.struct((F.col("qi") * 2 + 1).alias("tid"), F.col("r2").alias("rank")))).alias("e")).select(
+        *keys, "e.tid", "e.rank")
+    kv = kth_values(v, value_col, ends, keys, n_buckets=n_buckets, materialize=False)
+    a = kv.where(F.col("tid") % 2 == 0).select(*keys, (F.col("tid") / 2).cast("int").alias("qi"),
+                                                F.col("value").alias("a"))
+    b = kv.where(F.col("tid") % 2 == 1).select(*keys, ((F.col("tid") - 1) / 2).cast("int").alias("qi"),
+                                                F.col("value").alias("b"))
+    j = tg.join(a, [*keys, "qi"]).join(b, [*keys, "qi"])
+    return j.select(*keys, "prob", _lerp(F.col("a"), F.col("b"), F.col("t")).alias("value"))
 
 
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

@@ -19,6 +19,7 @@ from cohortlens.functions import expr as E
 from cohortlens.functions.domain import CATEGORICAL_COLUMNS, PERFORMANCE_LEVELS, SCORE_COLUMNS
 from cohortlens.functions.stats import f_sf, t_two_sided_p
 from cohortlens.operators.ordered import quantiles
+from cohortlens.session import cut_lineage
 
 GROUP_ATTRIBUTES = ("lunch", "test_preparation_course", "parental_level_of_education",
                     "race_ethnicity", "gender")
@@ -70,12 +71,12 @@ def group_summary(df: DataFrame, attribute: str, value_cols: Sequence[str]) -> D
 
 def describe(df: DataFrame, cols: Sequence[str] = SCORE_COLUMNS, digits: int = 2) -> DataFrame:
     """A4: count, mean, std (ddof 1), min, quartiles (linear), max per column, rounded."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "column_name", "value").where(F.col("value").isNotNull())
+    long = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [], list(cols), "column_name", "value").where(F.col("value").isNotNull()))
     basic = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles(long, "value", [0.25, 0.5, 0.75], keys=["column_name"])
+    q = quantiles(long, "value", [0.25, 0.5, 0.75], keys=["column_name"], materialize=False)
     qw = q.groupBy("column_name").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
         for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
@@ -203,11 +204,11 @@ def attribute_tests(df: DataFrame, attributes: Sequence[str] = CATEGORICAL_COLUM
 
 def box_by_group(df: DataFrame, attributes: Sequence[str], target: str = "average_score") -> DataFrame:
     """(attribute, grp, n, min, q1, median, q3, max), ordered by median within attribute."""
-    long = long_attributes(df, attributes, [target]).where(F.col(target).isNotNull())
+    long = cut_lineage(long_attributes(df, attributes, [target]).where(F.col(target).isNotNull()))
     basic = long.groupBy("attribute", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.min(target).cast("double").alias("min"),
         F.max(target).cast("double").alias("max"))
-    q = quantiles(long, target, [0.25, 0.5, 0.75], keys=["attribute", "grp"])
+    q = quantiles(long, target, [0.25, 0.5, 0.75], keys=["attribute", "grp"], materialize=False)
     qw = q.groupBy("attribute", "grp").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
         for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
