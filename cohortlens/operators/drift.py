@@ -183,7 +183,9 @@ def ks_statistic(reference: DataFrame, current: DataFrame, col: str,
                          F.sum(F.col("b") * F.col("v")).alias("s2")).alias("t")).scalar()
     n1, n2 = tot["n1"], tot["n2"]
     cum = running_totals(counts, [], ["v"], ["a", "b"])
-    d = cum.agg(F.max(F.abs(F.col("cum_a") / n1 - F.col("cum_b") / n2)).alias("ks_statistic"))
+    # gap in a projection first: scalar subqueries may not sit inside aggregate arguments
+    gaps = cum.select(F.abs(F.col("cum_a") / n1 - F.col("cum_b") / n2).alias("__gap"))
+    d = gaps.agg(F.max("__gap").alias("ks_statistic"))
     return d.select("ks_statistic", n1.cast("long").alias("n_reference"), n2.cast("long").alias("n_current"),
                     (tot["s1"] / n1).alias("reference_mean"), (tot["s2"] / n2).alias("current_mean"))
 

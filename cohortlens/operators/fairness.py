@@ -108,3 +108,28 @@ def metrics_long(groups: DataFrame) -> DataFrame:
 def attribute_slice(groups: DataFrame, attribute: str) -> DataFrame:
     """rows of one attribute."""
     return groups.where(F.col("attribute") == attribute)
+
+
+def audit(df: DataFrame, y: str, kind: str, attributes: Sequence[str], *, score: str | None = None,
+          pred: str | Column | None = None, threshold: float = 0.5, group_thresholds: DataFrame | None = None,
+          mitigation_attribute: str | None = None, min_group_size: int = MIN_GROUP_SIZE) -> dict:
+    """Audit under the global threshold; with per-group thresholds also the mitigated
+    audit, both summaries, the before/after join and overall before / after rows (T6)."""
+    from cohortlens.operators.thresholds import apply_group_thresholds, overall_metrics
+    groups = subgroup_metrics(df, y, kind, attributes, score=score, pred=pred, threshold=threshold,
+                              min_group_size=min_group_size)
+    out = {"groups": groups, "summary": fairness_summary(groups, kind)}
+    if kind == "binary" and group_thresholds is not None and mitigation_attribute in df.columns:
+        m = apply_group_thresholds(df, score, mitigation_attribute, group_thresholds, threshold)
+        after_pred = F.col("mitigated.at_risk")
+        after = subgroup_metrics(m, y, kind, attributes, score=score, pred=after_pred,
+                                 min_group_size=min_group_size)
+        before_flag = (F.col(score) >= F.lit(float(threshold))).cast("int")
+        both = m.select(F.col(y), before_flag.alias("__b"), after_pred.cast("int").alias("__a"))
+        out["mitigated"] = {
+            "groups": after, "summary": fairness_summary(after, kind),
+            "before_after": before_after(groups, after, "inner"),
+            "overall_before": overall_metrics(both, y, "__b"),
+            "overall_after": overall_metrics(both, y, "__a"),
+        }
+    return out

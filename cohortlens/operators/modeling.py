@@ -267,8 +267,7 @@ def _log_uniform(rng: random.Random, lo: float, hi: float) -> float:
 
 
 def candidates(kind: str, n_classes: int = 2) -> list[Candidate]:
-    """L6-L12 per task kind. k-NN is not offered: it compares every scored row with
-    every training row, so it is left out rather than run as an all-pairs join."""
+    """L6-L12 per task kind. k-NN (L11) runs on size-checked prototypes (see ``KNNEstimator``)."""
     base = Candidate("baseline", "dummy", _baseline(kind, n_classes))
     if kind == "regression":
         return [
@@ -282,6 +281,7 @@ def candidates(kind: str, n_classes: int = 2) -> list[Candidate]:
                                  "stepSize": _log_uniform(r, 0.01, 0.3)}),
             Candidate("svr_rbf", "kernel", _rff(kind),
                       lambda r: {"gamma": _log_uniform(r, 1e-3, 1.0), "reg": _log_uniform(r, 1e-4, 1.0)}),
+            Candidate("knn", "neighbors", _knn(kind, n_classes), lambda r: {"k": r.choice([5, 15, 31, 51])}),
         ]
     return [
         base,
@@ -296,6 +296,7 @@ def candidates(kind: str, n_classes: int = 2) -> list[Candidate]:
         *([Candidate("svm_rbf", "kernel", _rff(kind),
                      lambda r: {"gamma": _log_uniform(r, 1e-3, 1.0), "reg": _log_uniform(r, 1e-4, 1.0)},
                      needs_weights=True)] if n_classes == 2 else []),
+        Candidate("knn", "neighbors", _knn(kind, n_classes), lambda r: {"k": r.choice([5, 15, 31, 51])}),
     ]
 
 
@@ -304,3 +305,89 @@ def make_pipeline(train: DataFrame, features: Sequence[str], cand: Candidate, pa
     """Preprocess → model in one ``Pipeline``."""
     stages, _ = preprocess_stages(train, features)
     return Pipeline(stages=[*stages, *cand.build(params, ctx)])
+
+
+# --------------------------------------------------------------------------- k-nearest neighbours
+
+MAX_PROTOTYPES = 50_000
+
+
+class KNNModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """k-NN over prototypes: distinct training vectors with per-class counts (or label sums).
+
+    Neighbours are taken in distance order, whole prototypes first; the last
+    prototype contributes the remaining ``k − taken`` rows pro rata, which is
+    the tie rule for duplicated training points.
+    """
+
+    k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
+    kind = Param(Params._dummy(), "kind", "task kind", TypeConverters.toString)
+    points = Param(Params._dummy(), "points", "prototype vectors", TypeConverters.toList)
+    weights = Param(Params._dummy(), "weights", "per prototype: class counts or [count, label sum]",
+                    TypeConverters.toList)
+
+    def __init__(self, k: int = 5, kind: str = "binary", points=None, weights=None):
+        super().__init__()
+        self._set(k=k, kind=kind, points=points or [], weights=weights or [])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        g = self.getOrDefault
+        pts = np.asarray(g(self.points), dtype=float)
+        w = np.asarray(g(self.weights), dtype=float)
+        k, kind = g(self.k), g(self.kind)
+
+        @F.pandas_udf("array<double>")
+        def knn(x: pd.Series) -> pd.Series:
+            out = []
+            for v in x:
+                d = ((pts - np.asarray(v, dtype=float)) ** 2).sum(axis=1)
+                order = np.argsort(d, kind="stable")
+                cnt = w[order, 0] if kind == "regression" else w[order].sum(axis=1)
+                before = np.concatenate([[0.0], np.cumsum(cnt)[:-1]])
+                take = np.clip(k - before, 0.0, cnt)
+                frac = np.divide(take, cnt, out=np.zeros_like(take), where=cnt > 0)
+                agg = (w[order] * frac[:, None]).sum(axis=0)
+                if kind == "regression":
+                    out.append([agg[1] / agg[0]])
+                else:
+                    out.append(list(agg / agg.sum()))
+            return pd.Series(out)
+
+        res = knn(vector_to_array(FEATURES_COL))
+        if kind == "regression":
+            return df.withColumn("prediction", res[0])
+        return df.withColumns({"probability": array_to_vector(res),
+                               "prediction": (F.array_position(res, F.array_max(res)) - 1).cast("double")})
+
+
+class KNNEstimator(Estimator):
+    def __init__(self, k: int = 5, kind: str = "binary", n_classes: int = 2,
+                 max_prototypes: int = MAX_PROTOTYPES):
+        super().__init__()
+        self.k_, self.kind_, self.n_classes, self.max_prototypes = k, kind, n_classes, max_prototypes
+
+    def _fit(self, df: DataFrame) -> KNNModel:
+        from pyspark.ml.functions import vector_to_array
+        x = vector_to_array(FEATURES_COL)
+        if self.kind_ == "regression":
+            protos = df.groupBy(x.alias("p")).agg(F.count(F.lit(1)).cast("double").alias("c"),
+                                                  F.sum(LABEL_COL).alias("s"))
+            wcols = F.array("c", "s")
+        else:
+            protos = df.groupBy(x.alias("p")).agg(*[
+                F.count_if(F.col(LABEL_COL) == float(i)).cast("double").alias(f"c{i}")
+                for i in range(self.n_classes)])
+            wcols = F.array(*[f"c{i}" for i in range(self.n_classes)])
+        # the prototype table becomes part of the model: check its size first
+        rows = protos.select("p", wcols.alias("w")).limit(self.max_prototypes + 1).collect()
+        if len(rows) > self.max_prototypes:
+            raise ValueError(f"exact k-NN needs at most {self.max_prototypes} distinct training vectors")
+        return KNNModel(self.k_, self.kind_, [list(r.p) for r in rows], [list(r.w) for r in rows])
+
+
+def _knn(kind: str, n_classes: int):
+    def build(p, ctx):
+        return [KNNEstimator(int(p.get("k", 15)), kind, n_classes)]
+    return build

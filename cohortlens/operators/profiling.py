@@ -232,7 +232,7 @@ def histogram(df: DataFrame, col: str, bins: int = 25, hue: str | None = None) -
     hi = F.when(same, hi0 + F.lit(0.5)).otherwise(hi0)
     b = F.least(F.greatest(F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(0)), F.lit(bins - 1))
     keys = [hue] if hue else []
-    counts = data.groupBy(*keys, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = data.withColumn("bin", b.cast("int")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     if hue:
@@ -268,3 +268,36 @@ def describe_all(df: DataFrame) -> DataFrame:
 def fold_stats(scores: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Mean and population std over folds."""
     return scores.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def profile(eng: DataFrame, categorical: Sequence[str] = CATEGORICAL_COLUMNS,
+            scores: Sequence[str] = SCORE_COLUMNS) -> dict[str, DataFrame]:
+    """S8 content: every profile table of an engineered table (each one small)."""
+    return {
+        "shape": table_shape(eng),
+        "describe": describe(eng, scores),
+        "correlation": correlation(eng, scores),
+        "categorical": category_counts(eng, categorical),
+        "headline": headline_stats(eng),
+        "level_share": class_share(eng),
+        "tests": attribute_tests(eng, categorical, with_p=True),
+    }
+
+
+def write_profile(prof: dict[str, DataFrame], path: str) -> None:
+    """S8 sink: one Parquet table per profile part, plus one JSON document of the parts.
+
+    The parts are aggregates (a few rows each), so the JSON document is built
+    from them, never from row-level data.
+    """
+    for name, df in prof.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = next(iter(prof.values())).sparkSession
+    doc = spark.range(1).select(F.to_json(F.struct(*[
+        prof[n].select(F.collect_list(F.to_json(F.struct("*")))).scalar().alias(n) for n in prof])).alias("json"))
+    doc.write.mode("overwrite").text(f"{path}/profile_json")
+
+
+def group_rows(df: DataFrame, attribute: str) -> DataFrame:
+    """The distinct sorted groups of a column."""
+    return df.select(F.col(attribute).cast("string").alias("grp")).distinct().orderBy("grp")

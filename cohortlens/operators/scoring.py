@@ -111,3 +111,16 @@ def reference_scores(model: PipelineModel, task: Task, engineered: DataFrame) ->
     """Model output on the whole engineered table (column ``score``)."""
     out = model.transform(engineered.select(*task.features))
     return out.select(monitored_score(task, out).alias("score"))
+
+
+def drift_for_task(model: PipelineModel, task: Task, reference: DataFrame,
+                   current: DataFrame) -> dict[str, DataFrame]:
+    """D8 + D9: drift of a supplied current table against the reference population, with
+    the model's output distribution (reference scores = the model on the whole reference).
+    A supplied table does not touch the prediction log."""
+    from cohortlens.operators.drift import drift_report
+    cur = request_frame(current, task.features, validate=False).select(*task.features)
+    cur_out = model.transform(cur)
+    return drift_report(reference.select(*task.features), cur, list(task.features),
+                        reference_scores=reference_scores(model, task, reference),
+                        current_scores=cur_out.select(monitored_score(task, cur_out).alias("score")))

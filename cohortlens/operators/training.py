@@ -270,3 +270,11 @@ def run_all(spark: SparkSession, engineered: DataFrame, tasks: Sequence[Task],
             cfg: TrainConfig | None = None) -> dict[str, TrainResult]:
     """Train every task on the same engineered table."""
     return {t.name: train_task(t, engineered, cfg) for t in tasks}
+
+
+def summary_rows(spark: SparkSession, results: dict[str, TrainResult]) -> DataFrame:
+    """One row per task with its scalar outcomes (driver-sized: one row per task)."""
+    rows = [(name, r.task.kind, r.best_candidate, float(r.cv_score), r.threshold, r.conformal_q,
+             float(r.train_seconds)) for name, r in results.items()]
+    return spark.createDataFrame(rows, "task string, kind string, model string, cv_score double, "
+                                       "threshold double, conformal_q double, train_seconds double")

@@ -213,3 +213,13 @@ def stream_scored(spark, sf_dir):
                                 os.path.join(run, "ckpt"), glob="events.parquet")
     q.awaitTermination()
     return PL.window(spark, os.path.join(run, "log"))
+
+
+@register("knn_scores")
+def knn_scores(spark, sf_dir):
+    """Exact 15-NN at-risk probabilities over size-checked training prototypes."""
+    from pyspark.ml.functions import vector_to_array
+    task = X.TASKS["at_risk"]
+    model = _fitted(spark, sf_dir, "at_risk", "knn")
+    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.features))
+    return out.select(KEY, vector_to_array("probability")[1].alias("probability"), "prediction")

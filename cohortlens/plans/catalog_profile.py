@@ -310,3 +310,35 @@ def describe_all(spark, sf_dir):
     """Count / unique / top / freq of every column."""
     s = D.students(spark, sf_dir)
     return A.describe_all(s.select(*[F.col(c).cast("string").alias(c) for c in STUDENT_COLS]))
+
+
+@register("group_summary", ENG + """
+SELECT lunch, count(*) AS n, avg(math_score) AS mean_math_score, avg(reading_score) AS mean_reading_score,
+  avg(writing_score) AS mean_writing_score FROM eng GROUP BY lunch""",
+          floats=["mean_math_score", "mean_reading_score", "mean_writing_score"])
+def group_summary(spark, sf_dir):
+    """A3: size and mean scores for one attribute."""
+    return A.group_summary(engineered_students(spark, sf_dir), "lunch", list(SCORE_COLUMNS))
+
+
+@register("score_pairs", ENG + """
+SELECT student_id, math_score, reading_score, writing_score, test_preparation_course FROM eng""",
+          floats=list(SCORE_COLUMNS))
+def score_pairs(spark, sf_dir):
+    """The score-pair table with its hue column (every row; plotting is not built)."""
+    return engineered_students(spark, sf_dir).select("student_id", *SCORE_COLUMNS, "test_preparation_course")
+
+
+@register("distinct_groups", ENG + "SELECT DISTINCT CAST(parental_level_of_education AS VARCHAR) AS grp FROM eng")
+def distinct_groups(spark, sf_dir):
+    """Distinct sorted groups of a column."""
+    return A.group_rows(engineered_students(spark, sf_dir), "parental_level_of_education")
+
+
+@register("rate_by_group", ENG + union_all([
+    f"SELECT '{a}' AS attribute, CAST({a} AS VARCHAR) AS grp, avg(at_risk) AS rate, "
+    f"(SELECT avg(at_risk) FROM eng) AS overall_rate FROM eng GROUP BY {a}" for a in CATEGORICAL_COLUMNS]),
+          floats=["rate", "overall_rate"])
+def rate_by_group(spark, sf_dir):
+    """At-risk rate per group with the overall rate as reference."""
+    return A.rate_by_group(engineered_students(spark, sf_dir), CATEGORICAL_COLUMNS)

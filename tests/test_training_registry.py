@@ -88,3 +88,39 @@ def test_registry_round_trip(spark, trained):
     assert runs[0].cv_metric == "cv_roc_auc" and runs[0].cv_score == 0.7
     assert finite_scalars({"a": 1, "b": 2.5, "c": float("nan"), "d": "x", "e": True, "f": [1],
                            "g": float("inf")}) == {"a": 1.0, "b": 2.5}
+
+
+def test_knn_matches_brute_force(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+    from cohortlens.operators.modeling import KNNEstimator
+    rng = np.random.default_rng(0)
+    pts = rng.normal(size=(60, 2))
+    ys = (pts[:, 0] > 0).astype(float)
+    df = spark.createDataFrame([(Vectors.dense(p), float(y)) for p, y in zip(pts, ys)], ["features", "label"])
+    m = KNNEstimator(k=5, kind="binary").fit(df)
+    got = m.transform(df).select(vector_to_array("probability")[1].alias("p")).collect()
+    for i, r in enumerate(got):
+        d = ((pts - pts[i]) ** 2).sum(1)
+        assert r.p == pytest.approx(ys[np.argsort(d, kind="stable")[:5]].mean())
+
+
+def test_audit_drift_and_profile_sink(spark, trained):
+    from pyspark.ml.functions import vector_to_array
+    from cohortlens.operators import fairness as G
+    from cohortlens.operators import profiling as A
+    eng, res = trained
+    task = X.TASKS["at_risk"]
+    scored = res.model.transform(eng).withColumn("p1", vector_to_array("probability")[1])
+    a = G.audit(scored, "at_risk", "binary", ["gender", "lunch"], score="p1", threshold=res.threshold,
+                group_thresholds=res.group_thresholds, mitigation_attribute="lunch")
+    assert a["groups"].count() == 4 and a["mitigated"]["before_after"].count() == 4
+    assert a["mitigated"]["overall_after"].first().recall >= 0.0
+    cur = eng.where("lunch = 'free/reduced'").select(*task.features)
+    rep = S.drift_for_task(res.model, task, eng, cur)
+    assert rep["header"].first().status == "alert" and rep["scores"].count() == 1
+    path = tempfile.mkdtemp(prefix="profile-")
+    A.write_profile(A.profile(eng), path)
+    assert spark.read.parquet(f"{path}/describe").count() == 3
+    assert spark.read.text(f"{path}/profile_json").first().value.startswith("{")
