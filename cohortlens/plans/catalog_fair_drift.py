@@ -305,7 +305,7 @@ FROM (SELECT sum(contribution) AS psi FROM psi_num) p, ks""", floats=["psi", *_K
 def score_drift(spark, sf_dir):
     """Output drift of the probability: PSI + status + KS + means (p-value left out of the check)."""
     s = D.scored(spark, sf_dir)
-    cut = F.lit("1998-07-01 00:00:00").cast("timestamp")
+    cut = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
     r = DR.score_drift(s.where(F.col("l_shipdate") < cut), s.where(F.col("l_shipdate") >= cut), "proba")
     return r.drop("ks_pvalue")
 
@@ -366,7 +366,7 @@ def drift_display(spark, sf_dir):
     """Feature rows + "(model output)" row, each with its largest shift."""
     ref, cur = D.lineitem_split(spark, sf_dir)
     s = D.scored(spark, sf_dir)
-    cut = F.lit("1998-07-01 00:00:00").cast("timestamp")
+    cut = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
     rs = s.where(F.col("l_shipdate") < cut).select(F.col("proba").alias("score"))
     cs = s.where(F.col("l_shipdate") >= cut).select(F.col("proba").alias("score"))
     rep = DR.drift_report(ref, cur, LI_CAT + LI_NUM, reference_scores=rs, current_scores=cs)

@@ -25,7 +25,7 @@ def _scored(spark, sf_dir):
 
 def _split(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    cut = F.lit("1998-07-01 00:00:00").cast("timestamp")
+    cut = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
     return s.where(F.col("l_shipdate") < cut), s.where(F.col("l_shipdate") >= cut)
 
 

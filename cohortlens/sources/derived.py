@@ -104,14 +104,14 @@ def _class_probs():
 
 def events_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
-    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     return ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)
 
 
 def lineitem_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
-    cut = F.lit("1998-07-01 00:00:00").cast("timestamp")
+    cut = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
     return li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)
 
 
