@@ -93,11 +93,14 @@ def psi_numeric(reference: DataFrame, current: DataFrame, features: Sequence[str
     Values that are not numbers are dropped on both sides (F3); shares use the
     non-null counts. Bin = number of inner edges <= x (left-closed bins).
     """
-    edges = numeric_edges(reference, features, bins)
+    # at most bins + 1 edges per feature: computed once and inlined as literals
+    edge_rows = {r.feature: list(r.edges) for r in numeric_edges(reference, features, bins).collect()}
     long = _tagged(reference, current, features, "double").where(
         F.col("x").isNotNull() & ~F.isnan("x"))
-    # one row per feature (≤ bins + 1 edges each): bounded by the feature list
-    tagged = long.join(F.broadcast(edges), "feature")
+    spark = reference.sparkSession
+    lit_edges = F.create_map(*[x for f, e in edge_rows.items()
+                               for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in e]))])
+    tagged = long.withColumn("edges", F.element_at(lit_edges, F.col("feature")))
     inner = F.slice("edges", 2, F.size("edges") - 2)
     b = F.size(F.filter(inner, lambda e: e <= F.col("x")))
     side = F.col("__side")
@@ -106,10 +109,10 @@ def psi_numeric(reference: DataFrame, current: DataFrame, features: Sequence[str
         F.count_if(side == 1).cast("double").alias("n_cur"))
     totals = long.groupBy("feature").agg(F.count_if(side == 0).cast("double").alias("tot_ref"),
                                          F.count_if(side == 1).cast("double").alias("tot_cur"))
-    # every bin of every feature, empty ones included
-    grid = edges.select("feature", "edges", F.posexplode(F.slice("edges", 1, F.size("edges") - 1))
-                        .alias("bin", "lo")).withColumn("hi", F.element_at("edges", F.col("bin") + 2))
-    full = grid.join(cnt, ["feature", "bin"], "left").select(
+    # every bin of every feature, empty ones included (a literal table: bins per feature)
+    grid_rows = [(f, i, e[i], e[i + 1]) for f, e in edge_rows.items() for i in range(len(e) - 1)]
+    grid = spark.createDataFrame(grid_rows, "feature string, bin int, lo double, hi double")
+    full = F.broadcast(grid).join(cnt, ["feature", "bin"], "left").select(
         "feature", "bin", F.concat(_fmt0(F.col("lo")), F.lit(" to "), _fmt0(F.col("hi"))).alias("label"),
         F.coalesce("n_ref", F.lit(0.0)).alias("n_ref"), F.coalesce("n_cur", F.lit(0.0)).alias("n_cur"))
     return _psi_tail(full, totals).withColumn("bin", F.col("bin").cast("string"))

@@ -246,10 +246,16 @@ def binary_metrics(df: DataFrame, y: str, score: str, threshold: float = 0.5,
                    prec.alias("precision"), rec.alias("recall"),
                    E.f_beta(tp, fp, fn, 1.0).alias("f1"),
                    E.safe_div(5.0 * prec * rec, F.greatest(4.0 * prec + rec, F.lit(1e-12))).alias("f2"))
-    auc = roc_auc(df, y, score, k, n_buckets).select(*k, "roc_auc")
-    ap = average_precision(df, y, score, k, n_buckets)
+    # ROC-AUC and AP from one descending cumulative table:
+    # negatives strictly below s = N - fp(s), fp(s) counting scores >= s
+    c = _desc_counts(df, y, score, k, n_buckets)
+    rank = c.groupBy(*k).agg(
+        F.try_divide(F.sum(F.col("pos") * (F.col("N") - F.col("fp") + F.col("neg") / 2.0)),
+                     F.first("P") * F.first("N")).alias("roc_auc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))),
+                     F.first("P")).alias("average_precision"))
     out = base
-    for part in (cm, auc, ap):
+    for part in (cm, rank):
         out = out.join(part, k) if k else out.join(part)
     return out.withColumn("threshold", F.lit(float(threshold)))
 
