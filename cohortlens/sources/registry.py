@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
 import platform
 from collections.abc import Mapping
 from datetime import datetime, timezone
@@ -29,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.sources.tables import path_exists
+
 MODELS_SCHEMA = T.StructType([
     T.StructField("task", T.StringType()), T.StructField("version", T.StringType()),
     T.StructField("model_name", T.StringType()), T.StructField("family", T.StringType()),
@@ -84,11 +85,8 @@ class ModelRegistry:
 
     def _read(self, name: str, schema: T.StructType | str | None = None) -> DataFrame:
         path = self._p(name)
-        if os.path.exists(path) or not path.startswith("/"):
-            try:
-                return self.spark.read.parquet(path)
-            except Exception:  # noqa: BLE001 - missing table reads as empty
-                pass
+        if path_exists(self.spark, path):
+            return self.spark.read.parquet(path)
         if schema is None:
             raise FileNotFoundError(path)
         return self.spark.createDataFrame([], schema)

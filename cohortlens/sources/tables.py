@@ -63,3 +63,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` exists on its file system (local, HDFS, object store)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

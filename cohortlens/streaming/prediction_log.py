@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.domain import LOG_MAXLEN
 from cohortlens.operators.ordered import top_k_per_key
+from cohortlens.sources.tables import path_exists
 
 BOOKKEEPING = ("_score", "_ts", "batch_id", "row_seq", "task")
 RESET_SCHEMA = "task string, reset_batch_id long, reset_at timestamp"
@@ -53,10 +54,9 @@ def start_scoring_stream(spark: SparkSession, source: str, schema: T.StructType,
 
 
 def _resets(spark: SparkSession, sink: str) -> DataFrame:
-    try:
+    if path_exists(spark, sink + "_resets"):
         return spark.read.parquet(sink + "_resets")
-    except Exception:  # noqa: BLE001 - no reset yet
-        return spark.createDataFrame([], RESET_SCHEMA)
+    return spark.createDataFrame([], RESET_SCHEMA)
 
 
 def log_rows(spark: SparkSession, sink: str) -> DataFrame:
