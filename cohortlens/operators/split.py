@@ -18,11 +18,16 @@ from cohortlens.operators.ordered import running_totals
 
 
 def _rank_within(df: DataFrame, key: str, strata: Sequence[str], seed: int) -> DataFrame:
-    """Adds ``__rank`` (1-based) of each row within its stratum in hash order."""
+    """Adds ``__rank`` (1-based) of each row within its stratum in hash order.
+
+    Only the narrow ``(strata, key, hash)`` projection is ranked (and
+    materialised); the rank joins back on the unique key, so wide rows are
+    shuffled once and never written out.
+    """
     s = list(strata)
-    tagged = df.withColumns({"__h": F.xxhash64(F.col(key), F.lit(seed)), "__one": F.lit(1)})
-    ranked = running_totals(tagged, s, ["__h", key], ["__one"], prefix="__cum")
-    return ranked.withColumn("__rank", F.col("__cum__one")).drop("__one", "__cum__one")
+    narrow = df.select(*s, key).withColumns({"__h": F.xxhash64(F.col(key), F.lit(seed)), "__one": F.lit(1)})
+    ranked = running_totals(narrow, s, ["__h", key], ["__one"], prefix="__cum")
+    return df.join(ranked.select(key, F.col("__cum__one").alias("__rank")), key)
 
 
 def train_test_split(df: DataFrame, key: str, strata: Sequence[str] = (), test_size: float = 0.2,
@@ -34,7 +39,7 @@ def train_test_split(df: DataFrame, key: str, strata: Sequence[str] = (), test_s
     r = r.join(n, s) if s else r.withColumn("__n", n.select("__n").scalar())
     k = F.rint(F.col("__n").cast("double") * F.lit(float(test_size)))
     return r.withColumn(part_col, F.when(F.col("__rank") <= k, "test").otherwise("train")).drop(
-        "__h", "__rank", "__n")
+        "__rank", "__n")
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, strata: Sequence[str] = (), repeats: int = 1,
@@ -45,7 +50,7 @@ def kfold(df: DataFrame, key: str, k: int = 5, strata: Sequence[str] = (), repea
     for rep in range(repeats):
         r = _rank_within(df, key, s, seed + rep)
         parts.append(r.withColumns({"repeat": F.lit(rep), "fold": F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int")})
-                     .drop("__h", "__rank"))
+                     .drop("__rank"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
