@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -206,4 +205,4 @@ def explain_bundle(model: PipelineModel, task: Task, rows: DataFrame, background
 
 
 __all__ = ["linear_contributions", "shapley_values", "global_importance", "local_explanation",
-           "permutation_importance", "beeswarm", "explain_bundle", "combinations"]
+           "permutation_importance", "beeswarm", "explain_bundle"]

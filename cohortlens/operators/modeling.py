@@ -21,7 +21,6 @@ import pandas as pd
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     OneVsRest,
     RandomForestClassifier,
