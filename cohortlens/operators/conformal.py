@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.joins import join_dimension
 from cohortlens.operators.ordered import running_totals
 
 
@@ -33,7 +34,7 @@ def conformal_quantile(df: DataFrame, residual: str, alpha: float,
         "k", F.ceil((F.col("n") + 1).cast("double") * F.lit(1.0 - alpha)).cast("long"))
     nk = nk.withColumn("__r", F.least(F.col("k"), F.col("n")))
     if k:
-        j = cum.join(nk, k)
+        j = join_dimension(cum, nk, k)
     else:
         j = cum.withColumns({c: nk.select(c).scalar() for c in ("n", "k", "__r")})
     hit = j.where((F.col("cum_c") - F.col("c") < F.col("__r")) & (F.col("__r") <= F.col("cum_c")))

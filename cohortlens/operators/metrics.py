@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import expr as E
+from cohortlens.operators.joins import join_dimension
 from cohortlens.operators.ordered import quantiles, running_totals
 
 EPS = float(np.finfo(np.float64).eps)
@@ -111,7 +112,9 @@ def _desc_counts(df: DataFrame, y: str, score: str, keys: list[str],
     tot = sc.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     cum = cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp"})
     if keys:
-        return cum.join(tot, keys)
+        # one row per key: broadcast behind a size check (a hot key must not
+        # pull a third of the rows into one join task)
+        return join_dimension(cum, tot, keys)
     t = tot.select(F.struct("P", "N")).scalar()
     return cum.withColumns({"P": t["P"], "N": t["N"]})
 
@@ -163,7 +166,7 @@ def calibration_curve(df: DataFrame, y: str, score: str, n_bins: int = 10,
     inner = edges.where((F.col("prob") > 0) & (F.col("prob") < 1)).groupBy(*k).agg(
         F.sort_array(F.collect_list("value")).alias("__inner"))  # n_bins - 1 values per key
     if k:
-        tagged = data.join(inner, k)
+        tagged = join_dimension(data, inner, k)
     else:
         tagged = data.withColumn("__inner", inner.select("__inner").scalar())
     b = F.size(F.filter("__inner", lambda e: e < s))

@@ -23,6 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.joins import join_dimension
 from cohortlens.session import cut_lineage
 
 _BUCKET = "__bucket"
@@ -122,7 +123,9 @@ def kth_values(values: DataFrame, value_col: str, targets: DataFrame, keys: Sequ
     tb = tb.where((F.col("__blo") < F.col("rank")) & (F.col("rank") <= F.col("__bhi"))).select(
         *keys, "tid", _BUCKET, (F.col("rank") - F.col("__blo")).alias("__lr"))
     wanted = tb.select(*keys, _BUCKET).distinct()
-    sel = b.join(wanted if keys else F.broadcast(wanted), [*keys, _BUCKET], "left_semi")
+    # ranges holding a target: at most 2 per requested rank and key
+    sel = join_dimension(b, wanted, [*keys, _BUCKET], "left_semi") if keys else \
+        b.join(F.broadcast(wanted), [_BUCKET], "left_semi")
     counts = sel.groupBy(*keys, _BUCKET, "__v").agg(F.count(F.lit(1)).alias("__c"))
     wl = Window.partitionBy(*keys, _BUCKET).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("__lc", F.sum("__c").over(wl))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.joins import join_dimension
 from cohortlens.operators.ordered import running_totals
 
 
@@ -36,7 +37,7 @@ def train_test_split(df: DataFrame, key: str, strata: Sequence[str] = (), test_s
     s = list(strata)
     r = _rank_within(df, key, s, seed)
     n = df.groupBy(*s).agg(F.count(F.lit(1)).alias("__n"))
-    r = r.join(n, s) if s else r.withColumn("__n", n.select("__n").scalar())
+    r = join_dimension(r, n, s) if s else r.withColumn("__n", n.select("__n").scalar())
     k = F.rint(F.col("__n").cast("double") * F.lit(float(test_size)))
     return r.withColumn(part_col, F.when(F.col("__rank") <= k, "test").otherwise("train")).drop(
         "__rank", "__n")

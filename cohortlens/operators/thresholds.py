@@ -79,7 +79,7 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], cols: Sequence[
     k = _k(keys)
     if not k:
         return df.withColumns({c: small.select(c).scalar() for c in cols})
-    return df.join(small.select(*k, *cols), k, "left")
+    return join_dimension(df, small.select(*k, *cols), k, "left")
 
 
 def stats_at_threshold(df: DataFrame, y: str, score: str, thresholds: DataFrame,
