@@ -154,24 +154,22 @@ def attribute_tests(df: DataFrame, attributes: Sequence[str] = CATEGORICAL_COLUM
     a pandas UDF on the per-attribute rows.
     """
     g = _group_moments(df, attributes, target)
-    tot_n = F.sum("n")
-    grand = F.sum(F.col("n") * F.col("m")) / tot_n
     per = g.groupBy("attribute").agg(
-        F.count(F.lit(1)).alias("k"), tot_n.alias("n_total"),
-        F.sort_array(F.collect_list(F.struct("grp", "n", "m", "v"))).alias("groups"),
-        F.sum(F.col("n") * F.col("m")).alias("sum_x"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sum_nm2"),
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n_total"),
+        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"),
-    )
-    # collect_list is bounded by the number of groups of one attribute
-    ssb = F.aggregate("groups", F.lit(0.0), lambda acc, x: acc + x["n"] * F.pow(
-        x["m"] - F.col("sum_x") / F.col("n_total"), F.lit(2.0)))
-    g1, g2 = F.col("groups")[0], F.col("groups")[1]
+        # with exactly two groups these are the first and second in sorted order
+        F.min_by(F.struct("n", "m", "v"), "grp").alias("g1"),
+        F.max_by(F.struct("n", "m", "v"), "grp").alias("g2"))
+    # two-pass between-group sum of squares (no cancellation); one row per group
+    ssb = (g.join(F.broadcast(per.select("attribute", "grand")), "attribute")
+           .groupBy("attribute").agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), F.lit(2.0))).alias("ssb")))
+    g1, g2 = F.col("g1"), F.col("g2")
     se2 = g1["v"] / g1["n"] + g2["v"] / g2["n"]
     welch = (g1["m"] - g2["m"]) / F.sqrt(se2)
     welch_df = F.pow(se2, F.lit(2.0)) / (F.pow(g1["v"] / g1["n"], F.lit(2.0)) / (g1["n"] - 1)
                                         + F.pow(g2["v"] / g2["n"], F.lit(2.0)) / (g2["n"] - 1))
-    out = per.withColumn("ssb", ssb).select(
+    out = per.join(ssb, "attribute").select(
         "attribute", "k", "n_total",
         F.when(F.col("k") == 2, "welch_t").otherwise("anova_f").alias("test"),
         F.when(F.col("k") == 2, welch).otherwise(
@@ -181,7 +179,6 @@ def attribute_tests(df: DataFrame, attributes: Sequence[str] = CATEGORICAL_COLUM
         F.when(F.col("ssb") + F.col("ssw") > 0, F.col("ssb") / (F.col("ssb") + F.col("ssw")))
          .otherwise(F.lit(0.0)).alias("eta_squared"),
     )
-    del grand
     if not with_p:
         return out.select("attribute", "test", "statistic", "eta_squared")
 
