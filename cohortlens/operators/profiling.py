@@ -26,10 +26,15 @@ GROUP_ATTRIBUTES = ("lunch", "test_preparation_course", "parental_level_of_educa
 
 
 def long_attributes(df: DataFrame, attributes: Sequence[str], keep: Sequence[str],
-                    attr_col: str = "attribute", group_col: str = "grp") -> DataFrame:
-    """Unpivot ``attributes`` (cast to string) into ``(attribute, grp)`` rows."""
+                    attr_col: str = "attribute", group_col: str = "grp",
+                    drop_null: bool = True) -> DataFrame:
+    """Unpivot ``attributes`` (cast to string) into ``(attribute, grp)`` rows.
+
+    Missing group values are dropped by default, as a pandas ``groupby`` does.
+    """
     cast = df.select(*keep, *[F.col(a).cast("string").alias(a) for a in attributes])
-    return cast.unpivot(list(keep), list(attributes), attr_col, group_col)
+    long = cast.unpivot(list(keep), list(attributes), attr_col, group_col)
+    return long.where(F.col(group_col).isNotNull()) if drop_null else long
 
 
 def headline_stats(eng: DataFrame) -> DataFrame:

@@ -121,7 +121,8 @@ def group_thresholds(df: DataFrame, y: str, score: str, group: str, target_recal
     """T5: per-group threshold at target recall; groups with < ``min_positives``
     positives keep ``default``. Returns the calibration table
     ``(attribute, grp, n, n_positive, threshold, recall, precision, flagged_rate)``."""
-    d = df.withColumn("grp", F.col(group).cast("string"))
+    # groups are compared as text; a missing group value is its own group ("nan")
+    d = df.withColumn("grp", F.coalesce(F.col(group).cast("string"), F.lit("nan")))
     fitted = threshold_at_recall(d, y, score, target_recall, ["grp"], default=None)
     sizes = d.groupBy("grp").agg(F.count(F.lit(1)).alias("n"),
                                  F.sum(F.col(y).cast("long")).alias("n_positive"))
@@ -141,7 +142,8 @@ def apply_group_thresholds(df: DataFrame, score: str, group: str, thresholds: Da
     ``mitigated`` struct (attribute, threshold, at_risk). The threshold table
     has one row per group and is broadcast only within ``max_broadcast_rows``."""
     t = thresholds.select(F.col("grp").alias("__g"), F.col("threshold").alias("__t"))
-    j = join_dimension(df, t, F.col(group).cast("string") == F.col("__g"), "left", max_broadcast_rows)
+    g = F.coalesce(F.col(group).cast("string"), F.lit("nan"))
+    j = join_dimension(df, t, g == F.col("__g"), "left", max_broadcast_rows)
     thr = F.coalesce(F.col("__t"), F.lit(float(default)))
     return j.withColumn("mitigated", F.struct(
         F.lit(group).alias("attribute"), thr.alias("threshold"),
