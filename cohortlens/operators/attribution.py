@@ -3,10 +3,11 @@
 * Linear models (E1): ``coef · (x − background mean)`` per encoded column,
   as array expressions on the assembled vector — no UDF.
 * Any model (E2): exact interventional Shapley values over source features
-  by coalition enumeration. Each explained row expands to 2^f coalitions ×
-  a fixed-size background (both bounded parameters, inlined as literals —
-  no join), one ``transform`` scores them, and a weighted sum per
-  (row, feature) gives the values.
+  by coalition enumeration. Each distinct feature vector of the explained
+  rows expands to 2^f coalitions × a fixed-size background (both bounded
+  parameters, inlined as literals — no join), one ``transform`` scores them,
+  a weighted sum per (vector, feature) gives the values, and an equi-join on
+  the vector hands them to every row holding it.
 * Permutation importance (E5/J7): a column is permuted by pairing each row's
   rank in key order with another row's rank in hash order — an equi-join on
   rank, with ranks from the range-partitioned running count.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import metrics as M
 from cohortlens.operators.features import Task
+from cohortlens.operators.joins import join_dimension
 from cohortlens.operators.modeling import FEATURES_COL, LABEL_COL, encoding_of
 from cohortlens.operators.ordered import running_totals
 
@@ -121,15 +124,19 @@ def shapley_values(model: PipelineModel, task: Task, rows: DataFrame, background
     types = dict(rows.select(*feats).dtypes)
     bg = F.array(*[F.struct(*[F.lit(r[f]).cast(types[f]).alias(f) for f in feats]) for r in bg_rows])
     masks = list(range(2 ** n))
-    hyb = (rows.select(key, *feats)
-           .withColumn("__mask", F.explode(F.array(*[F.lit(m) for m in masks])))
+    # v(S) depends on the row only through its feature vector: explain each distinct
+    # vector once (a partial + final aggregate, so a vector held by a third of the
+    # rows is one row) and join the values back to the rows afterwards.
+    vid = [f"__x_{f}" for f in feats]
+    vecs = rows.select(*[F.col(f).alias(c) for f, c in zip(feats, vid)]).distinct()
+    hyb = (vecs.withColumn("__mask", F.explode(F.array(*[F.lit(m) for m in masks])))
            .withColumn("__b", F.explode(bg)))
-    mixed = hyb.select(key, "__mask", *[
-        F.when((F.col("__mask").bitwiseAND(F.lit(1 << i))) != 0, F.col(f)).otherwise(F.col("__b")[f]).alias(f)
-        for i, f in enumerate(feats)])
+    mixed = hyb.select(*vid, "__mask", *[
+        F.when((F.col("__mask").bitwiseAND(F.lit(1 << i))) != 0, F.col(c)).otherwise(F.col("__b")[f]).alias(f)
+        for i, (f, c) in enumerate(zip(feats, vid))])
     out = model.transform(mixed)
-    v = out.groupBy(key, "__mask").agg(F.avg(_model_output(task, out)).alias("v"))
-    # φ_i = Σ_{S ∌ i} w(|S|) (v(S ∪ i) − v(S)) as one weighted sum per (key, feature)
+    v = out.groupBy(*vid, "__mask").agg(F.avg(_model_output(task, out)).alias("v"))
+    # φ_i = Σ_{S ∌ i} w(|S|) (v(S ∪ i) − v(S)) as one weighted sum per (vector, feature)
     terms = []
     for i in range(n):
         for m in masks:
@@ -142,8 +149,13 @@ def shapley_values(model: PipelineModel, task: Task, rows: DataFrame, background
             terms.append(F.struct(F.lit(feats[i]).alias("feature"), F.lit(m).alias("mask"), F.lit(-w).alias("w")))
     wt = v.sparkSession.range(1).select(F.explode(F.array(*terms)).alias("t")).select("t.*")
     # bounded: n · 2^n rows (≤ 2,048), broadcast by construction
-    return (v.join(F.broadcast(wt), v["__mask"] == wt["mask"])
-            .groupBy(key, "feature").agg(F.sum(F.col("w") * F.col("v")).alias("shap_value")))
+    per_vec = (v.join(F.broadcast(wt), v["__mask"] == wt["mask"])
+               .groupBy(*vid, "feature").agg(F.sum(F.col("w") * F.col("v")).alias("shap_value")))
+    # back to the rows: null-safe equality on the feature vector; the per-vector table is
+    # broadcast only within the checked bound, else a shuffle join (AQE splits hot vectors)
+    r = rows.select(key, *feats)
+    cond = reduce(lambda a, b: a & b, [r[f].eqNullSafe(per_vec[c]) for f, c in zip(feats, vid)])
+    return join_dimension(r, per_vec, cond).select(key, "feature", "shap_value")
 
 
 def permutation_importance(model: PipelineModel, task: Task, data: DataFrame, key: str,
