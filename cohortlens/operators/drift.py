@@ -112,7 +112,8 @@ def psi_numeric(reference: DataFrame, current: DataFrame, features: Sequence[str
     # every bin of every feature, empty ones included (a literal table: bins per feature)
     grid_rows = [(f, i, e[i], e[i + 1]) for f, e in edge_rows.items() for i in range(len(e) - 1)]
     grid = spark.createDataFrame(grid_rows, "feature string, bin int, lo double, hi double")
-    full = F.broadcast(grid).join(cnt, ["feature", "bin"], "left").select(
+    # cnt holds at most (bins + 1) rows per feature: a proven bound for the broadcast
+    full = grid.join(F.broadcast(cnt), ["feature", "bin"], "left").select(
         "feature", "bin", F.concat(_fmt0(F.col("lo")), F.lit(" to "), _fmt0(F.col("hi"))).alias("label"),
         F.coalesce("n_ref", F.lit(0.0)).alias("n_ref"), F.coalesce("n_cur", F.lit(0.0)).alias("n_cur"))
     return _psi_tail(full, totals).withColumn("bin", F.col("bin").cast("string"))

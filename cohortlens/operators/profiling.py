@@ -121,9 +121,11 @@ def class_share(df: DataFrame, col: str = "performance_level",
     """Count and share per class in a fixed class order (absent classes → 0)."""
     spark = df.sparkSession
     order = spark.createDataFrame([(i, c) for i, c in enumerate(classes)], "class_order int, level string")
-    counts = df.groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    # only listed classes can match: filtering first bounds the counts by len(classes)
+    counts = (df.where(F.col(col).isin(list(classes)))
+              .groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).alias("n")))
     total = df.select(F.count(F.lit(1))).scalar()
-    return (F.broadcast(order).join(counts, "level", "left")
+    return (order.join(F.broadcast(counts), "level", "left")
             .select("class_order", "level", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
             .withColumn("share", E.round_half_even(E.safe_div(F.col("n").cast("double"), total), digits))
             .orderBy("class_order"))
@@ -238,8 +240,9 @@ def histogram(df: DataFrame, col: str, bins: int = 25, hue: str | None = None) -
     spark = df.sparkSession
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     if hue:
-        hues = data.select(F.col(hue)).distinct()
-        grid = hues.join(F.broadcast(grid), how="cross")  # |hues| × bins, bins fixed
+        # every hue gets all bins: explode a fixed-length sequence, no join
+        grid = data.select(F.col(hue)).distinct().select(
+            hue, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     full = grid.join(counts, [*keys, "bin"], "left")
     width = (hi - lo) / F.lit(float(bins))
     return full.select(*keys, "bin", (lo + F.col("bin") * width).alias("bin_lo"),

@@ -151,11 +151,11 @@ def leaderboard(task: Task, data: DataFrame, cfg: TrainConfig) -> tuple[DataFram
     spark = data.sparkSession
     strata = [LABEL_COL] if task.is_classification else []
     folds = kfold(data, KEY, cfg.cv_folds, strata, cfg.cv_repeats, cfg.seed).persist()
+    folds.count()  # fill the cache once before concurrent fits read it
     ctx = _ctx(task, data, cfg.seed)
-    rows, primary = [], {}
-    for cand in candidates(task.kind, n_classes(task)):
-        if cfg.candidates and cand.name not in cfg.candidates:
-            continue
+    cands = [c for c in candidates(task.kind, n_classes(task)) if not cfg.candidates or c.name in cfg.candidates]
+
+    def one(cand: Candidate) -> dict[str, Any] | None:
         t0 = time.perf_counter()
         try:
             oof, fit_s = cross_validate(task, folds, cand, {}, cfg, ctx)
@@ -163,15 +163,19 @@ def leaderboard(task: Task, data: DataFrame, cfg: TrainConfig) -> tuple[DataFram
             summ = fm.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).collect()
         except Exception as exc:  # noqa: BLE001 - a failing candidate is skipped
             print(f"candidate {cand.name} failed: {str(exc).splitlines()[0][:200]}")
-            continue
+            return None
         row: dict[str, Any] = {"model": cand.name, "family": cand.family}
-        for r in summ:
+        for r in summ:  # one row per metric
             row[f"{r.metric}_mean"] = float(r["mean"]) if r["mean"] is not None else None
             row[f"{r.metric}_std"] = float(r["std"]) if r["std"] is not None else None
         row["fit_seconds"] = fit_s
         row["elapsed_seconds"] = time.perf_counter() - t0
-        rows.append(row)
-        primary[cand.name] = row.get(f"{task.primary_metric}_mean") or float("-inf")
+        return row
+
+    # candidates are independent: their CV jobs are submitted concurrently
+    with ThreadPoolExecutor(max_workers=max(1, min(cfg.parallelism, len(cands) or 1))) as ex:
+        rows = [r for r in ex.map(one, cands) if r is not None]
+    primary = {r["model"]: r.get(f"{task.primary_metric}_mean") or float("-inf") for r in rows}
     folds.unpersist()
     cols = ["model", "family"] + [f"{m}_{s}" for m in metric_names(task) for s in ("mean", "std")] + [
         "fit_seconds", "elapsed_seconds"]
@@ -196,10 +200,14 @@ def tune(task: Task, data: DataFrame, cand: Candidate, cfg: TrainConfig) -> tupl
     rng = random.Random(cfg.seed)
     strata = [LABEL_COL] if task.is_classification else []
     folds = kfold(data, KEY, cfg.cv_folds, strata, 1, cfg.seed).persist()
+    folds.count()  # fill the cache once before concurrent trials read it
     ctx = _ctx(task, data, cfg.seed)
-    trials, best, best_params = [], float("-inf"), {}
-    for i in range(cfg.n_trials):
-        params = cand.space(rng)
+    # seeded random search: every trial's parameters are drawn up front (same order
+    # as a sequential search), so trials are independent and run concurrently
+    drawn = [cand.space(rng) for _ in range(cfg.n_trials)]
+
+    def one(i: int) -> tuple[int, float | None, str, str, float]:
+        params = drawn[i]
         t0 = time.perf_counter()
         try:
             oof, _ = cross_validate(task, folds, cand, params, cfg, ctx)
@@ -208,9 +216,14 @@ def tune(task: Task, data: DataFrame, cand: Candidate, cfg: TrainConfig) -> tupl
             state = "COMPLETE"
         except Exception:  # noqa: BLE001
             v, state = None, "FAIL"
-        trials.append((i, v, state, json.dumps(params, sort_keys=True), time.perf_counter() - t0))
+        return i, v, state, json.dumps(params, sort_keys=True), time.perf_counter() - t0
+
+    with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as ex:
+        trials = list(ex.map(one, range(cfg.n_trials)))
+    best, best_params = float("-inf"), {}
+    for i, v, _, _, _ in trials:  # first best wins, as in a sequential search
         if v is not None and v > best:
-            best, best_params = v, params
+            best, best_params = v, drawn[i]
     folds.unpersist()
     return best_params, best, spark.createDataFrame(trials, schema)
 
