@@ -332,6 +332,8 @@ class KNNModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     def _transform(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
+        from cohortlens.operators.joins import join_dimension
+
         g = self.getOrDefault
         pts = np.asarray(g(self.points), dtype=float)
         w = np.asarray(g(self.weights), dtype=float)
@@ -339,26 +341,50 @@ class KNNModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
         @F.pandas_udf("array<double>")
         def knn(x: pd.Series) -> pd.Series:
-            out = []
-            for v in x:
-                d = ((pts - np.asarray(v, dtype=float)) ** 2).sum(axis=1)
-                order = np.argsort(d, kind="stable")
-                cnt = w[order, 0] if kind == "regression" else w[order].sum(axis=1)
-                before = np.concatenate([[0.0], np.cumsum(cnt)[:-1]])
-                take = np.clip(k - before, 0.0, cnt)
-                frac = np.divide(take, cnt, out=np.zeros_like(take), where=cnt > 0)
-                agg = (w[order] * frac[:, None]).sum(axis=0)
-                if kind == "regression":
-                    out.append([agg[1] / agg[0]])
-                else:
-                    out.append(list(agg / agg.sum()))
-            return pd.Series(out)
-
-        res = knn(vector_to_array(FEATURES_COL))
+            if len(x) == 0:
+                return pd.Series([], dtype=object)
+            agg = knn_aggregate(np.vstack(x.to_numpy()).astype(float), pts, w, k, kind)
+            if kind == "regression":
+                return pd.Series(list((agg[:, 1] / agg[:, 0])[:, None]))
+            return pd.Series(list(agg / agg.sum(axis=1, keepdims=True)))
+
+        # the result depends on the row only through its encoded vector: score each
+        # distinct vector once (partial aggregation collapses a hot vector to one row)
+        # and join back; the scored table is broadcast only within the checked bound
+        vec = "__knn_vec"
+        rows = df.withColumn(vec, vector_to_array(FEATURES_COL))
+        scored = rows.select(vec).distinct().withColumn("__knn_res", knn(F.col(vec)))
+        res = F.col("__knn_res")
+        out = join_dimension(rows, scored, vec, "left")
         if kind == "regression":
-            return df.withColumn("prediction", res[0])
-        return df.withColumns({"probability": array_to_vector(res),
-                               "prediction": (F.array_position(res, F.array_max(res)) - 1).cast("double")})
+            return out.withColumn("prediction", res[0]).drop(vec, "__knn_res")
+        return out.withColumns({"probability": array_to_vector(res),
+                                "prediction": (F.array_position(res, F.array_max(res)) - 1).cast("double")}
+                               ).drop(vec, "__knn_res")
+
+
+def knn_aggregate(x: np.ndarray, pts: np.ndarray, w: np.ndarray, k: int, kind: str,
+                  max_cells: int = 4_000_000) -> np.ndarray:
+    """Neighbour-weighted prototype sums for every row of ``x`` → ``(rows, width of w)``.
+
+    Prototypes are taken in (stable) distance order; the last one within reach
+    contributes the remaining ``k − taken`` rows pro rata. Rows are processed in
+    chunks so that a chunk × prototypes × dimensions block stays within ``max_cells``.
+    """
+    n_p, dim = pts.shape
+    step = max(1, max_cells // max(1, n_p * max(1, dim)))
+    out = np.empty((x.shape[0], w.shape[1]))
+    for s in range(0, x.shape[0], step):
+        xb = x[s:s + step]
+        d = ((xb[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2)
+        order = np.argsort(d, axis=1, kind="stable")
+        ws = w[order]
+        cnt = ws[..., 0] if kind == "regression" else ws.sum(axis=2)
+        before = np.cumsum(cnt, axis=1) - cnt
+        take = np.clip(k - before, 0.0, cnt)
+        frac = np.divide(take, cnt, out=np.zeros_like(take), where=cnt > 0)
+        out[s:s + step] = (ws * frac[..., None]).sum(axis=1)
+    return out
 
 
 class KNNEstimator(Estimator):

@@ -106,6 +106,42 @@ def test_knn_matches_brute_force(spark):
         assert r.p == pytest.approx(ys[np.argsort(d, kind="stable")[:5]].mean())
 
 
+def test_knn_duplicated_points_pro_rata_and_regression(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+    from cohortlens.operators.modeling import KNNEstimator
+    rng = np.random.default_rng(1)
+    uniq = rng.normal(size=(25, 3))
+    reps = rng.integers(1, 4, size=25)
+    pts = np.repeat(uniq, reps, axis=0)  # duplicated training points
+    ys = rng.integers(0, 2, size=len(pts)).astype(float)
+    df = spark.createDataFrame([(Vectors.dense(p), float(y)) for p, y in zip(pts, ys)], ["features", "label"])
+    queries = spark.createDataFrame([(i, Vectors.dense(u)) for i, u in enumerate(uniq)], ["qid", "features"])
+
+    def brute(q, k):
+        # whole prototypes in distance order, the last one within reach pro rata
+        d = ((uniq - q) ** 2).sum(1)
+        taken, tot_y = 0.0, 0.0
+        for j in np.argsort(d, kind="stable"):
+            rows = ys[np.all(pts == uniq[j], axis=1)]
+            t = min(len(rows), k - taken)
+            if t <= 0:
+                break
+            tot_y += t * rows.mean()
+            taken += t
+        return tot_y / taken
+
+    k = 7
+    prob = {r.qid: r.p for r in KNNEstimator(k=k, kind="binary").fit(df).transform(queries)
+            .select("qid", vector_to_array("probability")[1].alias("p")).collect()}
+    pred = {r.qid: r.prediction for r in KNNEstimator(k=k, kind="regression").fit(df).transform(queries)
+            .select("qid", "prediction").collect()}
+    for i, q in enumerate(uniq):
+        assert prob[i] == pytest.approx(brute(q, k))
+        assert pred[i] == pytest.approx(brute(q, k))
+
+
 def test_audit_drift_and_profile_sink(spark, trained):
     from pyspark.ml.functions import vector_to_array
     from cohortlens.operators import fairness as G
