@@ -77,7 +77,7 @@ def numeric_edges(reference: DataFrame, features: Sequence[str], bins: int = 10)
     probs = [float(v) for v in np.linspace(0, 1, bins + 1)]
     long = reference.select(*[F.col(c).try_cast("double").alias(c) for c in features]).unpivot(
         [], list(features), "feature", "x").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    q = quantiles(long, "x", probs, keys=["feature"])
+    q = quantiles(long, "x", probs, keys=["feature"], max_keys=len(features))
     e = q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("u"))
     # collect_list is bounded by bins + 1 values per feature
     inner = F.when(F.size("u") < 2, F.array().cast("array<double>")).otherwise(

@@ -24,13 +24,16 @@ GAP_METRICS = {"binary": BINARY_GAPS, "regression": ("mae",), "multiclass": ("ac
 
 def subgroup_metrics(df: DataFrame, y: str, kind: str, attributes: Sequence[str], *,
                      score: str | None = None, pred: str | Column | None = None,
-                     threshold: float = 0.5, min_group_size: int = MIN_GROUP_SIZE) -> DataFrame:
+                     threshold: float = 0.5, min_group_size: int = MIN_GROUP_SIZE,
+                     with_auc: bool = True) -> DataFrame:
     """One row per (attribute, grp) with n >= ``min_group_size``.
 
     binary: n, prevalence, selection_rate, tpr, fpr (denominator max(N, 1)),
     precision, roc_auc (null for one class); ``pred`` defaults to
     ``score >= threshold`` (pass a per-group decision column for the mitigated
-    audit). regression: mae, mean_residual. multiclass: accuracy.
+    audit). regression: mae, mean_residual. multiclass: accuracy. ``with_auc=False``
+    leaves out the grouped ROC-AUC (its ordered sums start work eagerly, so
+    callers that do not use it should say so).
     """
     attrs = [a for a in attributes if a in df.columns]
     if kind == "binary":
@@ -48,13 +51,14 @@ def subgroup_metrics(df: DataFrame, y: str, kind: str, attributes: Sequence[str]
             F.count_if(yy == 1).cast("double").alias("n_pos"),
             F.count_if(yy == 0).cast("double").alias("n_neg"),
         ).where(F.col("n") >= min_group_size)
+        cols = ["attribute", "grp", "n", "prevalence", "selection_rate",
+                E.safe_div(F.col("tp"), F.col("n_pos")).alias("tpr"),
+                (F.col("fp") / F.greatest(F.col("n_neg"), F.lit(1.0))).alias("fpr"),
+                E.safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision")]
+        if not with_auc:
+            return g.select(*cols)
         auc = roc_auc(long, "__y", "__s", ["attribute", "grp"]).select("attribute", "grp", "roc_auc")
-        return g.join(auc, ["attribute", "grp"], "left").select(
-            "attribute", "grp", "n", "prevalence", "selection_rate",
-            E.safe_div(F.col("tp"), F.col("n_pos")).alias("tpr"),
-            (F.col("fp") / F.greatest(F.col("n_neg"), F.lit(1.0))).alias("fpr"),
-            E.safe_div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-            "roc_auc")
+        return g.join(auc, ["attribute", "grp"], "left").select(*cols, "roc_auc")
     base = df.select(*attrs, F.col(y).alias("__y"), E.col(pred).alias("__p"))
     long = long_attributes(base, attrs, ["__y", "__p"])
     if kind == "regression":
@@ -122,8 +126,10 @@ def audit(df: DataFrame, y: str, kind: str, attributes: Sequence[str], *, score:
     if kind == "binary" and group_thresholds is not None and mitigation_attribute in df.columns:
         m = apply_group_thresholds(df, score, mitigation_attribute, group_thresholds, threshold)
         after_pred = F.col("mitigated.at_risk")
+        # thresholds change decisions, not scores: the grouped AUC is the one computed above
         after = subgroup_metrics(m, y, kind, attributes, score=score, pred=after_pred,
-                                 min_group_size=min_group_size)
+                                 min_group_size=min_group_size, with_auc=False).join(
+            groups.select("attribute", "grp", "roc_auc"), ["attribute", "grp"], "left")
         before_flag = (F.col(score) >= F.lit(float(threshold))).cast("int")
         both = m.select(F.col(y), before_flag.alias("__b"), after_pred.cast("int").alias("__a"))
         out["mitigated"] = {

@@ -23,7 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.joins import join_dimension
+from cohortlens.operators.joins import DEFAULT_BROADCAST_ROWS, join_dimension
 from cohortlens.session import cut_lineage
 
 _BUCKET = "__bucket"
@@ -98,7 +98,8 @@ def _lerp(a: Column, b: Column, t: Column) -> Column:
 
 
 def kth_values(values: DataFrame, value_col: str, targets: DataFrame, keys: Sequence[str] = (), *,
-               n_buckets: int | None = None, materialize: bool = True) -> DataFrame:
+               n_buckets: int | None = None, materialize: bool = True,
+               max_targets: int | None = None) -> DataFrame:
     """Exact order statistics: the value at 1-based ``rank`` for every target row.
 
     ``targets`` holds ``(keys..., tid, rank)``. Only the value ranges that
@@ -107,6 +108,10 @@ def kth_values(values: DataFrame, value_col: str, targets: DataFrame, keys: Sequ
     targets are picked from those counts, and a semi-join keeps just their
     rows for the final ordered count. The rest of the data is never shuffled
     by value. Returns ``(keys..., tid, value)``.
+
+    ``max_targets`` is a bound on the number of target rows the caller can
+    prove (for example features × ranks); the table of ranges holding a target
+    is then broadcast without a size check.
     """
     keys = list(keys)
     n_buckets = default_buckets(values) if n_buckets is None else n_buckets
@@ -124,8 +129,11 @@ def kth_values(values: DataFrame, value_col: str, targets: DataFrame, keys: Sequ
         *keys, "tid", _BUCKET, (F.col("rank") - F.col("__blo")).alias("__lr"))
     wanted = tb.select(*keys, _BUCKET).distinct()
     # ranges holding a target: at most 2 per requested rank and key
-    sel = join_dimension(b, wanted, [*keys, _BUCKET], "left_semi") if keys else \
-        b.join(F.broadcast(wanted), [_BUCKET], "left_semi")
+    if not keys or (max_targets is not None and max_targets <= DEFAULT_BROADCAST_ROWS):
+        # at most one range per target row: a proven bound
+        sel = b.join(F.broadcast(wanted), [*keys, _BUCKET], "left_semi")
+    else:
+        sel = join_dimension(b, wanted, [*keys, _BUCKET], "left_semi")
     counts = sel.groupBy(*keys, _BUCKET, "__v").agg(F.count(F.lit(1)).alias("__c"))
     wl = Window.partitionBy(*keys, _BUCKET).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("__lc", F.sum("__c").over(wl))
@@ -146,12 +154,14 @@ def _attach_ranges(targets: DataFrame, bt: DataFrame, keys: list[str]) -> DataFr
 
 def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
               keys: Sequence[str] = (), *, n_buckets: int | None = None,
-              materialize: bool = True) -> DataFrame:
+              materialize: bool = True, max_keys: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per key (W3 + W6; NumPy's default method).
 
     Returns ``(keys, prob, value)``. Nulls and NaN are ignored. Built on
     :func:`kth_values`, so nothing is held per group in memory (unlike
     ``percentile``) and only the value ranges around the requested ranks are sorted.
+    ``max_keys`` is a bound on the number of keys known to the caller (e.g. a
+    feature list), which spares a size check.
     """
     keys = list(keys)
     x = F.col(value_col).cast("double")
@@ -172,7 +182,8 @@ def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         F.struct((F.col("qi") * 2).alias("tid"), F.col("r1").alias("rank")),
         F.struct((F.col("qi") * 2 + 1).alias("tid"), F.col("r2").alias("rank")))).alias("e")).select(
         *keys, "e.tid", "e.rank")
-    kv = kth_values(v, value_col, ends, keys, n_buckets=n_buckets, materialize=False)
+    bound = None if max_keys is None else 2 * len(probs) * max_keys
+    kv = kth_values(v, value_col, ends, keys, n_buckets=n_buckets, materialize=False, max_targets=bound)
     a = kv.where(F.col("tid") % 2 == 0).select(*keys, (F.col("tid") / 2).cast("int").alias("qi"),
                                                 F.col("value").alias("a"))
     b = kv.where(F.col("tid") % 2 == 1).select(*keys, ((F.col("tid") - 1) / 2).cast("int").alias("qi"),

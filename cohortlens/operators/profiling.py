@@ -81,7 +81,8 @@ def describe(df: DataFrame, cols: Sequence[str] = SCORE_COLUMNS, digits: int = 2
     basic = long.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles(long, "value", [0.25, 0.5, 0.75], keys=["column_name"], materialize=False)
+    q = quantiles(long, "value", [0.25, 0.5, 0.75], keys=["column_name"], materialize=False,
+                  max_keys=len(cols))
     qw = q.groupBy("column_name").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
         for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])

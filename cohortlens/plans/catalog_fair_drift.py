@@ -71,7 +71,8 @@ FROM audit GROUP BY attribute""",
           floats=["selection_rate_gap", "tpr_gap", "fpr_gap", "precision_gap", "disparate_impact_ratio"])
 def fairness_gaps(spark, sf_dir):
     """max−min gaps, disparate-impact ratio and four-fifths flag per attribute."""
-    g = G.subgroup_metrics(D.audit_docs(spark, sf_dir), "y", "binary", DOC_ATTRS, score="proba", threshold=0.5)
+    g = G.subgroup_metrics(D.audit_docs(spark, sf_dir), "y", "binary", DOC_ATTRS, score="proba", threshold=0.5,
+                           with_auc=False)
     return G.fairness_summary(g, "binary")
 
 
@@ -80,7 +81,8 @@ SELECT attribute, max(coalesce(tpr, 0.0)) - min(coalesce(tpr, 0.0)) AS recall_ga
           floats=["recall_gap"])
 def recall_gap(spark, sf_dir):
     """Recall gap from the group rows, null recall counted as 0."""
-    g = G.subgroup_metrics(D.audit_docs(spark, sf_dir), "y", "binary", DOC_ATTRS, score="proba", threshold=0.5)
+    g = G.subgroup_metrics(D.audit_docs(spark, sf_dir), "y", "binary", DOC_ATTRS, score="proba", threshold=0.5,
+                           with_auc=False)
     return G.recall_gap(g)
 
 
@@ -125,9 +127,11 @@ def mitigation_before_after(spark, sf_dir):
     mitigated = T.apply_group_thresholds(s, "proba", "line_no", gt, 0.5)
     # unknown groups fall back to the global threshold, as in the audit
     after_pred = F.col("proba") >= F.coalesce(F.col("mitigated.threshold"), default)
+    # only recall and selection rate are compared: no grouped AUC needed
     before = G.subgroup_metrics(s, "y", "binary", ["line_no"], score="proba",
-                                pred=F.col("proba") >= default)
-    after = G.subgroup_metrics(mitigated, "y", "binary", ["line_no"], score="proba", pred=after_pred)
+                                pred=F.col("proba") >= default, with_auc=False)
+    after = G.subgroup_metrics(mitigated, "y", "binary", ["line_no"], score="proba", pred=after_pred,
+                               with_auc=False)
     return G.before_after(before, after)
 
 
