@@ -90,11 +90,13 @@ def _fitted(spark, sf_dir, task_name: str, cand_name: str) -> PipelineModel:
     key = (sf_dir, task_name, cand_name)
     if key not in _MODELS:
         task = X.TASKS[task_name]
-        data = prepare(task, _eng(spark, sf_dir))
+        # read by several fit passes (row stats, indexers, the estimator): cache for the fit only
+        data = prepare(task, _eng(spark, sf_dir)).persist()
         cand = {c.name: c for c in candidates(task.kind, 3 if task.kind == "multiclass" else 2)}[cand_name]
         st = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL_COL).alias("s")).first()
         ctx = {"n": float(st["n"]), "y_std": float(st["s"] or 1.0), "seed": 42}
         _MODELS[key] = make_pipeline(data, list(task.features), cand, {}, ctx).fit(data)
+        data.unpersist()
     return _MODELS[key]
 
 
