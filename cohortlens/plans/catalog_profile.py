@@ -235,15 +235,12 @@ def attribute_tests(spark, sf_dir):
 def _box_sql() -> str:
     src = union_all([f"SELECT '{a}' AS attribute, CAST({a} AS VARCHAR) AS grp, average_score AS value "
                      f"FROM eng WHERE average_score IS NOT NULL" for a in CATEGORICAL_COLUMNS])
-    q = quantile_ctes("qq", "longv", ["attribute", "grp"], "value", [0.25, 0.5, 0.75])
+    # DuckDB's quantile_cont is the same linear rule, computed independently of our rank search
     return ENG.rstrip() + f""",
-longv AS ({src}),
-{q.strip()}
-SELECT b.attribute, b.grp, b.n, b.mn AS min, q1.value AS q1, q2.value AS median, q3.value AS q3, b.mx AS max
-FROM (SELECT attribute, grp, count(*) AS n, min(value) AS mn, max(value) AS mx FROM longv GROUP BY ALL) b
-JOIN qq q1 ON q1.attribute = b.attribute AND q1.grp = b.grp AND q1.prob = 0.25
-JOIN qq q2 ON q2.attribute = b.attribute AND q2.grp = b.grp AND q2.prob = 0.5
-JOIN qq q3 ON q3.attribute = b.attribute AND q3.grp = b.grp AND q3.prob = 0.75"""
+longv AS ({src})
+SELECT attribute, grp, n, mn AS min, q[1] AS q1, q[2] AS median, q[3] AS q3, mx AS max
+FROM (SELECT attribute, grp, count(*) AS n, min(value) AS mn, max(value) AS mx,
+        quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM longv GROUP BY attribute, grp) b"""
 
 
 @register("box_by_group", _box_sql(), floats=["min", "q1", "median", "q3", "max"])
