@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import jaccard_join
+from cohortlens.llm import decontaminate, jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": decontaminate.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
 }
 
