@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, jaccard_join
+from cohortlens.llm import decontaminate, jaccard_join, line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
 }
