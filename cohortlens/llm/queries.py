@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, jaccard_join, language_id, line_dedup
+from cohortlens.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
+    "op5_bpe": bpe.query,
     "op7_language_id": language_id.query,
 }
 
