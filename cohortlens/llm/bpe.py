@@ -20,6 +20,7 @@ is merged in O(n log n); other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -62,6 +63,13 @@ def byte_chars() -> list[str]:
     return out
 
 
+@functools.cache
+def newer_characters() -> str:
+    """Letters and digits that the regex module knows but the Unicode version of ``unicodedata`` and the tokenizer doesn't."""
+    unassigned = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+    return "".join(regex.findall(r"[\p{L}\p{N}]", unassigned)) or "\uffff"
+
+
 class Merges:
     """What a tokenizer file says: words of a text, exact ids of a word, tokens of ids."""
 
@@ -81,7 +89,9 @@ class Merges:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.pair[vocab[a], vocab[b]] = (rank, vocab[a + b])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
-        self.find = regex.compile(pattern).findall
+        for kind in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(kind, f"[{kind}--[{newer_characters()}]]")
+        self.find = regex.compile(pattern, regex.V1).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         self.marks = tuple(s[:2] for s in self.special)
 
