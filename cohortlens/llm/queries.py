@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, shards, suffix_dedup
+from cohortlens.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, shards, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_bpe": bpe.query,
+    "op6_quality_rules": quality.query,
     "op7_language_id": language_id.query,
     "op9_kk_shards": shards.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_quality_rules": quality.ORACLE}
