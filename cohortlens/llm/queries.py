@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, shards, suffix_dedup
+from cohortlens.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality, shards, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_html_text": html_text.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_bpe": bpe.query,
     "op6_quality_rules": quality.query,
