@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality, shards, suffix_dedup
+from cohortlens.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, pii, quality, shards, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": bpe.query,
     "op6_quality_rules": quality.query,
     "op7_language_id": language_id.query,
+    "op8_pii_surrogates": pii.query,
     "op9_kk_shards": shards.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
