@@ -386,8 +386,8 @@ class Codec:
 
         return src.mapInArrow(run, f"row {kind}, text string").withColumnRenamed("row", id_col)
 
-    def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id_col, n_tokens, ids_sha256, decoded_sha256): encode and decode in one task, hashes out."""
+    def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+        """(id_col, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for: encode and decode in one task."""
         make = self._encoder()
         src = pick(docs, row=id_col, text=text_col).select("row", F.col("text").cast("string").alias("text"))
         kind = src.schema["row"].dataType.simpleString()
@@ -399,10 +399,14 @@ class Codec:
                 shown = [enc.decode(x) for x in word_ids]
                 a = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
                 b = [hashlib.sha256(" ".join([shown[w] for w in ws]).encode()).hexdigest() for ws in words]
-                yield pa.RecordBatch.from_arrays([c.cols[0], pa.array([len(x) for x in ids], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                                                 names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-        return src.mapInArrow(run, f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("row", id_col)
+                cols = [c.cols[0], pa.array([len(x) for x in ids], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                if with_ids:
+                    cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+        schema = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+        names = ["row", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]
+        return src.mapInArrow(run, schema).withColumnRenamed("row", id_col)
 
 
 def vocabulary() -> str:

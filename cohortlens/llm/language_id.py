@@ -234,7 +234,7 @@ def held_out(id_col: str):
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   min_score: float = 0.4) -> DataFrame:
+                   min_score: float = 0.25) -> DataFrame:
     """``docs`` without the rows that are ``und`` or score under ``min_score``."""
     model = fit(docs.filter(~held_out(id_col)), text_col, lang_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
