@@ -11,7 +11,8 @@ returns every document with the smallest id it can reach by links. It is exact:
    (sketched count, hash), rarest first. Any two linked sets share one of these, whatever
    the order. Tokens that only one set emits are dropped after one shuffle; tokens the
    sketch knows to be hot are salted, so that none is gathered by one task.
-3. Groups: each set is compared with the first holder of each of its tokens, which is
+3. Groups: each set is compared with the first holder of each of its tokens, then, where a token still
+   joins several groups, with one holder picked by a hash of token and id. Both are
    linear in the rows. Verified links make groups of similar documents.
 4. The matrix: a group's row is the union of its members' token columns, plus the size
    range. For a query set Q that shares an emitted token with another group G, the number of Q's
@@ -26,23 +27,19 @@ columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm import sketch as counts
 from cohortlens.llm import textcols as tc
 from cohortlens.llm.tables import Scratch, components, pick, table, union_all
 
 LONGS = 32
 COLUMNS = 64 * LONGS
-SKETCH_BITS = 22
-BLOCK_BITS = 16
-BLOCKS = 1 << (SKETCH_BITS - BLOCK_BITS)
 #: sketched counts from which a token's entries are dealt over several tasks
 HOT = 2048
 
@@ -54,10 +51,6 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
         yield c, tc.shingles(tc.span_hashes(low, start, end), first, k)
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> tc.U(64 - SKETCH_BITS)).astype(np.int64)
-
-
 def _token_row(tokens: np.ndarray) -> np.ndarray:
     bits = np.zeros(COLUMNS, np.uint8)
     bits[(tokens & tc.U(COLUMNS - 1)).astype(np.int64)] = 1
@@ -78,14 +71,11 @@ def _profile(k: int):
                         ("counts", pa.binary())])
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
+        sketch = counts.Counter()
         for c, sets in _sets(batches, k):
             sig = [_signature(s) for s in sets]
             rows = [_token_row(s) for s in sets]
-            every = np.concatenate(sets)
-            if len(every):
-                cells, times = np.unique(_cells(every), return_counts=True)
-                sketch[cells] = np.minimum(sketch[cells].astype(np.int64) + times, 65535)
+            sketch.add(np.concatenate(sets))
             flat = pa.array(np.concatenate(rows))
             off = pa.array(np.arange(0, LONGS * len(sets) + 1, LONGS, dtype=np.int32))
             m = len(sets)
@@ -94,39 +84,18 @@ def _profile(k: int):
                  pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64()),
                  pa.ListArray.from_arrays(off, flat), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()),
                  pa.nulls(m, pa.binary())], schema=schema)
-        part = TaskContext.get().partitionId()
-        rows = [(b, zlib.compress(x.tobytes(), 1)) for b, x in enumerate(sketch.reshape(BLOCKS, -1)) if x.any()]
+        rows = sketch.rows()
         m = len(rows)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(m, pa.int64())] * 4 + [pa.nulls(m, pa.list_(pa.int64())), pa.array([r[0] for r in rows], pa.int32()),
-             pa.array([part] * m, pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+             pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
 
     return run
 
 
-def _add_blocks(rows: pa.Table) -> pa.Table:
-    total = np.zeros(1 << BLOCK_BITS, np.int64)
-    for z in rows["counts"].to_pylist():
-        raw = zlib.decompress(z)
-        total += np.frombuffer(raw, np.uint16 if len(raw) == 2 << BLOCK_BITS else np.int64)
-    return pa.table({"block": rows["block"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """The merged counts as one byte a cell (8 steps an octave): 4 MB whatever the input."""
-    some = profile.filter("block is not null").select("block", F.floor(F.col("part") / 64).alias("part"), "counts")
-    once = some.groupBy("block", "part").applyInArrow(_add_blocks, "block int, counts binary")
-    done = once.groupBy("block").applyInArrow(_add_blocks, "block int, counts binary")
-    out = np.zeros((BLOCKS, 1 << BLOCK_BITS), np.uint8)
-    for r in done.toLocalIterator():
-        counts = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-        out[r["block"]] = np.minimum(255, 8 * np.log2(np.maximum(counts, 1)))
-    return out.ravel()
-
-
 def _emit(k: int, pct: int, sketch):
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("id", pa.int64())])
-    hot_from = int(8 * np.log2(HOT))
+    hot_from = int(counts.step(HOT))
 
     def run(batches):
         steps = sketch.value
@@ -137,7 +106,7 @@ def _emit(k: int, pct: int, sketch):
                 n = len(s)
                 if n and i is not None:
                     p = n - -(-pct * n // 100) + 1
-                    step = steps[_cells(s)]
+                    step = steps[counts.cells(s)]
                     if p < n:
                         bound = np.partition(step, p - 1)[p - 1]
                         less = np.flatnonzero(step < bound)
@@ -147,7 +116,7 @@ def _emit(k: int, pct: int, sketch):
                     owner.append(np.full(len(s), i, np.int64))
             if toks:
                 t, o = np.concatenate(toks), np.concatenate(owner)
-                step = steps[_cells(t)].astype(np.int64)
+                step = steps[counts.cells(t)].astype(np.int64)
                 ways = np.where(step >= hot_from, np.exp2(np.maximum(step - hot_from, 0) / 8).astype(np.int64) * 4, 1)
                 salt = (tc.mix(o.view(np.uint64)) % ways.astype(np.uint64)).astype(np.int32) + (ways > 1)
                 yield pa.RecordBatch.from_arrays([pa.array(tc.signed(t)), pa.array(salt.astype(np.int32)), pa.array(o)], schema=schema)
@@ -155,16 +124,44 @@ def _emit(k: int, pct: int, sketch):
     return run
 
 
-def _full_sets(k: int):
+#: bits of the broadcast filter of wanted ids (2 MB); false positives go in the join that follows
+ID_BITS = 24
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    at = ids.select(F.expr(f"shiftrightunsigned(xxhash64(id), {64 - ID_BITS})").alias("b"))
+    words = at.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m"))
+    out = np.zeros(1 << (ID_BITS - 6), np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["m"]
+    return out
+
+
+def _full_sets(k: int, wanted):
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
+    def some(batches):
+        bits = wanted.value.view(np.uint64)
+        for b in batches:
+            at = np.asarray(b.column(2)).view(np.uint64) >> tc.U(64 - ID_BITS)
+            ok = (bits[(at >> tc.U(6)).astype(np.int64)] >> (at & tc.U(63))) & tc.U(1)
+            yield b.select([0, 1]).filter(pa.array(ok.astype(bool)))
+
     def run(batches):
-        for c, sets in _sets(batches, k):
+        for c, sets in _sets(some(batches), k):
             yield pa.RecordBatch.from_arrays([c.cols[0].cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     return run
 
 
+def _sets_of(src: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, tokens) of the texts with these ids; the texts are read where they lie, only sets are shuffled."""
+    wanted = src.sparkSession.sparkContext.broadcast(_id_filter(ids))
+    found = (src.filter("id is not null").withColumn("h", F.xxhash64("id"))
+             .mapInArrow(_full_sets(k, wanted), "id long, tokens binary"))
+    return found.join(ids, "id", "left_semi").groupBy("id").agg(F.max("tokens").alias("tokens"))
+
+
 def _linked(pct: int):
     def run(batches):
         for b in batches:
@@ -201,7 +198,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     profile = tmp.put(src.mapInArrow(_profile(k), PROFILE))
     rows = profile.filter("block is null").select("id", "n", "s1", "s2", "cols")
-    sketch = spark.sparkContext.broadcast(_sketch(profile))
+    sketch = spark.sparkContext.broadcast(counts.merged(profile.filter("block is not null")))
 
     # a repeated id stands for one node; of several texts the one with the largest (size, signature) counts
     nodes = rows.filter("id is not null and n > 0").groupBy("id").agg(F.max(F.struct("n", "s1", "s2", "cols")).alias("v")).select("id", "v.*")
@@ -231,18 +228,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     pairs = tmp.put(bounded(star))
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = src.join(need, "id", "left_semi").join(equal.filter("id = rep").select("id"), "id", "left_semi")
-    sets = tmp.put(texts.mapInArrow(_full_sets(k), "id long, tokens binary").dropDuplicates(["id"]))
+    sets = tmp.put(_sets_of(src, need, k))
     near = tmp.put(_verify(pairs, sets, pct))
-    grouped = components(near, tmp)
-    group = tmp.put(reps.select("id").join(grouped.withColumnRenamed("node", "id"), "id", "left")
-                    .select("id", F.coalesce("comp", "id").alias("g")))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        comp = components(links, tmp).withColumnRenamed("node", "id")
+        return tmp.put(reps.select("id").join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("g")))
+
+    def across(entries: DataFrame, group: DataFrame) -> DataFrame:
+        """Entries of the tokens that occur in several groups."""
+        entry = entries.join(group, "id")
+        several = entry.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
+        return tmp.put(entry.join(several, "token").select("token", "id", "g"))
+
+    between = across(shared, grouped(near))
+    lead = between.groupBy("token").agg(F.min_by(F.struct("id", "g"), F.xxhash64("token", "id")).alias("v")).select("token", F.col("v.id").alias("b"), F.col("v.g").alias("gb"))
+    star = between.join(lead, "token").filter("g <> gb").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    near = tmp.put(near.unionByName(_verify(bounded(star), sets, pct)))
     tmp.drop(sets)
+    group = grouped(near)
 
     # matrix rows: (token, group) where a token occurs in several groups, and each group's union of token columns
-    entry = shared.join(group, "id")
-    several = entry.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("token")
-    open_entries = tmp.put(entry.join(several, "token").select("token", "id", "g"))
+    open_entries = across(between.select("token", "id"), group)
     matrix = open_entries.select("token", F.col("g").alias("other")).distinct()
     asked = open_entries.join(matrix, "token").filter("g > other").select("id", "g", "other").distinct()
     longs = sized.join(group, "id").select("g", "n", F.posexplode("cols").alias("pos", "w"))
@@ -264,13 +271,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = [near, equal.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
     if more.limit(1).count():
         need = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-        sets = tmp.put(src.join(need, "id", "left_semi").mapInArrow(_full_sets(k), "id long, tokens binary").dropDuplicates(["id"]))
+        sets = tmp.put(_sets_of(src, need, k))
         links.append(tmp.put(_verify(more, sets, pct)))
         tmp.drop(sets)
     final = components(union_all(links), tmp)
     out = (rows.select("id", "n").join(final.withColumnRenamed("node", "id"), "id", "left")
            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id")))
-    tmp.drop(shared, pairs, near, open_entries, opened, more, reps)
+    tmp.drop(shared, pairs, between, open_entries, opened, more, reps)
     return out
 
 
