@@ -263,9 +263,10 @@ def previous_factors(data: np.ndarray, end: np.ndarray, ids: np.ndarray, pos: np
 def _factors(length: int):
     """Segments, whole keys in one partition -> removed runs of windows."""
     def run(batches):
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         rows = rows.sort_by("key").combine_chunks()
         key, ids, pos = (np.asarray(rows[c]) for c in ("key", "id", "pos"))
         off = np.concatenate([[0], np.cumsum([len(x) for x in rows["bytes"].to_pylist()])])
