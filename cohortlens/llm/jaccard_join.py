@@ -14,11 +14,13 @@ returns every document with the smallest id it can reach by links. It is exact:
 3. Groups: each set is compared with the first holder of each of its tokens, then, where a token still
    joins several groups, with one holder picked by a hash of token and id. Both are
    linear in the rows. Verified links make groups of similar documents.
-4. The matrix: a group's row is the union of its members' token columns, plus the size
-   range. For a query set Q that shares an emitted token with another group G, the number of Q's
-   columns absent from G's row bounds |Q n G| from above; only groups whose bound reaches the
-   threshold are opened, their members bounded in the same way, and the rest verified on
-   the full sets. Pairs inside one group are never formed: they are connected already.
+4. The matrix: documents whose tokens still join several groups are partitioned into families, each around the centre of
+   the largest group it shares a token with. A family's row is the union of its members' token
+   columns, plus the size range. For a query set Q that shares an emitted token with another family F, the number of Q's
+   columns absent from F's row bounds |Q n F| from above; only families whose bound reaches the
+   threshold are opened. In a family, its own members included, Q is compared with the pivot; what both then say about Q and a member
+   (see ``_within``) leaves the pairs that can link, which are bounded by their token columns and verified on the
+   full sets. Pairs inside one group are never formed: they are connected already.
 
 Nulls, empty texts and texts without words have empty sets and link with nothing. A null
 id is never linked (its component is null). Repeated rows share their component. Other
@@ -190,6 +192,59 @@ def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             .mapInArrow(_linked(pct), "a long, b long"))
 
 
+#: documents in a family up to which they are paired with a query directly
+FEW = 32
+
+RELATION = "id long, f long, label long, large boolean, n long, inter long, linked boolean, private array<long>"
+
+
+def _relate(pct: int):
+    """How a document and a family's pivot overlap; ``label`` is the pivot's group if they link, else the document's own."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, f, g, gf, large, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.isin(p, q, assume_unique=True)
+                inter = int(both.sum())
+                linked = 100 * inter >= pct * (len(p) + len(q) - inter)
+                rows.append((i, f, gf if linked else g, large, len(p), inter, linked, tc.signed(p[~both]) if large else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)],
+                                             names=["id", "f", "label", "large", "n", "inter", "linked", "private"])
+    return run
+
+
+def _within(relation: DataFrame, family: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b) of one family, of different groups, that can reach the threshold.
+
+    In a large family two documents share either a token that the pivot lacks, or no more than each shares with the
+    pivot. The first are found by these tokens; for the second, |x n y| <= min(|x n p|, |y n p|) is a bound that
+    depends on (size, overlap) only, so it is tested between the distinct profiles of a family.
+    """
+    own = relation.join(family.select("id", "f"), ["id", "f"], "left_semi")
+
+    def sides(cols: list[str], of: DataFrame, tag: str) -> DataFrame:
+        return of.select("f", *[F.col(c).alias(f"{c}_{tag}") for c in cols])
+
+    def pairs(df: DataFrame) -> DataFrame:
+        return df.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+    few = pairs(sides(["id", "label"], relation.filter("not large"), "x").join(sides(["id", "label"], own.filter("not large"), "y"), "f")
+                .filter("label_x <> label_y"))
+    token = pairs(sides(["id", "label", "t"], relation.filter("large").withColumn("t", F.explode("private")), "x").withColumnRenamed("t_x", "t")
+                  .join(sides(["id", "label", "t"], own.filter("large").withColumn("t", F.explode("private")), "y").withColumnRenamed("t_y", "t"), ["f", "t"])
+                  .filter("label_x <> label_y"))
+    profile = ["label", "n", "inter"]
+    able = f"large and 100 * inter >= {pct} * n"
+    x, y = relation.filter(able), own.filter(able)
+    fit = (sides(profile, x.select("f", *profile).distinct(), "x").join(sides(profile, y.select("f", *profile).distinct(), "y"), "f")
+           .filter(f"label_x <> label_y and {100 + pct} * least(inter_x, inter_y) >= {pct} * (n_x + n_y)"))
+    near = pairs(fit.join(sides(["id", *profile], x, "x"), ["f", *[f"{c}_x" for c in profile]])
+                 .join(sides(["id", *profile], y, "y"), ["f", *[f"{c}_y" for c in profile]]))
+    return union_all([few, token, near]).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                        pct: int = 80) -> DataFrame:
     """Rows ``(id_col, n_shingles, component_id)``, one for each row of ``docs``."""
@@ -248,36 +303,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tmp.drop(sets)
     group = grouped(near)
 
-    # matrix rows: (token, group) where a token occurs in several groups, and each group's union of token columns
     open_entries = across(between.select("token", "id"), group)
-    matrix = open_entries.select("token", F.col("g").alias("other")).distinct()
-    asked = open_entries.join(matrix, "token").filter("g > other").select("id", "g", "other").distinct()
-    longs = sized.join(group, "id").select("g", "n", F.posexplode("cols").alias("pos", "w"))
-    union = (longs.groupBy("g", "pos").agg(F.bit_or("w").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-             .groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("row"))
-             .select(F.col("g").alias("other"), "lo", "hi", F.expr("transform(row, x -> x.w)").alias("row")))
-    query = sized.select("id", "n", "cols")
-    opened = (asked.join(query, "id").join(union, "other")
+
+    # families: each document joins the centre (most links) of the largest group it shares an open token with
+    degree = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("d"))
+    centre = (group.join(degree, "id", "left").groupBy("g").agg(
+        F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), (-F.col("id")).alias("m"))).alias("v"), F.count("*").alias("size"))
+        .select("g", "size", F.col("v.m").alias("m")))
+    by_token = open_entries.join(centre, "g").groupBy("token").agg(F.max(F.struct("size", "m")).alias("p"))
+    family = tmp.put(open_entries.join(by_token, "token").groupBy("id", "g").agg(F.max("p").alias("p"))
+                     .select("id", "g", (-F.col("p.m")).alias("f")))
+
+    # the matrix: (token, family), and each family's union of token columns; a document asks the families it shares
+    # tokens with, and those whose bound it reaches are opened
+    entries = open_entries.select("token", "id").join(family, "id")
+    matrix = entries.select("token", F.col("f").alias("other")).distinct()
+    asked = entries.join(matrix, "token").filter("f > other").select("id", "other").distinct()
+    held = sized.join(family, "id")
+    longs = held.select("f", "n", F.posexplode("cols").alias("pos", "w"))
+    union = (longs.groupBy("f", "pos").agg(F.bit_or("w").alias("w"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+             .groupBy("f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("row"))
+             .select(F.col("f").alias("other"), "lo", "hi", F.expr("transform(row, x -> x.w)").alias("row")))
+    opened = (asked.join(sized.select("id", "n", "cols"), "id").join(union, "other")
               .filter(F.expr(f"100 * hi >= {pct} * n and 100 * n >= {pct} * lo"))
               .filter(100 * (F.col("n") - _absent("cols", "row")) >= pct * F.greatest("n", "lo"))
-              .select("id", "other"))
-    opened = tmp.put(opened)
-    inside = open_entries.select("token", F.col("id").alias("b"), F.col("g").alias("other"))
-    wanted = (open_entries.join(opened.select("id", "other"), "id").select("token", F.col("id").alias("a"), "other")
-              .join(inside, ["token", "other"]).select("a", "b").distinct())
-    checked = (wanted.join(pairs.select("a", "b", F.lit(True).alias("seen")), ["a", "b"], "left").filter("seen is null").select("a", "b"))
-    checked = checked.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = tmp.put(bounded(checked))
-    links = [near, equal.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
-    if more.limit(1).count():
-        need = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
-        sets = tmp.put(_sets_of(src, need, k))
-        links.append(tmp.put(_verify(more, sets, pct)))
-        tmp.drop(sets)
+              .select("id", F.col("other").alias("f")))
+    size = family.groupBy("f").agg((F.count("*") > FEW).alias("large"))
+    asks = tmp.put(family.select("id", "f").unionByName(opened).join(size, "f")
+                   .join(group.select("id", "g"), "id").join(group.select(F.col("id").alias("f"), F.col("g").alias("gf")), "f"))
+    need = asks.select("id").unionByName(asks.select(F.col("f").alias("id"))).distinct()
+    sets = tmp.put(_sets_of(src, need, k))
+    relation = tmp.put(asks.join(sets, "id").join(sets.select(F.col("id").alias("f"), F.col("tokens").alias("pivot")), "f")
+                       .select("id", "f", "g", "gf", "large", "tokens", "pivot").mapInArrow(_relate(pct), RELATION))
+    more = tmp.put(bounded(_within(relation, family, pct)))
+    links = [near, relation.filter("linked and id <> f").select(F.col("id").alias("a"), F.col("f").alias("b")),
+             tmp.put(_verify(more, sets, pct)), equal.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
+    tmp.drop(sets, asks)
     final = components(union_all(links), tmp)
     out = (rows.select("id", "n").join(final.withColumnRenamed("node", "id"), "id", "left")
            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id")))
-    tmp.drop(shared, pairs, between, open_entries, opened, more, reps)
+    tmp.drop(shared, pairs, between, open_entries, family, more, reps)
     return out
 
 
