@@ -20,7 +20,6 @@ is merged in O(n log n); other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -48,6 +47,15 @@ FLUSH = 300_000
 
 # Unicode's White_Space, and the byte characters of byte-level BPE (printable bytes as themselves).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+# Letters and digits that the regex module knows but Unicode 16, the tokenizers library's version, leaves unassigned (hexadecimal ranges).
+NEWER_RANGES = (
+    "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d "
+    "107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686 "
+    "16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168-1b168 "
+    "1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff "
+    "2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+)
+NEWER = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER_RANGES.split())
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -63,13 +71,6 @@ def byte_chars() -> list[str]:
     return out
 
 
-@functools.cache
-def newer_characters() -> str:
-    """Letters and digits that the regex module knows but the Unicode version of ``unicodedata`` and the tokenizer doesn't."""
-    unassigned = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
-    return "".join(regex.findall(r"[\p{L}\p{N}]", unassigned)) or "\uffff"
-
-
 class Merges:
     """What a tokenizer file says: words of a text, exact ids of a word, tokens of ids."""
 
@@ -90,7 +91,7 @@ class Merges:
             self.pair[vocab[a], vocab[b]] = (rank, vocab[a + b])
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
         for kind in (r"\p{L}", r"\p{N}"):
-            pattern = pattern.replace(kind, f"[{kind}--[{newer_characters()}]]")
+            pattern = pattern.replace(kind, f"[{kind}--[{NEWER}]]")
         self.find = regex.compile(pattern, regex.V1).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         self.marks = tuple(s[:2] for s in self.special)
