@@ -7,6 +7,8 @@ opposite order, until one is left. It runs in two or more levels, so that no tas
 
 1. Rows are combined to one row per distinct text (map-side, so a hot group is one row early). Groups are dealt by hash
    over buckets of about ``BUCKET`` groups; each bucket is differenced in its own task.
+   A group of at least the mean of the shards that are left gets a shard of its own first: no law can make
+   that shard smaller, and the others are balanced without it (at most one such group a shard, found by a top-k).
 2. Bucket results are again partial partitions of the same form, up to ``FAN_IN`` of which are combined by
    one task a level, until one is left. Each level hands down where every bucket's shard goes, so a group's
    shard is found by following these small tables.
@@ -132,8 +134,18 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("key"))
         .withColumn("size", F.col("bytes") + overhead).drop("bytes"))
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    placed = rows.join(_group_shards(groups, shards, tmp), "key").select("id", "size", "text_crc32", "shard")
+    groups = tmp.put(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
+    total, left, alone = groups.agg(F.sum("bytes")).first()[0] or 0, shards, []
+    for g in groups.orderBy(F.desc("bytes"), "key").limit(shards).collect():
+        if left == 1 or g["bytes"] * left < total:
+            break
+        left -= 1
+        total -= g["bytes"]
+        alone.append((g["key"], left))
+    single = spark.createDataFrame(alone, "key string, shard int")
+    rest = groups.join(F.broadcast(single), "key", "left_anti")
+    shard_of = _group_shards(rest, left, tmp).unionByName(single)
+    placed = rows.join(shard_of, "key").select("id", "size", "text_crc32", "shard")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tmp.put(placed.withColumn("part", F.expr(f"pmod(xxhash64(id, text_crc32), {8 * parts})")))
     held = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
