@@ -36,20 +36,23 @@ MAX_BACKGROUND = 50
 
 def _linear_stage(model: PipelineModel):
     last = model.stages[-1]
-    if hasattr(last, "coefficientMatrix") or hasattr(last, "coefficients"):
+    linear = hasattr(last, "coefficientMatrix") or hasattr(last, "coefficients")
+    # a linear stage on derived features (random Fourier features) says nothing about the encoded columns
+    if linear and last.getFeaturesCol() == FEATURES_COL:
         return last
-    raise TypeError("linear attribution needs a linear final stage")
+    raise TypeError("linear attribution needs a linear final stage on the encoded columns")
 
 
 def linear_contributions(model: PipelineModel, task: Task, rows: DataFrame, background: DataFrame,
                          key: str) -> DataFrame:
-    """E1 + E6: long rows (key, encoded, source, value, contribution).
+    """E1 + E6: long rows (key, encoded, source, value, contribution, magnitude).
 
     Binary: log-odds contributions of class 1; multiclass: of the predicted
-    class; regression: of the prediction.
+    class; regression: of the prediction. ``magnitude`` is the absolute
+    contribution, for multiclass averaged over all classes.
     """
     stage = _linear_stage(model)
-    enc = encoding_of(model, task.features)
+    enc = encoding_of(model, task.inputs)
     bg = model.transform(background).select(vector_to_array(FEATURES_COL).alias("x"))
     means = bg.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(enc.encoded))]).first()
     mu = [float(means[f"m{i}"] or 0.0) for i in range(len(enc.encoded))]
@@ -58,20 +61,24 @@ def linear_contributions(model: PipelineModel, task: Task, rows: DataFrame, back
     if hasattr(stage, "coefficientMatrix") and stage.coefficientMatrix.numRows > 1:
         cm = stage.coefficientMatrix.toArray().tolist()
         coef = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in cm]), F.col("__pred") + 1)
+        size = [sum(abs(row[i]) for row in cm) / len(cm) for i in range(len(mu))]
     else:
         c = stage.coefficients.toArray().tolist()
         coef = F.array(*[F.lit(float(v)) for v in c])
+        size = [abs(float(v)) for v in c]
     triples = F.arrays_zip(F.col("x").alias("x"), coef.alias("c"), F.array(*[F.lit(m) for m in mu]).alias("m"),
+                           F.array(*[F.lit(v) for v in size]).alias("a"),
                            F.array(*[F.lit(e) for e in enc.encoded]).alias("encoded"),
                            F.array(*[F.lit(s) for s in enc.source]).alias("source"))
     return out.select(key, F.explode(triples).alias("t")).select(
         key, "t.encoded", "t.source", F.col("t.x").alias("value"),
-        (F.col("t.c") * (F.col("t.x") - F.col("t.m"))).alias("contribution"))
+        (F.col("t.c") * (F.col("t.x") - F.col("t.m"))).alias("contribution"),
+        (F.col("t.a") * F.abs(F.col("t.x") - F.col("t.m"))).alias("magnitude"))
 
 
 def global_importance(contrib: DataFrame) -> DataFrame:
-    """Mean |value| per encoded column, then summed per source feature (abs before sum), sorted."""
-    per_enc = contrib.groupBy("encoded", "source").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+    """Mean |value| (over all classes) per encoded column, then summed per source feature, sorted."""
+    per_enc = contrib.groupBy("encoded", "source").agg(F.avg("magnitude").alias("mean_abs"))
     return per_enc.groupBy("source").agg(F.sum("mean_abs").alias("importance")).orderBy(F.desc("importance"))
 
 
@@ -99,22 +106,26 @@ def _shap_weight(n: int, s: int) -> float:
     return math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n)
 
 
-def _model_output(task: Task, out: DataFrame):
+def _model_outputs(task: Task) -> list:
+    """What is explained: the probability of class 1, of every class, or the prediction."""
     if task.kind == "binary":
-        return vector_to_array("probability")[1]
+        return [vector_to_array("probability")[1]]
     if task.kind == "multiclass":
-        return F.array_max(vector_to_array("probability"))
-    return F.col("prediction")
+        return [vector_to_array("probability")[c] for c in range(len(task.levels))]
+    return [F.col("prediction")]
 
 
 def shapley_values(model: PipelineModel, task: Task, rows: DataFrame, background: DataFrame,
                    key: str) -> DataFrame:
     """Exact interventional Shapley values per (key, feature) for any fitted pipeline.
 
+    Multiclass: ``shap_value`` explains the probability of the class predicted for the explained row
+    itself, in every coalition; ``magnitude`` is the mean absolute value over all classes.
+
     ``background`` must be small (≤ MAX_BACKGROUND rows, e.g. from
     ``split.fixed_sample``); it is inlined as literals. Features ≤ 8.
     """
-    feats = list(task.features)
+    feats = list(task.inputs)
     n = len(feats)
     if n > MAX_COALITION_FEATURES:
         raise ValueError(f"coalition enumeration supports at most {MAX_COALITION_FEATURES} features")
@@ -129,13 +140,19 @@ def shapley_values(model: PipelineModel, task: Task, rows: DataFrame, background
     # rows is one row) and join the values back to the rows afterwards.
     vid = [f"__x_{f}" for f in feats]
     vecs = rows.select(*[F.col(f).alias(c) for f, c in zip(feats, vid)]).distinct()
+    if task.kind == "multiclass":
+        own = model.transform(vecs.select(*vid, *[F.col(c).alias(f) for f, c in zip(feats, vid)]))
+        vecs = own.select(*vid, F.col("prediction").cast("int").alias("__class"))
+    else:
+        vecs = vecs.withColumn("__class", F.lit(0))
     hyb = (vecs.withColumn("__mask", F.explode(F.array(*[F.lit(m) for m in masks])))
            .withColumn("__b", F.explode(bg)))
-    mixed = hyb.select(*vid, "__mask", *[
+    mixed = hyb.select(*vid, "__class", "__mask", *[
         F.when((F.col("__mask").bitwiseAND(F.lit(1 << i))) != 0, F.col(c)).otherwise(F.col("__b")[f]).alias(f)
         for i, (f, c) in enumerate(zip(feats, vid))])
     out = model.transform(mixed)
-    v = out.groupBy(*vid, "__mask").agg(F.avg(_model_output(task, out)).alias("v"))
+    outputs = _model_outputs(task)
+    v = out.groupBy(*vid, "__class", "__mask").agg(F.array(*[F.avg(o) for o in outputs]).alias("v"))
     # φ_i = Σ_{S ∌ i} w(|S|) (v(S ∪ i) − v(S)) as one weighted sum per (vector, feature)
     terms = []
     for i in range(n):
@@ -150,12 +167,15 @@ def shapley_values(model: PipelineModel, task: Task, rows: DataFrame, background
     wt = v.sparkSession.range(1).select(F.explode(F.array(*terms)).alias("t")).select("t.*")
     # bounded: n · 2^n rows (≤ 2,048), broadcast by construction
     per_vec = (v.join(F.broadcast(wt), v["__mask"] == wt["mask"])
-               .groupBy(*vid, "feature").agg(F.sum(F.col("w") * F.col("v")).alias("shap_value")))
+               .groupBy(*vid, "__class", "feature")
+               .agg(F.array(*[F.sum(F.col("w") * F.col("v")[c]) for c in range(len(outputs))]).alias("phi"))
+               .select(*vid, "feature", F.element_at("phi", F.col("__class") + 1).alias("shap_value"),
+                       (F.aggregate("phi", F.lit(0.0), lambda s, x: s + F.abs(x)) / len(outputs)).alias("magnitude")))
     # back to the rows: null-safe equality on the feature vector; the per-vector table is
     # broadcast only within the checked bound, else a shuffle join (AQE splits hot vectors)
     r = rows.select(key, *feats)
     cond = reduce(lambda a, b: a & b, [r[f].eqNullSafe(per_vec[c]) for f, c in zip(feats, vid)])
-    return join_dimension(r, per_vec, cond).select(key, "feature", "shap_value")
+    return join_dimension(r, per_vec, cond).select(key, "feature", "shap_value", "magnitude")
 
 
 def permutation_importance(model: PipelineModel, task: Task, data: DataFrame, key: str,
@@ -163,7 +183,7 @@ def permutation_importance(model: PipelineModel, task: Task, data: DataFrame, ke
     """E5 + J7: decrease of the task metric when one feature is permuted; mean and
     population std over repeats, sorted. Metric: ROC-AUC (binary), macro-F1
     (multiclass), R² (regression)."""
-    feats = list(task.features)
+    feats = list(task.inputs)
     base_cols = [key, LABEL_COL, *feats]
     d = data.select(*base_cols).withColumn("__one", F.lit(1))
     ranked = running_totals(d, [], [key], ["__one"], prefix="__r").withColumnRenamed("__r__one", "__rk").drop("__one")
@@ -210,10 +230,10 @@ def explain_bundle(model: PipelineModel, task: Task, rows: DataFrame, background
     except TypeError:
         sv = shapley_values(model, task, rows, background, key)
         contrib = sv.select(key, F.col("feature").alias("encoded"), F.col("feature").alias("source"),
-                            F.lit(None).cast("double").alias("value"), F.col("shap_value").alias("contribution"))
+                            F.lit(None).cast("double").alias("value"), F.col("shap_value").alias("contribution"), "magnitude")
         kind = "coalition"
     return {"kind": kind, "contributions": contrib, "global": global_importance(contrib),
-            "local": local_explanation(contrib, rows.select(key, *task.features), key, top_k)}
+            "local": local_explanation(contrib, rows.select(key, *task.inputs), key, top_k)}
 
 
 __all__ = ["linear_contributions", "shapley_values", "global_importance", "local_explanation",

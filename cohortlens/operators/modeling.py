@@ -266,7 +266,7 @@ def _log_uniform(rng: random.Random, lo: float, hi: float) -> float:
 
 
 def candidates(kind: str, n_classes: int = 2) -> list[Candidate]:
-    """L6-L12 per task kind. k-NN (L11) runs on size-checked prototypes (see ``KNNEstimator``)."""
+    """L6-L12 per task kind. k-NN (L11) fits on a bounded number of labelled rows (see ``KNNEstimator``)."""
     base = Candidate("baseline", "dummy", _baseline(kind, n_classes))
     if kind == "regression":
         return [
@@ -308,7 +308,8 @@ def make_pipeline(train: DataFrame, features: Sequence[str], cand: Candidate, pa
 
 # --------------------------------------------------------------------------- k-nearest neighbours
 
-MAX_PROTOTYPES = 50_000
+#: labelled rows that k-NN is fitted on at most: the first ones in order of a hash of the row (candidate parameter ``max_rows``)
+KNN_FIT_ROWS = 50_000
 
 
 class KNNModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -388,31 +389,30 @@ def knn_aggregate(x: np.ndarray, pts: np.ndarray, w: np.ndarray, k: int, kind: s
 
 
 class KNNEstimator(Estimator):
-    def __init__(self, k: int = 5, kind: str = "binary", n_classes: int = 2,
-                 max_prototypes: int = MAX_PROTOTYPES):
+    """Fits on at most ``max_rows`` labelled rows, the first in order of a hash of vector and label.
+
+    The bound holds at every size of the training table, so a larger one changes which rows are
+    neighbours, never whether or how the model is fitted. The rows become the model's prototypes.
+    """
+
+    def __init__(self, k: int = 5, kind: str = "binary", n_classes: int = 2, max_rows: int = KNN_FIT_ROWS):
         super().__init__()
-        self.k_, self.kind_, self.n_classes, self.max_prototypes = k, kind, n_classes, max_prototypes
+        self.k_, self.kind_, self.n_classes, self.max_rows = k, kind, n_classes, max_rows
 
     def _fit(self, df: DataFrame) -> KNNModel:
         from pyspark.ml.functions import vector_to_array
-        x = vector_to_array(FEATURES_COL)
+        rows = df.select(vector_to_array(FEATURES_COL).alias("p"), F.col(LABEL_COL).cast("double").alias("y"))
+        used = rows.orderBy(F.xxhash64("p", "y"), "p", "y").limit(self.max_rows).groupBy("p")
         if self.kind_ == "regression":
-            protos = df.groupBy(x.alias("p")).agg(F.count(F.lit(1)).cast("double").alias("c"),
-                                                  F.sum(LABEL_COL).alias("s"))
-            wcols = F.array("c", "s")
+            protos = used.agg(F.array(F.count(F.lit(1)).cast("double"), F.sum("y")).alias("w"))
         else:
-            protos = df.groupBy(x.alias("p")).agg(*[
-                F.count_if(F.col(LABEL_COL) == float(i)).cast("double").alias(f"c{i}")
-                for i in range(self.n_classes)])
-            wcols = F.array(*[f"c{i}" for i in range(self.n_classes)])
-        # the prototype table becomes part of the model: check its size first
-        rows = protos.select("p", wcols.alias("w")).limit(self.max_prototypes + 1).collect()
-        if len(rows) > self.max_prototypes:
-            raise ValueError(f"exact k-NN needs at most {self.max_prototypes} distinct training vectors")
-        return KNNModel(self.k_, self.kind_, [list(r.p) for r in rows], [list(r.w) for r in rows])
+            protos = used.agg(F.array(*[F.count_if(F.col("y") == float(i)).cast("double")
+                                        for i in range(self.n_classes)]).alias("w"))
+        found = protos.orderBy("p").collect()  # at most max_rows
+        return KNNModel(self.k_, self.kind_, [list(r.p) for r in found], [list(r.w) for r in found])
 
 
 def _knn(kind: str, n_classes: int):
     def build(p, ctx):
-        return [KNNEstimator(int(p.get("k", 15)), kind, n_classes)]
+        return [KNNEstimator(int(p.get("k", 15)), kind, n_classes, int(p.get("max_rows", KNN_FIT_ROWS)))]
     return build

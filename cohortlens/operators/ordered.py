@@ -193,8 +193,18 @@ def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
 
 
 def top_k_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
-                  rank_col: str = "rank") -> DataFrame:
-    """Top ``k`` rows per key (O4, D4). Plans as WindowGroupLimit: each map task keeps
-    only its local top ``k`` per key before the shuffle, so a hot key costs k rows."""
+                  rank_col: str = "rank", salt: Sequence[str] = ()) -> DataFrame:
+    """Top ``k`` rows per key.
+
+    Small ``k`` plans as WindowGroupLimit: each map task keeps its local top ``k`` per key. Spark stops
+    doing so above its threshold; with ``salt`` (columns that tell the rows of a key apart) a key is
+    therefore ranked in parts first, and only each part's top ``k`` meet in the final rank.
+    """
+    part = "__part"
+    if salt:
+        n = default_buckets(df)
+        parts = df.withColumn(part, F.pmod(F.xxhash64(*salt), F.lit(n)))
+        w = Window.partitionBy(*keys, part).orderBy(*order)
+        df = parts.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k).drop(rank_col, part)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)

@@ -83,7 +83,7 @@ def score(df: DataFrame, model: PipelineModel, task: Task, *, threshold: float =
         out = out.select(*keep, *rec, F.col("probability_").alias("_score"))
     elif task.kind == "multiclass":
         probs = vector_to_array("probability")
-        classes = F.array(*[F.lit(c) for c in task.classes or ()])
+        classes = F.array(*[F.lit(c) for c in task.levels])
         out = out.select(*keep,
                          F.element_at(classes, F.array_position(probs, F.array_max(probs)).cast("int")).alias("label"),
                          F.map_from_arrays(classes, probs).alias("probabilities"),
@@ -109,7 +109,7 @@ def score(df: DataFrame, model: PipelineModel, task: Task, *, threshold: float =
 
 def reference_scores(model: PipelineModel, task: Task, engineered: DataFrame) -> DataFrame:
     """Model output on the whole engineered table (column ``score``)."""
-    out = model.transform(engineered.select(*task.features))
+    out = model.transform(engineered.select(*task.inputs))
     return out.select(monitored_score(task, out).alias("score"))
 
 
@@ -119,8 +119,8 @@ def drift_for_task(model: PipelineModel, task: Task, reference: DataFrame,
     the model's output distribution (reference scores = the model on the whole reference).
     A supplied table does not touch the prediction log."""
     from cohortlens.operators.drift import drift_report
-    cur = request_frame(current, task.features, validate=False).select(*task.features)
+    cur = request_frame(current, task.inputs, validate=False).select(*task.inputs)
     cur_out = model.transform(cur)
-    return drift_report(reference.select(*task.features), cur, list(task.features),
+    return drift_report(reference.select(*task.inputs), cur, list(task.inputs),
                         reference_scores=reference_scores(model, task, reference),
                         current_scores=cur_out.select(monitored_score(task, cur_out).alias("score")))

@@ -63,18 +63,18 @@ class TrainResult:
 
 
 def metric_names(task: Task) -> list[str]:
-    return [task.primary_metric, *task.extra_metrics]
+    return list(task.metrics)
 
 
 def n_classes(task: Task) -> int:
-    return len(task.classes) if task.kind == "multiclass" and task.classes else 2
+    return max(2, len(task.levels))
 
 
 def prepare(task: Task, engineered: DataFrame, key: str = KEY) -> DataFrame:
     """Features + label (+ balanced class weights for classification, A20)."""
     xy = build_xy(task, engineered, LABEL_COL, keep=[key] + [a for a in SENSITIVE_ATTRIBUTES
-                                                          if a not in task.features])
-    if not task.is_classification:
+                                                          if a not in task.inputs])
+    if not task.levels:
         return xy.withColumn(WEIGHT_COL, F.lit(1.0))
     counts = xy.groupBy(LABEL_COL).agg(F.count(F.lit(1)).alias("__nc"))
     n = xy.select(F.count(F.lit(1))).scalar()
@@ -116,7 +116,7 @@ def cross_validate(task: Task, folds: DataFrame, cand: Candidate, params: dict[s
                    cfg: TrainConfig, ctx: dict[str, Any]) -> tuple[DataFrame, float]:
     """Fit on K-1 folds, predict the held-out fold, for every (repeat, fold); returns OOF rows."""
     pairs = [(r.repeat, r.fold) for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
-    feats = list(task.features)
+    feats = list(task.inputs)
 
     def one(rf):
         rep, fold = rf
@@ -131,7 +131,7 @@ def cross_validate(task: Task, folds: DataFrame, cand: Candidate, params: dict[s
     with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as ex:
         outs = list(ex.map(one, pairs))
     keep = ["repeat", "fold", KEY, LABEL_COL, "prediction"] + (
-        ["probability"] if task.is_classification else []) + (["p1"] if task.kind == "binary" else [])
+        ["probability"] if task.levels else []) + (["p1"] if task.kind == "binary" else [])
     oof = outs[0][0].select(*keep)
     for o, _ in outs[1:]:
         oof = oof.unionByName(o.select(*keep))  # J6: keys carried, no join
@@ -149,22 +149,21 @@ def leaderboard(task: Task, data: DataFrame, cfg: TrainConfig) -> tuple[DataFram
     A candidate that fails is skipped. Returns the board and the primary CV score per candidate.
     """
     spark = data.sparkSession
-    strata = [LABEL_COL] if task.is_classification else []
+    strata = [LABEL_COL] if task.levels else []
     folds = kfold(data, KEY, cfg.cv_folds, strata, cfg.cv_repeats, cfg.seed).persist()
     folds.count()  # fill the cache once before concurrent fits read it
     ctx = _ctx(task, data, cfg.seed)
     cands = [c for c in candidates(task.kind, n_classes(task)) if not cfg.candidates or c.name in cfg.candidates]
 
-    def one(cand: Candidate) -> dict[str, Any] | None:
+    def one(cand: Candidate) -> dict[str, Any]:
         t0 = time.perf_counter()
+        row: dict[str, Any] = {"model": cand.name, "family": cand.family, "state": "COMPLETE"}
         try:
             oof, fit_s = cross_validate(task, folds, cand, {}, cfg, ctx)
             fm = fold_metrics(task, oof, ["repeat", "fold"])
             summ = fm.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).collect()
-        except Exception as exc:  # noqa: BLE001 - a failing candidate is skipped
-            print(f"candidate {cand.name} failed: {str(exc).splitlines()[0][:200]}")
-            return None
-        row: dict[str, Any] = {"model": cand.name, "family": cand.family}
+        except Exception as exc:  # noqa: BLE001 - a failing candidate is a row of the board, never its winner
+            return row | {"state": "FAIL", "error": str(exc), "elapsed_seconds": time.perf_counter() - t0}
         for r in summ:  # one row per metric
             row[f"{r.metric}_mean"] = float(r["mean"]) if r["mean"] is not None else None
             row[f"{r.metric}_std"] = float(r["std"]) if r["std"] is not None else None
@@ -174,16 +173,18 @@ def leaderboard(task: Task, data: DataFrame, cfg: TrainConfig) -> tuple[DataFram
 
     # candidates are independent: their CV jobs are submitted concurrently
     with ThreadPoolExecutor(max_workers=max(1, min(cfg.parallelism, len(cands) or 1))) as ex:
-        rows = [r for r in ex.map(one, cands) if r is not None]
-    primary = {r["model"]: r.get(f"{task.primary_metric}_mean") or float("-inf") for r in rows}
+        rows = list(ex.map(one, cands))
+    score = f"{task.metrics[0]}_mean"
+    primary = {r["model"]: r[score] if r.get(score) is not None else float("-inf")
+               for r in rows if r["state"] == "COMPLETE"}
     folds.unpersist()
     cols = ["model", "family"] + [f"{m}_{s}" for m in metric_names(task) for s in ("mean", "std")] + [
-        "fit_seconds", "elapsed_seconds"]
+        "fit_seconds", "elapsed_seconds", "state", "error"]
     board = spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows],
-                                  ", ".join(f"`{c}` {'string' if c in ('model', 'family') else 'double'}"
+                                  ", ".join(f"`{c}` {'string' if c in ('model', 'family', 'state', 'error') else 'double'}"
                                             for c in cols))
     from cohortlens.operators.split import rank_by_metric
-    board = rank_by_metric(board, f"{task.primary_metric}_mean").withColumn("task", F.lit(task.name))
+    board = rank_by_metric(board, f"{task.metrics[0]}_mean").withColumn("task", F.lit(task.name))
     return board, primary
 
 
@@ -198,7 +199,7 @@ def tune(task: Task, data: DataFrame, cand: Candidate, cfg: TrainConfig) -> tupl
     if cand.space is None or cfg.n_trials <= 0:
         return {}, float("nan"), spark.createDataFrame([], schema)
     rng = random.Random(cfg.seed)
-    strata = [LABEL_COL] if task.is_classification else []
+    strata = [LABEL_COL] if task.levels else []
     folds = kfold(data, KEY, cfg.cv_folds, strata, 1, cfg.seed).persist()
     folds.count()  # fill the cache once before concurrent trials read it
     ctx = _ctx(task, data, cfg.seed)
@@ -211,11 +212,11 @@ def tune(task: Task, data: DataFrame, cand: Candidate, cfg: TrainConfig) -> tupl
         t0 = time.perf_counter()
         try:
             oof, _ = cross_validate(task, folds, cand, params, cfg, ctx)
-            v = fold_metrics(task, oof, ["repeat", "fold"]).where(F.col("metric") == task.primary_metric) \
+            v = fold_metrics(task, oof, ["repeat", "fold"]).where(F.col("metric") == task.metrics[0]) \
                 .agg(F.avg("value")).first()[0]
             state = "COMPLETE"
-        except Exception:  # noqa: BLE001
-            v, state = None, "FAIL"
+        except Exception as exc:  # noqa: BLE001 - a failing trial is a row of the table
+            v, state = None, f"FAIL: {exc}"
         return i, v, state, json.dumps(params, sort_keys=True), time.perf_counter() - t0
 
     with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as ex:
@@ -255,7 +256,7 @@ def train_task(task: Task, train: DataFrame, cfg: TrainConfig | None = None) ->
     ctx = _ctx(task, data, cfg.seed)
     res = TrainResult(task, None, best_name, params, board, cv_score, tuning=trials)  # type: ignore[arg-type]
     if task.kind in ("binary", "regression"):
-        strata = [LABEL_COL] if task.is_classification else []
+        strata = [LABEL_COL] if task.levels else []
         folds = kfold(data, KEY, cfg.cv_folds, strata, 1, cfg.seed).persist()
         oof, _ = cross_validate(task, folds, cand, params, cfg, ctx)
         if task.kind == "binary":
@@ -273,7 +274,7 @@ def train_task(task: Task, train: DataFrame, cfg: TrainConfig | None = None) ->
                 raise ValueError("Cannot calibrate on zero residuals")
             res.conformal_q = float(q["quantile"])
         folds.unpersist()
-    res.model = make_pipeline(data, list(task.features), cand, params, ctx).fit(data)
+    res.model = make_pipeline(data, list(task.inputs), cand, params, ctx).fit(data)
     data.unpersist()
     res.train_seconds = time.perf_counter() - t_start
     return res

@@ -9,11 +9,13 @@ columns, so the data is read once per part and never collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.domain import TableRules
+from cohortlens.functions.domain import ALLOWED, LIMITS
 
 VIOLATION_SCHEMA = T.StructType([
     T.StructField("column_name", T.StringType()),
@@ -33,37 +35,28 @@ def _fmt(v: float) -> str:
     return str(int(v)) if float(v).is_integer() else str(v)
 
 
-def violations(df: DataFrame, rules: TableRules | None = None, *,
-               require_scores: bool = True) -> DataFrame:
-    rules = rules or TableRules()
+def violations(df: DataFrame, allowed: Mapping[str, Sequence[str]] = ALLOWED,
+               limits: Mapping[str, tuple[float, float]] = LIMITS, *, require_scores: bool = True) -> DataFrame:
+    """V1-V6: the violations of ``allowed`` (column → values) and ``limits`` (column → smallest, largest value)."""
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
-    missing_rows = []
-    present = []
-    for spec in rules.columns:
-        if spec.name not in types:
-            if spec.kind == "numeric" and not require_scores:
-                continue
-            missing_rows.append((spec.name, "missing_column", None, None))
-        else:
-            present.append(spec)
+    needed = [*allowed, *(limits if require_scores else ())]
+    missing_rows = [(c, "missing_column", None, None) for c in needed if c not in types]
 
     # one wide aggregate of conditional counts
-    aggs = []
-    for spec in present:
-        c = F.col(spec.name)
-        is_num = isinstance(types[spec.name], _NUMERIC)
-        miss = c.isNull() | (F.isnan(c) if isinstance(types[spec.name], (T.FloatType, T.DoubleType)) else F.lit(False))
-        aggs.append(F.count_if(miss).alias(f"{spec.name}|missing_values|"))
-        if spec.kind == "numeric":
-            if not is_num:
-                aggs.append(F.count_if(c.isNotNull() & F.expr(f"try_cast(`{spec.name}` AS DOUBLE)").isNull())
-                            .alias(f"{spec.name}|not_numeric|{types[spec.name].simpleString()}"))
-                continue
-            if spec.lo is not None:
-                aggs.append(F.count_if(c < F.lit(spec.lo)).alias(f"{spec.name}|below_min|{_fmt(spec.lo)}"))
-            if spec.hi is not None:
-                aggs.append(F.count_if(c > F.lit(spec.hi)).alias(f"{spec.name}|above_max|{_fmt(spec.hi)}"))
+    counted: dict[tuple[str, str, str], Column] = {}
+    for name in [c for c in (*allowed, *limits) if c in types]:
+        floating = isinstance(types[name], (T.FloatType, T.DoubleType))
+        counted[name, "missing_values", ""] = F.isnull(name) | (F.isnan(name) if floating else F.lit(False))
+    for name in [c for c in limits if c in types]:
+        if isinstance(types[name], _NUMERIC):
+            low, high = limits[name]
+            counted[name, "below_min", _fmt(low)] = F.col(name) < F.lit(low)
+            counted[name, "above_max", _fmt(high)] = F.col(name) > F.lit(high)
+        else:
+            counted[name, "not_numeric", types[name].simpleString()] = (
+                F.isnotnull(name) & F.isnull(F.expr(f"try_cast(`{name}` AS DOUBLE)")))
+    aggs = [F.count_if(test).alias("|".join(key)) for key, test in counted.items()]
     parts = []
     if aggs:
         wide = df.agg(*aggs)
@@ -73,12 +66,10 @@ def violations(df: DataFrame, rules: TableRules | None = None, *,
             k.getItem(0).alias("column_name"), k.getItem(1).alias("problem"),
             F.nullif(k.getItem(2), F.lit("")).alias("detail"), F.col("n").cast("long").alias("n")))
 
-    cats = [s for s in present if s.kind == "categorical"]
+    cats = [c for c in allowed if c in types]
     if cats:
-        bad = df.select([
-            F.when(~F.col(s.name).isin(list(s.categories or ())), F.col(s.name).cast("string")).alias(s.name)
-            for s in cats])
-        unk = (bad.unpivot([], [s.name for s in cats], "column_name", "detail")
+        bad = df.select([F.when(~F.col(c).isin(list(allowed[c])), F.col(c).cast("string")).alias(c) for c in cats])
+        unk = (bad.unpivot([], cats, "column_name", "detail")
                .where(F.col("detail").isNotNull())
                .groupBy("column_name", "detail").count())
         parts.append(unk.select("column_name", F.lit("unknown_category").alias("problem"),
@@ -93,44 +84,25 @@ def violations(df: DataFrame, rules: TableRules | None = None, *,
     return out
 
 
-def assert_valid(df: DataFrame, rules: TableRules | None = None, *,
-                 require_scores: bool = True, max_listed: int = 50) -> DataFrame:
+def assert_valid(df: DataFrame, allowed: Mapping[str, Sequence[str]] = ALLOWED,
+                 limits: Mapping[str, tuple[float, float]] = LIMITS, *, require_scores: bool = True) -> DataFrame:
     """V1: raise :class:`SchemaError` naming every problem; return ``df`` unchanged.
 
-    Only the aggregated violations table reaches the driver; unknown
-    categories are listed in sorted order (the first ``max_listed`` per column
-    in the message, with the total count).
+    The message lists every unknown category, so the rows of the aggregated violations table
+    come to the driver one partition at a time.
     """
-    v = violations(df, rules, require_scores=require_scores)
+    wording = {
+        "missing_column": "missing column '{c}'", "missing_values": "column '{c}' has {n} missing values",
+        "not_numeric": "column '{c}' must be numeric, got {d}", "below_min": "column '{c}' has values < {d}",
+        "above_max": "column '{c}' has values > {d}"}
     problems: list[str] = []
-    rows = v.where(F.col("problem") != "unknown_category").collect()
-    unk = v.where(F.col("problem") == "unknown_category")
-    # first ``max_listed`` values per column: WindowGroupLimit keeps the
-    # per-partition top-k before the shuffle, so no column's values gather whole
-    first = (unk.withColumn("rn", F.row_number().over(
-                Window.partitionBy("column_name").orderBy("detail")))
-             .where(F.col("rn") <= max_listed).select("column_name", "detail", "rn").collect())
-    totals = {r.column_name: r.k for r in
-              unk.groupBy("column_name").agg(F.count(F.lit(1)).alias("k")).collect()}
-    listed: dict[str, list[tuple[int, str]]] = {}
-    for r in first:
-        listed.setdefault(r.column_name, []).append((r.rn, r.detail))
-    for r in rows:
-        if r.problem == "missing_column":
-            problems.append(f"missing column '{r.column_name}'")
-        elif r.problem == "missing_values":
-            problems.append(f"column '{r.column_name}' has {r.n} missing values")
-        elif r.problem == "not_numeric":
-            problems.append(f"column '{r.column_name}' must be numeric, got {r.detail}")
-        elif r.problem == "below_min":
-            problems.append(f"column '{r.column_name}' has values < {r.detail}")
-        elif r.problem == "above_max":
-            problems.append(f"column '{r.column_name}' has values > {r.detail}")
-    for name, vals in listed.items():
-        values = [d for _, d in sorted(vals)]
-        k = totals.get(name, len(values))
-        more = f" (+{k - len(values)} more)" if k > len(values) else ""
-        problems.append(f"column '{name}' has unknown categories {values}{more}")
+    unknown: dict[str, list[str]] = {}
+    for r in violations(df, allowed, limits, require_scores=require_scores).toLocalIterator():
+        if r.problem == "unknown_category":
+            unknown.setdefault(r.column_name, []).append(r.detail)
+        else:
+            problems.append(wording[r.problem].format(c=r.column_name, n=r.n, d=r.detail))
+    problems += [f"column '{c}' has unknown categories {sorted(values)}" for c, values in unknown.items()]
     if problems:
         raise SchemaError("DataFrame failed schema validation:\n  - " + "\n  - ".join(sorted(problems)))
     return df

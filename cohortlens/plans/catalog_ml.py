@@ -14,6 +14,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from cohortlens.functions.domain import LOG_MAXLEN
 from cohortlens.operators import attribution as AT
 from cohortlens.operators import features as X
 from cohortlens.operators import scoring as S
@@ -31,7 +32,6 @@ from cohortlens.sources.tables import read_table
 from cohortlens.streaming import prediction_log as PL
 
 ENG = with_ctes(STUDENTS, ENGINEERED)
-_MODELS: dict[tuple[str, str, str], PipelineModel] = {}
 
 
 def _eng(spark, sf_dir):
@@ -87,17 +87,15 @@ def dataset_fingerprint(spark, sf_dir):
 # --------------------------------------------------------------------------- models
 
 def _fitted(spark, sf_dir, task_name: str, cand_name: str) -> PipelineModel:
-    key = (sf_dir, task_name, cand_name)
-    if key not in _MODELS:
-        task = X.TASKS[task_name]
-        # read by several fit passes (row stats, indexers, the estimator): cache for the fit only
-        data = prepare(task, _eng(spark, sf_dir)).persist()
-        cand = {c.name: c for c in candidates(task.kind, 3 if task.kind == "multiclass" else 2)}[cand_name]
-        st = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL_COL).alias("s")).first()
-        ctx = {"n": float(st["n"]), "y_std": float(st["s"] or 1.0), "seed": 42}
-        _MODELS[key] = make_pipeline(data, list(task.features), cand, {}, ctx).fit(data)
-        data.unpersist()
-    return _MODELS[key]
+    task = X.TASKS[task_name]
+    # read by several fit passes (row stats, indexers, the estimator): cache for the fit only
+    data = prepare(task, _eng(spark, sf_dir)).persist()
+    cand = {c.name: c for c in candidates(task.kind, max(2, len(task.levels)))}[cand_name]
+    st = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL_COL).alias("s")).first()
+    ctx = {"n": float(st["n"]), "y_std": float(st["s"] or 1.0), "seed": 42}
+    model = make_pipeline(data, list(task.inputs), cand, {}, ctx).fit(data)
+    data.unpersist()
+    return model
 
 
 LIGHT = TrainConfig(cv_folds=3, cv_repeats=1, n_trials=3, parallelism=4,
@@ -127,7 +125,7 @@ def linear_attribution(spark, sf_dir):
     task = X.TASKS["at_risk"]
     eng = _eng(spark, sf_dir)
     model = _fitted(spark, sf_dir, "at_risk", "logistic_regression")
-    contrib = AT.linear_contributions(model, task, eng.select(KEY, *task.features),
+    contrib = AT.linear_contributions(model, task, eng.select(KEY, *task.inputs),
                                       SP.fixed_sample(eng, KEY, 200, 0), KEY)
     return AT.global_importance(contrib)
 
@@ -138,7 +136,7 @@ def local_explanations(spark, sf_dir):
     task = X.TASKS["at_risk"]
     eng = _eng(spark, sf_dir)
     model = _fitted(spark, sf_dir, "at_risk", "logistic_regression")
-    rows = eng.select(KEY, *task.features)
+    rows = eng.select(KEY, *task.inputs)
     contrib = AT.linear_contributions(model, task, rows, SP.fixed_sample(eng, KEY, 200, 0), KEY)
     return AT.local_explanation(contrib, rows, KEY, 3)
 
@@ -150,16 +148,16 @@ def shapley_coalition(spark, sf_dir):
     task = X.TASKS["at_risk"]
     eng = _eng(spark, sf_dir)
     model = _fitted(spark, sf_dir, "at_risk", "random_forest")
-    return AT.shapley_values(model, task, eng.select(KEY, *task.features), SP.fixed_sample(eng, KEY, 10, 1), KEY)
+    return AT.shapley_values(model, task, eng.select(KEY, *task.inputs), SP.fixed_sample(eng, KEY, 10, 1), KEY)
 
 
 @register("permutation_importance")
 def permutation_importance(spark, sf_dir):
-    """E5 + J7: permutation importance (3 repeats) of the logistic at-risk model."""
+    """E5 + J7: permutation importance (10 repeats) of the logistic at-risk model."""
     task = X.TASKS["at_risk"]
     model = _fitted(spark, sf_dir, "at_risk", "logistic_regression")
     data = prepare(task, _eng(spark, sf_dir))
-    return AT.permutation_importance(model, task, data, KEY, n_repeats=3)
+    return AT.permutation_importance(model, task, data, KEY, n_repeats=10)
 
 
 @register("scored_records")
@@ -171,7 +169,7 @@ def scored_records(spark, sf_dir):
     scored = model.transform(prepare(task, eng)).withColumn("p1", vector_to_array("probability")[1])
     thr = T.threshold_at_recall(scored, LABEL_COL, "p1", 0.8).select("threshold").first()["threshold"]
     gt = T.group_thresholds(scored, LABEL_COL, "p1", "lunch", 0.8, thr)
-    return S.score(eng.select(KEY, *task.features), model, task, threshold=thr, group_thresholds=gt,
+    return S.score(eng.select(KEY, *task.inputs), model, task, threshold=thr, group_thresholds=gt,
                    attribute="lunch", version="local")
 
 
@@ -181,7 +179,7 @@ def regression_records(spark, sf_dir):
     task = X.TASKS["math_score"]
     eng = _eng(spark, sf_dir)
     model = _fitted(spark, sf_dir, "math_score", "ridge")
-    return S.score(eng.select(KEY, *task.features), model, task, interval_q=9.24, alpha=0.1, version="local")
+    return S.score(eng.select(KEY, *task.inputs), model, task, interval_q=9.24, alpha=0.1, version="local")
 
 
 @register("multiclass_records")
@@ -190,7 +188,7 @@ def multiclass_records(spark, sf_dir):
     task = X.TASKS["performance_level"]
     eng = _eng(spark, sf_dir)
     model = _fitted(spark, sf_dir, "performance_level", "logistic_regression")
-    return S.score(eng.select(KEY, *task.features), model, task, version="local")
+    return S.score(eng.select(KEY, *task.inputs), model, task, version="local")
 
 
 # --------------------------------------------------------------------------- streaming
@@ -204,7 +202,9 @@ def _event_scorer() -> PipelineModel:
     return PipelineModel(stages=[st])
 
 
-@register("stream_scored")
+@register("stream_scored", f"""
+SELECT event_id, value, 1.0 / (1.0 + exp(-(value - 50.0) / 15.0)) AS _score, 'events' AS task
+FROM events ORDER BY event_id DESC LIMIT {LOG_MAXLEN}""", floats=["value", "_score"])
 def stream_scored(spark, sf_dir):
     """Stream the events table through a scorer into the prediction log
     (availableNow), then read the live window (latest 5,000 rows per task)."""
@@ -212,16 +212,16 @@ def stream_scored(spark, sf_dir):
     run = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     model = _event_scorer()
     q = PL.start_scoring_stream(spark, sf_dir, EVENT_SCHEMA, model.transform, "events", os.path.join(run, "log"),
-                                os.path.join(run, "ckpt"), glob="events.parquet")
+                                os.path.join(run, "ckpt"), glob="events.parquet", sequence="event_id")
     q.awaitTermination()
-    return PL.window(spark, os.path.join(run, "log"))
+    return PL.window(spark, os.path.join(run, "log")).select("event_id", "value", "_score", "task")
 
 
 @register("knn_scores")
 def knn_scores(spark, sf_dir):
-    """Exact 15-NN at-risk probabilities over size-checked training prototypes."""
+    """Exact 15-NN at-risk probabilities over the prototypes of at most KNN_FIT_ROWS labelled rows."""
     from pyspark.ml.functions import vector_to_array
     task = X.TASKS["at_risk"]
     model = _fitted(spark, sf_dir, "at_risk", "knn")
-    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.features))
+    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
     return out.select(KEY, vector_to_array("probability")[1].alias("probability"), "prediction")

@@ -44,7 +44,7 @@ def test_half_even_rounding(spark):
 
 def test_build_xy_multiclass_codes(spark):
     df = spark.createDataFrame([("low",), ("high",), ("weird",)], "performance_level string")
-    df = df.select(*[F.lit("x").alias(c) for c in X.BACKGROUND],
+    df = df.select(*[F.lit("x").alias(c) for c in X.CATEGORICAL_COLUMNS],
                    *[F.lit(1.0).alias(c) for c in ("math_score", "reading_score", "writing_score")],
                    "performance_level")
     codes = [r.label for r in X.build_xy(X.TASKS["performance_level"], df).collect()]

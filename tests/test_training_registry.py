@@ -36,7 +36,7 @@ def test_train_task_binary(spark, trained):
 def test_scoring_records_and_unknown_category(spark, trained):
     eng, res = trained
     task = X.TASKS["at_risk"]
-    rows = eng.select(KEY, *task.features).limit(5).withColumn(
+    rows = eng.select(KEY, *task.inputs).limit(5).withColumn(
         "gender", F.when(F.col(KEY) % 2 == 0, F.lit("other")).otherwise(F.col("gender")))
     out = S.score(rows, res.model, task, threshold=res.threshold, group_thresholds=res.group_thresholds,
                   attribute="lunch", version="v1").collect()
@@ -56,14 +56,14 @@ def test_request_frame_checks(spark):
 def test_linear_equals_coalition_shapley(spark, trained):
     eng, res = trained
     task = X.TASKS["at_risk"]
-    rows = eng.select(KEY, *task.features).limit(3)
+    rows = eng.select(KEY, *task.inputs).limit(3)
     bg = fixed_sample(eng, KEY, 10, 0)
     sv = {(r[KEY], r.feature): r.shap_value for r in AT.shapley_values(res.model, task, rows, bg, KEY).collect()}
     assert len(sv) == 15
     # efficiency: Shapley values sum to f(x) - E_bg f
     from pyspark.ml.functions import vector_to_array
     out = res.model.transform(rows).select(KEY, vector_to_array("probability")[1].alias("p")).collect()
-    base = res.model.transform(bg.select(*task.features)).select(
+    base = res.model.transform(bg.select(*task.inputs)).select(
         F.avg(vector_to_array("probability")[1])).first()[0]
     for r in out:
         assert sum(v for (k, _), v in sv.items() if k == r[KEY]) == pytest.approx(r.p - base, abs=1e-9)
@@ -153,10 +153,80 @@ def test_audit_drift_and_profile_sink(spark, trained):
                 group_thresholds=res.group_thresholds, mitigation_attribute="lunch")
     assert a["groups"].count() == 4 and a["mitigated"]["before_after"].count() == 4
     assert a["mitigated"]["overall_after"].first().recall >= 0.0
-    cur = eng.where("lunch = 'free/reduced'").select(*task.features)
+    cur = eng.where("lunch = 'free/reduced'").select(*task.inputs)
     rep = S.drift_for_task(res.model, task, eng, cur)
     assert rep["header"].first().status == "alert" and rep["scores"].count() == 1
     path = tempfile.mkdtemp(prefix="profile-")
     A.write_profile(A.profile(eng), path)
     assert spark.read.parquet(f"{path}/describe").count() == 3
     assert spark.read.text(f"{path}/profile_json").first().value.startswith("{")
+
+
+def test_knn_fits_on_a_bounded_number_of_rows(spark):
+    from cohortlens.operators.modeling import FEATURES_COL, LABEL_COL, KNNEstimator, candidates
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), float(i % 2)) for i in range(300)], [FEATURES_COL, LABEL_COL])
+    q = df.limit(20)
+    few = [KNNEstimator(k=3, kind="binary", max_rows=50).fit(d).transform(q).select("prediction").collect()
+           for d in (df, df.repartition(7))]
+    assert few[0] == few[1]  # the same rows whatever the partitions
+    knn = {c.name: c for c in candidates("regression")}["knn"]
+    assert knn.build({"max_rows": 7}, {})[0].max_rows == 7
+
+
+def test_failing_candidate_is_a_row_of_the_board(spark, monkeypatch):
+    from cohortlens.operators import training as TR
+    eng = X.engineer(D.students(spark, SF)).limit(400)
+    task = X.TASKS["at_risk"]
+    real = TR.cross_validate
+
+    def failing(t, folds, cand, *rest):
+        if cand.name == "baseline":
+            raise ValueError("no fit")
+        return real(t, folds, cand, *rest)
+
+    monkeypatch.setattr(TR, "cross_validate", failing)
+    cfg = TR.TrainConfig(cv_folds=2, cv_repeats=1, n_trials=0, candidates=("baseline", "logistic_regression"))
+    board, primary = TR.leaderboard(task, TR.prepare(task, eng), cfg)
+    rows = {r.model: r for r in board.collect()}
+    assert rows["baseline"].state == "FAIL" and "no fit" in rows["baseline"].error
+    assert rows["logistic_regression"].state == "COMPLETE" and set(primary) == {"logistic_regression"}
+
+
+def test_multiclass_attribution(spark):
+    from pyspark.ml.functions import vector_to_array
+    from cohortlens.operators.modeling import candidates, make_pipeline
+    from cohortlens.operators.training import prepare
+    eng = X.engineer(D.students(spark, SF)).limit(600).persist()
+    task = X.TASKS["performance_level"]
+    data = prepare(task, eng)
+    zoo = {c.name: c for c in candidates("multiclass", 3)}
+    ctx = {"n": 600.0, "y_std": 1.0, "seed": 1}
+    model = make_pipeline(data, list(task.inputs), zoo["logistic_regression"], {}, ctx).fit(data)
+    rows, bg = eng.select(KEY, *task.inputs).orderBy(KEY).limit(4), fixed_sample(eng, KEY, 5, 0)
+    sv = AT.shapley_values(model, task, rows, bg, KEY).collect()
+    out = model.transform(rows).select(KEY, vector_to_array("probability").alias("p"), F.col("prediction").cast("int").alias("c")).collect()
+    base = model.transform(bg.select(*task.inputs)).select(*[F.avg(vector_to_array("probability")[i]) for i in range(3)]).first()
+    for r in out:  # efficiency, for the class predicted for the row itself
+        assert sum(v.shap_value for v in sv if v[KEY] == r[KEY]) == pytest.approx(r.p[r.c] - base[r.c], abs=1e-9)
+    bundle = AT.explain_bundle(model, task, rows, bg, KEY)
+    assert bundle["kind"] == "linear"
+    stage = model.stages[-1].coefficientMatrix.toArray()
+    x = model.transform(rows).select(vector_to_array("features").alias("x")).collect()
+    m = model.transform(bg).select(vector_to_array("features").alias("x")).collect()
+    mu = [sum(r.x[i] for r in m) / len(m) for i in range(len(m[0].x))]
+    want = sum(abs(stage[c][i] * (r.x[i] - mu[i])) for r in x for i in range(len(mu)) for c in range(3)) / (3 * len(x))
+    assert sum(r.importance for r in bundle["global"].collect()) == pytest.approx(want, rel=1e-9)
+
+
+def test_rbf_model_is_not_explained_as_linear(spark):
+    from cohortlens.operators.modeling import candidates, make_pipeline
+    from cohortlens.operators.training import prepare
+    eng = X.engineer(D.students(spark, SF)).limit(300).persist()
+    task = X.TASKS["at_risk"]
+    data = prepare(task, eng)
+    cand = {c.name: c for c in candidates("binary")}["svm_rbf"]
+    model = make_pipeline(data, list(task.inputs), cand, {}, {"n": 300.0, "y_std": 1.0, "seed": 1}).fit(data)
+    bundle = AT.explain_bundle(model, task, eng.select(KEY, *task.inputs).limit(3), fixed_sample(eng, KEY, 4, 0), KEY)
+    assert bundle["kind"] == "coalition"
+    assert bundle["contributions"].where("source is null or contribution is null").count() == 0
