@@ -1,8 +1,7 @@
 """Conformal prediction intervals.
 
-The half-width is an exact order statistic of the absolute residuals, found
-with counts per distinct value and distributed running sums: no sort of the
-whole column into one task and no ``percentile`` buffer.
+The half-width is an exact order statistic of the absolute residuals: only the
+value range that holds it is sorted, and no ``percentile`` buffer is kept.
 """
 
 from __future__ import annotations
@@ -12,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.joins import join_dimension
-from cohortlens.operators.ordered import running_totals
+from cohortlens.operators.ordered import kth_values
+from cohortlens.session import cut_lineage
 
 
 def conformal_quantile(df: DataFrame, residual: str, alpha: float,
@@ -27,18 +26,14 @@ def conformal_quantile(df: DataFrame, residual: str, alpha: float,
         raise ValueError(f"alpha must be in (0, 1), got {alpha}")
     k = list(keys)
     a = F.abs(F.col(residual).cast("double"))
-    counts = df.where(a.isNotNull() & ~F.isnan(a)).groupBy(*k, a.alias("v")).agg(
-        F.count(F.lit(1)).alias("c"))
-    cum = running_totals(counts, k, ["v"], ["c"])
-    nk = counts.groupBy(*k).agg(F.sum("c").alias("n")).withColumn(
+    v = cut_lineage(df.where(a.isNotNull() & ~F.isnan(a)).select(*k, a.alias("v")))
+    nk = v.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).where("n > 0").withColumn(
         "k", F.ceil((F.col("n") + 1).cast("double") * F.lit(1.0 - alpha)).cast("long"))
-    nk = nk.withColumn("__r", F.least(F.col("k"), F.col("n")))
+    rank = nk.select(*k, F.lit(0).alias("tid"), F.least("k", "n").alias("rank"))
+    found = kth_values(v, "v", rank, k, materialize=False).select(*k, F.col("value").alias("quantile"))
     if k:
-        j = join_dimension(cum, nk, k)
-    else:
-        j = cum.withColumns({c: nk.select(c).scalar() for c in ("n", "k", "__r")})
-    hit = j.where((F.col("cum_c") - F.col("c") < F.col("__r")) & (F.col("__r") <= F.col("cum_c")))
-    return hit.select(*k, "n", "k", F.col("v").alias("quantile"))
+        return nk.join(found, k)
+    return nk.withColumn("quantile", found.select("quantile").scalar())
 
 
 def require_residuals(q: DataFrame) -> DataFrame:

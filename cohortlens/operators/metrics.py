@@ -214,14 +214,14 @@ def threshold_sweep(df: DataFrame, y: str, score: str, grid: Sequence[float] | N
 
 # ----------------------------------------------------------------------------- threshold metrics
 
+def _confusion(y: str, pred: Column) -> list[Column]:
+    lab, pr = F.col(y).cast("int"), pred.cast("int")
+    cells = {"tp": (1, 1), "fp": (0, 1), "tn": (0, 0), "fn": (1, 0)}
+    return [F.count_if((lab == a) & (pr == b)).cast("double").alias(c) for c, (a, b) in cells.items()]
+
+
 def confusion_counts(df: DataFrame, y: str, pred: Column, keys: Sequence[str] = ()) -> DataFrame:
-    lab = F.col(y).cast("int")
-    pr = pred.cast("int")
-    return df.groupBy(*_keys(keys)).agg(
-        F.count_if((lab == 1) & (pr == 1)).cast("double").alias("tp"),
-        F.count_if((lab == 0) & (pr == 1)).cast("double").alias("fp"),
-        F.count_if((lab == 0) & (pr == 0)).cast("double").alias("tn"),
-        F.count_if((lab == 1) & (pr == 0)).cast("double").alias("fn"))
+    return df.groupBy(*_keys(keys)).agg(*_confusion(y, pred))
 
 
 def binary_metrics(df: DataFrame, y: str, score: str, threshold: float = 0.5,
@@ -236,19 +236,19 @@ def binary_metrics(df: DataFrame, y: str, score: str, threshold: float = 0.5,
         F.avg((s - lab) * (s - lab)).alias("brier"),
         F.avg(-F.when(lab == 1, F.log(p1)).otherwise(F.log(F.lit(1.0) - p1))).alias("log_loss"),
         F.avg(lab).alias("positive_rate"),
-        F.avg((s >= F.lit(threshold)).cast("double")).alias("flagged_rate"))
-    cc = confusion_counts(df, y, s >= F.lit(threshold), k)
+        F.avg((s >= F.lit(threshold)).cast("double")).alias("flagged_rate"),
+        *_confusion(y, s >= F.lit(threshold)))
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     prec = E.safe_div(tp, tp + fp)
     rec = E.safe_div(tp, tp + fn)
     tnr = F.try_divide(tn, tn + fp)
     tpr = F.try_divide(tp, tp + fn)
-    cm = cc.select(*k,
-                   F.try_divide(tp + tn, tp + tn + fp + fn).alias("accuracy"),
-                   F.coalesce((tpr + tnr) / 2.0, tpr, tnr).alias("balanced_accuracy"),
-                   prec.alias("precision"), rec.alias("recall"),
-                   E.f_beta(tp, fp, fn, 1.0).alias("f1"),
-                   E.safe_div(5.0 * prec * rec, F.greatest(4.0 * prec + rec, F.lit(1e-12))).alias("f2"))
+    out = base.withColumns({
+        "accuracy": F.try_divide(tp + tn, tp + tn + fp + fn),
+        "balanced_accuracy": F.coalesce((tpr + tnr) / 2.0, tpr, tnr),
+        "precision": prec, "recall": rec,
+        "f1": E.f_beta(tp, fp, fn, 1.0),
+        "f2": E.safe_div(5.0 * prec * rec, F.greatest(4.0 * prec + rec, F.lit(1e-12)))}).drop("tp", "fp", "tn", "fn")
     # ROC-AUC and AP from one descending cumulative table:
     # negatives strictly below s = N - fp(s), fp(s) counting scores >= s
     c = _desc_counts(df, y, score, k, n_buckets)
@@ -257,10 +257,15 @@ def binary_metrics(df: DataFrame, y: str, score: str, threshold: float = 0.5,
                      F.first("P") * F.first("N")).alias("roc_auc"),
         F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))),
                      F.first("P")).alias("average_precision"))
-    out = base
-    for part in (cm, rank):
-        out = out.join(part, k) if k else out.join(part)
-    return out.withColumn("threshold", F.lit(float(threshold)))
+    return _beside(out, rank, k).withColumn("threshold", F.lit(float(threshold)))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of ``right`` beside those of ``left``: by key, or one row as a scalar subquery."""
+    if keys:
+        return left.join(right, keys)
+    one = right.select(F.struct(*right.columns).alias("__one"))
+    return left.withColumn("__one", one.scalar()).select(*left.columns, "__one.*")
 
 
 def long_metrics(wide: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -350,7 +355,4 @@ def multiclass_metrics(df: DataFrame, y: str, prob_cols: Sequence[str],
         "p")
     auc = roc_auc(ovr_in, "yb", "p", [*k, "__cls"], n_buckets).groupBy(*k).agg(
         F.avg("roc_auc").alias("roc_auc_ovr"))
-    out = cls
-    for part in (auc, ll):
-        out = out.join(part, k) if k else out.join(part)
-    return out
+    return _beside(_beside(cls, auc, k), ll, k)
