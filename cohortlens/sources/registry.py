@@ -38,7 +38,7 @@ MODELS_SCHEMA = T.StructType([
     T.StructField("cv_score", T.DoubleType()), T.StructField("fingerprint", T.StringType()),
     T.StructField("path", T.StringType()), T.StructField("created_at", T.TimestampType()),
     T.StructField("spark_version", T.StringType()), T.StructField("python_version", T.StringType()),
-    T.StructField("complete", T.BooleanType()),
+    T.StructField("complete", T.BooleanType()), T.StructField("details", T.StringType()),
 ])
 
 
@@ -96,14 +96,19 @@ class ModelRegistry:
              params: Mapping[str, Any], metrics: Mapping[str, Any], leaderboard: DataFrame | None = None,
              tuning: DataFrame | None = None, threshold: float | None = None, conformal_q: float | None = None,
              cv_score: float | None = None, fingerprint_value: str | None = None,
-             version: str | None = None) -> str:
+             version: str | None = None, details: Mapping[str, Any] | None = None,
+             tables: Mapping[str, DataFrame] | None = None) -> str:
+        """One version of a task: the model, its scalars, ``details`` (features, row counts, interval
+        level and bounds, mitigation attribute ...) and ``tables`` by name (group thresholds, fairness, importance ...)."""
         version = version or version_stamp()
+        for name, df in (tables or {}).items():
+            df.write.mode("overwrite").parquet(self._p(f"artifacts/{task}/{version}/{name}"))
         path = self._p(f"artifacts/{task}/{version}/model")
         model.write().overwrite().save(path)
         row = (task, version, model_name, family, json.dumps(dict(params), sort_keys=True, default=str),
                json.dumps(dict(metrics), sort_keys=True, default=str), threshold, conformal_q, cv_score,
                fingerprint_value, path, datetime.now(timezone.utc).replace(tzinfo=None), pyspark.__version__,
-               platform.python_version(), True)
+               platform.python_version(), True, json.dumps(dict(details or {}), sort_keys=True, default=str))
         self.spark.createDataFrame([row], MODELS_SCHEMA).write.mode("append").partitionBy("task").parquet(
             self._p("models"))
         if leaderboard is not None:
@@ -150,7 +155,21 @@ class ModelRegistry:
         row = self.models().where((F.col("task") == task) & (F.col("version") == version)).first()
         if row is None:
             raise FileNotFoundError(f"Version {version} of task '{task}' not found")
-        return PipelineModel.load(row["path"]), row.asDict()
+        return PipelineModel.load(row["path"]), {**row.asDict(), "details": json.loads(row["details"] or "{}")}
+
+    def table(self, task: str, name: str, version: str | None = None) -> DataFrame | None:
+        """A table that was saved with a version (the latest by default); none if it has no such table."""
+        path = self._p(f"artifacts/{task}/{version or self.latest_version(task)}/{name}")
+        return self.spark.read.parquet(path) if path_exists(self.spark, path) else None
+
+    def fairness(self, task: str, version: str | None = None) -> DataFrame | None:
+        """The stored subgroup audit of a model."""
+        return self.table(task, "fairness", version)
+
+    def importance(self, task: str, version: str | None = None) -> DataFrame | None:
+        """The stored feature importance of a model, largest first."""
+        found = self.table(task, "importance", version)
+        return found if found is None else found.orderBy(F.desc("importance"))
 
     # ---------------------------------------------------------------- S15, S16, S22
     def leaderboard(self, task: str, version: str | None = None) -> DataFrame:
