@@ -195,7 +195,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 #: documents in a family up to which they are paired with a query directly
 FEW = 32
 
-RELATION = "id long, f long, label long, large boolean, n long, inter long, linked boolean, private array<long>"
+RELATION = "id long, f long, label long, n long, inter long, linked boolean, private array<long>"
 
 
 def _relate(pct: int):
@@ -203,46 +203,53 @@ def _relate(pct: int):
     def run(batches):
         for b in batches:
             rows = []
-            for i, f, g, gf, large, x, y in zip(*(c.to_pylist() for c in b.columns)):
+            for i, f, g, gf, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.isin(p, q, assume_unique=True)
                 inter = int(both.sum())
                 linked = 100 * inter >= pct * (len(p) + len(q) - inter)
-                rows.append((i, f, gf if linked else g, large, len(p), inter, linked, tc.signed(p[~both]) if large else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+                rows.append((i, f, gf if linked else g, len(p), inter, linked, tc.signed(p[~both])))
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)],
-                                             names=["id", "f", "label", "large", "n", "inter", "linked", "private"])
+                                             names=["id", "f", "label", "n", "inter", "linked", "private"])
     return run
 
 
+def _sides(cols: list[str], of: DataFrame, tag: str) -> DataFrame:
+    return of.select("f", *[F.col(c).alias(f"{c}_{tag}") for c in cols])
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
+def _few(asks: DataFrame, family: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a query and a member of a small family, of different groups."""
+    few = asks.filter("not large")
+    own = few.join(family.select("id", "f"), ["id", "f"], "left_semi")
+    return _pairs(_sides(["id", "g"], few, "x").join(_sides(["id", "g"], own, "y"), "f").filter("g_x <> g_y"))
+
+
 def _within(relation: DataFrame, family: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) of one family, of different groups, that can reach the threshold.
+    """The pairs (a, b) of one large family, of different groups, that can reach the threshold.
 
-    In a large family two documents share either a token that the pivot lacks, or no more than each shares with the
+    Two documents share either a token that the pivot lacks, or no more than each shares with the
     pivot. The first are found by these tokens; for the second, |x n y| <= min(|x n p|, |y n p|) is a bound that
     depends on (size, overlap) only, so it is tested between the distinct profiles of a family.
     """
     own = relation.join(family.select("id", "f"), ["id", "f"], "left_semi")
-
-    def sides(cols: list[str], of: DataFrame, tag: str) -> DataFrame:
-        return of.select("f", *[F.col(c).alias(f"{c}_{tag}") for c in cols])
-
-    def pairs(df: DataFrame) -> DataFrame:
-        return df.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-
-    few = pairs(sides(["id", "label"], relation.filter("not large"), "x").join(sides(["id", "label"], own.filter("not large"), "y"), "f")
-                .filter("label_x <> label_y"))
-    token = pairs(sides(["id", "label", "t"], relation.filter("large").withColumn("t", F.explode("private")), "x").withColumnRenamed("t_x", "t")
-                  .join(sides(["id", "label", "t"], own.filter("large").withColumn("t", F.explode("private")), "y").withColumnRenamed("t_y", "t"), ["f", "t"])
-                  .filter("label_x <> label_y"))
+    cols = ["id", "label", "t"]
+    token = _pairs(_sides(cols, relation.withColumn("t", F.explode("private")), "x").withColumnRenamed("t_x", "t")
+                   .join(_sides(cols, own.withColumn("t", F.explode("private")), "y").withColumnRenamed("t_y", "t"), ["f", "t"])
+                   .filter("label_x <> label_y"))
     profile = ["label", "n", "inter"]
-    able = f"large and 100 * inter >= {pct} * n"
+    able = f"100 * inter >= {pct} * n"
     x, y = relation.filter(able), own.filter(able)
-    fit = (sides(profile, x.select("f", *profile).distinct(), "x").join(sides(profile, y.select("f", *profile).distinct(), "y"), "f")
+    fit = (_sides(profile, x.select("f", *profile).distinct(), "x").join(_sides(profile, y.select("f", *profile).distinct(), "y"), "f")
            .filter(f"label_x <> label_y and {100 + pct} * least(inter_x, inter_y) >= {pct} * (n_x + n_y)"))
-    near = pairs(fit.join(sides(["id", *profile], x, "x"), ["f", *[f"{c}_x" for c in profile]])
-                 .join(sides(["id", *profile], y, "y"), ["f", *[f"{c}_y" for c in profile]]))
-    return union_all([few, token, near]).distinct()
+    near = _pairs(fit.join(_sides(["id", *profile], x, "x"), ["f", *[f"{c}_x" for c in profile]])
+                  .join(_sides(["id", *profile], y, "y"), ["f", *[f"{c}_y" for c in profile]]))
+    return token.unionByName(near).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
@@ -331,18 +338,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = family.groupBy("f").agg((F.count("*") > FEW).alias("large"))
     asks = tmp.put(family.select("id", "f").unionByName(opened).join(size, "f")
                    .join(group.select("id", "g"), "id").join(group.select(F.col("id").alias("f"), F.col("g").alias("gf")), "f"))
-    need = asks.select("id").unionByName(asks.select(F.col("f").alias("id"))).distinct()
-    sets = tmp.put(_sets_of(src, need, k))
-    relation = tmp.put(asks.join(sets, "id").join(sets.select(F.col("id").alias("f"), F.col("tokens").alias("pivot")), "f")
-                       .select("id", "f", "g", "gf", "large", "tokens", "pivot").mapInArrow(_relate(pct), RELATION))
-    more = tmp.put(bounded(_within(relation, family, pct)))
-    links = [near, relation.filter("linked and id <> f").select(F.col("id").alias("a"), F.col("f").alias("b")),
-             tmp.put(_verify(more, sets, pct)), equal.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
-    tmp.drop(sets, asks)
+    # small families are paired directly; only large ones need what their members share with the pivot
+    near_by = tmp.put(bounded(_few(asks, family)))
+    large = asks.filter("large")
+    need = union_all([near_by.select(F.col("a").alias("id")), near_by.select(F.col("b").alias("id")),
+                      large.select("id"), large.select(F.col("f").alias("id"))]).distinct()
+    links = [near, equal.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))]
+    if need.limit(1).count():
+        sets = tmp.put(_sets_of(src, need, k))
+        relation = tmp.put(large.join(sets, "id").join(sets.select(F.col("id").alias("f"), F.col("tokens").alias("pivot")), "f")
+                           .select("id", "f", "g", "gf", "tokens", "pivot").mapInArrow(_relate(pct), RELATION))
+        more = near_by.unionByName(bounded(_within(relation, family, pct)))
+        links += [tmp.put(_verify(more, sets, pct)),
+                  tmp.put(relation.filter("linked and id <> f").select(F.col("id").alias("a"), F.col("f").alias("b")))]
+        tmp.drop(sets, relation)
+    tmp.drop(asks, near_by)
     final = components(union_all(links), tmp)
     out = (rows.select("id", "n").join(final.withColumnRenamed("node", "id"), "id", "left")
            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id")))
-    tmp.drop(shared, pairs, between, open_entries, family, more, reps)
+    tmp.drop(shared, pairs, between, open_entries, family, reps)
     return out
 
 
