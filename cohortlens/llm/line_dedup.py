@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import textcols as tc
+from cohortlens.llm.jaccard_join import ID_BITS, _id_filter
 from cohortlens.llm.tables import Scratch, pick, ship, table
 
 RARE = 64
@@ -243,6 +244,16 @@ def _cut(batches: Iterator[pa.RecordBatch]):
              pa.array(clean, pa.string())], names=["row", "n_lines", "n_removed", "n_removed_words", "clean"])
 
 
+def _maybe(held):
+    def run(batches):
+        bits = held.value.view(np.uint64)
+        for b in batches:
+            at = np.asarray(b.column(3)).view(np.uint64) >> tc.U(64 - ID_BITS)
+            hit = ((bits[(at >> tc.U(6)).astype(np.int64)] >> (at & tc.U(63))) & tc.U(1)).astype(bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(hit)], names=["row", "id", "text", "maybe"])
+    return run
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                rare: int = RARE) -> DataFrame:
     """``docs`` with n_lines, n_removed, n_removed_words and ``clean``: the text that is left (null: unchanged).
@@ -257,8 +268,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return (rows.join(gone, "id", "left").select("row", "text", "n", "s1", "s2", "spans")
-            .mapInArrow(_cut, f"row {kind}, {CUT}"))
+    # texts that surely lose nothing (by a broadcast filter of fixed size) are not shuffled for the join
+    held = spark.sparkContext.broadcast(_id_filter(gone.select("id")))
+    told = rows.withColumn("h", F.xxhash64("id")).mapInArrow(
+        _maybe(held), f"row {kind}, id long, text string, maybe boolean")
+    cols = ["row", "text", "n", "s1", "s2", "spans"]
+    none = told.filter("not maybe").select("row", "text", *[F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in cols[2:]])
+    some = told.filter("maybe").join(gone, "id", "left").select(*cols)
+    return none.unionByName(some).mapInArrow(_cut, f"row {kind}, {CUT}")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
