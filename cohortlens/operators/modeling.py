@@ -389,10 +389,10 @@ def knn_aggregate(x: np.ndarray, pts: np.ndarray, w: np.ndarray, k: int, kind: s
 
 
 class KNNEstimator(Estimator):
-    """Fits on at most ``max_rows`` labelled rows, the first in order of a hash of vector and label.
+    """Fits on all labelled rows, collapsed to prototypes: distinct vectors with the counts of their labels.
 
-    The bound holds at every size of the training table, so a larger one changes which rows are
-    neighbours, never whether or how the model is fitted. The rows become the model's prototypes.
+    ``max_rows`` bounds the prototypes only. Where there are more distinct vectors, those with the smallest hash of
+    the vector alone stay, each with all its rows, so no vector loses a part of its labels.
     """
 
     def __init__(self, k: int = 5, kind: str = "binary", n_classes: int = 2, max_rows: int = KNN_FIT_ROWS):
@@ -402,13 +402,13 @@ class KNNEstimator(Estimator):
     def _fit(self, df: DataFrame) -> KNNModel:
         from pyspark.ml.functions import vector_to_array
         rows = df.select(vector_to_array(FEATURES_COL).alias("p"), F.col(LABEL_COL).cast("double").alias("y"))
-        used = rows.orderBy(F.xxhash64("p", "y"), "p", "y").limit(self.max_rows).groupBy("p")
+        by_vector = rows.groupBy("p")
         if self.kind_ == "regression":
-            protos = used.agg(F.array(F.count(F.lit(1)).cast("double"), F.sum("y")).alias("w"))
+            protos = by_vector.agg(F.array(F.count(F.lit(1)).cast("double"), F.sum("y")).alias("w"))
         else:
-            protos = used.agg(F.array(*[F.count_if(F.col("y") == float(i)).cast("double")
+            protos = by_vector.agg(F.array(*[F.count_if(F.col("y") == float(i)).cast("double")
                                         for i in range(self.n_classes)]).alias("w"))
-        found = protos.orderBy("p").collect()  # at most max_rows
+        found = sorted(protos.orderBy(F.xxhash64("p"), "p").limit(self.max_rows).collect(), key=lambda r: list(r.p))
         return KNNModel(self.k_, self.kind_, [list(r.p) for r in found], [list(r.w) for r in found])
 
 

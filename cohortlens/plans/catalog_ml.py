@@ -224,7 +224,7 @@ def stream_scored(spark, sf_dir):
 
 @register("knn_scores")
 def knn_scores(spark, sf_dir):
-    """Exact 15-NN at-risk probabilities over the prototypes of at most KNN_FIT_ROWS labelled rows."""
+    """Exact 15-NN at-risk probabilities over the prototypes (distinct vectors) of all labelled rows."""
     from pyspark.ml.functions import vector_to_array
     task = X.TASKS["at_risk"]
     model = _fitted(spark, sf_dir, "at_risk", "knn")
