@@ -11,9 +11,10 @@ words are ignored. The operator
    lines that can qualify has such a line or such a pair, so nothing is capped, and links stay
    linear in the number of lines;
 3. aligns each linked pair with patience diff: lines unique in both documents, their longest
-   increasing subsequence, then the gaps between in the same way, with common heads and tails;
-4. deletes from the later document the aligned blocks of ``min_words`` words or more. Since partners
-   are first holders, the first copy of each line always stays.
+   increasing subsequence, then the gaps between in the same way, with common heads and tails. What that
+   cannot align (lines that repeat, blocks in another order) is looked up by the shortest runs of ``min_words`` words;
+4. deletes from the later document the common runs of lines of ``min_words`` words or more, so none
+   remains. Since partners are first holders, the first copy of each line always stays.
 
 Nulls and texts without words have no lines and stay as they are; a null id links with nothing. Rows that
 repeat an id count as one document, with the largest (number of lines, signature) of its texts; a row with other lines is
@@ -143,18 +144,45 @@ def patience(x: list[int], y: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def least_runs(words, first, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the shortest runs of a document's lines with ``least`` words, from each line on and up to each line.
+
+    Together they cover every longer run. ``first`` is the first line of each document, and the end.
+    """
+    total = np.concatenate([[0], np.cumsum(np.asarray(words, np.int64))])
+    n = len(total) - 1
+    at, size = np.arange(n), np.diff(first)
+    end, begin = np.repeat(first[1:], size), np.repeat(first[:-1], size)
+    stop = np.searchsorted(total, total[:-1] + least)
+    start = np.searchsorted(total, total[1:] - least, "right") - 1
+    on, up = stop <= end, start >= begin
+    runs = np.unique(np.concatenate([at[on] * (n + 1) + stop[on], start[up] * (n + 1) + at[up] + 1]))
+    return runs // (n + 1), runs % (n + 1)
+
+
 def blocks(x: list[int], y: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
-    """Ranges of ``y`` that are aligned with successive lines of ``x`` and have ``least`` words."""
-    out = []
+    """Ranges of ``y`` in runs of lines that ``x`` has in succession too and that have ``least`` words.
+
+    Patience diff aligns what it can; runs of lines that repeat or blocks that moved are looked up in what it leaves.
+    """
+    hit = [False] * len(y)
     start = last = None
     for i, j in [*patience(x, y), (-9, -9)]:
         if last is not None and (i, j) == (last[0] + 1, last[1] + 1):
             last = (i, j)
             continue
         if start is not None and sum(words[start: last[1] + 1]) >= least:
-            out.append((start, last[1] + 1))
+            hit[start: last[1] + 1] = [True] * (last[1] + 1 - start)
         start, last = j, (i, j)
-    return out
+    if not all(hit):
+        known = dict(zip(y, words))
+        sizes = [known.get(v, least) for v in x]  # a line that y has not is in no common run
+        held = {tuple(x[lo:hi]) for lo, hi in zip(*(r.tolist() for r in least_runs(sizes, [0, len(x)], least)))}
+        for lo, hi in zip(*(r.tolist() for r in least_runs(words, [0, len(y)], least))):
+            if tuple(y[lo:hi]) in held:
+                hit[lo:hi] = [True] * (hi - lo)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
 SPANS = "id long, spans array<struct<lo:int,hi:int>>"

@@ -24,6 +24,24 @@ def test_blocks_need_words():
     assert blocks([1, 2], [1, 9, 2], [10, 1, 10], 20) == []
 
 
+def common_runs(x, y, words, least):
+    """By plain search: the lines of ``y`` in any run of ``least`` words that ``x`` has too."""
+    return {t for a in range(len(y)) for b in range(a + 1, len(y) + 1) if sum(words[a:b]) >= least
+            and any(x[i: i + b - a] == y[a:b] for i in range(len(x))) for t in range(a, b)}
+
+
+def test_blocks_find_repeated_and_moved_lines():
+    assert blocks([1, 2, 1], [3, 1, 4], [5, 60, 5], 20) == [(1, 2)]
+    assert blocks([2, 1], [3, 1, 4, 1, 5], [5, 60, 5, 60, 5], 20) == [(1, 2), (3, 4)]
+    assert blocks([1, 2, 9, 3, 4], [3, 4, 8, 1, 2], [30, 30, 5, 30, 30], 20) == [(0, 2), (3, 5)]
+    rng = random.Random(3)
+    size = [rng.randrange(1, 25) for _ in range(8)]
+    for _ in range(400):
+        x, y = ([rng.randrange(8) for _ in range(rng.randrange(14))] for _ in range(2))
+        words = [size[v] for v in y]
+        assert {t for lo, hi in blocks(x, y, words, 20) for t in range(lo, hi)} == common_runs(x, y, words, 20)
+
+
 def brute(rows, rare=RARE, least=MIN_WORDS):
     """The operator's rule by plain search: which lines each document keeps."""
     lines = {i: [ln for ln in (t or "").split("\n") if ln.encode().split()] for i, t in rows}
