@@ -5,11 +5,10 @@ words are ignored. The operator
 
 1. reduces each document to its line hashes (8 bytes a line), and documents with equal line sequences to
    the first of them: the later ones are one aligned block, wholly deleted;
-2. finds partners: a document is linked with the first document (smallest id) that holds one of
-   its *rare* lines (in at most ``rare`` documents). A line in more documents links if it has
-   ``min_words`` words on its own, and each pair of successive lines links too. A block of frequent
-   lines that can qualify has such a line or such a pair, so nothing is capped, and links stay
-   linear in the number of lines;
+2. finds partners: for each line, the shortest run of successive lines with ``min_words`` words that begins with it, and
+   the one that ends with it, are hashed; a document is linked with the first document (smallest id) that holds
+   such a run. Every longer common run is covered by such runs, so each has its true first holder as a partner,
+   nothing is capped, and links stay linear in the number of lines;
 3. aligns each linked pair with patience diff: lines unique in both documents, their longest
    increasing subsequence, then the gaps between in the same way, with common heads and tails. What that
    cannot align (lines that repeat, blocks in another order) is looked up by the shortest runs of ``min_words`` words;
@@ -185,6 +184,25 @@ def blocks(x: list[int], y: list[int], words: list[int], least: int) -> list[tup
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+def _run_keys(least: int):
+    """(id, lines, words) -> (id, k1, k2): two hashes of each of the least runs of a document."""
+    def run(batches):
+        for b in batches:
+            size = np.diff(np.asarray(b.column(1).offsets))
+            first = np.concatenate([[0], np.cumsum(size)])
+            h = np.asarray(b.column(1).flatten()).view(np.uint64)
+            lo, hi = least_runs(np.asarray(b.column(2).flatten()), first, least)
+            p, q = tc.powers(len(h))
+            keys = []
+            for x in (tc.mix(h), tc.mix(h ^ tc.ODD)):
+                total = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(x * p[: len(h)], out=total[1:])
+                keys.append(pa.array(tc.signed(tc.mix((total[hi] - total[lo]) * q[lo] + (hi - lo).astype(np.uint64)))))
+            owner = np.searchsorted(first, lo, "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), *keys], names=["id", "k1", "k2"])
+    return run
+
+
 SPANS = "id long, spans array<struct<lo:int,hi:int>>"
 
 
@@ -204,7 +222,7 @@ def _align(least: int):
     return run
 
 
-def _removed(docs: DataFrame, min_words: int, rare: int, tmp: Scratch) -> DataFrame:
+def _removed(docs: DataFrame, min_words: int, tmp: Scratch) -> DataFrame:
     """(id, n, s1, s2, spans): the line ranges to delete, of documents that lose any."""
     rows = tmp.put(docs.mapInArrow(_read, LINES).filter("id is not null and n > 0"))
     nodes = rows.groupBy("id").agg(F.max(F.struct("n", "s1", "s2", "lines", "words")).alias("v")).select("id", "v.*")
@@ -215,15 +233,9 @@ def _removed(docs: DataFrame, min_words: int, rare: int, tmp: Scratch) -> DataFr
     copied = tmp.put(nodes.select("id", "n", "s1", "s2").join(lead, ["n", "s1", "s2"]).select("id", "n", "s1", "s2", "rep"))
     reps = tmp.put(nodes.join(copied.filter("id = rep").select("id"), "id", "left_semi").select("id", "lines", "words"))
 
-    line = reps.select("id", F.explode(F.arrays_zip("lines", "words")).alias("x")).select(
-        "id", F.col("x.lines").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("x.words").alias("words"))
-    pair = reps.filter("size(lines) > 1").select("id", F.explode(F.expr(
-        "transform(sequence(1, size(lines) - 1), i -> struct(lines[i - 1] as k1, lines[i] as k2))")).alias("x")).select(
-        "id", "x.k1", "x.k2", F.lit(-1).alias("words"))
-    keys = tmp.put(line.unionByName(pair).dropDuplicates(["id", "k1", "k2", "words"]))
-    held = (keys.groupBy("k1", "k2", "words").agg(F.min("id").alias("first"), F.count("*").alias("df"))
-            .filter(f"df > 1 and (words < 0 or df <= {rare} or words >= {min_words})").select("k1", "k2", "words", "first"))
-    links = keys.join(held, ["k1", "k2", "words"]).filter("id <> first").select("id", "first").distinct()
+    keys = tmp.put(reps.mapInArrow(_run_keys(min_words), "id long, k1 long, k2 long"))
+    held = keys.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    links = keys.join(held, ["k1", "k2"]).filter("id <> first").select("id", "first").distinct()
     later = reps.select("id", F.col("lines").alias("y"), "words")
     early = reps.select(F.col("id").alias("first"), F.col("lines").alias("x"))
     aligned = links.join(later, "id").join(early, "first").select("id", "y", "words", "x").mapInArrow(_align(min_words), SPANS)
@@ -286,13 +298,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                rare: int = RARE) -> DataFrame:
     """``docs`` with n_lines, n_removed, n_removed_words and ``clean``: the text that is left (null: unchanged).
 
-    The result holds the input row in the struct ``row``, so no column name can clash.
+    The result holds the input row in the struct ``row``, so no column name can clash. ``rare`` is accepted for
+    callers of earlier forms; the partners no longer depend on how many documents hold a line.
     """
     spark = docs.sparkSession
     ship(spark)
     tmp = Scratch(spark)
     src = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    gone = _removed(src, min_words, rare, tmp)
+    gone = _removed(src, min_words, tmp)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()

@@ -97,6 +97,28 @@ def test_kept_lines_match_plain_search(spark):
         assert got == expected
 
 
+def test_run_whose_pieces_were_first_seen_apart(spark):
+    short = [" ".join(f"{c}{i}" for i in range(8)) for c in "abc"]
+    mid = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("d", 15), ("e", 3), ("f", 15))]
+    own = iter(f"own {i}" for i in range(100))
+    rows = [(i, "\n".join([next(own), *x, next(own)])) for i, x in enumerate([short[:2], short[1:], short, short, mid[:2], mid[1:], mid, mid])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: r.n_removed for r in line_dedup.line_dedup(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0, 5: 0, 6: 0, 7: 3}
+
+
+def test_every_run_an_earlier_document_holds_goes(spark):
+    rng = random.Random(5)
+    pool = [" ".join(f"p{k}x{i}" for i in range(rng.randrange(1, 12))) for k in range(12)]
+    rows = [(i, "\n".join(pool[rng.randrange(12)] if rng.random() < 0.3 else pool[(i + k) % 12] for k in range(rng.randrange(1, 9)))) for i in range(60)]
+    got = {r.row.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    seq = {i: t.split("\n") for i, t in rows}
+    for i, y in seq.items():
+        words = [len(x.split()) for x in y]
+        gone = set().union(*(common_runs(seq[e], y, words, MIN_WORDS) for e in range(i)), range(len(y)) if any(seq[e] == y for e in range(i)) else ())
+        assert got[i] == len(gone)
+
+
 def test_first_copies_stay_and_edge_cases(spark):
     long = " ".join(f"a{i}" for i in range(60))
     rows = [(2, "own line two\n" + long), (1, "own line one\n" + long), (3, long), (3, long), (None, long), (4, None)]
