@@ -2,7 +2,8 @@
 
 Training counts every letter n-gram of every labelled text (per task in numpy, then summed by Spark).
 A gram belongs to the languages whose relative frequency of it reaches ``SHARE`` of the
-highest one, so that quotations and wrong labels do not blur the filters. All languages share one bit-sliced Bloom
+highest one, so that quotations and wrong labels do not blur the filters, and is at least ``NOISE``, so that strays do not
+fill the filters as the input grows. All languages share one bit-sliced Bloom
 filter: a cell holds one bit for each language, and the AND of a gram's ``HASHES`` cells gives the
 bitmask of all languages that contain it. The filter has a fixed largest size (``MAX_BITS``), so what
 is broadcast is bounded; when it fills up, the measured false positive rate of each language rises,
@@ -31,6 +32,10 @@ from cohortlens.llm import textcols as tc
 from cohortlens.llm.tables import pick, ship, table
 
 SHARE = 0.25
+#: a gram that makes up less of a language's grams is a stray
+NOISE = 1e-6
+#: the quantile of the held-out scores of a language from which its rejection score follows
+LOW = 0.01
 HASHES = 3
 #: the filter has at most 2**MAX_BITS cells, of one byte for up to 8 languages (4 MB)
 MAX_BITS = 22
@@ -149,7 +154,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     total = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(totals[lang]))])
     rated = counts.select("gram", number[F.col("lang")].alias("l"), (F.col("n") / total[F.col("lang")]).alias("f"))
     top = rated.groupBy("gram").agg(F.max("f").alias("top"), F.collect_list(F.struct("l", "f")).alias("by"))  # one entry a language
-    own = top.select("gram", "top", F.explode("by").alias("x")).filter(F.col("x.f") >= SHARE * F.col("top"))
+    own = top.select("gram", "top", F.explode("by").alias("x")).filter((F.col("x.f") >= SHARE * F.col("top")) & (F.col("x.f") >= NOISE))
     masks = own.groupBy("gram", F.floor(F.col("x.l") / model.width).cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(x.l % {model.width} as int))")).alias("mask")).select("gram", "word", "mask")
     n = counts.select(F.approx_count_distinct("gram")).first()[0]
@@ -233,12 +238,31 @@ def held_out(id_col: str):
     return F.expr(f"crc32(cast(cast(`{id_col}` as string) as binary)) % 4 = 2")
 
 
+def least_scores(labelled: DataFrame, model: Filters, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """The rejection score of each language, from the scores of labelled rows that did not train.
+
+    Where nearly every gram is known the best share is 1 / languages or more even for foreign text, so the score lies a third of the way
+    from there to the low quantile of the language (of the lowest language, or 1, where it has no such rows).
+    """
+    rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("row"), F.col(f"`{text_col}`").alias("text")).filter("row is not null")
+    right = predict(rows, model).filter("row = lang_pred and score > 0")
+    low = {r[0]: r[1] for r in right.groupBy("lang_pred").agg(F.percentile_approx("score", LOW, 10_000)).collect()}
+    base = 1 / len(model.langs) if len(model.langs) > 1 else 0.0
+    found = {lang: low.get(lang, min(low.values(), default=1.0)) for lang in model.langs}
+    return {lang: min(q, base + (q - base) / 3) for lang, q in found.items()}
+
+
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                   min_score: float = 0.25) -> DataFrame:
-    """``docs`` without the rows that are ``und`` or score under ``min_score``."""
-    model = fit(docs.filter(~held_out(id_col)), text_col, lang_col)
+                   min_score: float | None = None) -> DataFrame:
+    """``docs`` without the rows that are ``und`` or score under ``min_score`` (by default the least score of their language)."""
+    held = held_out(id_col)
+    model = fit(docs.filter(~held), text_col, lang_col)
+    least = F.lit(min_score if min_score is not None else 1.0)
+    if min_score is None and model.langs:
+        scores = least_scores(docs.filter(held), model, text_col, lang_col)
+        least = F.create_map(*[F.lit(x) for item in scores.items() for x in item])[F.col("lang_pred")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return predict(rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
+    return predict(rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,6 +32,32 @@ def test_held_out_accuracy(spark):
     assert language_id.known_language(table(spark, SF, "documents")).count() == len(lang)
 
 
+def test_prose_of_unlearned_languages_goes_and_clean_text_stays(spark):
+    foreign = [
+        "De regering heeft gisteren besloten dat de nieuwe wet pas volgend jaar in werking treedt, omdat er nog veel vragen zijn over de uitvoering. "
+        "Volgens de minister moeten gemeenten eerst meer tijd krijgen om hun systemen aan te passen en het personeel op te leiden. Wij hebben daarom "
+        "afgesproken dat iedereen voor het einde van de maand zijn bezwaren kan indienen.",
+        "O governo decidiu ontem que a nova lei só entrará em vigor no próximo ano, porque ainda existem muitas dúvidas sobre a sua aplicação. Segundo "
+        "o ministro, os municípios precisam de mais tempo para adaptar os seus sistemas e formar o pessoal.",
+    ]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in language_id.known_language(docs.unionByName(more)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_rejection_score_follows_held_out_scores_and_strays_are_not_learned(spark):
+    rows = [(1, "abcd " * 400_000, "x"), (2, "qqqq", "x"), (3, "efgh " * 1000, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    got = {r.row: r.score for r in language_id.predict(df.selectExpr("doc_id as row", "text"), model).collect()}
+    assert got[1] > 0.99 and got[3] > 0.99 and got[2] < 0.01
+    least = language_id.least_scores(spark.createDataFrame([("abcd abcd", "x"), ("efgh " * 9 + "zzzz", "y")], "text string, lang string"), model)
+    assert 0.6 < least["y"] < least["x"] < 0.7  # a third of the way from 1/2
+    none = language_id.least_scores(df.limit(0), model)
+    assert set(none) == {"x", "y"} and all(abs(v - 2 / 3) < 1e-9 for v in none.values())
+
+
 def test_filter_has_no_false_negatives_and_many_languages(spark):
     rng = random.Random(2)
     langs = [f"l{i:02d}" for i in range(40)]  # more than one word of masks
