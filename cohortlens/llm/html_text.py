@@ -6,7 +6,8 @@ Gaussian, fused to length x (1 + punctuation), and thresholded at the standard d
 elements whose tag, class, id or role names boilerplate (menus, notices, forms, reader comments ...) have ratio 0. The
 content element is the one that holds ``HOLDS`` of the selected text: the outermost
 article or main element if there is one, else the deepest container. All its blocks that are not boilerplate are the text, so short paragraphs
-between long ones stay.
+between long ones stay. Without an article or main element titles, standfirsts and sections beside the deepest container are text too;
+outside it only blocks that look like menus or legal lines (mostly links, short with separators, a copyright mark) are left out.
 
 Pages are independent (no shuffle). A null, empty or text-free page has the empty text; character references are decoded;
 unclosed elements end where HTML says so (a block ends an open paragraph). Repeated rows and extra columns change nothing.
@@ -42,25 +43,28 @@ BOILER_WORDS = set("ad ads advert adverts advertisement advertising banner bread
 HEAD_WORDS = {"header", "masthead", "topbar"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PUNCTUATION = re.compile(r"[.,;:!?¡¿…。、，！？；：]")
+MENU = re.compile(r"^(?:©|\(c\)|copyright\b)|^[^.!?]{0,80}[|•·»›][^.!?]{0,80}$", re.IGNORECASE)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Page(HTMLParser):
-    """Text blocks in page order: (text, path, chain of elements, boilerplate?)."""
+    """Text blocks in page order: (text, path, chain of elements, boilerplate?, characters in links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, bool]] = []  # tag, element, boilerplate, inside an article
         self.tags: list[str] = []
-        self.blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], bool]] = []
+        self.blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], bool, int]] = []
         self.text: list[str] = []
+        self.linked = 0
         self.at: list[tuple[str, int, bool, bool]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
-        self.text = []
+        self.text, linked, self.linked = [], self.linked, 0
         if text:
-            self.blocks.append((text, tuple(s[0] for s in self.at), tuple(s[1] for s in self.at), bool(self.at) and self.at[-1][2]))
+            self.blocks.append((text, tuple(s[0] for s in self.at), tuple(s[1] for s in self.at), bool(self.at) and self.at[-1][2], linked))
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -117,12 +121,14 @@ class Page(HTMLParser):
             self.flush()  # boilerplate inside a line of text, or text after it
             self.at = [s for s in self.stack if s[0] in BLOCKS or s[2]]
         self.text.append(data)
+        if any(s[0] == "a" for s in self.stack):
+            self.linked += len("".join(data.split()))
 
 
 def path_scores(blocks) -> np.ndarray:
     """The fused, smoothed tag-path ratio of each block."""
     sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
-    for text, path, _, boiler in blocks:
+    for text, path, _, boiler, _ in blocks:
         s = sums[path]
         if not boiler:
             s[0] += len(text)
@@ -134,6 +140,11 @@ def path_scores(blocks) -> np.ndarray:
     return smooth[0] * (1 + smooth[1])
 
 
+def _menu_like(block) -> bool:
+    text, path, _, _, linked = block
+    return not (path and path[-1] in HEADINGS) and (2 * linked >= len(text.replace(" ", "")) or bool(MENU.search(text)))
+
+
 def main_text(html: str) -> str:
     cut = html.rfind("<!--")  # a comment that is not closed reaches to the end
     if cut >= 0 and "-->" not in html[cut:] and "</script" not in html[cut:]:
@@ -158,8 +169,11 @@ def main_text(html: str) -> str:
     holding = [e for e in sorted(weight) if weight[e] >= HOLDS * total]  # one chain: parents have smaller numbers
     articles = [e for e in holding if page.tags[e] in ("article", "main")]
     containers = [e for e in holding if page.tags[e] not in LEAVES]
-    top = articles[0] if articles else containers[-1] if containers else None
-    return "\n\n".join(b[0] for b in blocks if not b[3] and (top is None or top in b[2]))
+    if articles:
+        kept = [b for b in blocks if articles[0] in b[2]]
+    else:
+        kept = [b for b in blocks if not containers or containers[-1] in b[2] or not _menu_like(b)]
+    return "\n\n".join(b[0] for b in kept if not b[3])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]):

@@ -29,6 +29,16 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+def test_div_pages_keep_title_lead_and_small_sections():
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(40))
+    texts = [f"{LONG} {i}" for i in range(40)]
+    menus = "<div class='top'>Menu | Login</div><div><a href='/'>Home</a> <a href='/n'>News</a></div>"
+    legal = "<div>© 2024 Us. All rights reserved.</div><div class='sidebar'>Other news, here.</div>"
+    for parts in (f"<div id=content><h1>Title</h1><div class=lead>A lead</div><div class=body>{body}</div><div class=more><h2>Note</h2><p>One more.</p></div></div>",
+                  f"<div id=head><h1><a href='/t'>Title</a></h1><p>A lead</p></div><div><div>{body}</div></div><section><h2>Note</h2><p>One more.</p></section>"):
+        assert main_text(f"<html><body>{menus}{parts}{legal}</body></html>").split("\n\n") == ["Title", "A lead", *texts, "Note", "One more."]
+
+
 def test_query_form_and_edge_cases(spark):
     big = page("".join(f"<p>{LONG} {i}</p>" for i in range(3000)))
     rows = [(1, "u", big), (2, "u", None), (3, None, ""), (3, None, ""), (None, "v", page(f"<p>{LONG}</p>"))]
