@@ -1,7 +1,7 @@
 """Surrogates for personal data.
 
-Detected entities (e-mail and IP addresses, phone, card, social security and account numbers, secrets, and names after a form of
-address) get replacements that are a keyed function of the entity: HMAC(key, type, canonical form, attempt). So
+Detected entities (e-mail and IP addresses, phone, card, social security and account numbers, secrets, names after a form of
+address, and those names where they stand alone later or earlier in the same text) get replacements that are a keyed function of the entity: HMAC(key, type, canonical form, attempt). So
 the same entity has the same surrogate in every document and spelling (a phone number with or without brackets, a surname with or
 without the given name), which keeps coreference without a shared table. Surrogates keep type and format: letters stay letters of
 their case, digits digits, separators stay, card numbers stay valid or invalid, names keep script, case and the gender of the form of address.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -46,14 +47,21 @@ PATTERN = re.compile("|".join([
     rf"(?:{SECRET_NAMES})[\"']?\s*[=:]\s*[\"'](?P<setting>[^\"'\s]{{6,}})[\"']",
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     r"(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9]))",
+    r"(?P<ip6>(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9]))",
     r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
-    r"(?P<card>(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9]))",
+    r"(?P<card>(?<![0-9])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}"
+    r"|(?:222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)(?:[ -]?[0-9]{4}){3})(?![0-9]))",
     r"(?P<phone>(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-    r"|(?:1[ .-])?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]))",
+    r"|(?:1[ .-])?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    r"|(?:1 )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4})(?![0-9A-Za-z]))",
 ]))
 HINT = re.compile(r"[0-9@]|" + SECRET_NAMES)
-PERSON = re.compile(r"(?<!\w)(" + "|".join(ADDRESS) + r")\.? ((?:[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?)(?: [^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?){0,2})(?!\w)")
-NAME = re.compile(r"[^\W\d_]+")
+PARTICLES = "de|del|della|der|den|di|da|dos|du|la|le|van|von|zu|ter|ten|bin|ibn|al|el"
+WORD = r"(?:[^\W\d_a-z]['’][^\W\d_a-z][^\W\d_]+|[dl]['’][^\W\d_a-z][^\W\d_]+|[^\W\d_a-z][^\W\d_]+(?:-[^\W\d_]+)?)"
+BEFORE = rf"(?:(?:{PARTICLES}) |[^\W\d_a-z]\. ?){{0,3}}"
+PERSON = re.compile(r"(?<!\w)(" + "|".join(ADDRESS) + rf")\.? ({BEFORE}{WORD}(?: {BEFORE}{WORD}){{0,2}})(?!\w)")
+#: the replaced parts of a name: not its initials and particles
+NAME = re.compile(rf"(?<!\w)(?!(?:{PARTICLES}) )(?:[^\W\d_]['’][^\W\d_]{{2,}}|[^\W\d_]{{2,}})")
 
 DIGITS = {"ip", "ssn", "card", "phone"}
 SCRIPTS = {
@@ -85,9 +93,16 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 canon = raw.lower()
             elif kind == "ip":
                 canon = raw
+            elif kind == "ip6":
+                try:
+                    canon = ipaddress.IPv6Address(raw).exploded
+                except ValueError:  # a time, a hardware address
+                    continue
+                if len(re.findall(r"[0-9A-Fa-f]+", raw)) < 2:
+                    continue
             elif kind in DIGITS or kind == "iban":
                 canon = re.sub(r"[^0-9A-Za-z]", "", raw)
-                if kind == "card" and not 13 <= len(canon) <= 19:
+                if kind == "card" and (not 13 <= len(canon) <= 19 or canon[0] == "2" and not luhn(canon)):
                     continue
                 if kind == "phone":
                     if len(canon) == 11 and canon[0] == "1":
@@ -95,19 +110,38 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                     if not 7 <= len(canon) <= 15:
                         continue
             out.append((lo, hi, kind, canon))
+    names: dict[str, str] = {}
     for m in PERSON.finditer(text):
         gender = ADDRESS[m[1]]
         words = [(w.start() + m.start(2), w.end() + m.start(2), w[0]) for w in NAME.finditer(m[2])]
         for i, (lo, hi, w) in enumerate(words):
             kind = f"given-{gender}" if len(words) > 1 and i == 0 else "surname"
             out.append((lo, hi, kind, w.lower()))
-    out.sort()
-    clean, end = [], 0
-    for x in out:
+            names.setdefault(w.lower(), kind)
+    clean = _apart(sorted(out))
+    if names:  # the same names without a form of address, where nothing else stands
+        alone = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
+        taken = iter([*clean, (len(text), len(text))])
+        now = next(taken)
+        more = []
+        for m in alone.finditer(text):
+            while now[1] <= m.start() < len(text) and now[0] < len(text):
+                now = next(taken)
+            kind = names.get(m[0].lower())
+            if kind and m.end() <= now[0] and (m[0][0].isupper() or m[0][1] in "'’"):
+                more.append((*m.span(), kind, m[0].lower()))
+        clean = sorted(clean + more)
+    return clean
+
+
+def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The first of those that overlap."""
+    out, end = [], 0
+    for x in found:
         if x[0] >= end:
-            clean.append(x)
+            out.append(x)
             end = x[1]
-    return clean
+    return out
 
 
 class Stream:
@@ -153,6 +187,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         return f"{_like(local, s)}@{_like(host, d)}.{top}"
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
+    if kind == "ip6":
+        return ":".join("123456789abcdef"[s.below(15)] + "".join("0123456789abcdef"[s.below(16)] for _ in range(3)) for _ in range(8))
     if kind == "card":
         body = canon[0] + _like(canon[1:-1], s)
         good = [d for d in "0123456789" if luhn(body + d) == luhn(canon)]
@@ -182,7 +218,7 @@ def render(kind: str, raw: str, new: str) -> str:
         return "".join(next(it) if c.isascii() and c.isalnum() else c for c in raw)
     if kind == "surname" or kind.startswith("given"):
         return new.upper() if raw.isupper() and len(raw) > 1 else new.capitalize()
-    if kind == "email" and raw.isupper():
+    if kind in ("email", "ip6") and raw.isupper():
         return new.upper()
     return new
 

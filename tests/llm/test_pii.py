@@ -35,6 +35,33 @@ def test_types_formats_and_coreference(spark):
     assert apply(spark, [(1, TEXT)], key=b"other")[1].text != t
 
 
+def found(text):
+    return [(k, text[a:b]) for a, b, k, _ in pii.mentions(text)]
+
+
+def test_bare_mentions_of_a_detected_name():
+    text = "Smith came. Mr. John Smith (Smith@x.org, John.Smith@x.org) spoke; then SMITH's wife and John left, a smith stayed, Smithson too."
+    assert found(text) == [("surname", "Smith"), ("given-m", "John"), ("surname", "Smith"), ("email", "Smith@x.org"), ("email", "John.Smith@x.org"),
+                           ("surname", "SMITH"), ("given-m", "John")]
+    assert len({c for _, _, k, c in pii.mentions(text) if k == "surname"}) == 1
+    assert found("Smith and John went.") == []
+
+
+def test_initials_apostrophes_particles():
+    assert found("Dr. J. Smith, Mr. O'Neil and Mr. de Gaulle") == [("surname", "Smith"), ("surname", "O'Neil"), ("surname", "Gaulle")]
+    assert found("Herr Ludwig van Beethoven; Mrs. J. R. Ewing's car; O'Neil.") == [("given-m", "Ludwig"), ("surname", "Beethoven"), ("surname", "Ewing")]
+    assert found("Mr. O’Neil said. O’Neil left.") == [("surname", "O’Neil")] * 2
+
+
+def test_two_series_cards_spaced_phones_and_ip6():
+    assert pii.luhn("2223003122003222")
+    assert found("Pay 2223 0031 2200 3222 or 2223003122003222, not 2223003122003223") == [("card", "2223 0031 2200 3222"), ("card", "2223003122003222")]
+    assert found("Call 743 555 3824, or 1 743 555 3824; 100 200 3000 rows") == [("phone", "743 555 3824"), ("phone", "1 743 555 3824")]
+    a, b = pii.mentions("Host 2001:db8::8a2e:370:7334 is 2001:0DB8:0:0:0:8A2E:0370:7334.")
+    assert a[2:] == b[2:] == ("ip6", "2001:0db8:0000:0000:0000:8a2e:0370:7334")
+    assert found("At 12:30:45, 00:1a:2b:3c:4d:5e, std::vector, a ratio of 1:2:3 and ::") == []
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     first = pii.surrogate
     # every first attempt for an SSN is the same, and the second try of one is an entity of the corpus
