@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, periodic_runs, pii, quality, shards, suffix_dedup
+from cohortlens.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, periodic_runs, pii, quality, shards, simhash, spelling, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": pii.query,
     "op9_kk_shards": shards.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_simhash": simhash.query,
+    "op12_spelling_variants": spelling.query,
     "op13_periodic_runs": periodic_runs.query,
 }
 
-ORACLE: dict[str, str] = {"op6_quality_rules": quality.ORACLE}
+ORACLE: dict[str, str] = {"op6_quality_rules": quality.ORACLE, "op12_spelling_variants": spelling.ORACLE}
