@@ -293,14 +293,15 @@ def profile(eng: DataFrame, categorical: Sequence[str] = CATEGORICAL_COLUMNS,
 def write_profile(prof: dict[str, DataFrame], path: str) -> None:
     """S8 sink: one Parquet table per profile part, plus one JSON document of the parts.
 
-    The parts are aggregates (a few rows each), so the JSON document is built
-    from them, never from row-level data.
+    The document is built from the tables as written (a few rows each), so no part is computed twice.
     """
+    spark = next(iter(prof.values())).sparkSession
+    parts = []
     for name, df in prof.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(prof.values())).sparkSession
-    doc = spark.range(1).select(F.to_json(F.struct(*[
-        prof[n].select(F.collect_list(F.to_json(F.struct("*")))).scalar().alias(n) for n in prof])).alias("json"))
+        rows = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        parts.append(rows.select(F.collect_list(F.to_json(F.struct("*")))).scalar().alias(name))
+    doc = spark.range(1).select(F.to_json(F.struct(*parts)).alias("json"))
     doc.write.mode("overwrite").text(f"{path}/profile_json")
 
 

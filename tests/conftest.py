@@ -1,3 +1,4 @@
+import gc
 import os
 import sys
 import tempfile
@@ -18,8 +19,20 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "6g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlens-test-ckpt-"))
     yield s
+
+
+@pytest.fixture(autouse=True, scope="module")
+def free_memory():
+    """No cached table or broadcast of one test file stays for the next."""
+    yield
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        active.catalog.clearCache()
+        gc.collect()
+        active.sparkContext._jvm.System.gc()
