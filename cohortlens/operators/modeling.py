@@ -16,13 +16,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -33,6 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.domain import PARENTAL_EDUCATION
+from cohortlens.operators.boosting import HistBoostingEstimator
+from cohortlens.operators.kernel import NystromEstimator
+from cohortlens.operators.neighbours import KNNEstimator
 
 NOMINAL = ("gender", "race_ethnicity", "lunch", "test_preparation_course")
 ORDINAL = {"parental_level_of_education": PARENTAL_EDUCATION}
@@ -144,55 +144,6 @@ class ConstantEstimator(Estimator):
         return ConstantModel(self.kind_, [counts.get(float(i), 0) / n for i in range(self.n_classes)])
 
 
-class FourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Random Fourier features for an RBF kernel (Rahimi & Recht, 2007): z = sqrt(2/D) cos(Wx + b).
-
-    W and b follow from (seed, input width); the width comes from the
-    assembler's ML attribute metadata. The transform is one vectorised pandas
-    UDF over Arrow batches.
-    """
-
-    nComponents = Param(Params._dummy(), "nComponents", "D", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "RBF gamma", TypeConverters.toFloat)
-    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
-    inputCol = Param(Params._dummy(), "inputCol", "input vector", TypeConverters.toString)
-    outputCol = Param(Params._dummy(), "outputCol", "output vector", TypeConverters.toString)
-
-    def __init__(self, nComponents: int = 100, gamma: float = 0.1, seed: int = 0,
-                 inputCol: str = FEATURES_COL, outputCol: str = "rff"):
-        super().__init__()
-        self._set(nComponents=nComponents, gamma=gamma, seed=seed, inputCol=inputCol, outputCol=outputCol)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        g = self.getOrDefault
-        n_in = int(df.schema[g(self.inputCol)].metadata["ml_attr"]["num_attrs"])
-        rng = np.random.default_rng(g(self.seed))
-        w = rng.normal(0.0, math.sqrt(2.0 * g(self.gamma)), size=(n_in, g(self.nComponents)))
-        b = rng.uniform(0.0, 2.0 * math.pi, size=g(self.nComponents))
-        scale = math.sqrt(2.0 / g(self.nComponents))
-
-        @F.pandas_udf("array<double>")
-        def rff(x: pd.Series) -> pd.Series:
-            m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, n_in))
-            return pd.Series(list(scale * np.cos(m @ w + b)))
-
-        return df.withColumn(g(self.outputCol), array_to_vector(rff(vector_to_array(F.col(g(self.inputCol))))))
-
-
-class MarginsToProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Softmax of one-vs-rest margins → ``probability`` (built-in array expressions only)."""
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        raw = vector_to_array("rawPrediction")
-        mx = F.array_max(raw)
-        ex = F.transform(raw, lambda x: F.exp(x - mx))
-        tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-        return df.withColumn("probability", array_to_vector(F.transform(ex, lambda x: x / tot)))
-
-
 @dataclass
 class Candidate:
     name: str
@@ -220,38 +171,56 @@ def _ridge(p, ctx):
 
 
 def _rf(kind: str):
+    """300 trees; all features a split for regression. Depth 12 bounds the nodes that the driver holds."""
     def build(p, ctx):
         cls = RandomForestRegressor if kind == "regression" else RandomForestClassifier
         kw = {} if kind == "regression" else {"weightCol": WEIGHT_COL}
-        return [cls(featuresCol=FEATURES_COL, labelCol=LABEL_COL, numTrees=int(p.get("numTrees", 50)),
-                    maxDepth=int(p.get("maxDepth", 8)), minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
-                    featureSubsetStrategy=str(p.get("featureSubsetStrategy", "sqrt")), seed=ctx["seed"], **kw)]
+        return [cls(featuresCol=FEATURES_COL, labelCol=LABEL_COL, numTrees=int(p.get("numTrees", 300)),
+                    maxDepth=int(p.get("maxDepth", 12)), minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
+                    featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all" if kind == "regression" else "sqrt")),
+                    seed=ctx["seed"], **kw)]
+    return build
+
+
+def _hist(kind: str, n_classes: int, **defaults):
+    def build(p, ctx):
+        return [HistBoostingEstimator(kind, n_classes, FEATURES_COL, LABEL_COL, None if kind == "regression" else WEIGHT_COL, **(defaults | p))]
     return build
 
 
 def _gbt(kind: str, n_classes: int):
+    """100 trees of depth 3. Three classes: MLlib's trees know two only, so trees of eight leaves with multinomial loss."""
+    if n_classes > 2:
+        eight = _hist(kind, n_classes, max_leaf_nodes=8, min_samples_leaf=1)
+        return lambda p, ctx: eight({name: p[old] for old, name in (("maxIter", "max_iter"), ("stepSize", "learning_rate"),
+                                                                    ("minInstancesPerNode", "min_samples_leaf")) if old in p}
+                                    | ({"max_leaf_nodes": 2 ** int(p["maxDepth"])} if "maxDepth" in p else {}), ctx)
+
     def build(p, ctx):
-        kw = dict(featuresCol=FEATURES_COL, labelCol=LABEL_COL, maxIter=int(p.get("maxIter", 30)),
-                  maxDepth=int(p.get("maxDepth", 3)), stepSize=float(p.get("stepSize", 0.1)), seed=ctx["seed"])
-        if kind == "regression":
-            return [GBTRegressor(**kw)]
-        if n_classes > 2:
-            return [OneVsRest(classifier=GBTClassifier(**kw), featuresCol=FEATURES_COL, labelCol=LABEL_COL),
-                    MarginsToProbability()]
-        return [GBTClassifier(weightCol=WEIGHT_COL, **kw)]
+        kw = dict(featuresCol=FEATURES_COL, labelCol=LABEL_COL, maxIter=int(p.get("maxIter", 100)),
+                  maxDepth=int(p.get("maxDepth", 3)), stepSize=float(p.get("stepSize", 0.1)),
+                  subsamplingRate=float(p.get("subsamplingRate", 1.0)), minInstancesPerNode=int(p.get("minInstancesPerNode", 1)), seed=ctx["seed"])
+        return [GBTRegressor(**kw)] if kind == "regression" else [GBTClassifier(weightCol=WEIGHT_COL, **kw)]
     return build
 
 
-def _rff(kind: str):
+def _kernel(kind: str, n_classes: int):
+    """RBF kernel machine on Nyström features: ridge or (multinomial) logistic loss, strength C as in the linear models."""
     def build(p, ctx):
-        ff = FourierFeatures(int(p.get("n_components", 100)), float(p.get("gamma", 0.1)), ctx["seed"])
+        gamma = p.get("gamma")
+        features = NystromEstimator(int(p.get("n_components", 200)), None if gamma is None else float(gamma), ctx["seed"], FEATURES_COL, "kernel")
+        reg = 1.0 / (float(p.get("C", 1.0)) * ctx["n"])
         if kind == "regression":
-            est = LinearRegression(featuresCol="rff", labelCol=LABEL_COL, regParam=float(p.get("reg", 0.01)),
-                                   elasticNetParam=0.0)
-        else:
-            est = LogisticRegression(featuresCol="rff", labelCol=LABEL_COL, weightCol=WEIGHT_COL,
-                                     regParam=float(p.get("reg", 0.01)), elasticNetParam=0.0)
-        return [ff, est]
+            return [features, LinearRegression(featuresCol="kernel", labelCol=LABEL_COL, regParam=reg * ctx["y_std"], elasticNetParam=0.0,
+                                               standardization=False)]
+        return [features, LogisticRegression(featuresCol="kernel", labelCol=LABEL_COL, weightCol=WEIGHT_COL, regParam=reg, elasticNetParam=0.0,
+                                             standardization=False, family="multinomial" if n_classes > 2 else "binomial")]
+    return build
+
+
+def _knn(kind: str, n_classes: int):
+    def build(p, ctx):
+        return [KNNEstimator(int(p.get("k", 5)), kind, n_classes, str(p.get("weights", "uniform")), FEATURES_COL, LABEL_COL)]
     return build
 
 
@@ -265,154 +234,48 @@ def _log_uniform(rng: random.Random, lo: float, hi: float) -> float:
     return math.exp(rng.uniform(math.log(lo), math.log(hi)))
 
 
-def candidates(kind: str, n_classes: int = 2) -> list[Candidate]:
-    """L6-L12 per task kind. k-NN (L11) fits on a bounded number of labelled rows (see ``KNNEstimator``)."""
-    base = Candidate("baseline", "dummy", _baseline(kind, n_classes))
-    if kind == "regression":
-        return [
-            base,
-            Candidate("ridge", "linear", _ridge, lambda r: {"alpha": _log_uniform(r, 1e-3, 1e2)}),
-            Candidate("random_forest", "forest", _rf(kind),
-                      lambda r: {"numTrees": r.choice([50, 100, 200]), "maxDepth": r.randint(3, 12),
-                                 "minInstancesPerNode": r.randint(1, 10)}),
-            Candidate("gradient_boosting", "boosting", _gbt(kind, n_classes),
-                      lambda r: {"maxIter": r.choice([20, 40, 80]), "maxDepth": r.randint(2, 5),
-                                 "stepSize": _log_uniform(r, 0.01, 0.3)}),
-            Candidate("svr_rbf", "kernel", _rff(kind),
-                      lambda r: {"gamma": _log_uniform(r, 1e-3, 1.0), "reg": _log_uniform(r, 1e-4, 1.0)}),
-            Candidate("knn", "neighbors", _knn(kind, n_classes), lambda r: {"k": r.choice([5, 15, 31, 51])}),
-        ]
-    return [
-        base,
-        Candidate("logistic_regression", "linear", _lr(kind, n_classes),
-                  lambda r: {"C": _log_uniform(r, 1e-3, 1e2)}, needs_weights=True),
-        Candidate("random_forest", "forest", _rf(kind),
-                  lambda r: {"numTrees": r.choice([50, 100, 200]), "maxDepth": r.randint(3, 12),
-                             "minInstancesPerNode": r.randint(1, 10)}, needs_weights=True),
-        Candidate("gradient_boosting", "boosting", _gbt(kind, n_classes),
-                  lambda r: {"maxIter": r.choice([20, 40, 80]), "maxDepth": r.randint(2, 5),
-                             "stepSize": _log_uniform(r, 0.01, 0.3)}, needs_weights=True),
-        *([Candidate("svm_rbf", "kernel", _rff(kind),
-                     lambda r: {"gamma": _log_uniform(r, 1e-3, 1.0), "reg": _log_uniform(r, 1e-4, 1.0)},
-                     needs_weights=True)] if n_classes == 2 else []),
-        Candidate("knn", "neighbors", _knn(kind, n_classes), lambda r: {"k": r.choice([5, 15, 31, 51])}),
-    ]
+def _forest_space(r: random.Random) -> dict[str, Any]:
+    return {"numTrees": r.randrange(100, 601, 50), "maxDepth": r.randint(3, 20), "minInstancesPerNode": r.randint(1, 20),
+            "featureSubsetStrategy": r.choice(["sqrt", "log2", "all"])}
 
 
-def make_pipeline(train: DataFrame, features: Sequence[str], cand: Candidate, params: dict[str, Any],
-                  ctx: dict[str, Any]) -> Pipeline:
-    """Preprocess → model in one ``Pipeline``."""
-    stages, _ = preprocess_stages(train, features)
-    return Pipeline(stages=[*stages, *cand.build(params, ctx)])
+def _boosting_space(r: random.Random) -> dict[str, Any]:
+    return {"maxIter": r.randrange(50, 501, 25), "stepSize": _log_uniform(r, 0.01, 0.3), "maxDepth": r.randint(2, 8),
+            "subsamplingRate": r.uniform(0.5, 1.0), "minInstancesPerNode": r.randint(1, 30)}
 
 
-# --------------------------------------------------------------------------- k-nearest neighbours
+def _hist_space(r: random.Random) -> dict[str, Any]:
+    return {"learning_rate": _log_uniform(r, 0.01, 0.3), "max_iter": r.randrange(50, 501, 25), "max_leaf_nodes": r.randint(4, 64),
+            "min_samples_leaf": r.randint(5, 60), "l2_regularization": _log_uniform(r, 1e-4, 10.0)}
 
-#: labelled rows that k-NN is fitted on at most: the first ones in order of a hash of the row (candidate parameter ``max_rows``)
-KNN_FIT_ROWS = 50_000
 
+def _kernel_space(r: random.Random) -> dict[str, Any]:
+    return {"C": _log_uniform(r, 1e-2, 1e2), "gamma": _log_uniform(r, 1e-4, 1.0)}
 
-class KNNModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """k-NN over prototypes: distinct training vectors with per-class counts (or label sums).
 
-    Neighbours are taken in distance order, whole prototypes first; the last
-    prototype contributes the remaining ``k − taken`` rows pro rata, which is
-    the tie rule for duplicated training points.
-    """
+def _knn_space(r: random.Random) -> dict[str, Any]:
+    return {"k": r.randint(3, 60), "weights": r.choice(["uniform", "distance"])}
 
-    k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
-    kind = Param(Params._dummy(), "kind", "task kind", TypeConverters.toString)
-    points = Param(Params._dummy(), "points", "prototype vectors", TypeConverters.toList)
-    weights = Param(Params._dummy(), "weights", "per prototype: class counts or [count, label sum]",
-                    TypeConverters.toList)
-
-    def __init__(self, k: int = 5, kind: str = "binary", points=None, weights=None):
-        super().__init__()
-        self._set(k=k, kind=kind, points=points or [], weights=weights or [])
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        from cohortlens.operators.joins import join_dimension
-
-        g = self.getOrDefault
-        pts = np.asarray(g(self.points), dtype=float)
-        w = np.asarray(g(self.weights), dtype=float)
-        k, kind = g(self.k), g(self.kind)
-
-        @F.pandas_udf("array<double>")
-        def knn(x: pd.Series) -> pd.Series:
-            if len(x) == 0:
-                return pd.Series([], dtype=object)
-            agg = knn_aggregate(np.vstack(x.to_numpy()).astype(float), pts, w, k, kind)
-            if kind == "regression":
-                return pd.Series(list((agg[:, 1] / agg[:, 0])[:, None]))
-            return pd.Series(list(agg / agg.sum(axis=1, keepdims=True)))
-
-        # the result depends on the row only through its encoded vector: score each
-        # distinct vector once (partial aggregation collapses a hot vector to one row)
-        # and join back; the scored table is broadcast only within the checked bound
-        vec = "__knn_vec"
-        rows = df.withColumn(vec, vector_to_array(FEATURES_COL))
-        scored = rows.select(vec).distinct().withColumn("__knn_res", knn(F.col(vec)))
-        res = F.col("__knn_res")
-        out = join_dimension(rows, scored, vec, "left")
-        if kind == "regression":
-            return out.withColumn("prediction", res[0]).drop(vec, "__knn_res")
-        return out.withColumns({"probability": array_to_vector(res),
-                                "prediction": (F.array_position(res, F.array_max(res)) - 1).cast("double")}
-                               ).drop(vec, "__knn_res")
-
-
-def knn_aggregate(x: np.ndarray, pts: np.ndarray, w: np.ndarray, k: int, kind: str,
-                  max_cells: int = 4_000_000) -> np.ndarray:
-    """Neighbour-weighted prototype sums for every row of ``x`` → ``(rows, width of w)``.
-
-    Prototypes are taken in (stable) distance order; the last one within reach
-    contributes the remaining ``k − taken`` rows pro rata. Rows are processed in
-    chunks so that a chunk × prototypes × dimensions block stays within ``max_cells``.
-    """
-    n_p, dim = pts.shape
-    step = max(1, max_cells // max(1, n_p * max(1, dim)))
-    out = np.empty((x.shape[0], w.shape[1]))
-    for s in range(0, x.shape[0], step):
-        xb = x[s:s + step]
-        d = ((xb[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2)
-        order = np.argsort(d, axis=1, kind="stable")
-        ws = w[order]
-        cnt = ws[..., 0] if kind == "regression" else ws.sum(axis=2)
-        before = np.cumsum(cnt, axis=1) - cnt
-        take = np.clip(k - before, 0.0, cnt)
-        frac = np.divide(take, cnt, out=np.zeros_like(take), where=cnt > 0)
-        out[s:s + step] = (ws * frac[..., None]).sum(axis=1)
-    return out
-
-
-class KNNEstimator(Estimator):
-    """Fits on all labelled rows, collapsed to prototypes: distinct vectors with the counts of their labels.
-
-    ``max_rows`` bounds the prototypes only. Where there are more distinct vectors, those with the smallest hash of
-    the vector alone stay, each with all its rows, so no vector loses a part of its labels.
-    """
-
-    def __init__(self, k: int = 5, kind: str = "binary", n_classes: int = 2, max_rows: int = KNN_FIT_ROWS):
-        super().__init__()
-        self.k_, self.kind_, self.n_classes, self.max_rows = k, kind, n_classes, max_rows
 
-    def _fit(self, df: DataFrame) -> KNNModel:
-        from pyspark.ml.functions import vector_to_array
-        rows = df.select(vector_to_array(FEATURES_COL).alias("p"), F.col(LABEL_COL).cast("double").alias("y"))
-        by_vector = rows.groupBy("p")
-        if self.kind_ == "regression":
-            protos = by_vector.agg(F.array(F.count(F.lit(1)).cast("double"), F.sum("y")).alias("w"))
-        else:
-            protos = by_vector.agg(F.array(*[F.count_if(F.col("y") == float(i)).cast("double")
-                                        for i in range(self.n_classes)]).alias("w"))
-        found = sorted(protos.orderBy(F.xxhash64("p"), "p").limit(self.max_rows).collect(), key=lambda r: list(r.p))
-        return KNNModel(self.k_, self.kind_, [list(r.p) for r in found], [list(r.w) for r in found])
+def candidates(kind: str, n_classes: int = 2) -> list[Candidate]:
+    """L6-L12 per task kind, with the spaces that tuning draws from."""
+    regression = kind == "regression"
+    linear = (Candidate("ridge", "linear", _ridge, lambda r: {"alpha": _log_uniform(r, 1e-3, 1e2)}) if regression else
+              Candidate("logistic_regression", "linear", _lr(kind, n_classes), lambda r: {"C": _log_uniform(r, 1e-3, 1e2)}, needs_weights=True))
+    weighted = not regression
+    return [
+        Candidate("baseline", "dummy", _baseline(kind, n_classes)),
+        linear,
+        Candidate("random_forest", "forest", _rf(kind), _forest_space, weighted),
+        Candidate("gradient_boosting", "boosting", _gbt(kind, n_classes), _boosting_space, weighted),
+        Candidate("hist_gradient_boosting", "hist_boosting", _hist(kind, n_classes), _hist_space, weighted),
+        Candidate("svr_rbf" if regression else "svm_rbf", "kernel", _kernel(kind, n_classes), _kernel_space, weighted),
+        Candidate("knn", "neighbors", _knn(kind, n_classes), _knn_space),
+    ]
 
 
-def _knn(kind: str, n_classes: int):
-    def build(p, ctx):
-        return [KNNEstimator(int(p.get("k", 15)), kind, n_classes, int(p.get("max_rows", KNN_FIT_ROWS)))]
-    return build
+def make_pipeline(train: DataFrame, features: Sequence[str], cand: Candidate, params: dict[str, Any],
+                  ctx: dict[str, Any]) -> Pipeline:
+    """Preprocess → model in one ``Pipeline``."""
+    stages, _ = preprocess_stages(train, features)
+    return Pipeline(stages=[*stages, *cand.build(params, ctx)])

@@ -87,14 +87,14 @@ def dataset_fingerprint(spark, sf_dir):
 
 # --------------------------------------------------------------------------- models
 
-def _fitted(spark, sf_dir, task_name: str, cand_name: str, where: str = "true") -> PipelineModel:
+def _fitted(spark, sf_dir, task_name: str, cand_name: str, where: str = "true", **params) -> PipelineModel:
     task = X.TASKS[task_name]
     # read by several fit passes (row stats, indexers, the estimator): cache for the fit only
     data = prepare(task, _eng(spark, sf_dir).where(where)).persist()
     cand = {c.name: c for c in candidates(task.kind, max(2, len(task.levels)))}[cand_name]
     st = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL_COL).alias("s")).first()
     ctx = {"n": float(st["n"]), "y_std": float(st["s"] or 1.0), "seed": 42}
-    model = make_pipeline(data, list(task.inputs), cand, {}, ctx).fit(data)
+    model = make_pipeline(data, list(task.inputs), cand, params, ctx).fit(data)
     data.unpersist()
     return model
 
@@ -145,11 +145,11 @@ def local_explanations(spark, sf_dir):
 @register("shapley_coalition")
 def shapley_coalition(spark, sf_dir):
     """Exact interventional Shapley values of every student for a random forest
-    (2^5 coalitions × 10 background rows per student)."""
+    (2^5 coalitions × 200 background rows per student)."""
     task = X.TASKS["at_risk"]
     eng = _eng(spark, sf_dir)
     model = _fitted(spark, sf_dir, "at_risk", "random_forest")
-    return AT.shapley_values(model, task, eng.select(KEY, *task.inputs), SP.fixed_sample(eng, KEY, 10, 1), KEY)
+    return AT.shapley_values(model, task, eng.select(KEY, *task.inputs), SP.fixed_sample(eng, KEY, 200, 1), KEY)
 
 
 @register("permutation_importance")
@@ -225,8 +225,34 @@ def stream_scored(spark, sf_dir):
 @register("knn_scores")
 def knn_scores(spark, sf_dir):
     """Exact 15-NN at-risk probabilities over the prototypes (distinct vectors) of all labelled rows."""
-    from pyspark.ml.functions import vector_to_array
     task = X.TASKS["at_risk"]
-    model = _fitted(spark, sf_dir, "at_risk", "knn")
+    model = _fitted(spark, sf_dir, "at_risk", "knn", k=15)
     out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
     return out.select(KEY, vector_to_array("probability")[1].alias("probability"), "prediction")
+
+
+@register("knn_levels")
+def knn_levels(spark, sf_dir):
+    """Exact 5-NN performance levels; nearly every student has a vector of their own, so cells and bounds do the work."""
+    task = X.TASKS["performance_level"]
+    model = _fitted(spark, sf_dir, "performance_level", "knn")
+    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
+    return out.select(KEY, vector_to_array("probability").alias("probability"), "prediction")
+
+
+@register("hist_boosting_scores")
+def hist_boosting_scores(spark, sf_dir):
+    """Performance levels by histogram boosting with multinomial loss, 100 rounds of up to 31 leaves over all rows."""
+    task = X.TASKS["performance_level"]
+    model = _fitted(spark, sf_dir, "performance_level", "hist_gradient_boosting")
+    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
+    return out.select(KEY, vector_to_array("probability").alias("probability"), "prediction")
+
+
+@register("kernel_scores")
+def kernel_scores(spark, sf_dir):
+    """Performance levels by a multinomial RBF kernel machine on 200 Nyström landmarks."""
+    task = X.TASKS["performance_level"]
+    model = _fitted(spark, sf_dir, "performance_level", "svm_rbf")
+    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
+    return out.select(KEY, vector_to_array("probability").alias("probability"), "prediction")

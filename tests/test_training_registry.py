@@ -162,31 +162,6 @@ def test_audit_drift_and_profile_sink(spark, trained):
     assert spark.read.text(f"{path}/profile_json").first().value.startswith("{")
 
 
-def test_knn_fits_on_a_bounded_number_of_rows(spark):
-    from cohortlens.operators.modeling import FEATURES_COL, LABEL_COL, KNNEstimator, candidates
-    from pyspark.ml.linalg import Vectors
-    df = spark.createDataFrame([(Vectors.dense([float(i)]), float(i % 2)) for i in range(300)], [FEATURES_COL, LABEL_COL])
-    q = df.limit(20)
-    few = [KNNEstimator(k=3, kind="binary", max_rows=50).fit(d).transform(q).select("prediction").collect()
-           for d in (df, df.repartition(7))]
-    assert few[0] == few[1]  # the same rows whatever the partitions
-    knn = {c.name: c for c in candidates("regression")}["knn"]
-    assert knn.build({"max_rows": 7}, {})[0].max_rows == 7
-
-
-def test_knn_bound_keeps_all_rows_of_a_vector(spark):
-    from cohortlens.operators.modeling import FEATURES_COL, LABEL_COL, KNNEstimator
-    from pyspark.ml.linalg import Vectors
-    rows = [(Vectors.dense([float(v)]), float(i % 4 == 0)) for v in range(20) for i in range(20 if v else 200)]
-    df = spark.createDataFrame(rows, [FEATURES_COL, LABEL_COL])
-    m = KNNEstimator(k=5, kind="binary", max_rows=50).fit(df)  # more rows than the bound, fewer vectors
-    assert m.getOrDefault("points") == [[float(v)] for v in range(20)]
-    assert m.getOrDefault("weights") == [[150.0, 50.0]] + [[15.0, 5.0]] * 19
-    few = KNNEstimator(k=5, kind="regression", max_rows=7).fit(df)
-    assert len(few.getOrDefault("points")) == 7
-    assert all(w == ([200.0, 50.0] if p == [0.0] else [20.0, 5.0]) for p, w in zip(few.getOrDefault("points"), few.getOrDefault("weights")))
-
-
 def test_failing_candidate_is_a_row_of_the_board(spark, monkeypatch):
     from cohortlens.operators import training as TR
     eng = X.engineer(D.students(spark, SF)).limit(400)
