@@ -2,12 +2,13 @@
 
 * Linear models (E1): ``coef · (x − background mean)`` per encoded column,
   as array expressions on the assembled vector — no UDF.
-* Any model (E2): exact interventional Shapley values over source features
-  by coalition enumeration. Each distinct feature vector of the explained
-  rows expands to 2^f coalitions × a fixed-size background (both bounded
-  parameters, inlined as literals — no join), one ``transform`` scores them,
-  a weighted sum per (vector, feature) gives the values, and an equi-join on
-  the vector hands them to every row holding it.
+* Any model (E2): interventional Shapley values over source features. Values are linear in the
+  coalitions' mean outputs, so one matrix (features × coalitions) gives them: Shapley's weights where all 2^f
+  coalitions fit the budget, else the solution of kernel-weighted least squares over sampled
+  coalitions (its normal equations depend on the coalitions only, which all rows share). Each distinct feature vector of
+  the explained rows expands to coalitions × background rows (both bounded parameters); equal mixtures are
+  summed before one ``transform`` scores them, a weighted sum per vector gives the values, and an
+  equi-join on the vector hands them to every row holding it.
 * Permutation importance (E5/J7): a column is permuted by pairing each row's
   rank in key order with another row's rank in hash order — an equi-join on
   rank, with ranks from the range-partitioned running count.
@@ -16,9 +17,12 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -30,8 +34,9 @@ from cohortlens.operators.joins import join_dimension
 from cohortlens.operators.modeling import FEATURES_COL, LABEL_COL, encoding_of
 from cohortlens.operators.ordered import running_totals
 
-MAX_COALITION_FEATURES = 8
-MAX_BACKGROUND = 50
+#: coalitions at most, besides two for each feature; and background rows
+COALITIONS = 2048
+MAX_BACKGROUND = 1000
 
 
 def _linear_stage(model: PipelineModel):
@@ -106,6 +111,61 @@ def _shap_weight(n: int, s: int) -> float:
     return math.factorial(s) * math.factorial(n - s - 1) / math.factorial(n)
 
 
+def all_coalitions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every subset of ``n`` features as a row of booleans, and the matrix that takes their values to Shapley values."""
+    masks = np.array([[bool(m >> i & 1) for i in range(n)] for m in range(2 ** n)])
+    size = masks.sum(axis=1)
+    to = np.zeros((n, len(masks)))
+    for i in range(n):
+        for j, s in enumerate(size):
+            to[i, j] = _shap_weight(n, s - 1) if masks[j, i] else -_shap_weight(n, s)
+    return masks, to
+
+
+def sampled_coalitions(n: int, budget: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The empty and the whole set, all subsets of the outer sizes that the budget covers, and pairs of drawn subsets and
+    their complements of the others (Lundberg & Lee, 2017); and the matrix of the constrained least squares over them."""
+    half = [s for s in range(1, n // 2 + 1)]
+    both = {s: 1 if 2 * s == n else 2 for s in half}
+    share = {s: both[s] * (n - 1) / (s * (n - s)) for s in half}
+    weight: dict[tuple[int, ...], float] = {}
+    left, rest = budget, list(half)
+
+    def add(subset: tuple[int, ...], w: float) -> None:
+        weight[subset] = weight.get(subset, 0.0) + w
+
+    while rest and math.comb(n, rest[0]) * both[rest[0]] <= left * share[rest[0]] / sum(share[s] for s in rest):
+        s = rest.pop(0)
+        number = math.comb(n, s) * both[s]
+        for c in combinations(range(n), s):
+            add(c, share[s] / number)
+            if both[s] == 2:
+                add(tuple(sorted(set(range(n)) - set(c))), share[s] / number)
+        left -= number
+    if rest:
+        rng = random.Random(seed)
+        draws = max(1, left // 2)
+        w = sum(share[s] for s in rest) / (2 * draws)
+        for _ in range(draws):
+            s = rng.choices(rest, [share[s] for s in rest])[0]
+            c = tuple(sorted(rng.sample(range(n), s)))
+            add(c, w)
+            add(tuple(sorted(set(range(n)) - set(c))), w)
+    subsets = sorted(weight)
+    z = np.array([[i in c for i in range(n)] for c in subsets], float)
+    zw = z.T * np.array([weight[c] for c in subsets])
+    inverse = np.linalg.pinv(zw @ z)
+    h = inverse.sum(axis=1) / inverse.sum()
+    g = (np.eye(n) - np.outer(h, np.ones(n))) @ inverse @ zw
+    masks = np.vstack([np.zeros((1, n), bool), np.ones((1, n), bool), z.astype(bool)])
+    return masks, np.column_stack([-g.sum(axis=1) - h, h, g])
+
+
+def coalitions(n: int, budget: int = COALITIONS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Coalitions of ``n`` features (rows of booleans) and the matrix (n × coalitions) to the Shapley values."""
+    return all_coalitions(n) if 2 ** n <= budget + 2 * n else sampled_coalitions(n, budget + 2 * n, seed)
+
+
 def _model_outputs(task: Task) -> list:
     """What is explained: the probability of class 1, of every class, or the prediction."""
     if task.kind == "binary":
@@ -116,26 +176,29 @@ def _model_outputs(task: Task) -> list:
 
 
 def shapley_values(model: PipelineModel, task: Task, rows: DataFrame, background: DataFrame,
-                   key: str) -> DataFrame:
-    """Exact interventional Shapley values per (key, feature) for any fitted pipeline.
+                   key: str, budget: int = COALITIONS, seed: int = 0) -> DataFrame:
+    """Interventional Shapley values per (key, feature) for any fitted pipeline.
 
+    Exact where all coalitions fit ``budget`` (up to 11 features by default), else by sampled coalitions.
     Multiclass: ``shap_value`` explains the probability of the class predicted for the explained row
     itself, in every coalition; ``magnitude`` is the mean absolute value over all classes.
 
-    ``background`` must be small (≤ MAX_BACKGROUND rows, e.g. from
-    ``split.fixed_sample``); it is inlined as literals. Features ≤ 8.
+    ``background`` holds at most MAX_BACKGROUND rows (e.g. from ``split.fixed_sample``); equal rows count together.
     """
+    spark = rows.sparkSession
     feats = list(task.inputs)
     n = len(feats)
-    if n > MAX_COALITION_FEATURES:
-        raise ValueError(f"coalition enumeration supports at most {MAX_COALITION_FEATURES} features")
-    bg_rows = background.select(*feats).limit(MAX_BACKGROUND + 1).collect()
-    if len(bg_rows) > MAX_BACKGROUND:
-        raise ValueError(f"background must hold at most {MAX_BACKGROUND} rows")
+    bg_rows = background.select(*feats).limit(MAX_BACKGROUND + 1).count()
+    if not 0 < bg_rows <= MAX_BACKGROUND:
+        raise ValueError(f"background must hold 1 to {MAX_BACKGROUND} rows")
     types = dict(rows.select(*feats).dtypes)
-    bg = F.array(*[F.struct(*[F.lit(r[f]).cast(types[f]).alias(f) for f in feats]) for r in bg_rows])
-    masks = list(range(2 ** n))
-    # v(S) depends on the row only through its feature vector: explain each distinct
+    masks, to = coalitions(n, budget, seed)
+    # both small tables enter the plan as one array each; no join
+    bg = (background.select(*[F.col(f).cast(types[f]).alias(f) for f in feats]).groupBy(*feats).agg((F.count(F.lit(1)) / bg_rows).alias("__share"))
+          .select(F.collect_list(F.struct(*feats, "__share"))).scalar())
+    sets = (spark.createDataFrame([(m.tolist(), to[:, j].tolist()) for j, m in enumerate(masks)], "has array<boolean>, w array<double>")
+            .select(F.collect_list(F.struct("has", "w"))).scalar())
+    # outputs depend on the row only through its feature vector: explain each distinct
     # vector once (a partial + final aggregate, so a vector held by a third of the
     # rows is one row) and join the values back to the rows afterwards.
     vid = [f"__x_{f}" for f in feats]
@@ -145,31 +208,19 @@ def shapley_values(model: PipelineModel, task: Task, rows: DataFrame, background
         vecs = own.select(*vid, F.col("prediction").cast("int").alias("__class"))
     else:
         vecs = vecs.withColumn("__class", F.lit(0))
-    hyb = (vecs.withColumn("__mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-           .withColumn("__b", F.explode(bg)))
-    mixed = hyb.select(*vid, "__class", "__mask", *[
-        F.when((F.col("__mask").bitwiseAND(F.lit(1 << i))) != 0, F.col(c)).otherwise(F.col("__b")[f]).alias(f)
-        for i, (f, c) in enumerate(zip(feats, vid))])
+    hyb = vecs.withColumn("__s", F.explode(sets)).withColumn("__b", F.explode(bg))
+    # mixtures with equal values have one output: their weights for each feature are summed first
+    mixed = hyb.select(*vid, "__class", *[
+        F.when(F.col("__s.has")[i], F.col(c)).otherwise(F.col("__b")[f]).alias(f) for i, (f, c) in enumerate(zip(feats, vid))],
+        *[(F.col("__s.w")[i] * F.col("__b.__share")).alias(f"__w{i}") for i in range(n)])
+    mixed = mixed.groupBy(*vid, "__class", *feats).agg(*[F.sum(f"__w{i}").alias(f"__w{i}") for i in range(n)])
     out = model.transform(mixed)
     outputs = _model_outputs(task)
-    v = out.groupBy(*vid, "__class", "__mask").agg(F.array(*[F.avg(o) for o in outputs]).alias("v"))
-    # φ_i = Σ_{S ∌ i} w(|S|) (v(S ∪ i) − v(S)) as one weighted sum per (vector, feature)
-    terms = []
-    for i in range(n):
-        for m in masks:
-            if m & (1 << i):
-                continue
-            s = bin(m).count("1")
-            w = _shap_weight(n, s)
-            terms.append(F.struct(F.lit(feats[i]).alias("feature"), F.lit(m | (1 << i)).alias("mask"),
-                                  F.lit(w).alias("w")))
-            terms.append(F.struct(F.lit(feats[i]).alias("feature"), F.lit(m).alias("mask"), F.lit(-w).alias("w")))
-    wt = v.sparkSession.range(1).select(F.explode(F.array(*terms)).alias("t")).select("t.*")
-    # bounded: n · 2^n rows (≤ 2,048), broadcast by construction
-    per_vec = (v.join(F.broadcast(wt), v["__mask"] == wt["mask"])
-               .groupBy(*vid, "__class", "feature")
-               .agg(F.array(*[F.sum(F.col("w") * F.col("v")[c]) for c in range(len(outputs))]).alias("phi"))
-               .select(*vid, "feature", F.element_at("phi", F.col("__class") + 1).alias("shap_value"),
+    phi = [F.array(*[F.sum(F.col(f"__w{i}") * o) for o in outputs]) for i in range(n)]
+    per_vec = (out.groupBy(*vid, "__class").agg(F.array(*phi).alias("__phi"))
+               .select(*vid, "__class", F.posexplode("__phi").alias("__i", "phi"))
+               .select(*vid, F.element_at(F.array(*[F.lit(f) for f in feats]), F.col("__i") + 1).alias("feature"),
+                       F.element_at("phi", F.col("__class") + 1).alias("shap_value"),
                        (F.aggregate("phi", F.lit(0.0), lambda s, x: s + F.abs(x)) / len(outputs)).alias("magnitude")))
     # back to the rows: null-safe equality on the feature vector; the per-vector table is
     # broadcast only within the checked bound, else a shuffle join (AQE splits hot vectors)
