@@ -7,7 +7,8 @@ packed arrays) are a Parquet table. One pass a level adds the newest trees to th
 walks the trees under growth and sums gradient, hessian and count per (class, open node, feature, bin); the sums are
 merged by a group-by whose result is bounded by classes x leaves x features x bins, and the driver picks
 the splits from it. The trees of all classes grow in the same passes (true multinomial loss, not one against the rest). The raw scores are
-written anew every ``REFRESH`` rounds, so a lost executor costs a reread and a few trees at most.
+written anew every ``REFRESH`` rounds, so a lost executor costs a reread and a few trees at most. Tables of up to ``IN_TASK`` distinct
+vectors (a few MB) grow by the same steps inside one task, which saves a job for each level.
 
 Trees grow by level; where a level would exceed ``max_leaf_nodes`` the splits with the largest gain stay.
 Missing values (NaN) go to the last bin, hence to the right of every split.
@@ -16,7 +17,7 @@ Missing values (NaN) go to the last bin, hence to the right of every split.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -37,6 +38,7 @@ MAX_BINS = 255
 BLOCK = 8192
 BLOCKS = 16
 REFRESH = 10
+IN_TASK = 1 << 16
 #: hessian that each side of a split needs at least
 LEAST_HESSIAN = 1e-3
 
@@ -112,17 +114,17 @@ def softmax(raw: np.ndarray) -> np.ndarray:
 def bin_edges(x: DataFrame, n_features: int, max_bins: int = MAX_BINS) -> list[np.ndarray]:
     """Upper edges of all but the last bin of each feature of ``x(x array<double>)``: midpoints of all distinct values where these
     are few, else of approximate quantiles."""
-    cols = [F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(n_features)]
+    long = x.select(F.posexplode("x").alias("i", "v")).filter(~F.isnan("v"))
     probs = [(i + 1) / (max_bins + 1) for i in range(max_bins)]
-    some = x.agg(*[F.struct(F.approx_count_distinct(c, 0.02).alias("n"), F.percentile_approx(c, probs, 20_000).alias("q")).alias(f"f{i}")
-                   for i, c in enumerate(cols)]).first()
-    few = [i for i in range(n_features) if some[f"f{i}"]["n"] <= 0.9 * max_bins]
-    # sets of about max_bins values at most, as just counted
-    sets = x.agg(*[F.collect_set(cols[i]).alias(f"f{i}") for i in few]).first() if few else {}
+    found = {r["i"]: r for r in long.groupBy("i").agg(F.approx_count_distinct("v", 0.02).alias("n"), F.percentile_approx("v", probs, 20_000).alias("q")).collect()}
+    few = [i for i, r in found.items() if r["n"] <= 0.9 * max_bins]
+    values = {i: set(r["q"]) for i, r in found.items() if i not in few}
+    for r in long.filter(F.col("i").isin(few)).distinct().toLocalIterator() if few else ():  # about max_bins values a feature at most
+        values.setdefault(r["i"], set()).add(r["v"])
     out = []
     for i in range(n_features):
-        values = np.unique(np.asarray((sets[f"f{i}"] if i in few else some[f"f{i}"]["q"]) or [], float))
-        out.append((values[1:] + values[:-1]) / 2)
+        v = np.array(sorted(values.get(i, ())), float)
+        out.append((v[1:] + v[:-1]) / 2)
     return out
 
 
@@ -182,35 +184,57 @@ def _refresh(rounds: list[list[Tree]]):
 HISTOGRAM = "k int, node int, f int, bin int, g double, h double, c double"
 
 
+def add_histograms(total: dict[int, np.ndarray], bins: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.ndarray,
+                   growing: list[Tree], open_nodes: list[list[int]]) -> None:
+    """Add to ``total`` by class (open nodes, features, bins, 3), a size that the parameters set."""
+    for k, tree in enumerate(growing):
+        if not open_nodes[k]:
+            continue
+        place = np.full(len(tree.feature), -1)
+        place[open_nodes[k]] = np.arange(len(open_nodes[k]))
+        slot = place[tree.leaves(bins, "cut")]
+        here = slot >= 0
+        nodes = len(open_nodes[k])
+        into = total.setdefault(k, np.zeros((nodes, bins.shape[1], MAX_BINS + 1, 3)))
+        parts = [v[here] for v in (g[:, k], h[:, k], count)]
+        for f in range(bins.shape[1]):
+            at = slot[here] * (MAX_BINS + 1) + bins[here, f]
+            for j, v in enumerate(parts):
+                into[:, f, :, j] += np.bincount(at, v, nodes * (MAX_BINS + 1)).reshape(nodes, -1)
+
+
 def _histograms(kind: str, rounds: list[list[Tree]], growing: list[Tree], open_nodes: list[list[int]]):
     names = [c.split()[0] for c in HISTOGRAM.split(", ")]
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}  # by class: (open nodes, features, bins, 3), a size set by the parameters
+        total: dict[int, np.ndarray] = {}
         for _, bins, sums, count, raw in _blocks(batches, rounds):
             g, h = gradients(kind, raw, sums)
-            for k, tree in enumerate(growing):
-                if not open_nodes[k]:
-                    continue
-                place = np.full(len(tree.feature), -1)
-                place[open_nodes[k]] = np.arange(len(open_nodes[k]))
-                slot = place[tree.leaves(bins, "cut")]
-                here = slot >= 0
-                shape = (len(open_nodes[k]), bins.shape[1], MAX_BINS + 1)
-                into = total.setdefault(k, np.zeros((*shape, 3)))
-                for f in range(bins.shape[1]):
-                    at = slot[here] * (MAX_BINS + 1) + bins[here, f]
-                    for j, v in enumerate((g[here, k], h[here, k], count[here])):
-                        into[:, f, :, j] += np.bincount(at, v, shape[0] * shape[2]).reshape(shape[0], shape[2])
+            add_histograms(total, bins, g, h, count, growing, open_nodes)
         for k, a in total.items():
             node, f, b = np.nonzero(a[..., 2])
             v = a[node, f, b]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(node), k), pa.int32()), pa.array(np.asarray(open_nodes[k])[node], pa.int32()), pa.array(f, pa.int32()),
+                [pa.array(np.full(len(node), k), pa.int32()), pa.array(node, pa.int32()), pa.array(f, pa.int32()),
                  pa.array(b, pa.int32()), *[pa.array(v[:, j]) for j in range(3)]], names=names)
     return run
 
 
+def merged_histograms(blocks: DataFrame, kind: str, rounds: list[list[Tree]], growing: list[Tree], open_nodes: list[list[int]], n_features: int
+                      ) -> dict[int, np.ndarray]:
+    """One pass over ``blocks``; the merged sums are as large as one task's."""
+    sums = blocks.mapInArrow(_histograms(kind, rounds, growing, open_nodes), HISTOGRAM)
+    t = sums.groupBy("k", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("c").alias("c")).toArrow()
+    k_, *at = (np.asarray(t[c]) for c in ("k", "node", "f", "bin"))
+    values = np.stack([np.asarray(t[c]) for c in ("g", "h", "c")], axis=1)
+    out = {}
+    for k, nodes in enumerate(open_nodes):
+        out[k] = np.zeros((len(nodes), n_features, MAX_BINS + 1, 3))
+        mine = k_ == k
+        out[k][tuple(a[mine] for a in at)] = values[mine]
+    return out
+
+
 # --------------------------------------------------------------------------- growth
 
 @dataclass
@@ -254,24 +278,22 @@ def best_split(hist: np.ndarray, n_edges: list[int], how: Growth) -> Split | Non
     return best
 
 
-def grow_round(blocks: DataFrame, kind: str, rounds: list[list[Tree]], n_trees: int, edges: list[np.ndarray], how: Growth) -> list[Tree]:
-    """One tree for each class on top of the raw scores of ``blocks`` plus ``rounds``."""
+Sums = Callable[[list[Tree], list[list[int]]], dict[int, np.ndarray]]
+
+
+def grow_round(sums: Sums, n_trees: int, edges: list[np.ndarray], how: Growth) -> list[Tree]:
+    """One tree for each class; ``sums`` gives the histograms of the open nodes of the trees under growth."""
     trees = [Tree() for _ in range(n_trees)]
     open_nodes = [[0] for _ in trees]
     n_edges = [len(e) for e in edges]
     leaves = [1] * n_trees
     while any(open_nodes):
-        sums = blocks.mapInArrow(_histograms(kind, rounds, trees, open_nodes), HISTOGRAM)
-        t = sums.groupBy("k", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("c").alias("c")).toArrow()
-        k_, node_, f_, bin_ = (np.asarray(t[c]) for c in ("k", "node", "f", "bin"))
-        values = np.stack([np.asarray(t[c]) for c in ("g", "h", "c")], axis=1)
+        hists = sums(trees, open_nodes)
         nxt: list[list[int]] = [[] for _ in trees]
         for k, tree in enumerate(trees):
             found = []
-            for node in open_nodes[k]:
-                mine = (k_ == k) & (node_ == node)
-                hist = np.zeros((len(edges), MAX_BINS + 1, 3))
-                hist[f_[mine], bin_[mine]] = values[mine]
+            for slot, node in enumerate(open_nodes[k]):
+                hist = hists[k][slot] if k in hists else np.zeros((len(edges), MAX_BINS + 1, 3))
                 if node == 0 and len(edges):
                     g, h, _ = hist[0].sum(axis=0)
                     tree.value[0] = float(-how.learning_rate * g / (h + how.l2_regularization)) if h + how.l2_regularization > 0 else 0.0
@@ -290,6 +312,55 @@ def grow_round(blocks: DataFrame, kind: str, rounds: list[list[Tree]], n_trees:
     return trees
 
 
+def done(trees: list[Tree]) -> bool:
+    """No class found a split."""
+    return all(len(t.feature) == 1 for t in trees)
+
+
+def as_json(base: list[float], rounds: list[list[Tree]]) -> str:
+    return json.dumps({"base": base, "rounds": [[vars(t) for t in r] for r in rounds]})
+
+
+def _grow_all(kind: str, base: list[float], edges: list[np.ndarray], how: Growth):
+    """All rounds over the blocks of one task."""
+    def run(batches):
+        held = [x[1:] for x in _blocks(batches, [])]
+        if not held:
+            return
+        bins, sums, count, raw = (np.concatenate([x[j] for x in held]) for j in range(4))
+        rounds: list[list[Tree]] = []
+        for _ in range(how.max_iter):
+            g, h = gradients(kind, raw, sums)
+
+            def of(trees, open_nodes):
+                total: dict[int, np.ndarray] = {}
+                add_histograms(total, bins, g, h, count, trees, open_nodes)
+                return total
+
+            rounds.append(grow_round(of, len(base), edges, how))
+            raw = added(raw, rounds[-1:], bins, "cut")
+            if done(rounds[-1]):
+                break
+        yield pa.RecordBatch.from_arrays([pa.array([as_json(base, rounds)])], names=["state"])
+    return run
+
+
+def _grow_by_passes(blocks: DataFrame, kind: str, base: list[float], edges: list[np.ndarray], how: Growth) -> str:
+    """The same over blocks of any number, with one pass a level."""
+    rounds: list[list[Tree]] = []
+    fresh: list[list[Tree]] = []  # not yet in the raw scores of ``blocks``
+    for i in range(how.max_iter):
+        rounds.append(grow_round(lambda *a: merged_histograms(blocks, kind, fresh, *a, len(edges)), len(base), edges, how))
+        fresh.append(rounds[-1])
+        if done(rounds[-1]):
+            break
+        if len(fresh) == REFRESH and i + 1 < how.max_iter:
+            old, blocks, fresh = blocks, cut_lineage(blocks.mapInArrow(_refresh(fresh), BLOCK_SCHEMA)), []
+            release(old)
+    release(blocks)
+    return as_json(base, rounds)
+
+
 class HistBoostingModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """The fitted rounds; scores rows by one vectorised pandas UDF."""
 
@@ -366,19 +437,10 @@ class HistBoostingEstimator(Estimator):
         parts = -(-sizes["n"] // (BLOCK * BLOCKS)) or 1
         blocks = cut_lineage(table.coalesce(parts).mapInArrow(_pack(base), BLOCK_SCHEMA))
         release(table)
-        rounds: list[list[Tree]] = []
-        fresh: list[list[Tree]] = []  # not yet in the raw scores of ``blocks``
-        for i in range(self.how.max_iter):
-            # one partition needs no shuffle for its sums
-            read = blocks.coalesce(1) if parts == 1 else blocks
-            trees = grow_round(read, self.kind_, fresh, len(base), edges, self.how)
-            rounds.append(trees)
-            fresh.append(trees)
-            if all(len(t.feature) == 1 for t in trees):
-                break  # no class finds a split any more
-            if len(fresh) == REFRESH and i + 1 < self.how.max_iter:
-                old, blocks, fresh = blocks, cut_lineage(read.mapInArrow(_refresh(fresh), BLOCK_SCHEMA)), []
-                release(old)
-        release(blocks)
-        state = {"base": base, "rounds": [[vars(t) for t in r] for r in rounds]}
-        return HistBoostingModel(self.kind_, features, json.dumps(state))
+        if sizes["n"] <= IN_TASK:
+            grown = blocks.coalesce(1).mapInArrow(_grow_all(self.kind_, base, edges, self.how), "state string").first()
+            release(blocks)
+            state = grown["state"] if grown else as_json(base, [])
+        else:
+            state = _grow_by_passes(blocks, self.kind_, base, edges, self.how)
+        return HistBoostingModel(self.kind_, features, state)

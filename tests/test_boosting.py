@@ -82,8 +82,10 @@ def brute(kind, rows, classes):
     return raw
 
 
+@pytest.mark.parametrize("in_task", [0, B.IN_TASK])
 @pytest.mark.parametrize("kind,classes", [("binary", 2), ("regression", 1), ("multiclass", 3)])
-def test_equals_brute_force(spark, monkeypatch, kind, classes):
+def test_equals_brute_force(spark, monkeypatch, kind, classes, in_task):
+    monkeypatch.setattr(B, "IN_TASK", in_task)  # by passes over all blocks, or in one task
     monkeypatch.setattr(B, "REFRESH", 3)  # raw scores are written anew in between
     monkeypatch.setattr(B, "BLOCK", 64)
     monkeypatch.setattr(B, "BLOCKS", 2)  # several partitions
