@@ -4,11 +4,12 @@ The tokenizer file names the merges and the normalisation: NFC, white space to o
 lower case, then words by the file's pattern; bytes as characters, the last one with the end-of-word mark. The operator
 
 1. counts the words of all texts (combined per task, then by Spark) and takes the most frequent ones, at most
-   ``LEXICON`` (a whole number of frequency classes, found from the histogram of the counts);
+   ``LEXICON`` (a whole number of frequency classes, found from the histogram of the counts). No word reaches across white
+   space, so texts are split there first, and only the distinct pieces of some megabytes are cut into words by the pattern;
 2. encodes these in tasks and compiles them on the driver, which they fit by that bound, into a minimal acyclic
    automaton: equal suffixes share their states, and the outputs of the arcs on a word's path
    add up to the word's number, which indexes its ids. The file is sent with ``addFile`` and memory-mapped by every worker;
-3. encodes each text: the distinct words of some megabytes walk through the automaton together, one byte
+3. encodes each text: the distinct words of the distinct pieces of some megabytes walk through the automaton together, one byte
    at a time; words it does not accept are merged exactly (rank by rank, with a heap).
 
 Ids are those of the tokenizers library with add_special_tokens=False: strings of special tokens in a
@@ -24,6 +25,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 import uuid
@@ -56,6 +58,11 @@ NEWER_RANGES = (
     "2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 )
 NEWER = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER_RANGES.split())
+# Lower case of capitals that are newer than this Python's tables (code points).
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+               **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+#: ``str.split`` parts at these too, though they are no white space
+NOT_SPACE = re.compile("[\x1c-\x1f]")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -95,6 +102,16 @@ class Merges:
         self.find = regex.compile(pattern, regex.V1).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         self.marks = tuple(s[:2] for s in self.special)
+        self.spaced = any(c in s for s in self.special for c in SPACE)
+        self.space = regex.compile(f"[{SPACE}]+")
+
+    def pieces(self, text: str) -> list[str]:
+        """The text cut at white space: no word reaches across it (unless a special token holds some)."""
+        if self.spaced:
+            return [text] if text else []
+        if NOT_SPACE.search(text):
+            return [x for x in self.space.split(text) if x]
+        return text.split()
 
     def words(self, text: str) -> list[str]:
         if any(m in text for m in self.marks):
@@ -112,6 +129,7 @@ class Merges:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case of a character, whatever stands beside it
                 text = text.replace("Σ", "σ")
+            return self.find(text.lower().translate(NEWER_LOWER))
         return self.find(text.lower())
 
     def ids(self, word: str) -> list[int]:
@@ -250,32 +268,40 @@ def look_up(lex: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     return np.where(good, number, -1)
 
 
+class Numbers(dict):
+    """Numbers keys from 0 on as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     def __init__(self, merges: Merges, lex: dict[str, np.ndarray]):
         self.merges, self.lex = merges, lex
         self.rare: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]], list[list[int]]]:
-        """Ids of each text; also its words as numbers of this call's distinct words, and their ids."""
-        seen: dict[str, int] = {}
-        as_words = []
-        for t in texts:
-            as_words.append([seen.setdefault(w, len(seen)) for w in self.merges.words(t)])
-        words = list(seen)
-        number = look_up(self.lex, [w.encode() for w in words])
+        """Ids of each text; also its pieces as numbers of this call's distinct pieces, and their ids."""
+        seen = Numbers()
+        as_pieces = [[seen[x] for x in self.merges.pieces(t)] for t in texts]
+        known = Numbers()
+        in_words = [[known[w] for w in self.merges.words(x)] for x in seen]
+        number = look_up(self.lex, [w.encode() for w in known])
         at, flat = self.lex["at"], self.lex["ids"]
-        ids = [flat[at[n]: at[n + 1]].tolist() if n >= 0 else self._unseen(w) for w, n in zip(words, number.tolist())]
+        by_word = [flat[at[n]: at[n + 1]].tolist() if n >= 0 else self._unseen(w) for w, n in zip(known, number.tolist())]
+        ids = [[i for w in ws for i in by_word[w]] for ws in in_words]
         size = np.array([len(x) for x in ids], np.int64)
         start = np.concatenate([[0], np.cumsum(size)])[:-1] if len(ids) else size
         pool = np.array([i for x in ids for i in x], np.uint32)
         out = []
-        for w in as_words:
-            w = np.array(w, np.int64)
-            n = size[w]
+        for p in as_pieces:
+            p = np.array(p, np.int64)
+            n = size[p]
             total = int(n.sum())
             stop = np.cumsum(n)
-            out.append(pool[np.repeat(start[w] - (stop - n), n) + np.arange(total)] if total else pool[:0])
-        return out, as_words, ids
+            out.append(pool[np.repeat(start[p] - (stop - n), n) + np.arange(total)] if total else pool[:0])
+        return out, as_pieces, ids
 
     def _unseen(self, word: str) -> list[int]:
         if len(self.rare) > FLUSH:
@@ -299,18 +325,22 @@ def _texts(c: tc.Chunk) -> list[str]:
 def _count(spec):
     def run(batches: Iterator[pa.RecordBatch]):
         merges = Merges(spec.value)
-        total: Counter[str] = Counter()
+        pieces: Counter[str] = Counter()
 
         def out():
+            total: Counter[str] = Counter()
+            for piece, n in pieces.items():
+                for w in merges.words(piece):
+                    total[w] += n
+            pieces.clear()
             words = [w for w in total if w not in merges.special]
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64())], names=["word", "n"])
 
         for c in tc.chunks(batches):
             for t in _texts(c):
-                total.update(merges.words(t))
-            if len(total) > FLUSH:
+                pieces.update(merges.pieces(t))
+            if len(pieces) > FLUSH:
                 yield out()
-                total.clear()
         yield out()
     return run
 
@@ -396,10 +426,10 @@ class Codec:
         def run(batches):
             enc = make()
             for c in tc.chunks(batches, size=CHUNK):
-                ids, words, word_ids = enc.encode(_texts(c))
-                shown = [enc.decode(x) for x in word_ids]
+                ids, pieces, piece_ids = enc.encode(_texts(c))
+                shown = [enc.decode(x) for x in piece_ids]
                 a = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-                b = [hashlib.sha256(" ".join([shown[w] for w in ws]).encode()).hexdigest() for ws in words]
+                b = [hashlib.sha256(" ".join([shown[p] for p in ps if piece_ids[p]]).encode()).hexdigest() for ps in pieces]
                 cols = [c.cols[0], pa.array([len(x) for x in ids], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 if with_ids:
                     cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))

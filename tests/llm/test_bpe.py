@@ -34,6 +34,24 @@ def test_code_points(library, merges):
         assert [i for w in merges.words(s) for i in merges.ids(w)] == library.encode(s, add_special_tokens=False).ids, hex(c)
 
 
+def test_texts_of_random_code_points(library, merges):
+    """Whole texts by pieces: separators, special tokens and newer capitals inside words."""
+    rng = random.Random(1)
+    some = ["a", "B", "'s", "'", "\x1c", "\x1f", "\x85", "\u2000", "\u3000", " ", "\n", "\u0301", "\u0345", "Σ", "İ", "9", "½", "<|endoftext|>", "<|", "\u200b",
+            *map(chr, [0x1C89, 0xA7CB, 0xA7DC, 0x10D5E, 0x16EA3, 0x558, 0x10940])]
+    enc = bpe.Encoder(merges, bpe.compile_lexicon([]))
+    texts = ["".join(rng.choice(some) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(0x300), rng.randrange(0xE000, 0x20000)]))
+                     for _ in range(rng.randrange(30))) for _ in range(6000)]
+    for t, ids in zip(texts, enc.encode(texts)[0]):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_newer_capitals_inside_words(library, merges):
+    for c in bpe.NEWER_LOWER:
+        s = f"xA{chr(c)}b"
+        assert [i for w in merges.words(s) for i in merges.ids(w)] == library.encode(s, add_special_tokens=False).ids, hex(c)
+
+
 def test_lexicon_numbers_and_shares_suffixes():
     words = sorted({bytes(random.Random(i).choices(b"abc", k=1 + i % 7)) for i in range(300)})
     lex = bpe.compile_lexicon([(w, [i, i + 1]) for i, w in enumerate(words)])
