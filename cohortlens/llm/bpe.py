@@ -40,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import textcols as tc
-from cohortlens.llm.tables import pick, ship, table
+from cohortlens.llm.tables import beside, pick, ship, table
 
 #: words in the lexicon at most (about 60 bytes each in the file)
 LEXICON = 100_000
 CHUNK = 6 << 20
 FLUSH = 300_000
+#: bytes of a word that is merged together with others; longer ones have a heap of their own
+SHORT = 64
 
 # Unicode's White_Space, and the byte characters of byte-level BPE (printable bytes as themselves).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -78,6 +80,11 @@ def byte_chars() -> list[str]:
     return out
 
 
+def _lower(text: str) -> str:
+    """NFC and lower case of each character, whatever stands beside it."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(NEWER_LOWER)
+
+
 class Merges:
     """What a tokenizer file says: words of a text, exact ids of a word, tokens of ids."""
 
@@ -96,23 +103,59 @@ class Merges:
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.pair[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        # the same as arrays: a pair as one key, ascending, with its rank and what it becomes
+        keys = np.array([a << 32 | b for a, b in self.pair], np.int64)
+        rank, new = (np.array([v[j] for v in self.pair.values()], np.int64) for j in range(2))
+        order = np.argsort(keys)
+        self.by_key = keys[order], rank[order], new[order]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
-        for kind in (r"\p{L}", r"\p{N}"):
-            pattern = pattern.replace(kind, f"[{kind}--[{NEWER}]]")
-        self.find = regex.compile(pattern, regex.V1).findall
+        ascii_, exact = pattern, pattern
+        for kind, few in ((r"\p{L}", "[a-zA-Z]"), (r"\p{N}", "[0-9]")):
+            ascii_ = ascii_.replace(kind, few)
+            exact = exact.replace(kind, f"[{kind}--[{NEWER}]]")
+        self.find = regex.compile(exact, regex.V1).findall
+        # for many pieces at once, which a new line parts; the plain classes do for ASCII, and without newer letters
+        self.find_ascii, self.find_plain, self.find_all = (regex.compile(x + "|\n", regex.V1).findall for x in (ascii_, pattern, exact))
+        self.newer = regex.compile(f"[{NEWER}]").search
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
-        self.marks = tuple(s[:2] for s in self.special)
+        self.marks = tuple({s[:2] for s in self.special})
         self.spaced = any(c in s for s in self.special for c in SPACE)
         self.space = regex.compile(f"[{SPACE}]+")
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut at white space: no word reaches across it (unless a special token holds some)."""
+        """The text cut at white space: no word reaches across it."""
         if self.spaced:
-            return [text] if text else []
+            raise ValueError("special tokens with white space are not supported")
         if NOT_SPACE.search(text):
             return [x for x in self.space.split(text) if x]
         return text.split()
 
+    def words_of(self, pieces: list[str]) -> list[list[str]]:
+        """The words of each piece; pieces hold no new line."""
+        out: list[list[str]] = [[]] * len(pieces)
+        plain, other = [], []
+        for i, x in enumerate(pieces):
+            for m in self.marks:
+                if m in x:
+                    out[i] = self.words(x)
+                    break
+            else:
+                (plain if x.isascii() else other).append(i)
+        for at, lower in ((plain, str.lower), (other, _lower)):
+            if at:
+                text = lower("\n".join([pieces[i] for i in at]))
+                find = self.find_ascii if at is plain else self.find_all if self.newer(text) else self.find_plain
+                mine: list[str] = []
+                places = iter(at)
+                for w in find(text):
+                    if w == "\n":
+                        out[next(places)] = mine
+                        mine = []
+                    else:
+                        mine.append(w)
+                out[next(places)] = mine
+        return out
+
     def words(self, text: str) -> list[str]:
         if any(m in text for m in self.marks):
             out = []
@@ -125,12 +168,7 @@ class Merges:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # lower case of a character, whatever stands beside it
-                text = text.replace("Σ", "σ")
-            return self.find(text.lower().translate(NEWER_LOWER))
-        return self.find(text.lower())
+        return self.find(text.lower() if text.isascii() else _lower(text))
 
     def ids(self, word: str) -> list[int]:
         if word in self.special:
@@ -167,6 +205,55 @@ class Merges:
         return [x for x in out if x >= 0]
 
 
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """Exact ids of many words: in each round every word merges its pair of least rank, the first of equal ones."""
+        out: list[list[int]] = [[]] * len(words)
+        some, raw = [], []
+        for i, w in enumerate(words):
+            x = w.encode()
+            if w in self.special or len(x) > SHORT:
+                out[i] = self.ids(w)
+            elif x:
+                some.append(i)
+                raw.append(x)
+        if not some:
+            return out
+        key_, rank_, new_ = self.by_key
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        size = np.array([len(x) for x in raw])
+        last = np.cumsum(size) - 1
+        sym = np.array(self.plain, np.int64)[data]
+        sym[last] = np.array(self.last, np.int64)[data[last]]
+        word = np.repeat(np.arange(len(raw)), size)
+        ended = []
+        while len(word):
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            group = np.repeat(np.arange(len(first)), np.diff(first, append=len(word)))
+            pair = sym << 32
+            pair[:-1] |= sym[1:]
+            at = np.minimum(np.searchsorted(key_, pair), len(key_) - 1)
+            ok = key_[at] == pair
+            ok[:-1] &= word[:-1] == word[1:]
+            ok[-1] = False
+            rank = np.where(ok, rank_[at], len(key_))
+            least = np.minimum.reduceat(rank, first)[group]
+            over = least == len(key_)
+            ended.append((word[over], sym[over]))
+            place = np.flatnonzero((rank == least) & ~over)
+            place = place[np.flatnonzero(np.diff(group[place], prepend=-1))]
+            sym[place] = new_[at[place]]
+            keep = ~over
+            keep[place + 1] = False
+            word, sym = word[keep], sym[keep]
+        word, sym = (np.concatenate([e[j] for e in ended]) for j in range(2))
+        order = np.argsort(word, kind="stable")
+        flat, count = sym[order].tolist(), np.bincount(word, minlength=len(raw))
+        stop = np.cumsum(count).tolist()
+        for i, a, z in zip(some, [0, *stop], stop):
+            out[i] = flat[a:z]
+        return out
+
+
 def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> dict[str, np.ndarray]:
     """The minimal acyclic automaton of sorted distinct words, as arrays; arc outputs add up to the word's number."""
     register: dict[tuple, int] = {}
@@ -286,10 +373,11 @@ class Encoder:
         seen = Numbers()
         as_pieces = [[seen[x] for x in self.merges.pieces(t)] for t in texts]
         known = Numbers()
-        in_words = [[known[w] for w in self.merges.words(x)] for x in seen]
+        in_words = [[known[w] for w in ws] for ws in self.merges.words_of(list(seen))]
         number = look_up(self.lex, [w.encode() for w in known])
         at, flat = self.lex["at"], self.lex["ids"]
-        by_word = [flat[at[n]: at[n + 1]].tolist() if n >= 0 else self._unseen(w) for w, n in zip(known, number.tolist())]
+        unseen = self._unseen([w for w, n in zip(known, number.tolist()) if n < 0])
+        by_word = [flat[at[n]: at[n + 1]].tolist() if n >= 0 else unseen[w] for w, n in zip(known, number.tolist())]
         ids = [[i for w in ws for i in by_word[w]] for ws in in_words]
         size = np.array([len(x) for x in ids], np.int64)
         start = np.concatenate([[0], np.cumsum(size)])[:-1] if len(ids) else size
@@ -303,13 +391,13 @@ class Encoder:
             out.append(pool[np.repeat(start[p] - (stop - n), n) + np.arange(total)] if total else pool[:0])
         return out, as_pieces, ids
 
-    def _unseen(self, word: str) -> list[int]:
+    def _unseen(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids by word, kept for the next call while they are not too many."""
         if len(self.rare) > FLUSH:
             self.rare.clear()
-        got = self.rare.get(word)
-        if got is None:
-            got = self.rare[word] = self.merges.ids(word)
-        return got
+        new = [w for w in words if w not in self.rare]
+        self.rare.update(zip(new, self.merges.ids_of(new)))
+        return self.rare
 
     def decode(self, ids) -> str:
         tokens = self.merges.tokens
@@ -329,8 +417,8 @@ def _count(spec):
 
         def out():
             total: Counter[str] = Counter()
-            for piece, n in pieces.items():
-                for w in merges.words(piece):
+            for ws, n in zip(merges.words_of(list(pieces)), pieces.values()):
+                for w in ws:
                     total[w] += n
             pieces.clear()
             words = [w for w in total if w not in merges.special]
@@ -349,7 +437,7 @@ def _ids_of(spec):
     def run(batches):
         merges = Merges(spec.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merges.ids(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(merges.ids_of(b.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
     return run
 
 
@@ -393,7 +481,6 @@ class Codec:
         """(id_col, ids) of every row."""
         make = self._encoder()
         src = pick(docs, row=id_col, text=text_col).select("row", F.col("text").cast("string").alias("text"))
-        kind = src.schema["row"].dataType.simpleString()
 
         def run(batches):
             enc = make()
@@ -401,13 +488,12 @@ class Codec:
                 ids, _, _ = enc.encode(_texts(c))
                 yield pa.RecordBatch.from_arrays([c.cols[0], pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["row", "ids"])
 
-        return src.mapInArrow(run, f"row {kind}, ids array<int>").withColumnRenamed("row", id_col)
+        return src.mapInArrow(run, beside(src, "row", "ids array<int>")).withColumnRenamed("row", id_col)
 
     def decode(self, rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
         """(id_col, text) of rows of ids; a null array decodes to the empty string."""
         spec = self.spec
         src = pick(rows, row=id_col, ids=ids_col)
-        kind = src.schema["row"].dataType.simpleString()
 
         def run(batches):
             tokens = Merges(spec.value).tokens
@@ -415,13 +501,12 @@ class Codec:
                 texts = [" ".join([tokens[i] for i in x or ()]) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-        return src.mapInArrow(run, f"row {kind}, text string").withColumnRenamed("row", id_col)
+        return src.mapInArrow(run, beside(src, "row", "text string")).withColumnRenamed("row", id_col)
 
     def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
         """(id_col, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for: encode and decode in one task."""
         make = self._encoder()
         src = pick(docs, row=id_col, text=text_col).select("row", F.col("text").cast("string").alias("text"))
-        kind = src.schema["row"].dataType.simpleString()
 
         def run(batches):
             enc = make()
@@ -435,7 +520,7 @@ class Codec:
                     cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-        schema = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+        schema = beside(src, "row", "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
         names = ["row", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]
         return src.mapInArrow(run, schema).withColumnRenamed("row", id_col)
 

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cohortlens.session import ensure_checkpoint_dir
 
@@ -55,11 +56,6 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame, *, at_least: int | None = None) -> DataFrame:
-    """Deal a scan of few files or partitions over the session's shuffle partitions when it has fewer than cores."""
-    return df.repartition(at_least) if at_least else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,6 +65,11 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(name) for name, src in cols.items()])
 
 
+def beside(rows: DataFrame, column: str, more: str) -> StructType:
+    """The schema of ``column`` of ``rows``, whatever names its type holds, followed by the columns in ``more`` (DDL)."""
+    return StructType([StructField(column, rows.schema[column].dataType), *StructType.fromDDL(more).fields])
+
+
 def components(edges: DataFrame, tmp: Scratch) -> DataFrame:
     """(node, comp) of each node in ``edges(a, b)``: comp is the smallest node it is connected with.
 

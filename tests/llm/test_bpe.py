@@ -46,6 +46,15 @@ def test_texts_of_random_code_points(library, merges):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+def test_words_merged_together_and_alone(merges):
+    rng = random.Random(3)
+    words = ["", "<|endoftext|>", "x" * 100, "aaaa", "ababab", *("".join(rng.choice("abcéth aeiou日") for _ in range(rng.randrange(1, 30))) for _ in range(3000))]
+    assert merges.ids_of(words) == [merges.ids(w) if w else [] for w in words]
+    assert merges.ids_of([]) == []
+    pieces = [p for w in words for p in merges.pieces(w)] + ["É", "\x1c", "a\u0301Σ", "'s't", "՘a"]
+    assert merges.words_of(pieces) == [merges.words(p) for p in pieces]
+
+
 def test_newer_capitals_inside_words(library, merges):
     for c in bpe.NEWER_LOWER:
         s = f"xA{chr(c)}b"
