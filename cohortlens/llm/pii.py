@@ -6,9 +6,13 @@ the same entity has the same surrogate in every document and spelling (a phone n
 without the given name), which keeps coreference without a shared table. Surrogates keep type and format: letters stay letters of
 their case, digits digits, separators stay, card numbers stay valid or invalid, names keep script, case and the gender of the form of address.
 
-Distinctness is checked over the whole corpus: distinct entities are counted by Spark, and while two of one type share a surrogate,
-or a surrogate is itself an entity of the corpus, all but the first take their next attempt. Only entities with an
-attempt above 0 (hardly any) are joined back to the documents that mention them.
+Within a text a name is one person's wherever it stands: if it is a given name once, or the form of address tells a gender once, all
+its mentions follow (a name with both genders is two persons'). Domains of e-mail addresses are entities of their own, so an address is distinct if its domain is and its local part is within the domain.
+
+Distinctness is checked over the whole corpus: distinct entities are counted by Spark, and while two of one type (all parts of names are one type) share a surrogate,
+or a surrogate is itself an entity of the corpus, all but the first take their next attempt. From the attempt ``GROWS`` on domains, local parts and names get longer, so
+a used-up format ends too; types whose format can't grow fail after ``MOST`` attempts instead of sharing a surrogate. Only entities with an
+attempt above 0 (hardly any) are joined back to the documents that mention them. The key is the caller's: who has it can redo the mapping.
 
 Null texts stay null; texts without entities stay as they are. Rows are independent, repeated rows get equal results. Other columns are
 not read.
@@ -26,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.tables import Scratch, pick, table
+from cohortlens.llm.tables import Scratch, beside, pick, table
 
-KEY = b"cohortlens"
+#: key of the registered query alone, whose results are to be the same in every run
+QUERY_KEY = b"cohortlens"
 #: from this attempt on a surrogate may be an entity of the corpus (a format that is nearly used up)
 LENIENT = 16
+#: every so many attempts a surrogate that may grow gets a letter more
+GROWS = 8
+MOST = 200
 
 # Forms of address and the gender they tell, prefixes of secrets, names of settings that hold secrets.
 ADDRESS = {
@@ -110,14 +118,19 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                     if not 7 <= len(canon) <= 15:
                         continue
             out.append((lo, hi, kind, canon))
-    names: dict[str, str] = {}
+    parts = []
+    kinds: dict[str, list[str]] = {}
     for m in PERSON.finditer(text):
         gender = ADDRESS[m[1]]
         words = [(w.start() + m.start(2), w.end() + m.start(2), w[0]) for w in NAME.finditer(m[2])]
         for i, (lo, hi, w) in enumerate(words):
             kind = f"given-{gender}" if len(words) > 1 and i == 0 else "surname"
-            out.append((lo, hi, kind, w.lower()))
-            names.setdefault(w.lower(), kind)
+            parts.append((lo, hi, kind, w.lower()))
+            kinds.setdefault(w.lower(), []).append(kind)
+    names = {w: _one_kind(ks) for w, ks in kinds.items()}
+    for lo, hi, kind, w in parts:
+        two = {"given-m", "given-f"} <= set(kinds[w])
+        out.append((lo, hi, kind if two and kind[-2:] in ("-m", "-f") else names[w], w))
     clean = _apart(sorted(out))
     if names:  # the same names without a form of address, where nothing else stands
         alone = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
@@ -134,6 +147,12 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     return clean
 
 
+def _one_kind(kinds: list[str]) -> str:
+    """What a name is in a text: given with the first gender told, given, or a surname."""
+    told = [k for k in kinds if k in ("given-m", "given-f")]
+    return told[0] if told else "given-n" if "given-n" in kinds else "surname"
+
+
 def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """The first of those that overlap."""
     out, end = [], 0
@@ -177,14 +196,19 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" else "latin"
 
 
-def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
-    """The canonical form of the replacement."""
+def _longer(s: Stream, attempt: int) -> str:
+    return "".join(chr(97 + s.below(26)) for _ in range(attempt // GROWS))
+
+
+def surrogate(key: bytes, kind: str, canon: str, attempt: int, domain_attempt: int = 0) -> str:
+    """The canonical form of the replacement; an address also needs the attempt of its domain."""
     s = Stream(key, kind, canon, str(attempt))
     if kind == "email":
         local, _, domain = canon.rpartition("@")
-        host, _, top = domain.rpartition(".")
-        d = Stream(key, "domain", domain)  # one domain stays one domain
-        return f"{_like(local, s)}@{_like(host, d)}.{top}"
+        return f"{_like(local, s)}{_longer(s, attempt)}@{surrogate(key, 'domain', domain, domain_attempt)}"
+    if kind == "domain":
+        host, _, top = canon.rpartition(".")
+        return f"{_like(host, s)}{_longer(s, attempt)}.{top}"
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "ip6":
@@ -223,6 +247,16 @@ def render(kind: str, raw: str, new: str) -> str:
     return new
 
 
+def _compared(key: bytes, kind: str, canon: str, attempt: int) -> str:
+    """What has to differ: domains differ by themselves, so addresses are compared within their domain."""
+    new = surrogate(key, kind, canon, attempt)
+    return f"{new.rpartition('@')[0]}@{canon.rpartition('@')[2]}" if kind == "email" else new
+
+
+def _with_domains(found: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    return found | {("domain", c.rpartition("@")[2]) for k, c in found if k == "email"}
+
+
 def _entities(batches: Iterator[pa.RecordBatch]):
     seen: set[tuple[str, str]] = set()
 
@@ -234,7 +268,7 @@ def _entities(batches: Iterator[pa.RecordBatch]):
         for t in b.column(0):
             t = t.as_py()
             if t:
-                seen.update((k, c) for _, _, k, c in mentions(t))
+                seen |= _with_domains({(k, c) for _, _, k, c in mentions(t)})
         if len(seen) > 100_000:
             yield out()
             seen.clear()
@@ -245,7 +279,7 @@ def _named(key: bytes):
     def run(batches):
         for b in batches:
             kind, canon, attempt = (b.column(i).to_pylist() for i in range(3))
-            new = [surrogate(key, *x) for x in zip(kind, canon, attempt)]
+            new = [_compared(key, *x) for x in zip(kind, canon, attempt)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(new, pa.string())], names=["kind", "canon", "attempt", "new"])
     return run
 
@@ -254,19 +288,25 @@ ENTITY = "kind string, canon string, attempt int, new string"
 
 
 def distinct_surrogates(entities: DataFrame, key: bytes, tmp: Scratch) -> DataFrame:
-    """(kind, canon, attempt, new) with one ``new`` for each entity of a kind, none shared."""
+    """(kind, canon, attempt, new) with one ``new`` for each entity of a type, none shared."""
     name = _named(key)
+    pool = F.expr("if(kind = 'surname' or kind like 'given-%', 'name', kind)")
     got = tmp.put(entities.select("kind", "canon", F.lit(0).alias("attempt")).mapInArrow(name, ENTITY))
     while True:
-        first = got.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("f"), F.count("*").alias("n"))
-        shared = got.join(first.filter("n > 1"), ["kind", "new"]).filter("canon <> f.canon").select("kind", "canon")
-        real = got.filter(f"attempt < {LENIENT}").join(got.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_semi").select("kind", "canon")
+        pooled = got.withColumn("pool", pool)
+        first = pooled.groupBy("pool", "new").agg(F.min(F.struct("attempt", "kind", "canon")).alias("f"), F.count("*").alias("n"))
+        shared = pooled.join(first.filter("n > 1"), ["pool", "new"]).filter("canon <> f.canon or kind <> f.kind").select("kind", "canon")
+        real = (pooled.filter(f"attempt < {LENIENT} and kind <> 'email'").join(pooled.select("pool", F.col("canon").alias("new")), ["pool", "new"], "left_semi")
+                .select("kind", "canon"))
         again = tmp.put(shared.unionByName(real).distinct())
         if not again.limit(1).count():
             return got
-        next_try = got.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
+        next_try = tmp.put(got.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
+        full = next_try.filter(F.col("attempt") > MOST).select("kind").first()
+        if full:
+            raise ValueError(f"no distinct surrogates are left for {full['kind']}")
         new = tmp.put(got.join(again, ["kind", "canon"], "left_anti").unionByName(next_try.mapInArrow(name, ENTITY)))
-        tmp.drop(got, again)
+        tmp.drop(got, again, next_try)
         got = new
 
 
@@ -282,7 +322,8 @@ def _replace(key: bytes):
                     tries = {(x["kind"], x["canon"]): x["attempt"] for x in special or ()}
                     parts, at = [], 0
                     for lo, hi, kind, canon in found:
-                        new = surrogate(key, kind, canon, tries.get((kind, canon), 0))
+                        domain = tries.get(("domain", canon.rpartition("@")[2]), 0) if kind == "email" else 0
+                        new = surrogate(key, kind, canon, tries.get((kind, canon), 0), domain)
                         parts += [t[at:lo], render(kind, t[lo:hi], new)]
                         at = hi
                     t = "".join([*parts, t[at:]])
@@ -294,12 +335,12 @@ def _replace(key: bytes):
 
 def _mentioned(batches):
     for b in batches:
-        rows = [(i, k, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for k, c in {(x[2], x[3]) for x in mentions(t)}]
+        rows = [(i, k, c) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for k, c in _with_domains({(x[2], x[3]) for x in mentions(t)})]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                                           pa.array([r[2] for r in rows], pa.string())], names=["id", "kind", "canon"])
 
 
-def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: bytes) -> DataFrame:
     """(id_col, text, n_entities, spans): the text with surrogates, and what was replaced (in code points of the input)."""
     tmp = Scratch(docs.sparkSession)
     src = pick(docs, id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
@@ -307,16 +348,15 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     named = distinct_surrogates(entities, key, tmp)
     later = tmp.put(named.filter("attempt > 0").select("kind", "canon", "attempt"))
     special = "array<struct<kind:string,canon:string,attempt:int>>"
-    kind = src.schema["id"].dataType.simpleString()
     if later.limit(1).count():
         told = (src.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(_mentioned, "id string, kind string, canon string")
                 .join(later, ["kind", "canon"]).groupBy("id").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("special")))
         rows = src.join(told.withColumnRenamed("id", "t"), F.expr("cast(id as string) = t"), "left").select("id", "text", "special")
     else:
         rows = src.select("id", "text", F.lit(None).cast(special).alias("special"))
-    out = rows.mapInArrow(_replace(key), f"id {kind}, text string, spans array<struct<kind:string,lo:int,hi:int>>")
+    out = rows.mapInArrow(_replace(key), beside(src, "id", "text string, spans array<struct<kind:string,lo:int,hi:int>>"))
     return out.select(F.col("id").alias(id_col), "text", F.size("spans").cast("long").alias("n_entities"), "spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return replace(table(spark, sf_dir, "documents"))
+    return replace(table(spark, sf_dir, "documents"), key=QUERY_KEY)

@@ -11,7 +11,7 @@ CLEAN = "In 1999-2003 there were 12345 rows, 3.14 and 2020-01-15, version 1.2.3;
 
 def apply(spark, rows, **kw):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "'x' as kind")
-    return {r.doc_id: r for r in pii.replace(df, **kw).collect()}
+    return {r.doc_id: r for r in pii.replace(df, **({"key": b"a key"} | kw)).collect()}
 
 
 def test_types_formats_and_coreference(spark):
@@ -77,7 +77,56 @@ def test_collisions_are_resolved(spark, monkeypatch):
 
 def test_empty_table_and_scripts(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert pii.replace(df).count() == 0
+    assert pii.replace(df, key=b"k").count() == 0
     t = "господин Иван Петров"
     out = "".join(pii.render(k, t[a:b], pii.surrogate(b"k", k, c, 0)) for a, b, k, c in pii.mentions(t))
     assert all("а" <= c.lower() <= "я" for c in out)
+
+
+def test_colliding_domains_and_used_up_formats(spark):
+    """52 addresses on two domains of one letter, and all 26 one-letter domains, end with distinct surrogates."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    key = next(k for k in (str(i).encode() for i in range(10**4)) if pii.surrogate(k, "domain", "a.co", 0) == pii.surrogate(k, "domain", "v.co", 0))
+    some = [f"{c}@{d}.co" for c in letters for d in "av"]
+    got = apply(spark, [(i, m) for i, m in enumerate(some)] + [(99, " ".join(some))], key=key)
+    new = [got[i].text for i in range(52)]
+    assert len(set(new)) == 52 and got[99].text == " ".join(new)
+    assert len({x.split("@")[1] for x in new}) == 2  # addresses of one domain stay together
+    every = [f"{c}@{d}.co" for c in "abc" for d in letters]
+    new = [r.text for r in apply(spark, list(enumerate(every)), key=key).values()]
+    assert len(set(new)) == 3 * 26 and len({x.split("@")[1] for x in new}) == 26
+
+
+def until(attempt, same):
+    """A step that gives every entity one surrogate up to an attempt (closures reach the workers by value)."""
+    def run(batches):
+        import pyarrow as pa
+        from cohortlens.llm import pii
+        for b in batches:
+            new = [same if a <= attempt else pii.surrogate(b"k", k, c, a) for k, c, a in zip(*(x.to_pylist() for x in b.columns))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "canon", "attempt", "new"])
+    return lambda key: run
+
+
+def test_formats_that_cannot_grow_fail_instead_of_sharing(spark, monkeypatch):
+    import pytest
+    from cohortlens.llm.tables import Scratch
+    monkeypatch.setattr(pii, "MOST", 3)
+    monkeypatch.setattr(pii, "_named", until(10, "1"))
+    with pytest.raises(ValueError, match="ssn"):
+        pii.distinct_surrogates(spark.createDataFrame([("ssn", "123456789"), ("ssn", "123456788")], "kind string, canon string"), b"k", Scratch(spark))
+
+
+def test_one_person_has_one_name():
+    kinds = lambda text: [(k, c) for _, _, k, c in pii.mentions(text)]
+    assert set(kinds("Dr. Robin Smith left. Mrs. Robin Smith came.")) == {("given-f", "robin"), ("surname", "smith")}
+    assert set(kinds("Mr. Robin spoke, then Mr. Robin Smith; Robin left.")) == {("given-m", "robin"), ("surname", "smith")}
+    assert kinds("Mr. Kim Lee and Mrs. Kim Lee") == [("given-m", "kim"), ("surname", "lee"), ("given-f", "kim"), ("surname", "lee")]
+
+
+def test_given_names_and_surnames_share_no_surrogate(spark, monkeypatch):
+    from cohortlens.llm.tables import Scratch
+    monkeypatch.setattr(pii, "_named", until(0, "bado"))
+    names = [("given-m", "john"), ("given-f", "mary"), ("surname", "john"), ("surname", "smith")]
+    rows = pii.distinct_surrogates(spark.createDataFrame(names, "kind string, canon string"), b"k", Scratch(spark)).collect()
+    assert len({r.new for r in rows}) == 4
