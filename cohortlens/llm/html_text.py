@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.tables import ship, table
+from cohortlens.llm.tables import beside, ship, table
 
 HOLDS = 0.9
 KERNEL = np.array([0.2, 0.6, 0.2])
@@ -187,8 +187,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """The columns ``keep`` of every page, with its main text and that text's length in code points."""
     ship(pages.sparkSession)
     src = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    kind = src.schema["row"].dataType.simpleString()
-    return src.mapInArrow(_extract, f"row {kind}, text string, n_chars long").select("row.*", "text", "n_chars")
+    return src.mapInArrow(_extract, beside(src, "row", "text string, n_chars long")).select("row.*", "text", "n_chars")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

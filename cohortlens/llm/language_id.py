@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import textcols as tc
-from cohortlens.llm.tables import pick, ship, table
+from cohortlens.llm.tables import beside, pick, ship, table
 
 SHARE = 0.25
 #: a gram that makes up less of a language's grams is a stray
@@ -227,10 +227,9 @@ def _predict(model):
 def predict(rows: DataFrame, model: Filters) -> DataFrame:
     """(row, lang_pred, score) of each of ``rows(row, text)``."""
     ship(rows.sparkSession)
-    kind = rows.schema["row"].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(model)
     return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(
-        _predict(shared), f"row {kind}, lang_pred string, score double")
+        _predict(shared), beside(rows, "row", "lang_pred string, score double"))
 
 
 def held_out(id_col: str):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import textcols as tc
 from cohortlens.llm.jaccard_join import ID_BITS, _id_filter
-from cohortlens.llm.tables import Scratch, pick, ship, table
+from cohortlens.llm.tables import Scratch, beside, pick, ship, table
 
 RARE = 64
 MIN_WORDS = 20
@@ -308,15 +308,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = _removed(src, min_words, tmp)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
     # texts that surely lose nothing (by a broadcast filter of fixed size) are not shuffled for the join
     held = spark.sparkContext.broadcast(_id_filter(gone.select("id")))
     told = rows.withColumn("h", F.xxhash64("id")).mapInArrow(
-        _maybe(held), f"row {kind}, id long, text string, maybe boolean")
+        _maybe(held), beside(rows, "row", "id long, text string, maybe boolean"))
     cols = ["row", "text", "n", "s1", "s2", "spans"]
     none = told.filter("not maybe").select("row", "text", *[F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in cols[2:]])
     some = told.filter("maybe").join(gone, "id", "left").select(*cols)
-    return none.unionByName(some).mapInArrow(_cut, f"row {kind}, {CUT}")
+    return none.unionByName(some).mapInArrow(_cut, beside(rows, "row", CUT))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
