@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C1B)
 U = np.uint64
 
