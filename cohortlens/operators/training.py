@@ -46,6 +46,8 @@ class TrainConfig:
     fairness_attribute: str | None = "lunch"
     parallelism: int = 4
     candidates: Sequence[str] | None = None
+    #: of the trials of a search, one in so many goes on after each rung (1: all go on)
+    halving: int = 2
 
 
 @dataclass
@@ -115,28 +117,30 @@ def fold_metrics(task: Task, oof: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cross_validate(task: Task, folds: DataFrame, cand: Candidate, params: dict[str, Any],
-                   cfg: TrainConfig, ctx: dict[str, Any]) -> tuple[DataFrame, float]:
-    """Fit on K-1 folds, predict the held-out fold, for every (repeat, fold); returns OOF rows and seconds a fit."""
+                   cfg: TrainConfig, ctx: dict[str, Any], only: Sequence[int] | None = None) -> tuple[DataFrame, float]:
+    """Fit on K-1 folds, predict the held-out fold, for every (repeat, fold) or the folds in ``only``; returns OOF rows and seconds a fit."""
     if cand.name == "ridge":
-        return _ridge_folds(task, folds, params, ctx)
-    return refit_folds(task, folds, cand, params, cfg, ctx)
+        return _ridge_folds(task, folds, params, ctx, only)
+    return refit_folds(task, folds, cand, params, cfg, ctx, only)
 
 
-def _ridge_folds(task: Task, folds: DataFrame, params: dict[str, Any], ctx: dict[str, Any]) -> tuple[DataFrame, float]:
+def _ridge_folds(task: Task, folds: DataFrame, params: dict[str, Any], ctx: dict[str, Any], only: Sequence[int] | None = None) -> tuple[DataFrame, float]:
     """All folds from one scan; a search scans once for all its trials (``ctx`` keeps the statistics)."""
     t0 = time.perf_counter()
     with ctx.setdefault("lock", threading.Lock()):
         if ctx.get("gram_of") is not folds:
             ctx["gram"], ctx["gram_of"] = fold_gram(folds, list(task.inputs), LABEL_COL), folds
     gram = ctx["gram"]
-    oof = ridge_oof(gram, folds, params, ctx).select("repeat", "fold", KEY, LABEL_COL, "prediction")
+    held = folds if only is None else folds.where(F.col("fold").isin(list(only)))
+    oof = ridge_oof(gram, held, params, ctx).select("repeat", "fold", KEY, LABEL_COL, "prediction")
     return oof, (time.perf_counter() - t0) / len(gram.held_out)
 
 
 def refit_folds(task: Task, folds: DataFrame, cand: Candidate, params: dict[str, Any],
-                cfg: TrainConfig, ctx: dict[str, Any]) -> tuple[DataFrame, float]:
+                cfg: TrainConfig, ctx: dict[str, Any], only: Sequence[int] | None = None) -> tuple[DataFrame, float]:
     """One fit for each (repeat, fold), submitted from a small thread pool."""
-    pairs = [(r.repeat, r.fold) for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
+    pairs = [(r.repeat, r.fold) for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()
+             if only is None or r.fold in only]
     feats = list(task.inputs)
 
     def one(rf):
@@ -209,11 +213,22 @@ def leaderboard(task: Task, data: DataFrame, cfg: TrainConfig) -> tuple[DataFram
     return board, primary
 
 
+def rungs_of(folds: int) -> list[range]:
+    """The folds that each rung adds: one, then as many as there were, up to all."""
+    out, upto = [], 0
+    while upto < folds:
+        nxt = min(folds, max(1, 2 * upto))
+        out.append(range(upto, nxt))
+        upto = nxt
+    return out
+
+
 def tune(task: Task, data: DataFrame, cand: Candidate, cfg: TrainConfig) -> tuple[dict[str, Any], float, DataFrame]:
-    """Seeded random search over the family's space; trial table (number, value, state, params, duration).
+    """Seeded random search with successive halving; trial table (number, value, state, params, duration).
 
-    A candidate without a space is not tuned. Trials are evaluated with one
-    CV repeat; the mean of the primary metric is the trial value.
+    All trials run on the first fold; the better ones go on to more folds, the others are PRUNED (without a value: theirs would be of
+    fewer folds). The value of a COMPLETE trial is the mean of the primary metric over all folds of one repeat. Which trials go on
+    depends on scores and numbers alone, not on their order of arrival. A candidate without a space is not tuned.
     """
     spark = data.sparkSession
     schema = "number int, value double, state string, params string, duration double"
@@ -224,29 +239,41 @@ def tune(task: Task, data: DataFrame, cand: Candidate, cfg: TrainConfig) -> tupl
     folds = kfold(data, KEY, cfg.cv_folds, strata, 1, cfg.seed).persist()
     folds.count()  # fill the cache once before concurrent trials read it
     ctx = _ctx(task, data, cfg.seed)
-    # seeded random search: every trial's parameters are drawn up front (same order
+    # every trial's parameters are drawn up front (same order
     # as a sequential search), so trials are independent and run concurrently
     drawn = [cand.space(rng) for _ in range(cfg.n_trials)]
+    scores: list[list[float]] = [[] for _ in drawn]
+    state = ["PRUNED"] * len(drawn)
+    seconds = [0.0] * len(drawn)
 
-    def one(i: int) -> tuple[int, float | None, str, str, float]:
-        params = drawn[i]
+    def one(i: int, only: range) -> None:
         t0 = time.perf_counter()
         try:
-            oof, _ = cross_validate(task, folds, cand, params, cfg, ctx)
-            v = fold_metrics(task, oof, ["repeat", "fold"]).where(F.col("metric") == task.metrics[0]) \
-                .agg(F.avg("value")).first()[0]
-            state = "COMPLETE"
+            oof, _ = cross_validate(task, folds, cand, drawn[i], cfg, ctx, only)
+            rows = fold_metrics(task, oof, ["repeat", "fold"]).where(F.col("metric") == task.metrics[0]).select("value").collect()
+            scores[i] += [r["value"] for r in rows]  # one row a fold
+            if any(v is None for v in scores[i]):
+                raise ValueError("a fold has no score")
         except Exception as exc:  # noqa: BLE001 - a failing trial is a row of the table
-            v, state = None, f"FAIL: {exc}"
-        return i, v, state, json.dumps(params, sort_keys=True), time.perf_counter() - t0
-
-    with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as ex:
-        trials = list(ex.map(one, range(cfg.n_trials)))
+            state[i] = f"FAIL: {exc}"
+        seconds[i] += time.perf_counter() - t0
+
+    mean = lambda i: sum(scores[i]) / len(scores[i])
+    alive = list(range(cfg.n_trials))
+    rungs = rungs_of(cfg.cv_folds)
+    for at, added in enumerate(rungs):
+        with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as ex:
+            list(ex.map(lambda i: one(i, added), alive))
+        alive = sorted((i for i in alive if state[i] == "PRUNED"), key=lambda i: (-mean(i), i))
+        if at + 1 < len(rungs):
+            alive = alive[: -(-len(alive) // cfg.halving)]
+    for i in alive:
+        state[i] = "COMPLETE"
     best, best_params = float("-inf"), {}
-    for i, v, _, _, _ in trials:  # first best wins, as in a sequential search
-        if v is not None and v > best:
-            best, best_params = v, drawn[i]
+    if alive:
+        best, best_params = mean(alive[0]), drawn[alive[0]]  # of equal ones the first
     folds.unpersist()
+    trials = [(i, mean(i) if state[i] == "COMPLETE" else None, state[i], json.dumps(p, sort_keys=True), seconds[i]) for i, p in enumerate(drawn)]
     return best_params, best, spark.createDataFrame(trials, schema)
 
 

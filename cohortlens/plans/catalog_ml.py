@@ -120,6 +120,15 @@ def tuned_trials(spark, sf_dir):
     return best_so_far(trials)
 
 
+@register("ridge_trials")
+def ridge_trials(spark, sf_dir):
+    """L16 + M22 in full: 40 trials over 5 folds with successive halving for the ridge strength, all fits from one scan."""
+    task = X.TASKS["math_score"]
+    cand = {c.name: c for c in candidates("regression")}["ridge"]
+    _, _, trials = tune(task, prepare(task, _eng(spark, sf_dir)), cand, TrainConfig())
+    return best_so_far(trials).select("number", "value", "state", "params", "best_so_far")
+
+
 @register("linear_attribution")
 def linear_attribution(spark, sf_dir):
     """E1 + E3 + J8: global importance of a logistic at-risk model (linear Shapley values)."""

@@ -43,8 +43,8 @@ def test_one_scan_for_all_strengths(folds, monkeypatch):
     cfg = TR.TrainConfig(seed=7, n_trials=5, cv_folds=3, parallelism=3)
     params, best, trials = TR.tune(task, data, RIDGE, cfg)
     rows = trials.collect()
-    assert len(calls) == 1 and {r.state for r in rows} == {"COMPLETE"} and best == max(r.value for r in rows)
-    assert set(params) == {"alpha"}
+    assert len(calls) == 1 and {r.state for r in rows} == {"COMPLETE", "PRUNED"}
+    assert best == max(r.value for r in rows if r.state == "COMPLETE") and set(params) == {"alpha"}
 
 
 def test_products_add_up(folds):
@@ -67,3 +67,41 @@ def test_constant_label_and_column():
     z[:, 3] = 3 * z[:, 1] + 1
     b, c = G.ridge(z.T @ z, np.array([True, True]), 0.0)
     assert (b, *c) == pytest.approx((1.0, 3.0, 0.0), abs=1e-9)
+
+
+def test_successive_halving(folds, monkeypatch):
+    """40 trials: 20 go on after one fold, 10 after two, 5 after four; the pruned ones have the worst scores of their rung."""
+    task, data, table = folds
+    seen = []
+
+    def fake(t, f, cand, params, cfg, ctx, only=None):
+        seen.append((params["alpha"], len(only)))
+        if params["alpha"] == 13:
+            raise ValueError("no fit")
+        return (params["alpha"], only), 0.0
+
+    class Rows:
+        def __init__(self, values):
+            self.values = values
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def collect(self):
+            return [{"value": v} for v in self.values]
+
+    monkeypatch.setattr(TR, "cross_validate", fake)
+    monkeypatch.setattr(TR, "fold_metrics", lambda t, oof, keys: Rows([float(oof[0]) for _ in oof[1]]))
+    numbers = iter(range(40))
+    cand = TR.Candidate("c", "f", None, lambda r: {"alpha": next(numbers)})
+    params, best, trials = TR.tune(task, data, cand, TR.TrainConfig(n_trials=40, cv_folds=5, seed=1))
+    rows = {r.number: r for r in trials.collect()}
+    assert [r.start for r in TR.rungs_of(5)] == [0, 1, 2, 4] and TR.rungs_of(1) == [range(0, 1)]
+    assert (params, best) == ({"alpha": 39}, 39.0)
+    assert rows[13].state == "FAIL: no fit" and rows[13].value is None
+    assert sorted(i for i, r in rows.items() if r.state == "COMPLETE") == [35, 36, 37, 38, 39]
+    assert all(rows[i].state == "PRUNED" and rows[i].value is None for i in range(35) if i != 13)
+    assert [sum(1 for s in seen if s[1] == n) for n in (1, 2)] == [40 + 20 + 5, 10]
+    assert TR.best_so_far(trials).count() == 5
