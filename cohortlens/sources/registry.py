@@ -2,15 +2,17 @@
 
 Layout under ``root``::
 
-    models/          one row per saved version (partitioned by task)
-    leaderboard/     long rows (task, version, model, metric, mean, std, ...)
-    tuning/          trial rows (task, version, number, value, state, params, duration)
-    pointers/        (task, version, updated_at): the ``latest`` pointer, append-only
-    artifacts/<task>/<version>/model   PipelineModel directories
+    artifacts/<task>/<version>/        everything of one version, in a folder that one save alone owns:
+        model                          PipelineModel directory
+        _rows/models                   one row: scalars, parameters, details
+        _rows/leaderboard              long rows (task, version, model, metric, mean, std, ...)
+        _rows/tuning                   trial rows (task, version, number, value, state, params, duration)
+    commits/<task>/<number>            one line of JSON for each published version; the highest number is ``latest``
     runs/, run_params/, run_metrics/   experiment history
 
-Writes are appends (or whole-directory model saves), so a lost executor only
-redoes its own task. ``root`` should be a shared, durable folder.
+A version is published by creating the commit file with the next number, which must not exist yet (compare and swap: who comes
+second takes the number after it). Readers start from the commits, so a version is seen whole or not at all, and concurrent saves never
+write to one folder. A lost executor only redoes its own task. ``root`` should be a shared, durable folder.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from __future__ import annotations
 import json
 import math
 import platform
+import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 from typing import Any
 
 import pyspark
+from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,6 +95,62 @@ class ModelRegistry:
             raise FileNotFoundError(path)
         return self.spark.createDataFrame([], schema)
 
+    # ---------------------------------------------------------------- publishing
+    def _created(self, name: str, content: str) -> bool:
+        """Create a file that must not exist; false if another process has it."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self._p(name))
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as exc:
+            if "FileAlreadyExists" in str(exc.java_exception) or "already exists" in str(exc.java_exception):
+                return False
+            raise
+        out.write(bytearray(content.encode()))
+        out.close()
+        # file systems without an exclusive create let the last writer win: what is there tells who that was
+        back = fs.open(path)
+        try:
+            return bytes(back.readAllBytes()).decode() == content
+        finally:
+            back.close()
+
+    def _own_version(self, task: str, version: str) -> str:
+        """A version whose folder no other save writes to: the stamp, or the stamp and a number."""
+        token, n, name = uuid.uuid4().hex, 1, version
+        while not self._created(f"artifacts/{task}/{name}/_owner", token):
+            n += 1
+            name = f"{version}-{n}"
+        return name
+
+    def _publish(self, task: str, version: str) -> int:
+        """Append the version to the commits of its task; returns its number."""
+        while True:
+            last = self.commits().where(F.col("task") == task).agg(F.max("number")).first()[0]
+            number = (last or 0) + 1
+            now = datetime.now(timezone.utc).replace(tzinfo=None)
+            line = json.dumps({"task": task, "version": version, "number": number, "updated_at": now.isoformat(sep=" "), "by": uuid.uuid4().hex})
+            if self._created(f"commits/{task}/{number:012d}", line):
+                return number
+
+    def commits(self) -> DataFrame:
+        """(task, version, number, updated_at) of every published version."""
+        schema = "task string, version string, number long, updated_at timestamp"
+        if not path_exists(self.spark, self._p("commits")):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).json(self._p("commits"))
+
+    def _published(self, name: str, schema: str | T.StructType | None = None) -> DataFrame:
+        """The rows ``name`` of all published versions."""
+        done = self.commits().select("task", "version").distinct().collect()  # one row a version
+        paths = [p for r in done if path_exists(self.spark, p := self._p(f"artifacts/{r['task']}/{r['version']}/_rows/{name}"))]
+        if paths:
+            return self.spark.read.parquet(*paths)
+        if schema is None:
+            raise FileNotFoundError(self._p(f"artifacts/*/*/_rows/{name}"))
+        return self.spark.createDataFrame([], schema)
+
     # ---------------------------------------------------------------- S10
     def save(self, task: str, model: PipelineModel, *, model_name: str, family: str,
              params: Mapping[str, Any], metrics: Mapping[str, Any], leaderboard: DataFrame | None = None,
@@ -99,18 +159,21 @@ class ModelRegistry:
              version: str | None = None, details: Mapping[str, Any] | None = None,
              tables: Mapping[str, DataFrame] | None = None) -> str:
         """One version of a task: the model, its scalars, ``details`` (features, row counts, interval
-        level and bounds, mitigation attribute ...) and ``tables`` by name (group thresholds, fairness, importance ...)."""
-        version = version or version_stamp()
+        level and bounds, mitigation attribute ...) and ``tables`` by name (group thresholds, fairness, importance ...).
+
+        Returns the version, which has a number after the stamp where the stamp is taken. Nothing is visible before all is written.
+        """
+        version = self._own_version(task, version or version_stamp())
+        base = self._p(f"artifacts/{task}/{version}")
         for name, df in (tables or {}).items():
-            df.write.mode("overwrite").parquet(self._p(f"artifacts/{task}/{version}/{name}"))
-        path = self._p(f"artifacts/{task}/{version}/model")
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+        path = f"{base}/model"
         model.write().overwrite().save(path)
         row = (task, version, model_name, family, json.dumps(dict(params), sort_keys=True, default=str),
                json.dumps(dict(metrics), sort_keys=True, default=str), threshold, conformal_q, cv_score,
                fingerprint_value, path, datetime.now(timezone.utc).replace(tzinfo=None), pyspark.__version__,
                platform.python_version(), True, json.dumps(dict(details or {}), sort_keys=True, default=str))
-        self.spark.createDataFrame([row], MODELS_SCHEMA).write.mode("append").partitionBy("task").parquet(
-            self._p("models"))
+        self.spark.createDataFrame([row], MODELS_SCHEMA).write.parquet(f"{base}/_rows/models")
         if leaderboard is not None:
             mcols = [c[:-5] for c in leaderboard.columns if c.endswith("_mean")]
             long = leaderboard.select(
@@ -118,30 +181,23 @@ class ModelRegistry:
                 F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_mean").alias("mean"),
                                              F.col(f"{m}_std").alias("std")) for m in mcols])).alias("m"))
             (long.select(F.lit(task).alias("task"), F.lit(version).alias("version"), "model", "family", "rank",
-                         "m.metric", "m.mean", "m.std", "fit_seconds")
-             .write.mode("append").partitionBy("task").parquet(self._p("leaderboard")))
+                         "m.metric", "m.mean", "m.std", "fit_seconds").write.parquet(f"{base}/_rows/leaderboard"))
         if tuning is not None:
-            (tuning.select(F.lit(task).alias("task"), F.lit(version).alias("version"), "*")
-             .write.mode("append").partitionBy("task").parquet(self._p("tuning")))
-        self.spark.createDataFrame([(task, version, datetime.now(timezone.utc).replace(tzinfo=None))],
-                                   "task string, version string, updated_at timestamp") \
-            .write.mode("append").parquet(self._p("pointers"))
+            (tuning.select(F.lit(task).alias("task"), F.lit(version).alias("version"), "*").write.parquet(f"{base}/_rows/tuning"))
+        self._publish(task, version)
         return version
 
     # ---------------------------------------------------------------- S11-S14
     def models(self) -> DataFrame:
-        return self._read("models", MODELS_SCHEMA)
+        return self._published("models", MODELS_SCHEMA)
 
     def versions(self, task: str) -> DataFrame:
-        """Complete versions of a task, sorted."""
+        """Published versions of a task, sorted."""
         return self.models().where((F.col("task") == task) & F.col("complete")).select("version").orderBy("version")
 
     def latest_versions(self) -> DataFrame:
-        """S13 + S14: latest version per task — the pointer if present, else the max version."""
-        ptr = self._read("pointers", "task string, version string, updated_at timestamp")
-        p = ptr.groupBy("task").agg(F.max_by("version", "updated_at").alias("pointer"))
-        mx = self.models().where(F.col("complete")).groupBy("task").agg(F.max("version").alias("max_version"))
-        return mx.join(p, "task", "left").select("task", F.coalesce("pointer", "max_version").alias("version"))
+        """S13 + S14: the version of each task's last commit."""
+        return self.commits().groupBy("task").agg(F.max_by("version", "number").alias("version"))
 
     def latest_version(self, task: str) -> str | None:
         r = self.latest_versions().where(F.col("task") == task).first()
@@ -175,7 +231,7 @@ class ModelRegistry:
     def leaderboard(self, task: str, version: str | None = None) -> DataFrame:
         """Leaderboard rows of a version (latest by default), wide by metric."""
         version = version or self.latest_version(task)
-        lb = self._read("leaderboard").where((F.col("task") == task) & (F.col("version") == version))
+        lb = self._published("leaderboard").where((F.col("task") == task) & (F.col("version") == version))
         return (lb.groupBy("model", "family", "rank", "fit_seconds").pivot("metric")
                 .agg(F.first("mean")).orderBy("rank"))
 
