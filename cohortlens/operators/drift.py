@@ -33,8 +33,9 @@ def _tagged(reference: DataFrame, current: DataFrame, cols: Sequence[str], cast:
     return r.unionByName(c).unpivot(["__side"], list(cols), "feature", "x")
 
 
-def _psi_tail(cnt: DataFrame, totals: DataFrame) -> DataFrame:
-    """(feature, bin…, n_ref, n_cur) + per-feature totals → shares and contributions."""
+def _psi_tail(cnt: DataFrame, counts: DataFrame) -> DataFrame:
+    """(feature, bin…, n_ref, n_cur) → shares of the feature's sums over ``counts``, and contributions."""
+    totals = counts.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
     # one row per feature: bounded by the feature list, not by the data
     j = cnt.join(F.broadcast(totals), "feature")
     r = F.col("n_ref") / F.greatest(F.col("tot_ref"), F.lit(1.0)) + F.lit(PSI_EPS)
@@ -56,9 +57,7 @@ def psi_categorical(reference: DataFrame, current: DataFrame, features: Sequence
     cnt = long.groupBy("feature", "bin").agg(
         F.count_if(side == 0).cast("double").alias("n_ref"),
         F.count_if(side == 1).cast("double").alias("n_cur"))
-    totals = long.groupBy("feature").agg(F.count_if(side == 0).cast("double").alias("tot_ref"),
-                                         F.count_if(side == 1).cast("double").alias("tot_cur"))
-    return _psi_tail(cnt, totals).withColumn("label", F.col("bin"))
+    return _psi_tail(cnt, cnt).withColumn("label", F.col("bin"))
 
 
 PSI_PROBS = [float(v) for v in np.linspace(0, 1, 11)]
@@ -107,8 +106,6 @@ def psi_numeric(reference: DataFrame, current: DataFrame, features: Sequence[str
     cnt = tagged.groupBy("feature", b.alias("bin")).agg(
         F.count_if(side == 0).cast("double").alias("n_ref"),
         F.count_if(side == 1).cast("double").alias("n_cur"))
-    totals = long.groupBy("feature").agg(F.count_if(side == 0).cast("double").alias("tot_ref"),
-                                         F.count_if(side == 1).cast("double").alias("tot_cur"))
     # every bin of every feature, empty ones included (a literal table: bins per feature)
     grid_rows = [(f, i, e[i], e[i + 1]) for f, e in edge_rows.items() for i in range(len(e) - 1)]
     grid = spark.createDataFrame(grid_rows, "feature string, bin int, lo double, hi double")
@@ -116,7 +113,7 @@ def psi_numeric(reference: DataFrame, current: DataFrame, features: Sequence[str
     full = grid.join(F.broadcast(cnt), ["feature", "bin"], "left").select(
         "feature", "bin", F.concat(_fmt0(F.col("lo")), F.lit(" to "), _fmt0(F.col("hi"))).alias("label"),
         F.coalesce("n_ref", F.lit(0.0)).alias("n_ref"), F.coalesce("n_cur", F.lit(0.0)).alias("n_cur"))
-    return _psi_tail(full, totals).withColumn("bin", F.col("bin").cast("string"))
+    return _psi_tail(full, cnt).withColumn("bin", F.col("bin").cast("string"))
 
 
 def psi_values(table: DataFrame) -> DataFrame:
