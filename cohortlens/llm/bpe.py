@@ -44,8 +44,8 @@ from cohortlens.llm.tables import beside, pick, ship, table
 
 #: words in the lexicon at most (about 60 bytes each in the file)
 LEXICON = 100_000
-CHUNK = 6 << 20
-FLUSH = 300_000
+CHUNK = 4 << 20
+FLUSH = 150_000
 #: bytes of a word that is merged together with others; longer ones have a heap of their own
 SHORT = 64
 

@@ -15,9 +15,17 @@ from pyspark.sql.types import StructField, StructType
 from cohortlens.session import ensure_checkpoint_dir
 
 
+#: bytes of an Arrow batch at most: with Spark's own bound (64 MB) a worker and its JVM hold tens of MB of texts at once
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors' Python workers, once a session (what ``--py-files`` does on submit)."""
+    """Send the package to the executors' Python workers, once a session (what ``--py-files`` does on submit), and bound the
+    session's Arrow batches by ``BATCH_BYTES``."""
     sc = spark.sparkContext
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's default; a caller's own setting stays
+        spark.conf.set(name, str(BATCH_BYTES))
     if getattr(sc, "_cohortlens_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -9,6 +9,7 @@ a worker's memory by the chunk or by the longest single document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,15 @@ class Chunk:
         return int(self.off[i]), int(self.off[i + 1])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK) -> Iterator[Chunk]:
     """Cut record batches into chunks of whole documents; the other columns follow in ``cols``."""
     for b in batches:
@@ -93,6 +103,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             a, z = int(off[lo]), int(off[hi])
             yield Chunk([c.slice(lo, hi - lo) for c in others], data[a:z], off[lo: hi + 1] - a, nulls[lo:hi])
             lo = hi
+    give_back()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
