@@ -61,6 +61,6 @@ def test_stages(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
