@@ -412,7 +412,7 @@ def _texts(c: tc.Chunk) -> list[str]:
 
 def _count(spec):
     def run(batches: Iterator[pa.RecordBatch]):
-        merges = Merges(spec.value)
+        merges = Merges(json.loads(spec.value))
         pieces: Counter[str] = Counter()
 
         def out():
@@ -435,7 +435,7 @@ def _count(spec):
 
 def _ids_of(spec):
     def run(batches):
-        merges = Merges(spec.value)
+        merges = Merges(json.loads(spec.value))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(merges.ids_of(b.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
     return run
@@ -448,7 +448,7 @@ class Codec:
         spark = docs.sparkSession
         ship(spark)
         with open(path, encoding="utf-8") as f:
-            self.spec = spark.sparkContext.broadcast(json.load(f))
+            self.spec = spark.sparkContext.broadcast(f.read())  # as text: a worker keeps what was sent, but not what it parsed
         src = docs.select(F.lit(0).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
         counts = src.mapInArrow(_count(self.spec), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
         # the histogram of counts has few rows (about the square root of the words at most)
@@ -473,7 +473,7 @@ class Codec:
         spec, name = self.spec, self.name
 
         def make() -> Encoder:
-            return Encoder(Merges(spec.value), load(SparkFiles.get(name)))
+            return Encoder(Merges(json.loads(spec.value)), load(SparkFiles.get(name)))
 
         return make
 
@@ -496,21 +496,21 @@ class Codec:
         src = pick(rows, row=id_col, ids=ids_col)
 
         def run(batches):
-            tokens = Merges(spec.value).tokens
+            tokens = Merges(json.loads(spec.value)).tokens
             for b in batches:
                 texts = [" ".join([tokens[i] for i in x or ()]) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
         return src.mapInArrow(run, beside(src, "row", "text string")).withColumnRenamed("row", id_col)
 
-    def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-        """(id_col, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for: encode and decode in one task."""
+    def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, chunk: int = CHUNK) -> DataFrame:
+        """(id_col, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for: encode and decode in one task, ``chunk`` bytes of texts at a time."""
         make = self._encoder()
         src = pick(docs, row=id_col, text=text_col).select("row", F.col("text").cast("string").alias("text"))
 
         def run(batches):
             enc = make()
-            for c in tc.chunks(batches, size=CHUNK):
+            for c in tc.chunks(batches, size=chunk):
                 ids, pieces, piece_ids = enc.encode(_texts(c))
                 shown = [enc.decode(x) for x in piece_ids]
                 a = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
@@ -519,6 +519,8 @@ class Codec:
                 if with_ids:
                     cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+                del ids, pieces, piece_ids, shown, a, b, cols
+                tc.give_back()
 
         schema = beside(src, "row", "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
         names = ["row", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if with_ids else 4]
