@@ -44,8 +44,10 @@ from cohortlens.llm.tables import beside, pick, ship, table
 
 #: words in the lexicon at most (about 60 bytes each in the file)
 LEXICON = 100_000
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 FLUSH = 150_000
+#: ids of words outside the lexicon that an encoder keeps
+KEPT = 300_000
 #: bytes of a word that is merged together with others; longer ones have a heap of their own
 SHORT = 64
 
@@ -393,7 +395,7 @@ class Encoder:
 
     def _unseen(self, words: list[str]) -> dict[str, list[int]]:
         """Ids by word, kept for the next call while they are not too many."""
-        if len(self.rare) > FLUSH:
+        if len(self.rare) > KEPT:
             self.rare.clear()
         new = [w for w in words if w not in self.rare]
         self.rare.update(zip(new, self.merges.ids_of(new)))

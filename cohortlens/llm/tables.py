@@ -16,7 +16,7 @@ from cohortlens.session import ensure_checkpoint_dir
 
 
 #: bytes of an Arrow batch at most: with Spark's own bound (64 MB) a worker and its JVM hold tens of MB of texts at once
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
