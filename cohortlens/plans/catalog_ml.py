@@ -39,6 +39,12 @@ def _eng(spark, sf_dir):
     return X.engineer(D.students(spark, sf_dir))
 
 
+def _spread(spark, sf_dir):
+    """The engineered rows dealt over all cores: a table of one row group, or a join that AQE packs into few partitions,
+    would leave the fits and the row-wise Python steps to one or a few tasks."""
+    return _eng(spark, sf_dir).repartition(3 * spark.sparkContext.defaultParallelism, KEY)
+
+
 @register("split_sizes", ENG + """
 SELECT at_risk, part, CAST(n AS BIGINT) AS n FROM (
   SELECT at_risk, 'test' AS part, CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS n FROM eng GROUP BY at_risk
@@ -90,7 +96,7 @@ def dataset_fingerprint(spark, sf_dir):
 def _fitted(spark, sf_dir, task_name: str, cand_name: str, where: str = "true", **params) -> PipelineModel:
     task = X.TASKS[task_name]
     # read by several fit passes (row stats, indexers, the estimator): cache for the fit only
-    data = prepare(task, _eng(spark, sf_dir).where(where)).persist()
+    data = prepare(task, _spread(spark, sf_dir).where(where)).persist()
     cand = {c.name: c for c in candidates(task.kind, max(2, len(task.levels)))}[cand_name]
     st = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL_COL).alias("s")).first()
     ctx = {"n": float(st["n"]), "y_std": float(st["s"] or 1.0), "seed": 42}
@@ -107,7 +113,7 @@ LIGHT = TrainConfig(cv_folds=3, cv_repeats=1, n_trials=3, parallelism=4,
 def leaderboard_q(spark, sf_dir):
     """L14 + A21 + W5: 3-fold CV leaderboard of the at-risk task (baseline vs logistic)."""
     task = X.TASKS["at_risk"]
-    board, _ = leaderboard(task, prepare(task, _eng(spark, sf_dir)), LIGHT)
+    board, _ = leaderboard(task, prepare(task, _spread(spark, sf_dir)), LIGHT)
     return board
 
 
@@ -116,7 +122,7 @@ def tuned_trials(spark, sf_dir):
     """L16 + M22: random search over the logistic C with the best-so-far curve."""
     task = X.TASKS["at_risk"]
     cand = {c.name: c for c in candidates("binary")}["logistic_regression"]
-    _, _, trials = tune(task, prepare(task, _eng(spark, sf_dir)), cand, LIGHT)
+    _, _, trials = tune(task, prepare(task, _spread(spark, sf_dir)), cand, LIGHT)
     return best_so_far(trials)
 
 
@@ -125,7 +131,7 @@ def ridge_trials(spark, sf_dir):
     """L16 + M22 in full: 40 trials over 5 folds with successive halving for the ridge strength, all fits from one scan."""
     task = X.TASKS["math_score"]
     cand = {c.name: c for c in candidates("regression")}["ridge"]
-    _, _, trials = tune(task, prepare(task, _eng(spark, sf_dir)), cand, TrainConfig())
+    _, _, trials = tune(task, prepare(task, _spread(spark, sf_dir)), cand, TrainConfig())
     return best_so_far(trials).select("number", "value", "state", "params", "best_so_far")
 
 
@@ -133,7 +139,7 @@ def ridge_trials(spark, sf_dir):
 def linear_attribution(spark, sf_dir):
     """E1 + E3 + J8: global importance of a logistic at-risk model (linear Shapley values)."""
     task = X.TASKS["at_risk"]
-    eng = _eng(spark, sf_dir)
+    eng = _spread(spark, sf_dir)
     model = _fitted(spark, sf_dir, "at_risk", "logistic_regression")
     contrib = AT.linear_contributions(model, task, eng.select(KEY, *task.inputs),
                                       SP.fixed_sample(eng, KEY, 200, 0), KEY)
@@ -144,7 +150,7 @@ def linear_attribution(spark, sf_dir):
 def local_explanations(spark, sf_dir):
     """E4 + O2: top-3 signed contributions per student with raw values."""
     task = X.TASKS["at_risk"]
-    eng = _eng(spark, sf_dir)
+    eng = _spread(spark, sf_dir)
     model = _fitted(spark, sf_dir, "at_risk", "logistic_regression")
     rows = eng.select(KEY, *task.inputs)
     contrib = AT.linear_contributions(model, task, rows, SP.fixed_sample(eng, KEY, 200, 0), KEY)
@@ -156,7 +162,7 @@ def shapley_coalition(spark, sf_dir):
     """Exact interventional Shapley values of every student for a random forest
     (2^5 coalitions × 200 background rows per student)."""
     task = X.TASKS["at_risk"]
-    eng = _eng(spark, sf_dir)
+    eng = _spread(spark, sf_dir)
     model = _fitted(spark, sf_dir, "at_risk", "random_forest")
     return AT.shapley_values(model, task, eng.select(KEY, *task.inputs), SP.fixed_sample(eng, KEY, 200, 1), KEY)
 
@@ -166,7 +172,7 @@ def permutation_importance(spark, sf_dir):
     """E5 + J7: permutation importance (10 repeats) of the logistic at-risk model."""
     task = X.TASKS["at_risk"]
     model = _fitted(spark, sf_dir, "at_risk", "logistic_regression")
-    data = prepare(task, _eng(spark, sf_dir))
+    data = prepare(task, _spread(spark, sf_dir))
     return AT.permutation_importance(model, task, data, KEY, n_repeats=10)
 
 
@@ -174,7 +180,7 @@ def permutation_importance(spark, sf_dir):
 def scored_records(spark, sf_dir):
     """At-risk prediction records with risk band and mitigated flag."""
     task = X.TASKS["at_risk"]
-    eng = _eng(spark, sf_dir)
+    eng = _spread(spark, sf_dir)
     model = _fitted(spark, sf_dir, "at_risk", "logistic_regression")
     scored = model.transform(prepare(task, eng)).withColumn("p1", vector_to_array("probability")[1])
     thr = T.threshold_at_recall(scored, LABEL_COL, "p1", 0.8).select("threshold").first()["threshold"]
@@ -188,7 +194,7 @@ def regression_records(spark, sf_dir):
     """Clipped math-score predictions with a split-conformal interval: four fifths
     of the rows train, the residuals of the others calibrate."""
     task = X.TASKS["math_score"]
-    eng = _eng(spark, sf_dir)
+    eng = _spread(spark, sf_dir)
     fifth = f"pmod(xxhash64({KEY}), 5)"
     model = _fitted(spark, sf_dir, "math_score", "ridge", f"{fifth} <> 0")
     held = model.transform(prepare(task, eng.where(f"{fifth} = 0"))).withColumn("residual", F.col(LABEL_COL) - F.col("prediction"))
@@ -200,7 +206,7 @@ def regression_records(spark, sf_dir):
 def multiclass_records(spark, sf_dir):
     """Performance-level label (argmax) and class → probability map."""
     task = X.TASKS["performance_level"]
-    eng = _eng(spark, sf_dir)
+    eng = _spread(spark, sf_dir)
     model = _fitted(spark, sf_dir, "performance_level", "logistic_regression")
     return S.score(eng.select(KEY, *task.inputs), model, task, version="local")
 
@@ -236,7 +242,7 @@ def knn_scores(spark, sf_dir):
     """Exact 15-NN at-risk probabilities over the prototypes (distinct vectors) of all labelled rows."""
     task = X.TASKS["at_risk"]
     model = _fitted(spark, sf_dir, "at_risk", "knn", k=15)
-    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
+    out = model.transform(_spread(spark, sf_dir).select(KEY, *task.inputs))
     return out.select(KEY, vector_to_array("probability")[1].alias("probability"), "prediction")
 
 
@@ -245,7 +251,7 @@ def knn_levels(spark, sf_dir):
     """Exact 5-NN performance levels; nearly every student has a vector of their own, so cells and bounds do the work."""
     task = X.TASKS["performance_level"]
     model = _fitted(spark, sf_dir, "performance_level", "knn")
-    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
+    out = model.transform(_spread(spark, sf_dir).select(KEY, *task.inputs))
     return out.select(KEY, vector_to_array("probability").alias("probability"), "prediction")
 
 
@@ -254,7 +260,7 @@ def hist_boosting_scores(spark, sf_dir):
     """Performance levels by histogram boosting with multinomial loss, 100 rounds of up to 31 leaves over all rows."""
     task = X.TASKS["performance_level"]
     model = _fitted(spark, sf_dir, "performance_level", "hist_gradient_boosting")
-    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
+    out = model.transform(_spread(spark, sf_dir).select(KEY, *task.inputs))
     return out.select(KEY, vector_to_array("probability").alias("probability"), "prediction")
 
 
@@ -263,5 +269,5 @@ def kernel_scores(spark, sf_dir):
     """Performance levels by a multinomial RBF kernel machine on 200 Nyström landmarks."""
     task = X.TASKS["performance_level"]
     model = _fitted(spark, sf_dir, "performance_level", "svm_rbf")
-    out = model.transform(_eng(spark, sf_dir).select(KEY, *task.inputs))
+    out = model.transform(_spread(spark, sf_dir).select(KEY, *task.inputs))
     return out.select(KEY, vector_to_array("probability").alias("probability"), "prediction")
