@@ -94,3 +94,22 @@ def test_saved_pipeline_carries_its_prototypes(spark, tmp_path):
     assert again.stages[0].getOrDefault("path").startswith(str(tmp_path))
     a, b = (sorted(m.transform(frame(spark, q)).select("i", "prediction").collect()) for m in (model, again))
     assert a == b
+
+
+def test_work_for_a_query_does_not_grow_with_the_rows(monkeypatch):
+    """Eight times the prototypes on the same ground: distances taken for a query stay about the same, results are those of all pairs."""
+    rng = np.random.default_rng(9)
+    taken = []
+    for n in (1000, 8000):
+        x = np.hstack([rng.normal(size=(n, 2)), rng.integers(0, 2, (n, 2))])
+        q, w, seen = x[:200], np.eye(2)[rng.integers(0, 2, n)], []
+        real = N.distances
+        with monkeypatch.context() as m:
+            m.setattr(N, "distances", lambda a, b: seen.append(len(a) * len(b)) or real(a, b))
+            at, d, rows = N.nearest(q, np.full(len(q), np.inf), x, w, w.sum(axis=1), 5)
+        taken.append(sum(seen) / len(q))
+        all_ = np.round(real(q, x), 9)
+        for i in range(len(q)):
+            assert d[at == i] == pytest.approx(np.unique(np.sort(all_[i])[:5]))
+            assert rows[at == i].sum(axis=0) == pytest.approx(w[np.argsort(all_[i])[:5]].sum(axis=0))
+    assert taken[1] < 1.5 * taken[0] and taken[1] < 0.25 * 8000
