@@ -26,14 +26,15 @@ def _keys(keys: Sequence[str] | None) -> list[str]:
     return list(keys or [])
 
 
-def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, score, pos, neg): rows per distinct score, nulls dropped."""
+def score_counts(df: DataFrame, y: str, score: str, keys: Sequence[str] = (), rows: str | None = None) -> DataFrame:
+    """(keys, score, pos, neg): rows per distinct score, nulls dropped; ``rows``: how many rows each one stands for."""
     s = F.col(score).cast("double")
     lab = F.col(y).cast("int")
+    n = F.col(rows) if rows else F.lit(1)
     return (df.where(s.isNotNull() & ~F.isnan(s) & lab.isNotNull())
             .groupBy(*keys, s.alias("score"))
-            .agg(F.sum(lab).cast("double").alias("pos"),
-                 F.sum(F.lit(1) - lab).cast("double").alias("neg")))
+            .agg(F.sum(lab * n).cast("double").alias("pos"),
+                 F.sum((F.lit(1) - lab) * n).cast("double").alias("neg")))
 
 
 # ----------------------------------------------------------------------------- M1, M2
@@ -93,10 +94,10 @@ def interval_rows(df: DataFrame, y: str, pred: str, q: Column | float,
 # ----------------------------------------------------------------------------- ranking metrics
 
 def roc_auc(df: DataFrame, y: str, score: str, keys: Sequence[str] = (),
-            n_buckets: int | None = None) -> DataFrame:
-    """ROC-AUC with ties counted half; null when a key has one class only."""
+            n_buckets: int | None = None, rows: str | None = None) -> DataFrame:
+    """ROC-AUC with ties counted half; null when a key has one class only. ``rows``: how many rows each one stands for."""
     k = _keys(keys)
-    cum = running_totals(score_counts(df, y, score, k), k, ["score"], ["neg"], n_buckets=n_buckets)
+    cum = running_totals(score_counts(df, y, score, k, rows), k, ["score"], ["neg"], n_buckets=n_buckets)
     g = cum.groupBy(*k).agg(
         F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)).alias("__s"),
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -278,11 +279,11 @@ def long_metrics(wide: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # ----------------------------------------------------------------------------- multiclass
 
-def class_table(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Per class (labels = union of true and predicted): tp, support, predicted count."""
+def class_table(df: DataFrame, y: str, pred: str, keys: Sequence[str] = (), rows: str | None = None) -> DataFrame:
+    """Per class (labels = union of true and predicted): tp, support, predicted count. ``rows``: how many rows each one stands for."""
     k = _keys(keys)
     cells = df.groupBy(*k, F.col(y).alias("__y"), F.col(pred).alias("__p")).agg(
-        F.count(F.lit(1)).alias("c"))
+        (F.sum(rows) if rows else F.count(F.lit(1))).alias("c"))
     roles = cells.select(*k, F.explode(F.array(
         F.struct(F.col("__y").alias("cls"), F.col("c").alias("support"), F.lit(0).alias("predicted"),
                  F.when(F.col("__y") == F.col("__p"), F.col("c")).otherwise(0).alias("tp")),
