@@ -6,8 +6,8 @@ shuffle, and a vector that a third of all rows share becomes one row. Blocks of
 packed arrays) are a Parquet table. One pass a level adds the newest trees to the raw scores, takes the gradients,
 walks the trees under growth and sums gradient, hessian and count per (class, open node, feature, bin); the sums are
 merged by a group-by whose result is bounded by classes x leaves x features x bins, and the driver picks
-the splits from it. The trees of all classes grow in the same passes (true multinomial loss, not one against the rest). The raw scores are
-written anew every ``REFRESH`` rounds, so a lost executor costs a reread and a few trees at most. Tables of up to ``IN_TASK`` distinct
+the splits from it. The trees of all classes grow in the same passes (true multinomial loss, not one against the rest). Each round's raw scores are
+held by the executors and written anew every ``REFRESH`` rounds, so a pass applies no finished tree and a lost executor costs a reread and a few trees at most. Tables of up to ``IN_TASK`` distinct
 vectors (a few MB) grow by the same steps inside one task, which saves a job for each level.
 
 Trees grow by level; where a level would exceed ``max_leaf_nodes`` the splits with the largest gain stay.
@@ -24,6 +24,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -65,16 +66,17 @@ class Tree:
 
     def leaves(self, x: np.ndarray, by: str) -> np.ndarray:
         """The node in which each row of ``x`` (bins for ``cut``, values for ``threshold``) ends."""
-        feature, bound = np.asarray(self.feature), np.asarray(getattr(self, by))
-        left, right = np.asarray(self.left), np.asarray(self.right)
-        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-        while True:
-            f = feature[node]
-            inner = f >= 0
-            if not inner.any():
-                return node
-            goes = x[rows, np.maximum(f, 0)] <= bound[node]
-            node = np.where(inner, np.where(goes, left[node], right[node]), node)
+        leaf, own = np.asarray(self.feature) < 0, np.arange(len(self.feature))  # a leaf leads to itself
+        feature, bound = np.where(leaf, 0, self.feature), np.asarray(getattr(self, by))
+        child = np.stack([np.where(leaf, own, self.right), np.where(leaf, own, self.left)], axis=1).ravel()
+        level, depth = [0], 0
+        while level := [c for n in level if self.feature[n] >= 0 for c in (self.left[n], self.right[n])]:
+            depth += 1
+        x = np.ascontiguousarray(x)
+        flat, first, node = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), np.int64)
+        for _ in range(depth):
+            node = child.take(2 * node + (flat.take(first + feature.take(node)) <= bound.take(node)))
+        return node
 
     def scores(self, x: np.ndarray, by: str) -> np.ndarray:
         return np.asarray(self.value)[self.leaves(x, by)]
@@ -187,18 +189,21 @@ HISTOGRAM = "k int, node int, f int, bin int, g double, h double, c double"
 def add_histograms(total: dict[int, np.ndarray], bins: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.ndarray,
                    growing: list[Tree], open_nodes: list[list[int]]) -> None:
     """Add to ``total`` by class (open nodes, features, bins, 3), a size that the parameters set."""
+    columns = np.ascontiguousarray(bins.T).astype(np.int64)
     for k, tree in enumerate(growing):
         if not open_nodes[k]:
             continue
         place = np.full(len(tree.feature), -1)
         place[open_nodes[k]] = np.arange(len(open_nodes[k]))
         slot = place[tree.leaves(bins, "cut")]
-        here = slot >= 0
+        here = np.flatnonzero(slot >= 0)
         nodes = len(open_nodes[k])
         into = total.setdefault(k, np.zeros((nodes, bins.shape[1], MAX_BINS + 1, 3)))
-        parts = [v[here] for v in (g[:, k], h[:, k], count)]
-        for f in range(bins.shape[1]):
-            at = slot[here] * (MAX_BINS + 1) + bins[here, f]
+        every = len(here) == len(slot)
+        parts = [v if every else v[here] for v in (g[:, k], h[:, k], count)]
+        parts, start = [np.ascontiguousarray(v) for v in parts], (slot if every else slot[here]) * (MAX_BINS + 1)
+        for f, column in enumerate(columns):
+            at = start + (column if every else column[here])
             for j, v in enumerate(parts):
                 into[:, f, :, j] += np.bincount(at, v, nodes * (MAX_BINS + 1)).reshape(nodes, -1)
 
@@ -346,18 +351,33 @@ def _grow_all(kind: str, base: list[float], edges: list[np.ndarray], how: Growth
 
 
 def _grow_by_passes(blocks: DataFrame, kind: str, base: list[float], edges: list[np.ndarray], how: Growth) -> str:
-    """The same over blocks of any number, with one pass a level."""
+    """The same over blocks of any number, with one pass a level. A round's raw scores are held by the executors (in memory, else on
+    their disks) and written anew every ``REFRESH`` rounds."""
     rounds: list[list[Tree]] = []
-    fresh: list[list[Tree]] = []  # not yet in the raw scores of ``blocks``
+    written, held = blocks, blocks
     for i in range(how.max_iter):
-        rounds.append(grow_round(lambda *a: merged_histograms(blocks, kind, fresh, *a, len(edges)), len(base), edges, how))
-        fresh.append(rounds[-1])
+        if i and i % REFRESH == 0:
+            now = cut_lineage(held.mapInArrow(_refresh(rounds[-1:]), BLOCK_SCHEMA))
+            release(written)
+            written = now
+        else:  # the round's first pass fills it
+            now = (held.mapInArrow(_refresh(rounds[-1:]), BLOCK_SCHEMA) if i else held).persist(StorageLevel.MEMORY_AND_DISK)
+        before, held = held, now
+        first = True
+
+        def sums(*a):
+            nonlocal first
+            found = merged_histograms(held, kind, [], *a, len(edges))
+            if first and before is not held:
+                before.unpersist()
+            first = False
+            return found
+
+        rounds.append(grow_round(sums, len(base), edges, how))
         if done(rounds[-1]):
             break
-        if len(fresh) == REFRESH and i + 1 < how.max_iter:
-            old, blocks, fresh = blocks, cut_lineage(blocks.mapInArrow(_refresh(fresh), BLOCK_SCHEMA)), []
-            release(old)
-    release(blocks)
+    held.unpersist()
+    release(written)
     return as_json(base, rounds)
 
 
@@ -435,7 +455,11 @@ class HistBoostingEstimator(Estimator):
         sizes = table.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)]).first()
         base = self.base(np.asarray([sizes[f"s{i}"] or 0.0 for i in range(width)]))
         parts = -(-sizes["n"] // (BLOCK * BLOCKS)) or 1
-        blocks = cut_lineage(table.coalesce(parts).mapInArrow(_pack(base), BLOCK_SCHEMA))
+        if sizes["n"] <= IN_TASK:
+            table_ = table.coalesce(parts)
+        else:  # two tasks a core where there are blocks enough
+            table_ = table.repartition(max(parts, min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-sizes["n"] // BLOCK))))
+        blocks = cut_lineage(table_.mapInArrow(_pack(base), BLOCK_SCHEMA))
         release(table)
         if sizes["n"] <= IN_TASK:
             grown = blocks.coalesce(1).mapInArrow(_grow_all(self.kind_, base, edges, self.how), "state string").first()
