@@ -39,10 +39,17 @@ def _eng(spark, sf_dir):
     return X.engineer(D.students(spark, sf_dir))
 
 
+#: rows of a partition at least
+SPREAD_ROWS = 20_000
+
+
 def _spread(spark, sf_dir):
-    """The engineered rows dealt over all cores: a table of one row group, or a join that AQE packs into few partitions,
-    would leave the fits and the row-wise Python steps to one or a few tasks."""
-    return _eng(spark, sf_dir).repartition(3 * spark.sparkContext.defaultParallelism, KEY)
+    """The engineered rows dealt over all cores: a table of one row group would leave the fits and the row-wise Python steps to one
+    task. Tables of a few thousand rows stay as they are."""
+    eng = _eng(spark, sf_dir)
+    most = 3 * spark.sparkContext.defaultParallelism
+    parts = eng.select(KEY).limit(most * SPREAD_ROWS).count() // SPREAD_ROWS
+    return eng.repartition(parts, KEY) if parts > 1 else eng
 
 
 @register("split_sizes", ENG + """

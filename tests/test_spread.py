@@ -12,6 +12,7 @@ def test_rows_of_one_row_group_are_dealt_over_all_cores(spark, monkeypatch):
     cols = ["student_id", "gender", "race_ethnicity", "parental_level_of_education", "lunch", "test_preparation_course", "math_score", "reading_score", "writing_score"]
     one = spark.createDataFrame(rows, cols).coalesce(1)
     monkeypatch.setattr(D, "students", lambda *_: one)
+    monkeypatch.setattr(C, "SPREAD_ROWS", 20)
     seen = []
     real = C.make_pipeline
     monkeypatch.setattr(C, "make_pipeline", lambda data, *a: seen.append(data) or real(data, *a))
