@@ -141,3 +141,14 @@ def test_empty_and_one_class(spark):
         assert B.HistBoostingEstimator(kind, 3 if kind == "multiclass" else 2, **HOW).fit(empty).transform(empty).count() == 0
     ones = spark.createDataFrame([(Vectors.dense([float(i)]), 1.0) for i in range(30)], schema)
     assert {r.prediction for r in B.HistBoostingEstimator("binary", **HOW).fit(ones).transform(ones).collect()} == {1.0}
+
+
+def test_a_pass_applies_no_finished_tree(spark, monkeypatch):
+    """The raw scores of a round are held, so the work of a pass does not depend on the rounds before."""
+    monkeypatch.setattr(B, "IN_TASK", 0)
+    seen, real = [], B.merged_histograms
+    monkeypatch.setattr(B, "merged_histograms", lambda blocks, kind, rounds, *a: seen.append(len(rounds)) or real(blocks, kind, rounds, *a))
+    rows = data("binary", 60)
+    df = spark.createDataFrame([(Vectors.dense(x), y, w) for x, y, w in rows], ["features", "label", "weight"])
+    B.HistBoostingEstimator("binary", weightCol="weight", **{**HOW, "max_iter": 3}).fit(df)
+    assert len(seen) >= 3 and max(seen) == 0
