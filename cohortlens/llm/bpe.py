@@ -5,12 +5,14 @@ lower case, then words by the file's pattern; bytes as characters, the last one
 
 1. counts the words of all texts (combined per task, then by Spark) and takes the most frequent ones, at most
    ``LEXICON`` (a whole number of frequency classes, found from the histogram of the counts). No word reaches across white
-   space, so texts are split there first, and only the distinct pieces of some megabytes are cut into words by the pattern;
+   space, so texts are split there first, and only the distinct pieces of some megabytes are cut into words: those of plain
+   ASCII by the kind of their bytes, the others by the pattern;
 2. encodes these in tasks and compiles them on the driver, which they fit by that bound, into a minimal acyclic
    automaton: equal suffixes share their states, and the outputs of the arcs on a word's path
    add up to the word's number, which indexes its ids. The file is sent with ``addFile`` and memory-mapped by every worker;
 3. encodes each text: the distinct words of the distinct pieces of some megabytes walk through the automaton together, one byte
-   at a time; words it does not accept are merged exactly (rank by rank, with a heap).
+   at a time; words it does not accept are merged exactly (rank by rank, long ones with a heap). Pieces, words and ids stay in Arrow
+   and numpy arrays from the text to the digests.
 
 Ids are those of the tokenizers library with add_special_tokens=False: strings of special tokens in a
 text get their ids. Decoding joins the tokens with a space, as a file without a decoder asks for.
@@ -29,11 +31,11 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -44,10 +46,7 @@ from cohortlens.llm.tables import beside, pick, ship, table
 
 #: words in the lexicon at most (about 60 bytes each in the file)
 LEXICON = 100_000
-CHUNK = 8 << 20
-FLUSH = 150_000
-#: ids of words outside the lexicon that an encoder keeps
-KEPT = 300_000
+CHUNK = 4 << 20
 #: bytes of a word that is merged together with others; longer ones have a heap of their own
 SHORT = 64
 
@@ -65,6 +64,12 @@ NEWER = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in NEWER_R
 # Lower case of capitals that are newer than this Python's tables (code points).
 NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
                **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+#: the pattern whose words in plain ASCII are runs of letters, single digits and runs of the rest, but for apostrophes
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTER, DIGIT = 1, 2
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[48:58] = DIGIT
 #: ``str.split`` parts at these too, though they are no white space
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -109,8 +114,12 @@ class Merges:
         keys = np.array([a << 32 | b for a, b in self.pair], np.int64)
         rank, new = (np.array([v[j] for v in self.pair.values()], np.int64) for j in range(2))
         order = np.argsort(keys)
-        self.by_key = keys[order], rank[order], new[order]
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
+        self.by_key = keys[order], rank[order].astype(np.int32), new[order].astype(np.int32)
+        own = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # bytes of pieces that are left to the pattern
+        self.by_pattern = np.full(256, own != PATTERN)
+        self.by_pattern[[ord("'"), *range(128, 256), *(s.encode()[0] for s in self.special)]] = True
+        pattern = own.replace(r"\s", SPACE)
         ascii_, exact = pattern, pattern
         for kind, few in ((r"\p{L}", "[a-zA-Z]"), (r"\p{N}", "[0-9]")):
             ascii_ = ascii_.replace(kind, few)
@@ -208,52 +217,86 @@ class Merges:
 
 
     def ids_of(self, words: list[str]) -> list[list[int]]:
-        """Exact ids of many words: in each round every word merges its pair of least rank, the first of equal ones."""
-        out: list[list[int]] = [[]] * len(words)
-        some, raw = [], []
-        for i, w in enumerate(words):
-            x = w.encode()
-            if w in self.special or len(x) > SHORT:
-                out[i] = self.ids(w)
-            elif x:
-                some.append(i)
-                raw.append(x)
-        if not some:
-            return out
-        key_, rank_, new_ = self.by_key
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        size = np.array([len(x) for x in raw])
-        last = np.cumsum(size) - 1
-        sym = np.array(self.plain, np.int64)[data]
-        sym[last] = np.array(self.last, np.int64)[data[last]]
-        word = np.repeat(np.arange(len(raw)), size)
+        """Exact ids of many words."""
+        flat, size = self.merged(pa.array(words, pa.large_string()))
+        flat, stop = flat.tolist(), np.cumsum(size).tolist()
+        return [flat[a:z] for a, z in zip([0, *stop], stop)]
+
+    def merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Exact ids of many words, one after the other, and how many each has: in each round every word merges its pair of
+        least rank, the first of equal ones."""
+        data, off, _ = tc.string_parts(words)
+        size = np.diff(off)
+        alone = size > SHORT
+        for s in self.special:
+            alone |= np.asarray(pc.equal(words, pa.scalar(s, words.type)))
+        count = np.zeros(len(words), np.int64)
         ended = []
+        for i in np.flatnonzero(alone).tolist():
+            x = self.ids(words[i].as_py())
+            count[i] = len(x)
+            ended.append((np.full(len(x), i, np.int32), np.array(x, np.int32)))
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        sym = np.array(self.plain, np.int32)[data]
+        last = off[1:][size > 0] - 1
+        sym[last] = np.array(self.last, np.int32)[data[last]]
+        some = ~alone[word]
+        word, sym = word[some], sym[some]
+        none = len(self.pair)
+        rank, to = self._pairs(word, sym, np.arange(len(word)))
         while len(word):
             first = np.flatnonzero(np.diff(word, prepend=-1))
-            group = np.repeat(np.arange(len(first)), np.diff(first, append=len(word)))
-            pair = sym << 32
-            pair[:-1] |= sym[1:]
-            at = np.minimum(np.searchsorted(key_, pair), len(key_) - 1)
-            ok = key_[at] == pair
-            ok[:-1] &= word[:-1] == word[1:]
-            ok[-1] = False
-            rank = np.where(ok, rank_[at], len(key_))
-            least = np.minimum.reduceat(rank, first)[group]
-            over = least == len(key_)
-            ended.append((word[over], sym[over]))
-            place = np.flatnonzero((rank == least) & ~over)
-            place = place[np.flatnonzero(np.diff(group[place], prepend=-1))]
-            sym[place] = new_[at[place]]
-            keep = ~over
+            n = np.diff(first, append=len(word))
+            least = np.minimum.reduceat(rank, first)
+            over = least == none
+            if over.any():
+                gone = np.repeat(over, n)
+                ended.append((word[gone], sym[gone]))
+                word, sym, rank, to = (x[~gone] for x in (word, sym, rank, to))
+                least, n = least[~over], n[~over]
+            place = np.flatnonzero(rank == np.repeat(least, n))
+            place = place[np.flatnonzero(np.diff(word[place], prepend=-1))]
+            sym[place] = to[place]
+            keep = np.ones(len(word), bool)
             keep[place + 1] = False
-            word, sym = word[keep], sym[keep]
-        word, sym = (np.concatenate([e[j] for e in ended]) for j in range(2))
-        order = np.argsort(word, kind="stable")
-        flat, count = sym[order].tolist(), np.bincount(word, minlength=len(raw))
-        stop = np.cumsum(count).tolist()
-        for i, a, z in zip(some, [0, *stop], stop):
-            out[i] = flat[a:z]
-        return out
+            word, sym, rank, to = (x[keep] for x in (word, sym, rank, to))
+            place -= np.arange(len(place))
+            place = np.concatenate([place, place[place > 0] - 1])
+            rank[place], to[place] = self._pairs(word, sym, place)
+        word, sym = (np.concatenate([np.zeros(0, np.int32), *(e[j] for e in ended)]) for j in range(2))
+        return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _pairs(self, word: np.ndarray, sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, what it becomes) of the pairs that begin at ``at``; pairs that don't merge have the rank after the last."""
+        key_, rank_, new_ = self.by_key
+        if not len(key_) or not len(at):
+            return np.full(len(at), len(key_), np.int32), np.zeros(len(at), np.int32)
+        after = np.minimum(at + 1, len(word) - 1)
+        want = sym[at].astype(np.int64) << 32 | sym[after]
+        found = np.minimum(np.searchsorted(key_, want), len(key_) - 1)
+        ok = (key_[found] == want) & (word[at] == word[after]) & (after > at)
+        return np.where(ok, rank_[found], np.int32(len(key_))), new_[found]
+
+    def all_words(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words of pieces without ASCII white space: all of them, where those of each piece begin, and how many it has."""
+        data, off, _ = tc.string_parts(pieces)
+        hard = np.zeros(len(pieces), bool)
+        hard[np.searchsorted(off, np.flatnonzero(self.by_pattern[data]), "right") - 1] = True
+        data, off, _ = tc.string_parts(pieces.filter(pa.array(~hard)))
+        kind = KIND[data]
+        start = np.ones(len(data), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        start[off[:-1][off[:-1] < len(data)]] = True
+        at = np.flatnonzero(start)
+        easy = _strings(tc.LOWER[data], np.append(at, len(data)))
+        other = self.words_of(pieces.filter(pa.array(hard)).to_pylist())
+        count = np.zeros(len(pieces), np.int64)
+        count[~hard] = np.diff(np.searchsorted(at, off))
+        count[hard] = [len(ws) for ws in other]
+        begin = np.zeros(len(pieces), np.int64)
+        begin[~hard] = np.cumsum(count[~hard]) - count[~hard]
+        begin[hard] = len(at) + np.cumsum(count[hard]) - count[hard]
+        return pa.concat_arrays([easy, pa.array([w for ws in other for w in ws], pa.large_string())]), begin, count
 
 
 def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> dict[str, np.ndarray]:
@@ -328,14 +371,13 @@ def load(path: str) -> dict[str, np.ndarray]:
     return out
 
 
-def look_up(lex: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
+def look_up(lex: dict[str, np.ndarray], words: list[bytes] | pa.Array) -> np.ndarray:
     """The number of each word in the lexicon, or -1: all words take their next byte together."""
     number = np.zeros(len(words), np.int64)
-    if not len(lex["key"]) or not words:
+    if not len(lex["key"]) or not len(words):
         return np.full(len(words), -1, np.int64)
-    size = np.array([len(w) for w in words], np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    data = np.frombuffer(b"".join(words), np.uint8)
+    data, off, _ = tc.string_parts(words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary()).cast(pa.large_string()))
+    begin, size = off[:-1], np.diff(off)
     state = np.full(len(words), int(lex["root"][0]), np.int64)
     live = np.arange(len(words))
     key, to, add = lex["key"], lex["to"], lex["add"]
@@ -357,81 +399,101 @@ def look_up(lex: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     return np.where(good, number, -1)
 
 
-class Numbers(dict):
-    """Numbers keys from 0 on as they come."""
+def _strings(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _stops(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
+def _runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] numbers), begin[1], ..."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
+def _joined(rows: pa.Array, off: np.ndarray) -> pa.Array:
+    """Stretches of strings, each joined by a space."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), rows), pa.scalar(" ", rows.type))
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+
+def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pieces of texts cut at ASCII white space, which of them stand in the texts, and where each text's begin."""
+    parts = pc.ascii_split_whitespace(texts)
+    coded = parts.flatten().dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices), _stops(np.asarray(pc.list_value_length(parts)))
+
+
+class Encoded:
+    """Ids of some texts: of their distinct pieces, and which pieces each text has."""
+
+    def __init__(self, ids: np.ndarray, off: np.ndarray, which: np.ndarray, bounds: np.ndarray):
+        some = np.diff(off)[which] > 0  # pieces without a word have no place in the decoded text
+        self.ids, self.off, self.which, self.bounds = ids, off, which[some], _stops(some)[bounds]
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each text begin."""
+        size = np.diff(self.off)[self.which]
+        return self.ids[_runs(self.off[self.which], size)], _stops(size)[self.bounds]
+
+    def decoded(self, tokens: pa.Array) -> pa.Array:
+        return _joined(_joined(tokens.take(pa.array(self.ids)), self.off).take(pa.array(self.which)), self.bounds)
 
 
 class Encoder:
     def __init__(self, merges: Merges, lex: dict[str, np.ndarray]):
-        self.merges, self.lex = merges, lex
-        self.rare: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]], list[list[int]]]:
-        """Ids of each text; also its pieces as numbers of this call's distinct pieces, and their ids."""
-        seen = Numbers()
-        as_pieces = [[seen[x] for x in self.merges.pieces(t)] for t in texts]
-        known = Numbers()
-        in_words = [[known[w] for w in ws] for ws in self.merges.words_of(list(seen))]
-        number = look_up(self.lex, [w.encode() for w in known])
+        self.merges, self.lex = merges, {k: np.asarray(v) for k, v in lex.items()}
+        self.tokens = pa.array(merges.tokens, pa.large_string())
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[list[np.ndarray], Encoded]:
+        """Ids of each text, and what they decode to."""
+        if self.merges.spaced:
+            raise ValueError("special tokens with white space are not supported")
+        pieces, which, bounds = pieces_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        words, begin, count = self.merges.all_words(pieces)
+        words = words.dictionary_encode()
+        number = look_up(self.lex, words.dictionary)
+        unseen = number < 0
+        ids, size = self.merges.merged(words.dictionary.filter(pa.array(unseen)))
         at, flat = self.lex["at"], self.lex["ids"]
-        unseen = self._unseen([w for w, n in zip(known, number.tolist()) if n < 0])
-        by_word = [flat[at[n]: at[n + 1]].tolist() if n >= 0 else unseen[w] for w, n in zip(known, number.tolist())]
-        ids = [[i for w in ws for i in by_word[w]] for ws in in_words]
-        size = np.array([len(x) for x in ids], np.int64)
-        start = np.concatenate([[0], np.cumsum(size)])[:-1] if len(ids) else size
-        pool = np.array([i for x in ids for i in x], np.uint32)
-        out = []
-        for p in as_pieces:
-            p = np.array(p, np.int64)
-            n = size[p]
-            total = int(n.sum())
-            stop = np.cumsum(n)
-            out.append(pool[np.repeat(start[p] - (stop - n), n) + np.arange(total)] if total else pool[:0])
-        return out, as_pieces, ids
-
-    def _unseen(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids by word, kept for the next call while they are not too many."""
-        if len(self.rare) > KEPT:
-            self.rare.clear()
-        new = [w for w in words if w not in self.rare]
-        self.rare.update(zip(new, self.merges.ids_of(new)))
-        return self.rare
-
-    def decode(self, ids) -> str:
-        tokens = self.merges.tokens
-        return " ".join([tokens[i] for i in ids])
-
-
-def _texts(c: tc.Chunk) -> list[str]:
-    raw = c.data.tobytes()
-    off = c.off.tolist()
-    return [raw[a:b].decode() for a, b in zip(off[:-1], off[1:])]
+        start, n = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        start[~unseen], n[~unseen] = at[number[~unseen]], np.diff(at)[number[~unseen]]
+        start[unseen], n[unseen] = len(flat) + np.cumsum(size) - size, size
+        in_pieces = np.asarray(words.indices)[_runs(begin, count)]
+        ids = np.concatenate([flat, ids])[_runs(start[in_pieces], n[in_pieces])]
+        out = Encoded(ids, _stops(n[in_pieces])[_stops(count)], which, bounds)
+        flat, off = out.flat()
+        return [flat[a:z] for a, z in zip(off[:-1].tolist(), off[1:].tolist())], out
+
+
+def _texts(c: tc.Chunk) -> pa.Array:
+    return _strings(c.data, c.off)
 
 
 def _count(spec):
     def run(batches: Iterator[pa.RecordBatch]):
         merges = Merges(json.loads(spec.value))
-        pieces: Counter[str] = Counter()
-
-        def out():
-            total: Counter[str] = Counter()
-            for ws, n in zip(merges.words_of(list(pieces)), pieces.values()):
-                for w in ws:
-                    total[w] += n
-            pieces.clear()
-            words = [w for w in total if w not in merges.special]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64())], names=["word", "n"])
-
-        for c in tc.chunks(batches):
-            for t in _texts(c):
-                pieces.update(merges.pieces(t))
-            if len(pieces) > FLUSH:
-                yield out()
-        yield out()
+        special = pa.array(list(merges.special), pa.large_string())
+
+        def out(texts: list[pa.Array]):
+            pieces, which, _ = pieces_of(pa.concat_arrays(texts))
+            words, begin, count = merges.all_words(pieces)
+            coded = words.dictionary_encode()
+            times = np.repeat(np.bincount(which, minlength=len(pieces)), count)
+            n = np.bincount(np.asarray(coded.indices)[_runs(begin, count)], times, len(coded.dictionary)).astype(np.int64)
+            rows = pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n)], names=["word", "n"])
+            return rows.filter(pc.invert(pc.is_in(coded.dictionary, special)))
+
+        texts, size = [], 0
+        for c in tc.chunks(batches, size=CHUNK):
+            texts.append(_texts(c))
+            size += len(c.data)
+            if size >= CHUNK // 2:
+                yield out(texts)
+                texts, size = [], 0
+        if texts:
+            yield out(texts)
     return run
 
 
@@ -487,8 +549,7 @@ class Codec:
         def run(batches):
             enc = make()
             for c in tc.chunks(batches, size=CHUNK):
-                ids, _, _ = enc.encode(_texts(c))
-                yield pa.RecordBatch.from_arrays([c.cols[0], pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["row", "ids"])
+                yield pa.RecordBatch.from_arrays([c.cols[0], pa.array(enc.encode(_texts(c))[0], pa.list_(pa.int32()))], names=["row", "ids"])
 
         return src.mapInArrow(run, beside(src, "row", "ids array<int>")).withColumnRenamed("row", id_col)
 
@@ -513,15 +574,15 @@ class Codec:
         def run(batches):
             enc = make()
             for c in tc.chunks(batches, size=chunk):
-                ids, pieces, piece_ids = enc.encode(_texts(c))
-                shown = [enc.decode(x) for x in piece_ids]
-                a = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-                b = [hashlib.sha256(" ".join([shown[p] for p in ps if piece_ids[p]]).encode()).hexdigest() for ps in pieces]
+                ids, out = enc.encode(_texts(c))
+                a = [hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in ids]
+                shown, off, _ = tc.string_parts(out.decoded(enc.tokens))
+                b = [hashlib.sha256(shown[i:j]).hexdigest() for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
                 cols = [c.cols[0], pa.array([len(x) for x in ids], pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 if with_ids:
-                    cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-                del ids, pieces, piece_ids, shown, a, b, cols
+                del ids, out, shown, off, a, b, cols
                 tc.give_back()
 
         schema = beside(src, "row", "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

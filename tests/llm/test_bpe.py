@@ -1,8 +1,11 @@
 """BPE against the tokenizers library: ids, decoded text, and the lexicon on its own."""
 
+import gc
 import hashlib
 import json
 import random
+import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -88,3 +91,50 @@ def test_digests_ids_and_decoding_match_the_library(spark, library, lexicon):
 
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_plain_pieces_cost_no_python_call_each(library, merges):
+    """Pieces, words, ids and decoded text are arrays: the calls of an encoder do not grow with the words."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdeTR9.,", k=rng.randrange(3, 12))) for _ in range(20_000)]
+    texts = [" ".join(words[i: i + 100]) for i in range(0, len(words), 100)]
+    enc = bpe.Encoder(merges, bpe.compile_lexicon([]))
+    enc.encode(texts[:1])
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        ids = enc.encode(texts)[0]
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 10_000
+    assert [x.tolist() for x in ids] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_an_encoder_keeps_nothing_of_the_texts(merges):
+    rng = random.Random(8)
+    enc = bpe.Encoder(merges, bpe.compile_lexicon([]))
+    texts = [" ".join("".join(rng.choices("abcdeé", k=12)) for _ in range(200)) for _ in range(100)]
+    enc.encode(texts[:2])
+    tracemalloc.start()
+    try:
+        enc.encode(texts)
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 500_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_pieces_of_every_kind_of_byte(library, merges):
+    """Classes of bytes, apostrophes, marks and spaces that only the pattern knows, at the ends of pieces and texts."""
+    rng = random.Random(9)
+    some = ["A", "z", "7", "42", ".", "--", "'", "'LL", "'s", "<", "<|startoftext|>", "\x00", "\x1d", "\x7f", "\xa0", " ", "\x85", "é", "Ñ", "_", " ", "\t", "\n", "\r\n"]
+    texts = ["".join(rng.choices(some, k=rng.randrange(12))) for _ in range(4000)]
+    enc = bpe.Encoder(merges, bpe.compile_lexicon(sorted((w.encode(), merges.ids(w)) for w in ("a", "z", "--", "é", "'"))))
+    ids, out = enc.encode(texts)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in ids] == expected
+    assert out.decoded(enc.tokens).to_pylist() == [library.decode(x, skip_special_tokens=False) for x in expected]
