@@ -84,3 +84,15 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     kept = jaccard_join.keep_one(spark.createDataFrame([(1, "a b c"), (2, "A b c"), (3, "z")], "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
     assert pick(df, text="text").columns == ["text"]
+
+
+def test_sets_are_shuffled_once_before_they_meet(spark):
+    """The sets that pairs are verified with are read where the texts lie and then dealt by id a single time."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y z u v w"), (3, "x y z u v w q"), (None, "a b c d e f g")], "id long, text string")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    found = jaccard_join._sets_of(docs, ids, 5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    sets = {r.id: len(r.tokens) // 8 for r in jaccard_join._one_each(found).collect() if r.id in (1, 2, 3)}
+    assert sets[1] == sets[2] == 3 and sets[3] in (2, 3)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in jaccard_join._verify(pairs, found, 80).collect()] == [(1, 2)]
