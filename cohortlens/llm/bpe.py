@@ -32,6 +32,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ from cohortlens.llm.tables import beside, pick, ship, table
 
 #: words in the lexicon at most (about 60 bytes each in the file)
 LEXICON = 100_000
-CHUNK = 4 << 20
+#: bytes of texts whose pieces, words and ids a worker holds at once
+CHUNK = 1 << 20
 #: bytes of a word that is merged together with others; longer ones have a heap of their own
 SHORT = 64
 
@@ -93,7 +95,8 @@ def _lower(text: str) -> str:
 
 
 class Merges:
-    """What a tokenizer file says: words of a text, exact ids of a word, tokens of ids."""
+    """What a tokenizer file says: words of a text, exact ids of a word, tokens of ids. Tasks get it as arrays: a worker neither
+    parses the file nor holds its merges as Python objects, unless a long word needs them."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -105,17 +108,28 @@ class Merges:
         name = {v: k for k, v in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         name.update({v: k for k, v in self.special.items()})
-        self.tokens = [name.get(i, "") for i in range(max(name) + 1)]
-        self.pair = {}
+        self.tokens = pa.array([name.get(i, "") for i in range(max(name) + 1)], pa.large_string())
+        pair = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.pair[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        # the same as arrays: a pair as one key, ascending, with its rank and what it becomes
-        keys = np.array([a << 32 | b for a, b in self.pair], np.int64)
-        rank, new = (np.array([v[j] for v in self.pair.values()], np.int64) for j in range(2))
+            pair[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        # as arrays: a pair as one key, ascending, with its rank and what it becomes
+        keys = np.array([a << 32 | b for a, b in pair], np.int64)
+        rank, new = (np.array([v[j] for v in pair.values()], np.int64) for j in range(2))
         order = np.argsort(keys)
         self.by_key = keys[order], rank[order].astype(np.int32), new[order].astype(np.int32)
-        own = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.own = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._compile()
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("mark", "plain", "last", "special", "tokens", "by_key", "own")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._compile()
+
+    def _compile(self) -> None:
+        own = self.own
         # bytes of pieces that are left to the pattern
         self.by_pattern = np.full(256, own != PATTERN)
         self.by_pattern[[ord("'"), *range(128, 256), *(s.encode()[0] for s in self.special)]] = True
@@ -133,6 +147,12 @@ class Merges:
         self.spaced = any(c in s for s in self.special for c in SPACE)
         self.space = regex.compile(f"[{SPACE}]+")
 
+    @cached_property
+    def pair(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, what it becomes) of each pair."""
+        keys, rank, new = (x.tolist() for x in self.by_key)
+        return {(k >> 32, k & 0xFFFFFFFF): (r, to) for k, r, to in zip(keys, rank, new)}
+
     def pieces(self, text: str) -> list[str]:
         """The text cut at white space: no word reaches across it."""
         if self.spaced:
@@ -242,7 +262,7 @@ class Merges:
         sym[last] = np.array(self.last, np.int32)[data[last]]
         some = ~alone[word]
         word, sym = word[some], sym[some]
-        none = len(self.pair)
+        none = len(self.by_key[0])
         rank, to = self._pairs(word, sym, np.arange(len(word)))
         while len(word):
             first = np.flatnonzero(np.diff(word, prepend=-1))
@@ -444,7 +464,7 @@ class Encoded:
 class Encoder:
     def __init__(self, merges: Merges, lex: dict[str, np.ndarray]):
         self.merges, self.lex = merges, {k: np.asarray(v) for k, v in lex.items()}
-        self.tokens = pa.array(merges.tokens, pa.large_string())
+        self.tokens = merges.tokens
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[list[np.ndarray], Encoded]:
         """Ids of each text, and what they decode to."""
@@ -471,9 +491,9 @@ def _texts(c: tc.Chunk) -> pa.Array:
     return _strings(c.data, c.off)
 
 
-def _count(spec):
+def _count(sent):
     def run(batches: Iterator[pa.RecordBatch]):
-        merges = Merges(json.loads(spec.value))
+        merges = sent.value
         special = pa.array(list(merges.special), pa.large_string())
 
         def out(texts: list[pa.Array]):
@@ -492,14 +512,15 @@ def _count(spec):
             if size >= CHUNK // 2:
                 yield out(texts)
                 texts, size = [], 0
+                tc.give_back()
         if texts:
             yield out(texts)
     return run
 
 
-def _ids_of(spec):
+def _ids_of(sent):
     def run(batches):
-        merges = Merges(json.loads(spec.value))
+        merges = sent.value
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(merges.ids_of(b.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "ids"])
     return run
@@ -512,9 +533,9 @@ class Codec:
         spark = docs.sparkSession
         ship(spark)
         with open(path, encoding="utf-8") as f:
-            self.spec = spark.sparkContext.broadcast(f.read())  # as text: a worker keeps what was sent, but not what it parsed
+            self.merges = spark.sparkContext.broadcast(Merges(json.load(f)))
         src = docs.select(F.lit(0).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-        counts = src.mapInArrow(_count(self.spec), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+        counts = src.mapInArrow(_count(self.merges), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
         # the histogram of counts has few rows (about the square root of the words at most)
         least, kept = None, 0
         for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
@@ -524,7 +545,7 @@ class Codec:
         entries = []
         if least is not None:
             frequent = counts.filter(F.col("n") >= least).select("word")
-            entries = [(r["word"].encode(), list(r["ids"])) for r in frequent.mapInArrow(_ids_of(self.spec), "word string, ids array<int>").toLocalIterator()]
+            entries = [(r["word"].encode(), list(r["ids"])) for r in frequent.mapInArrow(_ids_of(self.merges), "word string, ids array<int>").toLocalIterator()]
         counts.unpersist()
         entries.sort()
         self.words = len(entries)
@@ -534,10 +555,10 @@ class Codec:
         spark.sparkContext.addFile(file)
 
     def _encoder(self):
-        spec, name = self.spec, self.name
+        merges, name = self.merges, self.name
 
         def make() -> Encoder:
-            return Encoder(Merges(json.loads(spec.value)), load(SparkFiles.get(name)))
+            return Encoder(merges.value, load(SparkFiles.get(name)))
 
         return make
 
@@ -555,11 +576,11 @@ class Codec:
 
     def decode(self, rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
         """(id_col, text) of rows of ids; a null array decodes to the empty string."""
-        spec = self.spec
+        merges = self.merges
         src = pick(rows, row=id_col, ids=ids_col)
 
         def run(batches):
-            tokens = Merges(json.loads(spec.value)).tokens
+            tokens = merges.value.tokens.to_pylist()
             for b in batches:
                 texts = [" ".join([tokens[i] for i in x or ()]) for x in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])

@@ -3,11 +3,13 @@
 import gc
 import hashlib
 import json
+import pickle
 import random
 import sys
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -138,3 +140,34 @@ def test_pieces_of_every_kind_of_byte(library, merges):
     expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in ids] == expected
     assert out.decoded(enc.tokens).to_pylist() == [library.decode(x, skip_special_tokens=False) for x in expected]
+
+
+def test_what_a_worker_is_sent_is_small(merges):
+    """The merges go to the tasks as arrays, not as Python objects or as a file to be parsed."""
+    sent = pickle.dumps(merges)
+    tracemalloc.start()
+    try:
+        got = pickle.loads(sent)
+        assert tracemalloc.get_traced_memory()[1] < 6_000_000
+    finally:
+        tracemalloc.stop()
+    words = ["don't"[:3], "x" * 5000, "ab" * 3000 + "é", "hello", "<|endoftext|>"]
+    assert got.ids_of(words) == merges.ids_of(words) == [got.ids(w) for w in words]
+    assert got.words("Été 12's <|endoftext|>") == merges.words("Été 12's <|endoftext|>")
+    assert got.tokens.equals(merges.tokens)
+
+
+def test_counting_holds_one_chunk_of_an_arrow_batch(merges):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(4000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    sent = type("Sent", (), {"value": merges})
+    next(bpe._count(sent)(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    try:
+        n = sum(sum(b.column(1).to_pylist()) for b in bpe._count(sent)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == sum(len(t.split()) for t in texts)
+    assert peak < 12_000_000
