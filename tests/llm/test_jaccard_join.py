@@ -5,7 +5,7 @@ import random
 import pytest
 
 from cohortlens.llm import jaccard_join
-from cohortlens.llm.tables import pick
+from cohortlens.llm.tables import Scratch, pick
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -96,3 +96,29 @@ def test_sets_are_shuffled_once_before_they_meet(spark):
     assert sets[1] == sets[2] == 3 and sets[3] in (2, 3)
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     assert [tuple(r) for r in jaccard_join._verify(pairs, found, 80).collect()] == [(1, 2)]
+
+
+def test_tables_that_no_later_step_reads_are_deleted(spark, corpus, monkeypatch):
+    """While pairs are written, one table of token rows and one of token columns are kept at most; none when all is done."""
+    live = {}
+    put, drop = Scratch.put, Scratch.drop
+
+    def kept_put(self, df, parts=None):
+        if df.columns == ["a", "b"]:
+            assert sum("token" in c for c in live.values()) <= 1
+            assert sum("cols" in c for c in live.values()) <= 1
+        out = put(self, df, parts)
+        live[out._scratch_path] = df.columns
+        return out
+
+    def kept_drop(self, *tables):
+        for t in tables:
+            live.pop(t._scratch_path)
+        drop(self, *tables)
+
+    monkeypatch.setattr(Scratch, "put", kept_put)
+    monkeypatch.setattr(Scratch, "drop", kept_drop)
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute(corpus)
+    assert live and not any({"token", "tokens", "cols", "private"} & set(c) for c in live.values())
