@@ -122,3 +122,31 @@ def test_tables_that_no_later_step_reads_are_deleted(spark, corpus, monkeypatch)
     got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(df).collect()}
     assert got == brute(corpus)
     assert live and not any({"token", "tokens", "cols", "private"} & set(c) for c in live.values())
+
+
+def test_a_common_line_joins_few_pairs_of_a_large_family(spark, monkeypatch):
+    """Copies of a template that all have the same added line and own changes, too many to link: no pair of each two of them."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    line = [f"l{i}" for i in range(12)]
+    rows = [(1, " ".join(base))]
+    for i in range(70):
+        w = list(base)
+        for at in rng.sample(range(100), 4):
+            w[at] = f"x{i}-{at}"
+        rows.append((10 + i, " ".join([*w[:50], *line, *w[50:]])))
+    for i in range(0, 70, 7):  # some have a copy that links
+        w = rows[1 + i][1].split(" ")
+        rows.append((100 + i, " ".join([*w[:111], "end"])))
+    made = []
+    within = jaccard_join._within
+
+    def counted(*args):
+        out = within(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_within", counted)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert made and made[0] < 4 * len(rows)
