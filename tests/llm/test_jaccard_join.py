@@ -150,3 +150,29 @@ def test_a_common_line_joins_few_pairs_of_a_large_family(spark, monkeypatch):
     got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert made and made[0] < 4 * len(rows)
+
+
+def test_sets_are_read_only_for_pairs_that_bit_rows_leave_and_are_not_written(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(4000)
+    rows = [(i, " ".join([*text(2500), *passage, *text(2500)])) for i in range(4)]  # all token columns are touched, the bound by them is useless
+    rows += [(10, "a b c d e f g h i j k l m n"), (11, "a b c d e f g h i j k l m n o"), (12, " ".join(passage)), (13, " ".join(passage[:3700]))]
+    rows += [(20, "p q"), (21, "p q r"), (22, "")]
+    written, seen = [], set()
+    put, verify = Scratch.put, jaccard_join._verify
+
+    def kept_put(self, df, parts=None):
+        written.append(df.columns)
+        return put(self, df, parts)
+
+    def kept_verify(pairs, *args):
+        seen.update((r.a, r.b) for r in pairs.collect())
+        return verify(pairs, *args)
+
+    monkeypatch.setattr(Scratch, "put", kept_put)
+    monkeypatch.setattr(jaccard_join, "_verify", kept_verify)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert not any("tokens" in c for c in written)
+    assert {(min(p), max(p)) for p in seen} == {(10, 11), (12, 13)}
