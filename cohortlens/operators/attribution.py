@@ -249,7 +249,9 @@ def permutation_importance(model: PipelineModel, task: Task, data: DataFrame, ke
     donors = running_totals(donors.drop("__rk", LABEL_COL), ["repeat"], ["__h", key], ["__one"], prefix="__d") \
         .withColumnRenamed("__d__one", "__rk")
     donor_vals = donors.select("repeat", "__rk", *[F.col(f).alias(f"__donor_{f}") for f in feats])
-    paired = reps.join(donor_vals, ["repeat", "__rk"])  # equi-join on (repeat, rank)
+    # equi-join on (repeat, rank); both sides hold every row once a repeat, which the planner's guess from the size of the files
+    # leaves out, so it must not choose a broadcast
+    paired = reps.join(donor_vals.hint("merge"), ["repeat", "__rk"])
     base = data.select(*base_cols)
     if classes:
         counted = F.count(F.lit(1)).alias(rows)

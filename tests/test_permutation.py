@@ -52,3 +52,18 @@ def test_counts_give_the_values_of_all_rows(spark, levels):
             drops.append(score(a * 0.6 + b * 0.1) - score(x["a"] * 0.6 + x["b"] * 0.1))
         assert got[name].importance_mean == pytest.approx(np.mean(drops), abs=1e-9)
         assert got[name].importance_std == pytest.approx(np.std(drops), abs=1e-9)
+
+
+def test_rows_are_paired_without_a_broadcast(spark, monkeypatch):
+    """Both sides of the join hold every row once a repeat; the files they are read from are far smaller."""
+    plans, auc_of = [], AT.M.roc_auc
+
+    def noting(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return auc_of(df, *args, **kwargs)
+
+    monkeypatch.setattr(AT.M, "roc_auc", noting)
+    df = spark.range(200).selectExpr("id", "cast(id % 3 = 0 as double) label", "cast(id % 2 as double) a", "cast(id % 5 as double) b")
+    AT.permutation_importance(PipelineModel([Fixed([])]), Task("t", ("a", "b"), (), (0, 1)), df, "id", 2, 42).collect()
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "__rk" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
