@@ -4,8 +4,8 @@ Spark form. A row enters a tree only through its binned feature vector, so the r
 binned vectors with their sums per class (weights, counts) or their label sums: exact, combined in the tasks before the
 shuffle, and a vector that a third of all rows share becomes one row. Blocks of such vectors (bins, sums and raw scores as
 packed arrays) are a Parquet table. One pass a level adds the newest trees to the raw scores, takes the gradients,
-walks the trees under growth and sums gradient, hessian and count per (class, open node, feature, bin); the sums are
-merged by a group-by whose result is bounded by classes x leaves x features x bins, and the driver picks
+walks the trees under growth and sums gradient, hessian and count per (class, open node, feature, bin), features of few bins
+together (``Bundle``); the sums are merged by a group-by whose result is bounded by classes x leaves x features x bins, and the driver picks
 the splits from it. The trees of all classes grow in the same passes (true multinomial loss, not one against the rest). Each round's raw scores are
 held by the executors and written anew every ``REFRESH`` rounds, so a pass applies no finished tree and a lost executor costs a reread and a few trees at most. Tables of up to ``IN_TASK`` distinct
 vectors (a few MB) grow by the same steps inside one task, which saves a job for each level.
@@ -40,6 +40,8 @@ BLOCK = 8192
 BLOCKS = 16
 REFRESH = 10
 IN_TASK = 1 << 16
+#: combinations of bins in a bundle of features
+CODES = 4096
 #: hessian that each side of a split needs at least
 LEAST_HESSIAN = 1e-3
 
@@ -103,12 +105,14 @@ def gradients(kind: str, raw: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray,
         p = 1.0 / (1.0 + np.exp(-raw))
         return w * p - sums[:, 1:2], w * p * (1 - p)
     p = softmax(raw)
-    return w * p - sums, w * p * (1 - p)
+    wp = w * p
+    return wp - sums, wp * (1 - p)
 
 
 def softmax(raw: np.ndarray) -> np.ndarray:
-    e = np.exp(raw - raw.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    by_class = np.ascontiguousarray(raw.T)  # sums and maxima over a few long rows
+    e = np.exp(by_class - by_class.max(axis=0))
+    return np.ascontiguousarray((e / e.sum(axis=0)).T)
 
 
 # --------------------------------------------------------------------------- bins and blocks
@@ -134,6 +138,10 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)], axis=1).astype(np.uint8) if edges else np.zeros((len(x), 0), np.uint8)
 
 
+def bin_counts(edges: list[np.ndarray]) -> list[int]:
+    return [len(e) + 1 for e in edges]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -186,37 +194,100 @@ def _refresh(rounds: list[list[Tree]]):
 HISTOGRAM = "k int, node int, f int, bin int, g double, h double, c double"
 
 
-def add_histograms(total: dict[int, np.ndarray], bins: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.ndarray,
-                   growing: list[Tree], open_nodes: list[list[int]]) -> None:
-    """Add to ``total`` by class (open nodes, features, bins, 3), a size that the parameters set."""
-    columns = np.ascontiguousarray(bins.T).astype(np.int64)
-    for k, tree in enumerate(growing):
-        if not open_nodes[k]:
-            continue
-        place = np.full(len(tree.feature), -1)
-        place[open_nodes[k]] = np.arange(len(open_nodes[k]))
-        slot = place[tree.leaves(bins, "cut")]
-        here = np.flatnonzero(slot >= 0)
-        nodes = len(open_nodes[k])
-        into = total.setdefault(k, np.zeros((nodes, bins.shape[1], MAX_BINS + 1, 3)))
-        every = len(here) == len(slot)
-        parts = [v if every else v[here] for v in (g[:, k], h[:, k], count)]
-        parts, start = [np.ascontiguousarray(v) for v in parts], (slot if every else slot[here]) * (MAX_BINS + 1)
-        for f, column in enumerate(columns):
-            at = start + (column if every else column[here])
-            for j, v in enumerate(parts):
-                into[:, f, :, j] += np.bincount(at, v, nodes * (MAX_BINS + 1)).reshape(nodes, -1)
-
-
-def _histograms(kind: str, rounds: list[list[Tree]], growing: list[Tree], open_nodes: list[list[int]]):
+@dataclass
+class Bundle:
+    """Features whose bins together have at most ``CODES`` combinations: rows are summed by combination once, and the sums of each
+    feature's bins follow from that."""
+
+    features: list[int]
+    sizes: list[int]
+
+    def codes(self, columns: np.ndarray) -> np.ndarray:
+        code = columns[self.features[0]].astype(np.int64)
+        for f, size in zip(self.features[1:], self.sizes[1:]):
+            code = code * size + columns[f]
+        return code
+
+    def indicator(self) -> np.ndarray:
+        """(codes, all bins of the features): which bins a combination stands for."""
+        after, code, out = int(np.prod(self.sizes)), np.arange(int(np.prod(self.sizes))), []
+        for size in self.sizes:
+            after //= size
+            out.append(code[:, None] // after % size == np.arange(size))
+        return np.hstack(out).astype(float)
+
+
+def bundles(sizes: list[int]) -> list[Bundle]:
+    """Features of ``sizes`` bins, dealt first-fit from the smallest on."""
+    out: list[Bundle] = []
+    for f in sorted(range(len(sizes)), key=lambda f: (sizes[f], f)):
+        for b in out:
+            if int(np.prod(b.sizes)) * sizes[f] <= CODES:
+                b.features.append(f)
+                b.sizes.append(sizes[f])
+                break
+        else:
+            out.append(Bundle([f], [sizes[f]]))
+    return out
+
+
+class Histograms:
+    """Sums by class (open nodes, features, bins, 3) over the blocks that are added, a size that the parameters set."""
+
+    def __init__(self, growing: list[Tree], open_nodes: list[list[int]], sizes: list[int]):
+        self.growing, self.open_nodes, self.sizes, self.bundles = growing, open_nodes, sizes, bundles(sizes)
+        self.sums: dict[int, list[np.ndarray]] = {}
+
+    def add(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.ndarray) -> None:
+        columns = np.ascontiguousarray(bins.T)
+        codes = [b.codes(columns) for b in self.bundles]
+        for k, tree in enumerate(self.growing):
+            nodes = len(self.open_nodes[k])
+            if not nodes:
+                continue
+            place = np.full(len(tree.feature), -1)
+            place[self.open_nodes[k]] = np.arange(nodes)
+            slot = place[tree.leaves(bins, "cut")]
+            here = np.flatnonzero(slot >= 0)
+            every = len(here) == len(slot)
+            slot = slot if every else slot[here]
+            values = [np.ascontiguousarray(v if every else v[here]) for v in (g[:, k], h[:, k], count)]
+            into = self.sums.setdefault(k, [np.zeros((3, nodes * int(np.prod(b.sizes)))) for b in self.bundles])
+            for b, code, total in zip(self.bundles, codes, into):
+                at = slot * int(np.prod(b.sizes)) + (code if every else code[here])
+                for j, v in enumerate(values):
+                    total[j] += np.bincount(at, v, total.shape[1])
+
+    def by_feature(self) -> dict[int, np.ndarray]:
+        out = {k: np.zeros((3, len(self.open_nodes[k]), len(self.sizes), MAX_BINS + 1)) for k in self.sums}
+        for i, b in enumerate(self.bundles):
+            to = b.indicator() if len(b.sizes) > 1 else None
+            for k, totals in self.sums.items():
+                values = totals[i].reshape(3, len(self.open_nodes[k]), -1)
+                values = values if to is None else values @ to
+                for f, size in zip(b.features, b.sizes):
+                    out[k][:, :, f, :size], values = values[..., :size], values[..., size:]
+        return {k: np.moveaxis(v, 0, -1) for k, v in out.items()}
+
+
+def _histograms(kind: str, rounds: list[list[Tree]], growing: list[Tree], open_nodes: list[list[int]], sizes: list[int]):
     names = [c.split()[0] for c in HISTOGRAM.split(", ")]
 
     def run(batches):
-        total: dict[int, np.ndarray] = {}
-        for _, bins, sums, count, raw in _blocks(batches, rounds):
-            g, h = gradients(kind, raw, sums)
-            add_histograms(total, bins, g, h, count, growing, open_nodes)
-        for k, a in total.items():
+        total, held = Histograms(growing, open_nodes, sizes), []
+
+        def add():
+            bins, sums, count, raw = (np.concatenate([x[j] for x in held]) for j in range(4))
+            total.add(bins, *gradients(kind, raw, sums), count)
+            held.clear()
+
+        for _, *block in _blocks(batches, rounds):
+            held.append(block)
+            if len(held) == BLOCKS:
+                add()
+        if held:
+            add()
+        for k, a in total.by_feature().items():
             node, f, b = np.nonzero(a[..., 2])
             v = a[node, f, b]
             yield pa.RecordBatch.from_arrays(
@@ -225,16 +296,16 @@ def _histograms(kind: str, rounds: list[list[Tree]], growing: list[Tree], open_n
     return run
 
 
-def merged_histograms(blocks: DataFrame, kind: str, rounds: list[list[Tree]], growing: list[Tree], open_nodes: list[list[int]], n_features: int
+def merged_histograms(blocks: DataFrame, kind: str, rounds: list[list[Tree]], growing: list[Tree], open_nodes: list[list[int]], sizes: list[int]
                       ) -> dict[int, np.ndarray]:
     """One pass over ``blocks``; the merged sums are as large as one task's."""
-    sums = blocks.mapInArrow(_histograms(kind, rounds, growing, open_nodes), HISTOGRAM)
+    sums = blocks.mapInArrow(_histograms(kind, rounds, growing, open_nodes, sizes), HISTOGRAM)
     t = sums.groupBy("k", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("c").alias("c")).toArrow()
     k_, *at = (np.asarray(t[c]) for c in ("k", "node", "f", "bin"))
     values = np.stack([np.asarray(t[c]) for c in ("g", "h", "c")], axis=1)
     out = {}
     for k, nodes in enumerate(open_nodes):
-        out[k] = np.zeros((len(nodes), n_features, MAX_BINS + 1, 3))
+        out[k] = np.zeros((len(nodes), len(sizes), MAX_BINS + 1, 3))
         mine = k_ == k
         out[k][tuple(a[mine] for a in at)] = values[mine]
     return out
@@ -338,9 +409,9 @@ def _grow_all(kind: str, base: list[float], edges: list[np.ndarray], how: Growth
             g, h = gradients(kind, raw, sums)
 
             def of(trees, open_nodes):
-                total: dict[int, np.ndarray] = {}
-                add_histograms(total, bins, g, h, count, trees, open_nodes)
-                return total
+                total = Histograms(trees, open_nodes, bin_counts(edges))
+                total.add(bins, g, h, count)
+                return total.by_feature()
 
             rounds.append(grow_round(of, len(base), edges, how))
             raw = added(raw, rounds[-1:], bins, "cut")
@@ -367,7 +438,7 @@ def _grow_by_passes(blocks: DataFrame, kind: str, base: list[float], edges: list
 
         def sums(*a):
             nonlocal first
-            found = merged_histograms(held, kind, [], *a, len(edges))
+            found = merged_histograms(held, kind, [], *a, bin_counts(edges))
             if first and before is not held:
                 before.unpersist()
             first = False

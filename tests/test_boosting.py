@@ -152,3 +152,24 @@ def test_a_pass_applies_no_finished_tree(spark, monkeypatch):
     df = spark.createDataFrame([(Vectors.dense(x), y, w) for x, y, w in rows], ["features", "label", "weight"])
     B.HistBoostingEstimator("binary", weightCol="weight", **{**HOW, "max_iter": 3}).fit(df)
     assert len(seen) >= 3 and max(seen) == 0
+
+
+def test_features_of_few_bins_are_summed_together():
+    """Rows are added once a bundle, not once a feature, and give each feature's sums."""
+    rng = np.random.default_rng(2)
+    sizes = [2] * 11 + [1, 6, 68, 256]
+    bins = np.stack([rng.integers(0, s, 3000) for s in sizes], axis=1).astype(np.uint8)
+    g, h, count = rng.normal(size=(3000, 2)), rng.random((3000, 2)), rng.integers(1, 4, 3000).astype(float)
+    dealt = B.bundles(sizes)
+    assert len(dealt) <= 4 and sorted(f for b in dealt for f in b.features) == list(range(15))
+    assert all(np.prod(b.sizes) <= B.CODES for b in dealt)
+    tree = B.Tree()
+    tree.split(0, 12, 2, 2.5, (0.0, 0.0))
+    total = B.Histograms([tree, B.Tree()], [[2], [0]], sizes)
+    for part in (slice(0, 1000), slice(1000, 3000)):
+        total.add(bins[part], g[part], h[part], count[part])
+    got = total.by_feature()
+    for k, rows in ((0, bins[:, 12] > 2), (1, np.ones(3000, bool))):
+        for f in range(15):
+            for j, v in enumerate((g[:, k], h[:, k], count)):
+                assert got[k][0, f, :, j] == pytest.approx(np.bincount(bins[rows, f], v[rows], B.MAX_BINS + 1), abs=1e-9)
