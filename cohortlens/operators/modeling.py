@@ -20,7 +20,6 @@ from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.domain import PARENTAL_EDUCATION
 from cohortlens.operators.boosting import HistBoostingEstimator
+from cohortlens.operators.forest import ForestEstimator
 from cohortlens.operators.kernel import NystromEstimator
 from cohortlens.operators.neighbours import KNNEstimator
 
@@ -170,15 +170,15 @@ def _ridge(p, ctx):
                              standardization=False, solver="normal")]
 
 
-def _rf(kind: str):
+def _rf(kind: str, n_classes: int):
     """300 trees; all features a split for regression. Depth 12 bounds the nodes that the driver holds."""
     def build(p, ctx):
-        cls = RandomForestRegressor if kind == "regression" else RandomForestClassifier
-        kw = {} if kind == "regression" else {"weightCol": WEIGHT_COL}
-        return [cls(featuresCol=FEATURES_COL, labelCol=LABEL_COL, numTrees=int(p.get("numTrees", 300)),
-                    maxDepth=int(p.get("maxDepth", 12)), minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
-                    featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all" if kind == "regression" else "sqrt")),
-                    seed=ctx["seed"], **kw)]
+        how = dict(numTrees=int(p.get("numTrees", 300)), maxDepth=int(p.get("maxDepth", 12)),
+                   minInstancesPerNode=int(p.get("minInstancesPerNode", 1)),
+                   featureSubsetStrategy=str(p.get("featureSubsetStrategy", "all" if kind == "regression" else "sqrt")), seed=ctx["seed"])
+        if kind == "regression":
+            return [RandomForestRegressor(featuresCol=FEATURES_COL, labelCol=LABEL_COL, **how)]
+        return [ForestEstimator(n_classes, featuresCol=FEATURES_COL, labelCol=LABEL_COL, weightCol=WEIGHT_COL, **how)]
     return build
 
 
@@ -266,7 +266,7 @@ def candidates(kind: str, n_classes: int = 2) -> list[Candidate]:
     return [
         Candidate("baseline", "dummy", _baseline(kind, n_classes)),
         linear,
-        Candidate("random_forest", "forest", _rf(kind), _forest_space, weighted),
+        Candidate("random_forest", "forest", _rf(kind, n_classes), _forest_space, weighted),
         Candidate("gradient_boosting", "boosting", _gbt(kind, n_classes), _boosting_space, weighted),
         Candidate("hist_gradient_boosting", "hist_boosting", _hist(kind, n_classes), _hist_space, weighted),
         Candidate("svr_rbf" if regression else "svm_rbf", "kernel", _kernel(kind, n_classes), _kernel_space, weighted),
