@@ -4,6 +4,9 @@
 partitioning). With the kernel matrix K of the landmarks, a row x is mapped to k(x, landmarks) K^(-1/2), whose inner products equal the
 kernel on the landmarks and approximate it elsewhere (Williams & Seeger, 2001); a linear model on this map is the kernel machine. Only the landmarks
 (m x width, a parameter) reach the driver. The map is one vectorised pandas UDF.
+
+The logistic fit holds m numbers a row for its iterations. Its loss depends on a row only through vector, label and weight, so rows are first
+collapsed to distinct (vector, label) with the sum of their weights: the same loss, over as many rows as there are different ones.
 """
 
 from __future__ import annotations
@@ -13,13 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.session import cut_lineage, release
+
+#: rows up to which the logistic fit takes them one by one, and distinct ones in a partition
+ROWS = 1 << 16
+PART_ROWS = 20_000
+
 
 def rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
     """exp(-gamma |x - y|^2) between the rows of ``x`` and of ``y``."""
@@ -84,3 +94,24 @@ class NystromEstimator(Estimator):
         landmarks = np.asarray([r["x"] for r in drawn], float)
         root = inverse_root(rbf(landmarks, landmarks, gamma))
         return NystromModel(float(gamma), json.dumps({"landmarks": landmarks.tolist(), "root": root.tolist()}), *self.cols)
+
+
+class KernelLogistic(Estimator):
+    """The map of ``features``, then the logistic fit ``last`` on its output over distinct rows."""
+
+    def __init__(self, features: NystromEstimator, last: LogisticRegression):
+        super().__init__()
+        self.features, self.last = features, last
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        mapped = self.features.fit(df)
+        if df.limit(ROWS + 1).count() <= ROWS:
+            return PipelineModel([mapped, self.last.fit(mapped.transform(df))])
+        vector, label, weight = self.features.cols[0], self.last.getLabelCol(), self.last.getWeightCol()
+        counted = (df.select(vector_to_array(vector).alias("x"), label, weight).groupBy("x", label).agg(F.sum(weight).alias(weight)))
+        table = cut_lineage(counted)
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-table.count() // PART_ROWS))
+        rows = table.repartition(parts).select(array_to_vector("x").alias(vector), label, weight)
+        model = self.last.fit(mapped.transform(rows))
+        release(table)
+        return PipelineModel([mapped, model])

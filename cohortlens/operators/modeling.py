@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.domain import PARENTAL_EDUCATION
 from cohortlens.operators.boosting import HistBoostingEstimator
 from cohortlens.operators.forest import ForestEstimator
-from cohortlens.operators.kernel import NystromEstimator
+from cohortlens.operators.kernel import KernelLogistic, NystromEstimator
 from cohortlens.operators.neighbours import KNNEstimator
 
 NOMINAL = ("gender", "race_ethnicity", "lunch", "test_preparation_course")
@@ -213,8 +213,8 @@ def _kernel(kind: str, n_classes: int):
         if kind == "regression":
             return [features, LinearRegression(featuresCol="kernel", labelCol=LABEL_COL, regParam=reg * ctx["y_std"], elasticNetParam=0.0,
                                                standardization=False)]
-        return [features, LogisticRegression(featuresCol="kernel", labelCol=LABEL_COL, weightCol=WEIGHT_COL, regParam=reg, elasticNetParam=0.0,
-                                             standardization=False, family="multinomial" if n_classes > 2 else "binomial")]
+        return [KernelLogistic(features, LogisticRegression(featuresCol="kernel", labelCol=LABEL_COL, weightCol=WEIGHT_COL, regParam=reg, elasticNetParam=0.0,
+                                                            standardization=False, family="multinomial" if n_classes > 2 else "binomial"))]
     return build
 
 

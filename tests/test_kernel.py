@@ -2,11 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cohortlens.operators import features as X
+from cohortlens.operators import kernel as K
 from cohortlens.operators.kernel import NystromEstimator, NystromModel, inverse_root, rbf
 from cohortlens.operators.modeling import candidates, make_pipeline
 from cohortlens.operators.training import prepare
@@ -72,3 +74,21 @@ def test_candidate_of_every_kind(spark, name):
         assert p.agg(F.max("n"), F.max("e")).first()[0] == len(task.levels) or len(task.levels) == 2
     else:
         assert out.agg(F.var_pop(F.col("label") - F.col("prediction")) / F.var_pop("label")).first()[0] < 1.0
+
+
+def test_many_rows_are_fitted_as_distinct_ones(spark, monkeypatch):
+    """The logistic fit is given one row for each vector and label, with the weight of all its rows, and finds the same model."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (900, 3)).astype(float)
+    y = (x.sum(axis=1) + rng.normal(size=900) > 3).astype(float)
+    df = spark.createDataFrame([(Vectors.dense(v), k, 0.5 + k) for v, k in zip(x, y.tolist())], ["features", "label", "weight"]).repartition(3).persist()
+    last = LogisticRegression(featuresCol="kernel", labelCol="label", weightCol="weight", regParam=0.05, standardization=False)
+    given, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, rows: given.append(rows.count()) or fit(self, rows))
+    p = []
+    for rows in (K.ROWS, 100):
+        monkeypatch.setattr(K, "ROWS", rows)
+        model = K.KernelLogistic(NystromEstimator(8, 0.5, 1), last).fit(df)
+        p.append({str(r.features): r.p for r in model.transform(df).select("features", vector_to_array("probability")[1].alias("p")).distinct().collect()})
+    assert given[0] == 900 and given[1] == len({(*v, k) for v, k in zip(x.tolist(), y.tolist())}) <= 54
+    assert all(p[1][k] == pytest.approx(v, abs=1e-4) for k, v in p[0].items())
