@@ -176,3 +176,24 @@ def test_sets_are_read_only_for_pairs_that_bit_rows_leave_and_are_not_written(sp
     assert got == brute(rows)
     assert not any("tokens" in c for c in written)
     assert {(min(p), max(p)) for p in seen} == {(10, 11), (12, 13)}
+
+
+def test_documents_with_equal_sets_emit_tokens_once(spark, monkeypatch):
+    """Copies are linked by their sets' signatures, so only the first of them takes part in the shuffle of tokens."""
+    sent, emit = spark.sparkContext.accumulator(0), jaccard_join._emit
+
+    def counting(*args):
+        run = emit(*args)
+
+        def counted(batches):
+            for b in run(batches):
+                sent.add(b.num_rows)
+                yield b
+        return counted
+
+    monkeypatch.setattr(jaccard_join, "_emit", counting)
+    texts = [" ".join(f"w{j}x{i}" for i in range(30)) for j in range(6)]
+    docs = spark.createDataFrame([(c * 6 + j, t) for c in range(40) for j, t in enumerate(texts)], "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert len(got) == 240 and all(r.component_id == r.doc_id % 6 and r.n_shingles == 26 for r in got)
+    assert sent.value == 6 * 6  # 26 - 21 + 1 tokens of each distinct set
