@@ -234,8 +234,8 @@ def bundles(sizes: list[int]) -> list[Bundle]:
 class Histograms:
     """Sums by class (open nodes, features, bins, 3) over the blocks that are added, a size that the parameters set."""
 
-    def __init__(self, growing: list[Tree], open_nodes: list[list[int]], sizes: list[int]):
-        self.growing, self.open_nodes, self.sizes, self.bundles = growing, open_nodes, sizes, bundles(sizes)
+    def __init__(self, growing: list[Tree], open_nodes: list[list[int]], sizes: list[int], dealt: list[Bundle]):
+        self.growing, self.open_nodes, self.sizes, self.bundles = growing, open_nodes, sizes, dealt
         self.sums: dict[int, list[np.ndarray]] = {}
 
     def add(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.ndarray) -> None:
@@ -267,14 +267,14 @@ class Histograms:
                 values = values if to is None else values @ to
                 for f, size in zip(b.features, b.sizes):
                     out[k][:, :, f, :size], values = values[..., :size], values[..., size:]
-        return {k: np.moveaxis(v, 0, -1) for k, v in out.items()}
+        return {k: np.ascontiguousarray(np.moveaxis(v, 0, -1)) for k, v in out.items()}
 
 
 def _histograms(kind: str, rounds: list[list[Tree]], growing: list[Tree], open_nodes: list[list[int]], sizes: list[int]):
     names = [c.split()[0] for c in HISTOGRAM.split(", ")]
 
     def run(batches):
-        total, held = Histograms(growing, open_nodes, sizes), []
+        total, held = Histograms(growing, open_nodes, sizes, bundles(sizes)), []
 
         def add():
             bins, sums, count, raw = (np.concatenate([x[j] for x in held]) for j in range(4))
@@ -405,11 +405,12 @@ def _grow_all(kind: str, base: list[float], edges: list[np.ndarray], how: Growth
             return
         bins, sums, count, raw = (np.concatenate([x[j] for x in held]) for j in range(4))
         rounds: list[list[Tree]] = []
+        sizes = bin_counts(edges)
         for _ in range(how.max_iter):
             g, h = gradients(kind, raw, sums)
 
             def of(trees, open_nodes):
-                total = Histograms(trees, open_nodes, bin_counts(edges))
+                total = Histograms(trees, open_nodes, sizes, [Bundle([f], [s]) for f, s in enumerate(sizes)])
                 total.add(bins, g, h, count)
                 return total.by_feature()
 

@@ -165,7 +165,7 @@ def test_features_of_few_bins_are_summed_together():
     assert all(np.prod(b.sizes) <= B.CODES for b in dealt)
     tree = B.Tree()
     tree.split(0, 12, 2, 2.5, (0.0, 0.0))
-    total = B.Histograms([tree, B.Tree()], [[2], [0]], sizes)
+    total = B.Histograms([tree, B.Tree()], [[2], [0]], sizes, dealt)
     for part in (slice(0, 1000), slice(1000, 3000)):
         total.add(bins[part], g[part], h[part], count[part])
     got = total.by_feature()
